@@ -1,0 +1,10 @@
+"""Streaming.
+
+The analytics this package rebuilds are batch jobs: waves are designed,
+measured and fed back at table boundaries, and no operator depends on
+arrival order, watermarks or late data. There is therefore no streaming
+operator here. Wave outcome tables are written with dynamic partition
+overwrite (see ``liftlens.sources.tables``), so a ``foreachBatch`` sink that
+calls ``TableStore.write_wave`` per micro-batch is the way to feed them from
+a stream without new operators.
+"""
