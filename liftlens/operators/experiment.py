@@ -137,3 +137,12 @@ def ate(outcomes: DataFrame, by: Sequence[str] = ("campaign_id",)) -> DataFrame:
                  _group_avg("purchased", TREATMENT).alias("treatment_rate"),
                  _group_avg("purchased", HOLDOUT).alias("holdout_rate"))
             .withColumn("ate", F.col("treatment_rate") - F.col("holdout_rate")))
+
+
+def delivered_assignments(delivered: DataFrame, params: Params, *, ts_col: str = "decision_ts") -> DataFrame:
+    """An offer wave after ``reserve_holdout`` in assignment form (coupon only for the treated)."""
+    return delivered.select(
+        "customer_id", F.lit(None).cast("int").alias("segment_id"), "value_tier", "group", "campaign_id",
+        F.when(F.col("group") == TREATMENT, F.lit(float(params.coupon_value))).otherwise(F.lit(0.0))
+        .alias("coupon_value"),
+        F.col(ts_col).alias("assigned_ts"))

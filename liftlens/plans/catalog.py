@@ -77,3 +77,337 @@ def _routing(tb: TestBed) -> DataFrame:
 def _tier_by_attr(tb: TestBed) -> DataFrame:
     """A2: lanes by market segment (age_group)."""
     return feat_ops.count_by(feat_ops.route_customers(tb.features, tb.customers), "age_group", "data_tier")
+
+
+# --- stage 1: tiers, profiles, lookups ------------------------------------------------
+
+from liftlens.operators import allocate, evaluate, experiment, lift, outcomes, segments, snapshots  # noqa: E402
+from liftlens.operators.ordering import prefix_sum  # noqa: E402
+from liftlens.params import (  # noqa: E402
+    LEARNING_WAVE, OPTIMIZED_WAVE, TIER_BASE_RATE, TIER_BASE_RATE_DEFAULT, TIER_BASKET, TIER_BASKET_DEFAULT,
+)
+from liftlens.plans import reports  # noqa: E402
+from liftlens.plans.testbed import SNAPSHOT_DATES, WAVE2_AS_OF, stand_in_score  # noqa: E402
+from liftlens.sources.tables import merge_by_key  # noqa: E402
+from liftlens.functions.hashing import md5_bucket  # noqa: E402
+
+REVENUE_TIERS = ("High Value", "Medium-High Value")
+# Budget grid of the dashboard slider (5,000 .. 200,000 step 5,000) at the test tables' money scale (x50).
+SWEEP_BUDGETS = tuple(250_000.0 * i for i in range(1, 41))
+# Prior offer waves of the frequency-cap ledger: (wave, decision day); 30 days before 1997-01-01 is 1996-12-02.
+PRIOR_WAVES = (("PRIOR_A", "1996-11-15"), ("PRIOR_B", "1996-12-02"), ("PRIOR_C", "1996-12-20"))
+PRIOR_FRACTION = 0.5
+
+
+@query("segment_profile")
+def _segment_profile(tb: TestBed) -> DataFrame:
+    """A3: profile of fixed segments (market segment) of the known customers."""
+    return segments.segment_profile(tb.features, "age_group")
+
+
+@query("value_tiers")
+def _value_tiers(tb: TestBed) -> DataFrame:
+    """Segments ranked by mean monthly spend and labelled High ... Low."""
+    return segments.value_tiers(segments.segment_profile(tb.features, "age_group"), "age_group")
+
+
+@query("tier_profile")
+def _tier_profile(tb: TestBed) -> DataFrame:
+    """Per value tier (J6 segments x features)."""
+    return reports.tier_profile(tb.segments, tb.features)
+
+
+@query("tier_lookup")
+def _tier_lookup(tb: TestBed) -> DataFrame:
+    """Base purchase rate and typical basket by tier, with defaults for absent tiers."""
+    s = segments.tier_lookup(tb.segments, TIER_BASE_RATE, TIER_BASE_RATE_DEFAULT, "base_rate")
+    return segments.tier_lookup(s, TIER_BASKET, TIER_BASKET_DEFAULT, "expected_basket")
+
+
+@query("overview_counts")
+def _overview(tb: TestBed) -> DataFrame:
+    """U2 + A2: total, known and unknown customers."""
+    return reports.overview_counts(tb.features, tb.customers)
+
+
+@query("assign_nearest")
+def _assign_nearest(tb: TestBed) -> DataFrame:
+    """M4: nearest of fixed centres (per-label mean embedding) for every embedding."""
+    emb = tb.tables.raw("embeddings")
+    dim = emb.agg(F.max(F.size("embedding"))).first()[0] or 0
+    cent = (emb.groupBy("label")
+            .agg(*[F.avg(F.col("embedding")[i]).alias(f"c{i}") for i in range(dim)])
+            .collect())  # k x dim centres: bounded by the number of labels
+    centres = {int(r["label"]): [r[f"c{i}"] for i in range(dim)] for r in cent}
+    return segments.assign_nearest(emb, "embedding", centres).select("vec_id", "label", "centre_id")
+
+
+# --- stage 2a: experiment design ------------------------------------------------------
+
+@query("eligible_by_tier")
+def _eligible(tb: TestBed) -> DataFrame:
+    """PF3: customers of a revenue wave (top two tiers)."""
+    return experiment.eligible_by_tier(tb.segments, REVENUE_TIERS)
+
+
+@query("assign_groups_md5")
+def _assign_md5(tb: TestBed) -> DataFrame:
+    """Learning-wave split (md5 hash, Bernoulli 80/20)."""
+    return tb.learning_assignments
+
+
+@query("assign_groups_exact")
+def _assign_exact(tb: TestBed) -> DataFrame:
+    """E1 exact mode: per value tier exactly floor(0.8 n + 0.5) treated."""
+    eligible = experiment.eligible_by_tier(tb.segments, tuple(TIER_BASE_RATE))
+    return experiment.assign_groups(eligible, LEARNING_WAVE, tb.p, mode="exact")
+
+
+@query("murmur_groups")
+def _murmur(tb: TestBed) -> DataFrame:
+    """E1 with Spark's Murmur3 hash, as the reference computes it (rows-only check)."""
+    eligible = experiment.eligible_by_tier(tb.segments, tuple(TIER_BASE_RATE))
+    return experiment.assign_groups(eligible, LEARNING_WAVE, tb.p, hash_kind="murmur3")
+
+
+@query("balance_check")
+def _balance(tb: TestBed) -> DataFrame:
+    """A4: treated share per tier."""
+    return experiment.balance_check(tb.learning_assignments)
+
+
+# --- stage 2b: outcomes and lift -------------------------------------------------------
+
+@query("attribute_outcomes")
+def _attribute(tb: TestBed) -> DataFrame:
+    """Purchases, spend and redemptions in the 90 days after assignment."""
+    return tb.learning_outcomes
+
+
+@query("outcome_summary")
+def _outcome_summary(tb: TestBed) -> DataFrame:
+    """A5: per group of the learning wave."""
+    return experiment.outcome_summary(tb.learning_outcomes)
+
+
+@query("ate")
+def _ate(tb: TestBed) -> DataFrame:
+    """Naive average treatment effect on the purchase rate."""
+    return experiment.ate(tb.learning_outcomes)
+
+
+@query("ate_by_tier")
+def _ate_by_tier(tb: TestBed) -> DataFrame:
+    """A6 per value tier."""
+    return experiment.ate(tb.learning_outcomes, ("campaign_id", "value_tier"))
+
+
+@query("incremental_lift")
+def _incremental_lift(tb: TestBed) -> DataFrame:
+    """Holdout-measured lift, margin, cost and ROI of the learning wave (flagship)."""
+    return lift.incremental_lift(tb.learning_outcomes, tb.p)
+
+
+def wave2(tb: TestBed) -> tuple[TestBed, DataFrame]:
+    """The optimised wave at 1998-01-01: stand-in scores -> offers -> holdout reserve -> outcomes."""
+    tb2 = tb.at(WAVE2_AS_OF)
+    offers = allocate.plan_offers(tb2.scored(), tb2.p, OPTIMIZED_WAVE)
+    delivered = experiment.reserve_holdout(offers, OPTIMIZED_WAVE, tb2.p)
+    asg = experiment.delivered_assignments(delivered, tb2.p)
+    out = outcomes.attribute_outcomes(asg, tb.tables.transactions(with_items=False), tb.redemptions, tb2.p)
+    return tb2, out
+
+
+def lift_by_wave(tb: TestBed) -> DataFrame:
+    tb2, out2 = wave2(tb)
+    return lift.incremental_lift(tb.learning_outcomes, tb.p).unionByName(lift.incremental_lift(out2, tb2.p))
+
+
+@query("lift_by_wave")
+def _lift_by_wave(tb: TestBed) -> DataFrame:
+    """E4 for the learning wave and the optimised wave (E3 holdout, J11 outcomes)."""
+    return lift_by_wave(tb)
+
+
+@query("latest_lift")
+def _latest_lift(tb: TestBed) -> DataFrame:
+    """Newest lift row."""
+    return lift.latest_lift(lift_by_wave(tb))
+
+
+@query("stratified_split")
+def _split(tb: TestBed) -> DataFrame:
+    """80/20 train/eval split per group."""
+    return experiment.stratified_split(tb.learning_outcomes.select("customer_id", "group"), tb.p)
+
+
+# --- model evaluation on the stand-in score --------------------------------------------
+
+def eval_frame(tb: TestBed) -> DataFrame:
+    return tb.learning_outcomes.select("customer_id", "group", "purchased", stand_in_score())
+
+
+@query("qini_curve")
+def _qini_curve(tb: TestBed) -> DataFrame:
+    """W1 + W2: Qini curve and random diagonal."""
+    return evaluate.qini_curve(eval_frame(tb), rows_per_bucket=tb.p.rows_per_bucket)
+
+
+@query("qini_coefficient")
+def _qini_coef(tb: TestBed) -> DataFrame:
+    """Qini coefficient (closed-form trapezoid)."""
+    return evaluate.qini_coefficient(evaluate.qini_curve(eval_frame(tb), rows_per_bucket=tb.p.rows_per_bucket))
+
+
+@query("qini_curve_long")
+def _qini_long(tb: TestBed) -> DataFrame:
+    """Model and random series stacked."""
+    return evaluate.qini_curve_long(evaluate.qini_curve(eval_frame(tb), rows_per_bucket=tb.p.rows_per_bucket))
+
+
+@query("uplift_deciles")
+def _deciles(tb: TestBed) -> DataFrame:
+    """Score deciles (first-rank qcut)."""
+    return evaluate.uplift_deciles(eval_frame(tb), rows_per_bucket=tb.p.rows_per_bucket)
+
+
+@query("decile_lift")
+def _decile_lift(tb: TestBed) -> DataFrame:
+    """Observed uplift per decile."""
+    return evaluate.decile_lift(evaluate.uplift_deciles(eval_frame(tb), rows_per_bucket=tb.p.rows_per_bucket))
+
+
+@query("score_summary")
+def _score_summary(tb: TestBed) -> DataFrame:
+    """Mean, std, min, max, share positive and exact 0.9 quantile of the scores."""
+    return evaluate.score_summary(tb.scored(), rows_per_bucket=tb.p.rows_per_bucket)
+
+
+@query("score_histogram")
+def _score_hist(tb: TestBed) -> DataFrame:
+    """40 equal-width bins of the scores."""
+    return evaluate.score_histogram(tb.scored())
+
+
+# --- stage 3a: economics and allocation ------------------------------------------------
+
+def candidates(tb: TestBed) -> DataFrame:
+    return allocate.profitable(allocate.offer_economics(allocate.above_threshold(tb.scored(), tb.p.min_uplift), tb.p))
+
+
+@query("offer_economics")
+def _economics(tb: TestBed) -> DataFrame:
+    """PF5 + E7: eligible customers with expected margin, cost and ROI."""
+    return allocate.offer_economics(allocate.above_threshold(tb.scored(), tb.p.min_uplift), tb.p)
+
+
+@query("allocate_budget")
+def _allocate(tb: TestBed) -> DataFrame:
+    """PF6 + W7: greedy ROI-ordered prefix within the budget."""
+    sel = allocate.allocate_budget(candidates(tb), tb.p)
+    return sel.select("customer_id", "value_tier", "uplift_score", "exp_incr_margin", "exp_cost",
+                      "roi_per_dollar", "roi_rank", F.col("cum_cost").cast("double").alias("cum_cost"))
+
+
+@query("allocation_summary")
+def _alloc_summary(tb: TestBed) -> DataFrame:
+    """Customers offered, expected spend, margin and ROI."""
+    return allocate.allocation_summary(allocate.allocate_budget(candidates(tb), tb.p))
+
+
+@query("budget_sweep")
+def _sweep(tb: TestBed) -> DataFrame:
+    """Allocation summary for 40 budgets from one ranked pass."""
+    return allocate.budget_sweep(candidates(tb), SWEEP_BUDGETS, tb.p)
+
+
+def prior_ledger(tb: TestBed) -> DataFrame:
+    """Offer ledger of three earlier waves (md5 half splits of the known customers)."""
+    base = tb.features.select("customer_id")
+    frames = []
+    for wave, day in PRIOR_WAVES:
+        u = md5_bucket("customer_id", wave) / F.lit(100000.0)
+        frames.append(base.filter(u < F.lit(PRIOR_FRACTION))
+                      .select("customer_id", F.lit(wave).alias("campaign_id"),
+                              F.lit(day).cast("timestamp_ntz").alias("decision_ts")))
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+@query("recent_offers")
+def _recent(tb: TestBed) -> DataFrame:
+    """PF7 + PF8: customers with at least 2 offers in the 30 days before the as-of date."""
+    return allocate.at_cap(allocate.recent_offers(prior_ledger(tb), tb.p.as_of, tb.p.cap_days),
+                           tb.p.max_offers_30d)
+
+
+@query("frequency_cap")
+def _frequency_cap(tb: TestBed) -> DataFrame:
+    """J7 + W7: allocation after removing capped customers (cap before allocation)."""
+    offers = allocate.plan_offers(tb.scored(), tb.p, OPTIMIZED_WAVE, ledger=prior_ledger(tb))
+    return offers
+
+
+@query("reserve_holdout_channels")
+def _reserve(tb: TestBed) -> DataFrame:
+    """Wave-2 offers split again (md5, wave salt) with a delivery channel."""
+    tb2 = tb.at(WAVE2_AS_OF)
+    offers = allocate.plan_offers(tb2.scored(), tb2.p, OPTIMIZED_WAVE)
+    return experiment.reserve_holdout(offers, OPTIMIZED_WAVE, tb2.p).select(
+        "customer_id", "value_tier", "campaign_id", "group", "channel")
+
+
+# --- snapshots -------------------------------------------------------------------------
+
+def snapshot_history(tb: TestBed, dates=SNAPSHOT_DATES, with_tiers: bool = True) -> DataFrame:
+    frames = []
+    for d in dates:
+        t = tb.at(d)
+        frames.append(snapshots.snapshot_frame(t.features, t.segments if with_tiers else None, d))
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+@query("latest_snapshot")
+def _latest_snapshot(tb: TestBed) -> DataFrame:
+    """PF11: newest snapshot per customer from three snapshot dates."""
+    return snapshots.latest_per_customer(snapshot_history(tb))
+
+
+@query("asof_features")
+def _asof(tb: TestBed) -> DataFrame:
+    """Every order with the newest feature snapshot taken at or before it."""
+    snaps = snapshot_history(tb, with_tiers=False).select(
+        "customer_id", "feature_ts", "recency_days", "txn_count", "monetary_per_month")
+    events = tb.tables.transactions(with_items=False).select(
+        F.col("txn_id").alias("o_orderkey"), "customer_id", "txn_date")
+    return snapshots.asof_features(events, snaps, event_ts="txn_date")
+
+
+@query("publish_snapshot_merge")
+def _merge(tb: TestBed) -> DataFrame:
+    """IO5 key-merge: snapshots (1997, 1998) merged with new ones (1998 known_full only, 1999)."""
+    cols = ["customer_id", "feature_ts", "txn_count", "monetary_per_month"]
+    old = snapshot_history(tb, SNAPSHOT_DATES[:2], with_tiers=False).select(*cols).withColumn("source", F.lit("existing"))
+    t98, t99 = tb.at(SNAPSHOT_DATES[1]), tb.at(SNAPSHOT_DATES[2])
+    new98 = snapshots.snapshot_frame(t98.features.filter(F.col("data_tier") == "known_full"), None, SNAPSHOT_DATES[1])
+    new99 = snapshots.snapshot_frame(t99.features, None, SNAPSHOT_DATES[2])
+    new = new98.unionByName(new99).select(*cols).withColumn("source", F.lit("new"))
+    return merge_by_key(new, old, ["customer_id", "feature_ts"])
+
+
+# --- W0 directly -----------------------------------------------------------------------
+
+@query("prefix_sum")
+def _prefix_sum(tb: TestBed) -> DataFrame:
+    """Running order count and exact running total of all orders by price (bucketed, 4096 rows per bucket)."""
+    o = tb.tables.raw("orders").select("o_orderkey", "o_totalprice")
+    ps = prefix_sum(o, [("o_totalprice", False), ("o_orderkey", True)],
+                    {"running_total": F.col("o_totalprice").cast("decimal(18,2)")},
+                    rows_per_bucket=4096, row_number="row_idx", count_col="n_rows")
+    return ps.select("o_orderkey", "row_idx", F.col("running_total").cast("double").alias("running_total"),
+                     "n_rows")

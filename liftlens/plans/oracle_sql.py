@@ -142,6 +142,280 @@ def _q() -> dict[str, str]:
         "SELECT data_tier, COUNT(*) AS n FROM routed GROUP BY data_tier"
     q["data_tier_by_attribute"] = with_(*BASE, feat("f", AS_OF), routed) + \
         "SELECT age_group, data_tier, COUNT(*) AS n FROM routed GROUP BY age_group, data_tier"
+    q.update(_batch2())
+    return q
+
+
+def econ(name: str, src: str, margin: float = MARGIN, coupon: float = COUPON) -> str:
+    """PF5 + E7 (eligible rows with economics)."""
+    return f"""{name} AS (SELECT customer_id, value_tier, avg_basket_value, uplift_score,
+  uplift_score * avg_basket_value * {margin}::DOUBLE AS exp_incr_margin,
+  LEAST(GREATEST(0.3::DOUBLE + uplift_score, 0.05::DOUBLE), 0.9::DOUBLE) AS p_redeem,
+  LEAST(GREATEST(0.3::DOUBLE + uplift_score, 0.05::DOUBLE), 0.9::DOUBLE) * {coupon}::DOUBLE AS exp_cost,
+  (uplift_score * avg_basket_value * {margin}::DOUBLE)
+    / GREATEST(LEAST(GREATEST(0.3::DOUBLE + uplift_score, 0.05::DOUBLE), 0.9::DOUBLE) * {coupon}::DOUBLE, 1e-6::DOUBLE)
+    AS roi_per_dollar
+  FROM {src} WHERE uplift_score > 0.0::DOUBLE)"""
+
+
+def ranked(name: str, src: str) -> str:
+    """W0 the brute-force way: a global window in ROI order with an exact decimal running cost."""
+    return f"""{name} AS (SELECT *, ROW_NUMBER() OVER w AS roi_rank,
+  SUM(CAST(exp_cost AS DECIMAL(20,6))) OVER w AS cum_cost FROM {src}
+  WINDOW w AS (ORDER BY roi_per_dollar DESC, customer_id ROWS UNBOUNDED PRECEDING))"""
+
+
+def scored(name: str, f: str, s: str) -> str:
+    return f"""{name} AS (SELECT {f}.customer_id, {s}.value_tier, {f}.avg_basket_value,
+  {score_expr(f + '.customer_id')} AS uplift_score FROM {f} LEFT JOIN {s} ON {f}.customer_id = {s}.customer_id)"""
+
+
+def lift_sql(oc: str, measured: str) -> str:
+    t, h = "\"group\" = 'treatment'", "\"group\" = 'holdout'"
+    return f"""SELECT campaign_id, n_treated, n_holdout,
+  round_even(rt - rh, 4) AS incr_purchase_rate,
+  round_even(st - sh, 2) AS incr_spend_per_head,
+  round_even((st - sh) * {MARGIN}::DOUBLE, 2) AS incr_margin_per_head,
+  round_even(cost, 2) AS coupon_cost,
+  round_even((st - sh) * {MARGIN}::DOUBLE * n_treated - cost, 2) AS total_incremental_margin,
+  round_even(CASE WHEN cost <> 0 THEN ((st - sh) * {MARGIN}::DOUBLE * n_treated - cost) / cost END, 2) AS roi,
+  TIMESTAMP '{measured}' AS measured_ts
+  FROM (SELECT campaign_id, COUNT(*) FILTER (WHERE {t}) AS n_treated, COUNT(*) FILTER (WHERE {h}) AS n_holdout,
+    AVG(purchased) FILTER (WHERE {t}) AS rt, AVG(purchased) FILTER (WHERE {h}) AS rh,
+    AVG(spend) FILTER (WHERE {t}) AS st, AVG(spend) FILTER (WHERE {h}) AS sh,
+    CAST(SUM(redeemed) FILTER (WHERE {t}) AS DOUBLE) * {COUPON}::DOUBLE * 1.0::DOUBLE AS cost
+    FROM {oc} GROUP BY campaign_id) g"""
+
+
+LIFT_DOUBLES = ["incr_purchase_rate", "incr_spend_per_head", "incr_margin_per_head", "coupon_cost",
+                "total_incremental_margin", "roi"]
+ECON_DOUBLES = ["avg_basket_value", "uplift_score", "exp_incr_margin", "p_redeem", "exp_cost", "roi_per_dollar"]
+OFFER_DOUBLES = ["uplift_score", "exp_incr_margin", "exp_cost", "roi_per_dollar", "coupon_value"]
+SNAP_DOUBLES = ["frequency_per_month", "monetary_per_month", "total_spend", "avg_basket_value",
+                "max_basket_value", "avg_items"]
+SNAP_COLS = ("customer_id, feature_ts, recency_days, tenure_days, frequency_per_month, monetary_per_month, "
+             "txn_count, total_spend, avg_basket_value, max_basket_value, avg_items, category_diversity, "
+             "age_group, city_tier, channel_pref, segment_id, value_tier")
+
+
+def wave2_ctes() -> list[str]:
+    """Optimised wave at 1998-01-01: scores -> economics -> allocation -> E3 split -> outcomes."""
+    u = f"({md5_bucket('customer_id', OPTIMIZED_WAVE)} / 100000.0::DOUBLE)"
+    return [feat("f2", WAVE2_AS_OF), seg("s2", "f2"), scored("sc2", "f2", "s2"), econ("e2", "sc2"),
+            ranked("rk2", "e2 WHERE exp_incr_margin > exp_cost"),
+            f"""al2 AS (SELECT * FROM rk2 WHERE cum_cost <= CAST({BUDGET} AS DECIMAL(20,6)))""",
+            f"""asg2 AS (SELECT customer_id, CAST(NULL AS INTEGER) AS segment_id, value_tier,
+  CASE WHEN {u} < 0.8::DOUBLE THEN 'treatment' ELSE 'holdout' END AS "group", '{OPTIMIZED_WAVE}' AS campaign_id,
+  CASE WHEN {u} < 0.8::DOUBLE THEN {COUPON}::DOUBLE ELSE 0.0::DOUBLE END AS coupon_value,
+  TIMESTAMP '{WAVE2_AS_OF}' AS assigned_ts FROM al2)""",
+            outcomes("oc2", "asg2", WAVE2_AS_OF)]
+
+
+def qini_ctes(src: str = "ev", by: str = "") -> list[str]:
+    part = f"PARTITION BY {by} " if by else ""
+    sel = f"{by}, " if by else ""
+    t, h = "\"group\" = 'treatment'", "\"group\" = 'holdout'"
+    return [f"""cw AS (SELECT {sel}customer_id, uplift_score, "group", purchased,
+  ROW_NUMBER() OVER w AS row_idx, COUNT(*) OVER ({part}) AS n,
+  CAST(SUM(CASE WHEN {t} THEN purchased ELSE 0 END) OVER w AS BIGINT) AS t_cum,
+  CAST(SUM(CASE WHEN {h} THEN purchased ELSE 0 END) OVER w AS BIGINT) AS c_cum,
+  CAST(SUM(CASE WHEN {t} THEN 1 ELSE 0 END) OVER w AS BIGINT) AS nt_raw,
+  CAST(SUM(CASE WHEN {h} THEN 1 ELSE 0 END) OVER w AS BIGINT) AS nc_raw,
+  CAST(SUM(CASE WHEN {t} THEN purchased ELSE 0 END) OVER ({part}) AS BIGINT) AS tt,
+  CAST(SUM(CASE WHEN {h} THEN purchased ELSE 0 END) OVER ({part}) AS BIGINT) AS ct,
+  CAST(SUM(CASE WHEN {t} THEN 1 ELSE 0 END) OVER ({part}) AS BIGINT) AS ntt,
+  CAST(SUM(CASE WHEN {h} THEN 1 ELSE 0 END) OVER ({part}) AS BIGINT) AS nct
+  FROM {src} WINDOW w AS ({part}ORDER BY uplift_score DESC, customer_id ROWS UNBOUNDED PRECEDING))""",
+            f"""curve AS (SELECT {sel}customer_id, uplift_score, "group", purchased, row_idx, n, row_idx / n AS x,
+  t_cum, c_cum, GREATEST(nt_raw, 1) AS nt_cum, GREATEST(nc_raw, 1) AS nc_cum,
+  t_cum - c_cum * (GREATEST(nt_raw, 1) / GREATEST(nc_raw, 1)) AS qini,
+  CASE WHEN row_idx = n THEN tt - ct * (GREATEST(ntt, 1) / GREATEST(nct, 1))
+       WHEN n > 1 THEN (row_idx - 1) * ((tt - ct * (GREATEST(ntt, 1) / GREATEST(nct, 1))) / (n - 1))
+       ELSE 0.0::DOUBLE END AS random FROM cw)"""]
+
+
+QINI_COEF = """SELECT {sel}COUNT(*) AS n,
+  (SUM(qini) - MAX(CASE WHEN row_idx = 1 THEN qini END) / 2) / COUNT(*) - MAX(CASE WHEN row_idx = n THEN qini END) / 2
+    AS qini_coef,
+  MAX(CASE WHEN row_idx = n THEN qini END) AS qini_end FROM curve {grp}"""
+
+LEDGER_WAVES = (("PRIOR_A", "1996-11-15"), ("PRIOR_B", "1996-12-02"), ("PRIOR_C", "1996-12-20"))
+
+
+def ledger_cte() -> str:
+    parts = [f"""SELECT customer_id, '{w}' AS campaign_id, TIMESTAMP '{d}' AS decision_ts FROM f
+  WHERE {md5_bucket('customer_id', w)} / 100000.0::DOUBLE < 0.5::DOUBLE""" for w, d in LEDGER_WAVES]
+    return "ledger AS (" + "\n  UNION ALL ".join(parts) + ")"
+
+
+CAPPED = """capped AS (SELECT customer_id, COUNT(*) AS n_recent_offers FROM ledger
+  WHERE decision_ts >= DATE '1997-01-01' - INTERVAL 30 DAY GROUP BY customer_id HAVING COUNT(*) >= 2)"""
+
+
+def snaps_ctes(with_tiers: bool = True, dates=SNAPSHOT_DATES) -> list[str]:
+    ctes, parts = [], []
+    for i, d in enumerate(dates):
+        ctes.append(feat(f"f{i}x", d))
+        if with_tiers:
+            ctes.append(seg(f"s{i}x", f"f{i}x"))
+            parts.append(f"""SELECT f.customer_id, TIMESTAMP '{d}' AS feature_ts, f.recency_days, f.tenure_days,
+  f.frequency_per_month, f.monetary_per_month, f.txn_count, f.total_spend, f.avg_basket_value, f.max_basket_value,
+  f.avg_items, f.category_diversity, f.age_group, f.city_tier, f.channel_pref, s.segment_id, s.value_tier
+  FROM f{i}x f LEFT JOIN s{i}x s ON f.customer_id = s.customer_id""")
+        else:
+            parts.append(f"""SELECT customer_id, TIMESTAMP '{d}' AS feature_ts, recency_days, txn_count,
+  monetary_per_month, data_tier FROM f{i}x""")
+    ctes.append("snaps AS (" + "\n  UNION ALL ".join(parts) + ")")
+    return ctes
+
+
+def _batch2() -> dict[str, str]:
+    q: dict[str, str] = {}
+    prof = """SELECT age_group, COUNT(*) AS size, AVG(recency_days) AS recency, AVG(frequency_per_month) AS freq,
+  AVG(monetary_per_month) AS monetary, AVG(avg_basket_value) AS basket FROM f GROUP BY age_group"""
+    pd_ = ["recency", "freq", "monetary", "basket"]
+    q["segment_profile"] = final(with_(*BASE, feat("f", AS_OF)) + prof, pd_)
+    q["value_tiers"] = final(with_(*BASE, feat("f", AS_OF), f"p AS ({prof})") + """SELECT *,
+  CAST(ROW_NUMBER() OVER (ORDER BY monetary DESC, age_group) AS INTEGER) AS tier_rank,
+  CASE LEAST(ROW_NUMBER() OVER (ORDER BY monetary DESC, age_group), 6) WHEN 1 THEN 'High Value'
+    WHEN 2 THEN 'Medium-High Value' WHEN 3 THEN 'Medium Value' ELSE 'Low Value' END AS value_tier FROM p""", pd_)
+    q["tier_profile"] = final(with_(*BASE, feat("f", AS_OF), seg("s", "f")) + """SELECT s.value_tier,
+  COUNT(*) AS n_customers, AVG(f.recency_days) AS avg_recency, AVG(f.frequency_per_month) AS avg_freq,
+  AVG(f.monetary_per_month) AS avg_monthly_spend, AVG(f.avg_basket_value) AS avg_basket
+  FROM s JOIN f USING (customer_id) GROUP BY s.value_tier""",
+                              ["avg_recency", "avg_freq", "avg_monthly_spend", "avg_basket"])
+    q["tier_lookup"] = final(with_(*BASE, feat("f", AS_OF), seg("s", "f")) + """SELECT customer_id, segment_id,
+  value_tier,
+  CASE value_tier WHEN 'High Value' THEN 0.45 WHEN 'Medium-High Value' THEN 0.35 WHEN 'Medium Value' THEN 0.25
+    WHEN 'Low Value' THEN 0.15 ELSE 0.20 END::DOUBLE AS base_rate,
+  CASE value_tier WHEN 'High Value' THEN 70.0 WHEN 'Medium-High Value' THEN 55.0 WHEN 'Medium Value' THEN 42.0
+    WHEN 'Low Value' THEN 32.0 ELSE 40.0 END::DOUBLE AS expected_basket FROM s""", ["base_rate", "expected_basket"])
+    q["overview_counts"] = with_(*BASE, feat("f", AS_OF)) + """SELECT (SELECT COUNT(*) FROM cust) AS n_total,
+  (SELECT COUNT(*) FROM f) AS n_known,
+  (SELECT COUNT(*) FROM cust c ANTI JOIN f ON c.customer_id = f.customer_id) AS n_unknown"""
+    q["assign_nearest"] = """WITH e AS (SELECT vec_id, label, UNNEST(embedding) AS v,
+  generate_subscripts(embedding, 1) AS d FROM embeddings),
+c AS (SELECT label AS centre_id, d, AVG(v) AS cv FROM e GROUP BY label, d),
+dist AS (SELECT e.vec_id, c.centre_id, SUM((e.v - c.cv) * (e.v - c.cv)) AS d2 FROM e JOIN c ON e.d = c.d
+  GROUP BY e.vec_id, c.centre_id),
+best AS (SELECT vec_id, centre_id FROM dist QUALIFY ROW_NUMBER() OVER (PARTITION BY vec_id ORDER BY d2, centre_id) = 1)
+SELECT m.vec_id, m.label, CAST(b.centre_id AS INTEGER) AS centre_id FROM embeddings m JOIN best b ON m.vec_id = b.vec_id"""
+    q["eligible_by_tier"] = with_(*BASE, feat("f", AS_OF), seg("s", "f")) + \
+        "SELECT customer_id, segment_id, value_tier FROM s WHERE value_tier IN ('High Value', 'Medium-High Value')"
+    q["assign_groups_md5"] = final(with_(*WAVE1) + "SELECT * FROM asg", ["coupon_value"])
+    h = md5_u32("customer_id", LEARNING_WAVE)
+    q["assign_groups_exact"] = final(with_(*BASE, feat("f", AS_OF), seg("s", "f"), f"""rk AS (SELECT *,
+  ROW_NUMBER() OVER (PARTITION BY value_tier ORDER BY {h}, customer_id) AS r,
+  COUNT(*) OVER (PARTITION BY value_tier) AS n FROM s)""") + f"""SELECT customer_id, segment_id, value_tier,
+  CASE WHEN r <= FLOOR(n * 0.8::DOUBLE + 0.5::DOUBLE) THEN 'treatment' ELSE 'holdout' END AS "group",
+  '{LEARNING_WAVE}' AS campaign_id,
+  CASE WHEN r <= FLOOR(n * 0.8::DOUBLE + 0.5::DOUBLE) THEN {COUPON}::DOUBLE ELSE 0.0::DOUBLE END AS coupon_value,
+  TIMESTAMP '{AS_OF}' AS assigned_ts FROM rk""", ["coupon_value"])
+    q["balance_check"] = final(with_(*WAVE1) + """SELECT value_tier,
+  COUNT(*) FILTER (WHERE "group" = 'treatment') AS treatment, COUNT(*) FILTER (WHERE "group" = 'holdout') AS holdout,
+  ROUND(COUNT(*) FILTER (WHERE "group" = 'treatment') / COUNT(*), 3) AS treatment_pct
+  FROM asg GROUP BY value_tier""", ["treatment_pct"])
+    q["attribute_outcomes"] = final(with_(*WAVE1) + "SELECT * FROM oc", ["coupon_value", "spend"])
+    q["outcome_summary"] = final(with_(*WAVE1) + """SELECT campaign_id, "group", COUNT(*) AS n,
+  AVG(purchased) AS purchase_rate, AVG(spend) AS avg_spend, AVG(redeemed) AS redemption_rate,
+  CAST(SUM(redeemed) AS BIGINT) AS redemptions FROM oc GROUP BY campaign_id, "group\"""",
+                                 ["purchase_rate", "avg_spend", "redemption_rate"])
+    ate_sel = """COUNT(*) FILTER (WHERE "group" = 'treatment') AS n_treated,
+  COUNT(*) FILTER (WHERE "group" = 'holdout') AS n_holdout,
+  AVG(purchased) FILTER (WHERE "group" = 'treatment') AS treatment_rate,
+  AVG(purchased) FILTER (WHERE "group" = 'holdout') AS holdout_rate,
+  AVG(purchased) FILTER (WHERE "group" = 'treatment') - AVG(purchased) FILTER (WHERE "group" = 'holdout') AS ate"""
+    ate_d = ["treatment_rate", "holdout_rate", "ate"]
+    q["ate"] = final(with_(*WAVE1) + f"SELECT campaign_id, {ate_sel} FROM oc GROUP BY campaign_id", ate_d)
+    q["ate_by_tier"] = final(with_(*WAVE1) + f"SELECT campaign_id, value_tier, {ate_sel} FROM oc "
+                             "GROUP BY campaign_id, value_tier", ate_d)
+    q["incremental_lift"] = final(with_(*WAVE1) + lift_sql("oc", "1997-04-01"), LIFT_DOUBLES)
+    lbw = lift_sql("oc", "1997-04-01") + "\nUNION ALL\n" + lift_sql("oc2", "1998-04-01")
+    q["lift_by_wave"] = final(with_(*WAVE1, *wave2_ctes()) + lbw, LIFT_DOUBLES)
+    q["latest_lift"] = final(with_(*WAVE1, *wave2_ctes(), f"lw AS ({lbw})") +
+                             "SELECT * FROM lw ORDER BY measured_ts DESC, campaign_id DESC LIMIT 1", LIFT_DOUBLES)
+    hs = md5_u32("customer_id", "SPLIT")
+    q["stratified_split"] = with_(*WAVE1, f"""sp AS (SELECT customer_id, "group",
+  ROW_NUMBER() OVER (PARTITION BY "group" ORDER BY {hs}, customer_id) AS r,
+  COUNT(*) OVER (PARTITION BY "group") AS n FROM oc)""") + """SELECT customer_id, "group",
+  CASE WHEN r <= (n * 2000 + 9999) // 10000 THEN 'eval' ELSE 'train' END AS split FROM sp"""
+    ev = WAVE1 + [EVAL]
+    curve_d = ["uplift_score", "x", "qini", "random"]
+    q["qini_curve"] = final(with_(*ev, *qini_ctes()) + "SELECT * FROM curve", curve_d)
+    q["qini_coefficient"] = final(with_(*ev, *qini_ctes()) + QINI_COEF.format(sel="", grp=""),
+                                  ["qini_coef", "qini_end"])
+    q["qini_curve_long"] = final(with_(*ev, *qini_ctes()) + """SELECT row_idx, x * 100 AS pct, qini AS y,
+  'Model' AS series FROM curve UNION ALL SELECT row_idx, x * 100 AS pct, random AS y, 'Random' AS series FROM curve""",
+                                 ["pct", "y"])
+    dec = """dc AS (SELECT *, CAST(GREATEST(CASE WHEN n > 1 THEN ((score_rank - 1) * 10 + n - 2) // (n - 1) ELSE 0 END - 1, 0)
+  AS INTEGER) AS uplift_decile FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY uplift_score, customer_id) AS score_rank,
+  COUNT(*) OVER () AS n FROM ev))"""
+    q["uplift_deciles"] = final(with_(*ev, dec) + """SELECT customer_id, "group", purchased, uplift_score,
+  score_rank, uplift_decile FROM dc""", ["uplift_score"])
+    q["decile_lift"] = final(with_(*ev, dec) + """SELECT uplift_decile, COUNT(*) AS n,
+  COUNT(*) FILTER (WHERE "group" = 'treatment') AS n_treated, COUNT(*) FILTER (WHERE "group" = 'holdout') AS n_holdout,
+  COALESCE(AVG(purchased) FILTER (WHERE "group" = 'treatment'), 0.0) AS treated_rate,
+  COALESCE(AVG(purchased) FILTER (WHERE "group" = 'holdout'), 0.0) AS holdout_rate,
+  COALESCE(AVG(purchased) FILTER (WHERE "group" = 'treatment'), 0.0)
+    - COALESCE(AVG(purchased) FILTER (WHERE "group" = 'holdout'), 0.0) AS observed_uplift
+  FROM dc GROUP BY uplift_decile""", ["treated_rate", "holdout_rate", "observed_uplift"])
+    sc = BASE + [feat("f", AS_OF), seg("s", "f"), scored("scored", "f", "s")]
+    q["score_summary"] = final(with_(*sc) + """SELECT COUNT(uplift_score) AS n, AVG(uplift_score) AS mean_uplift,
+  STDDEV_SAMP(uplift_score) AS std_uplift, MIN(uplift_score) AS min_uplift, MAX(uplift_score) AS max_uplift,
+  AVG(CASE WHEN uplift_score > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS share_positive,
+  QUANTILE_CONT(uplift_score, 0.9) AS p90_uplift FROM scored""",
+                               ["mean_uplift", "std_uplift", "min_uplift", "max_uplift", "share_positive",
+                                "p90_uplift"])
+    q["score_histogram"] = final(with_(*sc, """b AS (SELECT MIN(uplift_score) AS lo, MAX(uplift_score) AS hi
+  FROM scored)""") + """SELECT bin, lo + (bin - 1) * ((hi - lo) / 40) AS bin_lo, lo + bin * ((hi - lo) / 40) AS bin_hi,
+  n FROM (SELECT CAST(CASE WHEN hi > lo THEN LEAST(FLOOR((uplift_score - lo) * 40 / (hi - lo)) + 1, 40) ELSE 1 END
+  AS INTEGER) AS bin, COUNT(*) AS n, ANY_VALUE(lo) AS lo, ANY_VALUE(hi) AS hi FROM scored, b GROUP BY 1) t""",
+                                 ["bin_lo", "bin_hi"])
+    al = sc + [econ("e", "scored"), ranked("rk", "e WHERE exp_incr_margin > exp_cost"),
+               f"al AS (SELECT * FROM rk WHERE cum_cost <= CAST({BUDGET} AS DECIMAL(20,6)))"]
+    q["offer_economics"] = final(with_(*sc, econ("e", "scored")) + "SELECT * FROM e", ECON_DOUBLES)
+    q["allocate_budget"] = final(with_(*al) + """SELECT customer_id, value_tier, uplift_score, exp_incr_margin,
+  exp_cost, roi_per_dollar, roi_rank, CAST(cum_cost AS DOUBLE) AS cum_cost FROM al""",
+                                 ["uplift_score", "exp_incr_margin", "exp_cost", "roi_per_dollar", "cum_cost"])
+    summ = ["expected_spend", "expected_margin", "expected_roi"]
+    q["allocation_summary"] = final(with_(*al) + """SELECT COUNT(*) AS customers_offered,
+  COALESCE(SUM(exp_cost), 0.0) AS expected_spend, COALESCE(SUM(exp_incr_margin), 0.0) AS expected_margin,
+  COALESCE(SUM(exp_incr_margin), 0.0) / GREATEST(COALESCE(SUM(exp_cost), 0.0), 1.0) AS expected_roi FROM al""", summ)
+    q["budget_sweep"] = final(with_(*al[:-1], """grid AS (SELECT CAST(i * 250000 AS DOUBLE) AS budget
+  FROM range(1, 41) t(i))""") + """SELECT g.budget, COUNT(r.customer_id) AS customers_offered,
+  COALESCE(SUM(r.exp_cost), 0.0) AS expected_spend, COALESCE(SUM(r.exp_incr_margin), 0.0) AS expected_margin,
+  COALESCE(SUM(r.exp_incr_margin), 0.0) / GREATEST(COALESCE(SUM(r.exp_cost), 0.0), 1.0) AS expected_roi
+  FROM grid g LEFT JOIN rk r ON r.cum_cost <= CAST(g.budget AS DECIMAL(20,6)) GROUP BY g.budget""",
+                              ["budget", *summ])
+    q["recent_offers"] = with_(*BASE, feat("f", AS_OF), ledger_cte(), CAPPED) + "SELECT * FROM capped"
+    q["frequency_cap"] = final(with_(*sc, ledger_cte(), CAPPED, econ("e", "scored"),
+                                     ranked("rk", "e WHERE exp_incr_margin > exp_cost "
+                                                  "AND customer_id NOT IN (SELECT customer_id FROM capped)")) +
+                               f"""SELECT customer_id, value_tier, uplift_score, exp_incr_margin, exp_cost,
+  roi_per_dollar, {COUPON}::DOUBLE AS coupon_value, '{OPTIMIZED_WAVE}' AS campaign_id,
+  TIMESTAMP '{AS_OF}' AS decision_ts FROM rk WHERE cum_cost <= CAST({BUDGET} AS DECIMAL(20,6))""", OFFER_DOUBLES)
+    q["reserve_holdout_channels"] = with_(*BASE, *wave2_ctes()[:6]) + f"""SELECT customer_id, value_tier,
+  '{OPTIMIZED_WAVE}' AS campaign_id,
+  CASE WHEN {md5_bucket('customer_id', OPTIMIZED_WAVE)} / 100000.0::DOUBLE < 0.8::DOUBLE THEN 'treatment'
+    ELSE 'holdout' END AS "group",
+  CASE WHEN {md5_bucket('customer_id', OPTIMIZED_WAVE)} / 100000.0::DOUBLE < 0.8::DOUBLE
+    THEN (CASE {md5_bucket('customer_id', None)} % 3 WHEN 0 THEN 'app' WHEN 1 THEN 'email' ELSE 'sms' END)
+    ELSE 'none' END AS channel FROM al2"""
+    q["latest_snapshot"] = final(with_(*BASE, *snaps_ctes(True)) + f"""SELECT {SNAP_COLS} FROM snaps
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY feature_ts DESC) = 1""", SNAP_DOUBLES)
+    q["asof_features"] = final(with_(*BASE, *snaps_ctes(False)) + """SELECT t.txn_id AS o_orderkey, t.customer_id,
+  t.txn_date, s.feature_ts, s.recency_days, s.txn_count, s.monetary_per_month
+  FROM txn t ASOF LEFT JOIN snaps s ON t.customer_id = s.customer_id AND t.txn_date >= s.feature_ts""",
+                               ["monetary_per_month"])
+    q["publish_snapshot_merge"] = final(with_(*BASE, *snaps_ctes(False), """old AS (SELECT customer_id, feature_ts,
+  txn_count, monetary_per_month, 'existing' AS source FROM snaps WHERE feature_ts < TIMESTAMP '1999-01-01')""",
+                                              """new AS (SELECT customer_id, feature_ts, txn_count, monetary_per_month,
+  'new' AS source FROM snaps WHERE (feature_ts = TIMESTAMP '1998-01-01' AND data_tier = 'known_full')
+  OR feature_ts = TIMESTAMP '1999-01-01')""") + """SELECT * FROM new UNION ALL
+  SELECT * FROM old ANTI JOIN new USING (customer_id, feature_ts)""", ["monetary_per_month"])
+    q["prefix_sum"] = """SELECT o_orderkey, ROW_NUMBER() OVER w AS row_idx,
+  CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) OVER w AS DOUBLE) AS running_total, COUNT(*) OVER () AS n_rows
+  FROM orders WINDOW w AS (ORDER BY o_totalprice DESC, o_orderkey ROWS UNBOUNDED PRECEDING)"""
     return q
 
 
