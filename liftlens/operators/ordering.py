@@ -25,6 +25,7 @@ import functools
 import math
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,6 +99,19 @@ def range_bounds(df: DataFrame, order: list[tuple[str, bool]], n_rows: int, k: i
     return bounds
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once for the several passes that follow.
+
+    A reliable checkpoint in the cluster's shared ``spark.checkpoint.dir``
+    when one is set (cuts the lineage: a lost executor re-reads the files
+    instead of replaying upstream joins); otherwise a memory-and-disk
+    persist, which Spark recomputes from lineage after a loss.
+    """
+    if df.sparkSession.sparkContext.getCheckpointDir():
+        return df.checkpoint(eager=True)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def n_buckets(n_rows: int, rows_per_bucket: int) -> int:
     return max(1, min(MAX_BUCKETS, math.ceil(n_rows / max(1, rows_per_bucket))))
 
@@ -106,18 +120,21 @@ def prefix_sum(df: DataFrame, order: Sequence[str | tuple[str, bool]],
                sums: Mapping[str, Column | str] | None = None, *,
                partition_by: Sequence[str] = (), rows_per_bucket: int = 1_000_000,
                row_number: str = "row_idx", count_col: str | None = "n_rows",
-               totals: bool = True, seed: int = 42) -> DataFrame:
+               totals: bool = True, seed: int = 42, materialize_input: bool = True) -> DataFrame:
     """Global (or per ``partition_by`` group) row number and running sums in ``order``.
 
     Adds ``row_number`` (1-based), one running column per ``sums`` entry
     (inclusive of the row), and, when ``totals``, ``<name>_total`` per sum
-    and ``count_col`` with the group size.
+    and ``count_col`` with the group size. The input is materialised once
+    (count, bound sample, totals and the window pass all read it).
     """
     order_n = _norm_order(order)
     sums = dict(sums or {})
     part = list(partition_by)
     exprs = {name: (F.col(e) if isinstance(e, str) else e) for name, e in sums.items()}
     base = df.withColumns({f"_v_{name}": e for name, e in exprs.items()}) if exprs else df
+    if materialize_input:
+        base = materialize(base)
 
     n = base.count()
     k = n_buckets(n, rows_per_bucket)

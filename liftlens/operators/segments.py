@@ -11,6 +11,7 @@ ranks them and the broadcast that applies them are bounded by k.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -40,28 +41,53 @@ def cluster_vectors(features: DataFrame, cols: Sequence[str] = CLUSTER_FEATURES,
     return VectorAssembler(inputCols=list(cols), outputCol=VECTOR).transform(scaled).select(id_col, VECTOR)
 
 
-def fit_kmeans(vectors: DataFrame, k: int, restarts: int, seed: int, max_iter: int = 30) -> KMeansModel:
-    """Best of ``restarts`` k-means|| fits by training cost (vectors should be cached)."""
-    best: KMeansModel | None = None
-    for i in range(max(1, restarts)):
-        model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol=VECTOR,
-                       predictionCol="segment_id").fit(vectors)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best
+def fit_kmeans(vectors: DataFrame, k: int, restarts: int, seed: int, max_iter: int = 20,
+               parallelism: int = 8) -> KMeansModel:
+    """Best of ``restarts`` k-means|| fits (seeds seed..seed+restarts-1) by training cost.
+
+    The restarts are independent Spark jobs over the same cached vectors and
+    are submitted from ``parallelism`` driver threads, as ``CrossValidator``
+    does for its folds; the winner (lowest cost, then lowest seed) does not
+    depend on the thread count.
+    """
+
+    def fit(i: int) -> tuple[float, int, KMeansModel]:
+        m = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol=VECTOR,
+                   predictionCol="segment_id").fit(vectors)
+        return m.summary.trainingCost, i, m
+
+    n = max(1, restarts)
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, n))) as pool:
+        results = list(pool.map(fit, range(n)))
+    return min(results, key=lambda r: (r[0], r[1]))[2]
+
+
+SELECTION_SAMPLE = 5000  # rows used to choose k (fixed value of the reference)
+
+
+def selection_sample(vectors: DataFrame, n_max: int = SELECTION_SAMPLE, seed: int = 42) -> DataFrame:
+    """At most ``n_max`` rows, a seeded sample: bounded, so it is kept in one cached partition."""
+    n = vectors.count()
+    frac = min(1.0, (n_max * 1.1) / n) if n else 1.0
+    return vectors.sample(False, frac, seed).limit(n_max).coalesce(1)
 
 
 # M2
 def choose_k(vectors: DataFrame, params: Params) -> tuple[int, DataFrame]:
-    """Silhouette for each k of ``params.k_range``; the best k (fallback ``n_segments``) and a
-    small frame (k, silhouette, training_cost, chosen)."""
+    """Silhouette for each k of ``params.k_range`` on a sample of at most 5,000 rows (as the
+    reference selects k); the best k (fallback ``n_segments``) and a small frame
+    (k, silhouette, training_cost, chosen)."""
     evaluator = ClusteringEvaluator(featuresCol=VECTOR, predictionCol="segment_id",
                                     distanceMeasure="squaredEuclidean")
+    sample = selection_sample(vectors, seed=params.seed).persist()
     rows = []
-    for k in params.k_range:
-        model = fit_kmeans(vectors, k, params.kmeans_restarts, params.seed)
-        sil = evaluator.evaluate(model.transform(vectors))
-        rows.append((int(k), float(sil), float(model.summary.trainingCost)))
+    try:
+        for k in params.k_range:
+            model = fit_kmeans(sample, k, params.kmeans_restarts, params.seed)
+            sil = evaluator.evaluate(model.transform(sample))
+            rows.append((int(k), float(sil), float(model.summary.trainingCost)))
+    finally:
+        sample.unpersist()
     best = max(rows, key=lambda r: r[1])[0] if rows else params.n_segments
     spark = vectors.sparkSession
     frame = spark.createDataFrame([(k, s, c, k == best) for k, s, c in rows],

@@ -411,3 +411,58 @@ def _prefix_sum(tb: TestBed) -> DataFrame:
                     rows_per_bucket=4096, row_number="row_idx", count_col="n_rows")
     return ps.select("o_orderkey", "row_idx", F.col("running_total").cast("double").alias("running_total"),
                      "n_rows")
+
+
+# --- models (Spark ML) -----------------------------------------------------------------
+
+from liftlens.operators import runs as run_ops, uplift as uplift_ops  # noqa: E402
+
+CHAMPION_SCORERS = ((1, "SCORE"), (2, "SCORE_B"), (3, "SCORE_C"))
+
+
+@query("kmeans_segments")
+def _kmeans(tb: TestBed) -> DataFrame:
+    """M1 + M3 + A3 + W6: k-means segments (k = n_segments) with value tiers (rows-only check)."""
+    seg, _ = segments.segment_customers(tb.features, tb.p, k=tb.p.n_segments)
+    return seg
+
+
+@query("choose_k")
+def _choose_k(tb: TestBed) -> DataFrame:
+    """M2: silhouette for k = 3..6 over all known customers (rows-only check)."""
+    vectors = segments.cluster_vectors(tb.features).persist()
+    try:
+        _, frame = segments.choose_k(vectors, tb.p)
+        return frame.checkpoint(eager=True)
+    finally:
+        vectors.unpersist()
+
+
+def training_frame(tb: TestBed) -> DataFrame:
+    """Learning-wave outcomes with the as-of features, and the train/eval split."""
+    split = experiment.stratified_split(tb.learning_outcomes.select("customer_id", "group", "purchased"), tb.p)
+    feats = tb.features.join(tb.segments, "customer_id", "left")
+    return split.join(feats, "customer_id", "inner")
+
+
+@query("t_learner_scores")
+def _t_learner(tb: TestBed) -> DataFrame:
+    """M5-M7: two GBT models (treated / holdout) fitted on the train split; uplift on the eval split."""
+    frame = training_frame(tb).checkpoint(eager=True)
+    model = uplift_ops.fit_t_learner(frame.filter(F.col("split") == "train"), tb.p)
+    ev = frame.filter(F.col("split") == "eval")
+    return model.score(ev).select("customer_id", "group", "purchased", "p_treated", "p_control", "uplift_score")
+
+
+@query("champion")
+def _champion(tb: TestBed) -> DataFrame:
+    """M8 + M9: Qini of three scorers on the eval split as runs; champion = best Qini, earliest version."""
+    ev = (experiment.stratified_split(tb.learning_outcomes.select("customer_id", "group", "purchased"), tb.p)
+          .filter(F.col("split") == "eval"))
+    scored = None
+    for version, salt in CHAMPION_SCORERS:
+        part = ev.select(F.lit(version).alias("version"), "customer_id", "group", "purchased", stand_in_score(salt))
+        scored = part if scored is None else scored.unionByName(part)
+    curve = evaluate.qini_curve(scored, by=["version"], rows_per_bucket=tb.p.rows_per_bucket)
+    qini = evaluate.qini_coefficient(curve, by=["version"])
+    return run_ops.champion(qini)

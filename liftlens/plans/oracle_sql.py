@@ -416,6 +416,16 @@ SELECT m.vec_id, m.label, CAST(b.centre_id AS INTEGER) AS centre_id FROM embeddi
     q["prefix_sum"] = """SELECT o_orderkey, ROW_NUMBER() OVER w AS row_idx,
   CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) OVER w AS DOUBLE) AS running_total, COUNT(*) OVER () AS n_rows
   FROM orders WINDOW w AS (ORDER BY o_totalprice DESC, o_orderkey ROWS UNBOUNDED PRECEDING)"""
+    split = md5_u32("customer_id", "SPLIT")
+    evs = " UNION ALL ".join(
+        f"""SELECT {v} AS version, customer_id, {score_expr('customer_id', salt)} AS uplift_score, "group", purchased
+  FROM sp WHERE r <= (n * 2000 + 9999) // 10000""" for v, salt in ((1, "SCORE"), (2, "SCORE_B"), (3, "SCORE_C")))
+    q["champion"] = final(with_(*WAVE1, f"""sp AS (SELECT customer_id, "group", purchased,
+  ROW_NUMBER() OVER (PARTITION BY "group" ORDER BY {split}, customer_id) AS r,
+  COUNT(*) OVER (PARTITION BY "group") AS n FROM oc)""", f"ev3 AS ({evs})", *qini_ctes("ev3", "version"),
+                                f"qc AS ({QINI_COEF.format(sel='version, ', grp='GROUP BY version')})") +
+                          """SELECT CAST(version AS INTEGER) AS champion_version, qini_coef FROM qc
+  ORDER BY COALESCE(qini_coef, -1e9) DESC, version ASC LIMIT 1""", ["qini_coef"])
     return q
 
 
