@@ -35,7 +35,7 @@ def feature_pipeline(params: Params, num: Sequence[str] = NUM_FEATURES, cat: Seq
     """
     idx = [StringIndexer(inputCol=c, outputCol=f"_{prefix}_{c}_idx", handleInvalid="keep") for c in cat]
     ohe = OneHotEncoder(inputCols=[f"_{prefix}_{c}_idx" for c in cat],
-                        outputCols=[f"_{prefix}_{c}_ohe" for c in cat], dropLast=True, handleInvalid="keep")
+                        outputCols=[f"_{prefix}_{c}_ohe" for c in cat], dropLast=True)
     num_vec = VectorAssembler(inputCols=list(num), outputCol=f"_{prefix}_num", handleInvalid="keep")
     scaler = StandardScaler(inputCol=f"_{prefix}_num", outputCol=f"_{prefix}_num_s", withMean=True, withStd=True)
     assemble = VectorAssembler(inputCols=[f"_{prefix}_num_s", *[f"_{prefix}_{c}_ohe" for c in cat]],
