@@ -48,6 +48,8 @@ def quartile_tiers(feats: DataFrame, params: Params) -> DataFrame:
 
 
 class TestBed:
+    __test__ = False  # not a pytest class
+
     def __init__(self, spark: SparkSession, sf_dir: str, params: Params | None = None):
         self.spark = spark
         self.sf_dir = sf_dir

@@ -30,6 +30,7 @@ REDEMPTION_MIN_DISCOUNT = 0.05
 
 @dataclass(frozen=True)
 class TestTables:
+    __test__ = False  # not a pytest class
     spark: SparkSession
     sf_dir: str
 
