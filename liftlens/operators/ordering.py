@@ -47,11 +47,14 @@ def sort_exprs(order: Sequence[str | tuple[str, bool]]) -> list[Column]:
 
 def _not_before(order: list[tuple[str, bool]], bound: tuple) -> Column:
     """Row is at or after ``bound`` in the (lexicographic, directed) order."""
-    expr = F.lit(True)
+    expr = None
     for (c, asc), b in reversed(list(zip(order, bound))):
         lit = F.lit(b)
-        after = (F.col(c) > lit) if asc else (F.col(c) < lit)
-        expr = after | ((F.col(c) == lit) & expr)
+        if expr is None:   # last key: at or after
+            expr = (F.col(c) >= lit) if asc else (F.col(c) <= lit)
+        else:
+            after = (F.col(c) > lit) if asc else (F.col(c) < lit)
+            expr = after | ((F.col(c) == lit) & expr)
     return expr
 
 
@@ -139,7 +142,9 @@ def prefix_sum(df: DataFrame, order: Sequence[str | tuple[str, bool]],
     n = base.count()
     k = n_buckets(n, rows_per_bucket)
     bounds = range_bounds(base, order_n, n, k, seed)
-    bucketed = base.withColumn(BUCKET, _bucket_expr(order_n, bounds) if bounds else F.lit(0))
+    if not bounds:
+        return _single_bucket(base, order_n, exprs, part, row_number, count_col, totals)
+    bucketed = base.withColumn(BUCKET, _bucket_expr(order_n, bounds))
 
     per_bucket = bucketed.groupBy(*part, BUCKET).agg(
         F.count(F.lit(1)).alias("_c_cnt"),
@@ -175,6 +180,24 @@ def prefix_sum(df: DataFrame, order: Sequence[str | tuple[str, bool]],
     return joined.withColumns(out).drop(*drop)
 
 
+def _single_bucket(base: DataFrame, order_n: list[tuple[str, bool]], exprs: Mapping[str, Column],
+                   part: list[str], row_number: str, count_col: str | None, totals: bool) -> DataFrame:
+    """One range bucket (at most ``rows_per_bucket`` rows per group): plain windows over the
+    group, the totals from the same partitioning (no extra exchange, no join)."""
+    w_run = Window.partitionBy(*part).orderBy(*sort_exprs(order_n))
+    w_cum = w_run.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w_all = Window.partitionBy(*part)
+    out = {row_number: F.row_number().over(w_run).cast("bigint")}
+    for name in exprs:
+        out[name] = F.sum(f"_v_{name}").over(w_cum)
+    if totals:
+        if count_col:
+            out[count_col] = F.count(F.lit(1)).over(w_all).cast("bigint")
+        for name in exprs:
+            out[f"{name}_total"] = F.sum(f"_v_{name}").over(w_all)
+    return base.withColumns(out).drop(*[f"_v_{n_}" for n_ in exprs])
+
+
 def global_rank(df: DataFrame, order: Sequence[str | tuple[str, bool]], *, partition_by: Sequence[str] = (),
                 rows_per_bucket: int = 1_000_000, row_number: str = "row_idx",
                 count_col: str | None = "n_rows") -> DataFrame:

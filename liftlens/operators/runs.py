@@ -45,3 +45,11 @@ def champion(runs: DataFrame) -> DataFrame:
             .orderBy(F.col("_q").desc(), F.col("version").asc())
             .limit(1)
             .select(F.col("version").alias("champion_version"), F.col("qini_coef")))
+
+
+def next_version(runs: DataFrame | None) -> int:
+    """One more than the newest recorded version (1 for an empty history); a scalar aggregate."""
+    if runs is None:
+        return 1
+    v = runs.agg(F.max("version")).first()[0]
+    return 1 if v is None else int(v) + 1

@@ -311,10 +311,11 @@ SELECT m.vec_id, m.label, CAST(b.centre_id AS INTEGER) AS centre_id FROM embeddi
   '{LEARNING_WAVE}' AS campaign_id,
   CASE WHEN r <= FLOOR(n * 0.8::DOUBLE + 0.5::DOUBLE) THEN {COUPON}::DOUBLE ELSE 0.0::DOUBLE END AS coupon_value,
   TIMESTAMP '{AS_OF}' AS assigned_ts FROM rk""", ["coupon_value"])
-    q["balance_check"] = final(with_(*WAVE1) + """SELECT value_tier,
-  COUNT(*) FILTER (WHERE "group" = 'treatment') AS treatment, COUNT(*) FILTER (WHERE "group" = 'holdout') AS holdout,
-  ROUND(COUNT(*) FILTER (WHERE "group" = 'treatment') / COUNT(*), 3) AS treatment_pct
-  FROM asg GROUP BY value_tier""", ["treatment_pct"])
+    q["balance_check"] = final(with_(*WAVE1) + """SELECT value_tier, treatment, holdout,
+  ROUND(treatment / (treatment + holdout), 3) AS treatment_pct
+  FROM (SELECT value_tier, NULLIF(COUNT(*) FILTER (WHERE "group" = 'treatment'), 0) AS treatment,
+    NULLIF(COUNT(*) FILTER (WHERE "group" = 'holdout'), 0) AS holdout FROM asg GROUP BY value_tier) b""",
+                               ["treatment_pct"])
     q["attribute_outcomes"] = final(with_(*WAVE1) + "SELECT * FROM oc", ["coupon_value", "spend"])
     q["outcome_summary"] = final(with_(*WAVE1) + """SELECT campaign_id, "group", COUNT(*) AS n,
   AVG(purchased) AS purchase_rate, AVG(spend) AS avg_spend, AVG(redeemed) AS redemption_rate,
