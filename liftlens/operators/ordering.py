@@ -25,10 +25,11 @@ import functools
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from liftlens.functions.lineage import materialize
+
 BUCKET = "_w0_bucket"
 SAMPLE_PER_BUCKET = 64
 MAX_SAMPLE = 200_000
@@ -102,19 +103,6 @@ def range_bounds(df: DataFrame, order: list[tuple[str, bool]], n_rows: int, k: i
     return bounds
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once for the several passes that follow.
-
-    A reliable checkpoint in the cluster's shared ``spark.checkpoint.dir``
-    when one is set (cuts the lineage: a lost executor re-reads the files
-    instead of replaying upstream joins); otherwise a memory-and-disk
-    persist, which Spark recomputes from lineage after a loss.
-    """
-    if df.sparkSession.sparkContext.getCheckpointDir():
-        return df.checkpoint(eager=True)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def n_buckets(n_rows: int, rows_per_bucket: int) -> int:
     return max(1, min(MAX_BUCKETS, math.ceil(n_rows / max(1, rows_per_bucket))))
 

@@ -19,6 +19,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from liftlens.functions.lineage import materialize
 from liftlens.params import CLUSTER_FEATURES, LOG_FEATURES, TIER_LABELS, Params
 
 VECTOR = "features"
@@ -172,7 +173,7 @@ def segment_customers(features: DataFrame, params: Params, k: int | None = None)
                 [(int(k), None, None, True)], "k int, silhouette double, training_cost double, chosen boolean")
         # Reliable checkpoint in the shared checkpoint folder: cuts the fit's lineage, so a lost
         # executor re-reads the segment ids instead of re-running the restarts.
-        seg = fit_segments(vectors, k, params).checkpoint(eager=True)
+        seg = materialize(fit_segments(vectors, k, params))
     finally:
         vectors.unpersist()
     prof = segment_profile(features.join(seg, "customer_id"), "segment_id")

@@ -90,6 +90,7 @@ from liftlens.plans import reports  # noqa: E402
 from liftlens.plans.testbed import SNAPSHOT_DATES, WAVE2_AS_OF, stand_in_score  # noqa: E402
 from liftlens.sources.tables import merge_by_key  # noqa: E402
 from liftlens.functions.hashing import md5_bucket  # noqa: E402
+from liftlens.functions.lineage import materialize  # noqa: E402
 
 REVENUE_TIERS = ("High Value", "Medium-High Value")
 # Budget grid of the dashboard slider (5,000 .. 200,000 step 5,000) at the test tables' money scale (x50).
@@ -433,7 +434,7 @@ def _choose_k(tb: TestBed) -> DataFrame:
     vectors = segments.cluster_vectors(tb.features).persist()
     try:
         _, frame = segments.choose_k(vectors, tb.p)
-        return frame.checkpoint(eager=True)
+        return materialize(frame)
     finally:
         vectors.unpersist()
 
@@ -448,7 +449,7 @@ def training_frame(tb: TestBed) -> DataFrame:
 @query("t_learner_scores")
 def _t_learner(tb: TestBed) -> DataFrame:
     """M5-M7: two GBT models (treated / holdout) fitted on the train split; uplift on the eval split."""
-    frame = training_frame(tb).checkpoint(eager=True)
+    frame = materialize(training_frame(tb))
     model = uplift_ops.fit_t_learner(frame.filter(F.col("split") == "train"), tb.p)
     ev = frame.filter(F.col("split") == "eval")
     return model.score(ev).select("customer_id", "group", "purchased", "p_treated", "p_control", "uplift_score")

@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from liftlens.functions.lineage import materialize
 from liftlens.functions.time import ts
 from liftlens.operators import (
     allocate, evaluate, experiment, features, lift, outcomes, runs, segments, snapshots, uplift,
@@ -102,7 +103,7 @@ def learn(store: TableStore, params: Params, campaign_ids: Sequence[str], versio
           model_path: str) -> DataFrame:
     """E6 split, M6 fit, M7 eval scores, W1-W5 metrics, M8 log, M9 champion. Returns the champion row."""
     frame = experiment.stratified_split(training_frame(store, campaign_ids, params), params)
-    frame = frame.checkpoint(eager=True)                      # lineage cut before the fits
+    frame = materialize(frame)                                # computed once before the fits
     model = uplift.fit_t_learner(frame.filter(F.col("split") == "train"), params)
     model.save(f"{model_path}/v{version}")
     ev = model.score(frame.filter(F.col("split") == "eval")).withColumn("wave", F.lit(",".join(campaign_ids)))
@@ -150,7 +151,7 @@ def deliver_and_measure(store: TableStore, txns: DataFrame, redemptions: DataFra
     lift_table = store.read_table(T_LIFT, merge_schema=True) if store.exists(T_LIFT) else None
     if lift_table is not None:                                 # a rerun replaces its own row
         keep = lift_table.filter(F.col("campaign_id") != wave).select(*[f.name for f in LIFT.fields])
-        row = keep.unionByName(row.select(*[f.name for f in LIFT.fields])).checkpoint(eager=True)
+        row = store.detach(keep.unionByName(row.select(*[f.name for f in LIFT.fields])))
         store.write_overwrite(row, T_LIFT, LIFT)
     else:
         store.write_overwrite(row, T_LIFT, LIFT)

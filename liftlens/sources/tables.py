@@ -19,6 +19,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -88,14 +89,26 @@ class TableStore:
             existing = self.read_table(name)
             touched = new.select(SNAPSHOT_PARTITION).distinct()
             in_touched = existing.join(F.broadcast(touched), SNAPSHOT_PARTITION, "left_semi")
-            # The merged rows are cut from their lineage (reliable checkpoint in the
-            # shared checkpoint folder) before the partitions they came from are replaced.
-            new = merge_by_key(new, in_touched, keys).checkpoint(eager=True)
+            # The merged rows are cut from the files they came from before those
+            # partitions are replaced.
+            new = self.detach(merge_by_key(new, in_touched, keys))
         (new.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(SNAPSHOT_PARTITION)
             .parquet(self.path(name)))
 
+    def detach(self, df: DataFrame) -> DataFrame:
+        """``df`` with no lineage into this store's files, so it may overwrite them.
+
+        A reliable checkpoint in ``spark.checkpoint.dir`` when the cluster names
+        one, else a staged copy written under ``<root>/_staging``.
+        """
+        if self.spark.sparkContext.getCheckpointDir():
+            return df.checkpoint(eager=True)
+        path = self.path(f"_staging/{uuid.uuid4().hex}")
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
     def read_snapshots(self, name: str = "customer_features_fs") -> DataFrame:
         return self.read_table(name).drop(SNAPSHOT_PARTITION)
 
