@@ -4,20 +4,25 @@
 shuffle), not a per-customer window, so a customer with many snapshots does
 not make a hot task.
 
-``asof_features`` gives each snapshot a validity interval
-[feature_ts, next feature_ts of that customer) with a window over the
-*snapshot* table (rows per customer = number of snapshot runs, bounded by
-the run count, not by the data), then left-joins the events on customer_id
-with the interval as residual condition: at most one match per event, no
-fan-out in the output, and the event side is the streamed side that AQE's
-skew handling may split when one customer has a large share of the events.
+``asof_features`` exploits that snapshots are taken in runs (one
+feature_ts per run for all customers). The distinct run times (bounded by
+the number of runs, checked) become a binary-search expression that maps
+any timestamp to its run index. Each snapshot is then valid for the run
+indices from its own up to (not including) the customer's next snapshot,
+found with a window over the *snapshot* table (rows per customer <= number
+of runs), and is expanded over those indices (one row when the customer is
+in every run). Events join on (customer_id, run index): a pure equi-join
+with at most one match per event, no fan-out and no residual predicate,
+with the events streamed so AQE can split a customer holding a large share
+of them. ``method="interval"`` keeps the same semantics with a range
+residual instead (no run list needed).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from liftlens.functions.time import ts
@@ -40,17 +45,52 @@ def latest_per_customer(snapshots: DataFrame, key: str = "customer_id", ts_col:
     return picked.select(key, *[F.col(f"_row.{c}").alias(c) for c in others])
 
 
+MAX_RUNS = 4096
+
+
+def _run_index(col: Column, runs: list, type_name: str) -> Column:
+    """Index of the newest run time <= col (-1 before the first run): log2(#runs) comparisons."""
+
+    def lit(v) -> Column:
+        return F.lit(str(v)).cast(type_name)
+
+    def rec(lo: int, hi: int) -> Column:      # answer in [lo - 1, hi - 1]
+        if lo == hi:
+            return F.lit(lo - 1)
+        mid = (lo + hi) // 2
+        return F.when(col >= lit(runs[mid]), rec(mid + 1, hi)).otherwise(rec(lo, mid))
+
+    return rec(0, len(runs))
+
+
 def asof_features(events: DataFrame, snapshots: DataFrame, *, event_ts: str, key: str = "customer_id",
-                  columns: Sequence[str] | None = None, ts_col: str = "feature_ts") -> DataFrame:
+                  columns: Sequence[str] | None = None, ts_col: str = "feature_ts",
+                  method: str = "runs") -> DataFrame:
     """Each event with the newest snapshot of its customer taken at or before the event.
 
     Events without an earlier snapshot keep null features.
     """
     cols = list(columns) if columns is not None else [c for c in snapshots.columns if c not in (key, ts_col)]
+    snaps = snapshots.select(key, ts_col, *cols)
+    runs = None
+    if method == "runs":
+        runs = sorted(r[0] for r in snaps.select(ts_col).distinct().limit(MAX_RUNS + 1).collect())
+        if len(runs) > MAX_RUNS:
+            runs = None
     w = Window.partitionBy(key).orderBy(F.col(ts_col))
-    snaps = (snapshots.select(key, ts_col, *cols)
-             .withColumn("_valid_to", F.lead(ts_col).over(w))
-             .withColumnRenamed(key, "_k"))
-    cond = ((F.col(key) == F.col("_k")) & (F.col(event_ts) >= F.col(ts_col))
-            & (F.col("_valid_to").isNull() | (F.col(event_ts) < F.col("_valid_to"))))
-    return events.join(snaps, cond, "left").drop("_k", "_valid_to")
+    if runs is None:
+        snaps = snaps.withColumn("_valid_to", F.lead(ts_col).over(w)).withColumnRenamed(key, "_k")
+        cond = ((F.col(key) == F.col("_k")) & (F.col(event_ts) >= F.col(ts_col))
+                & (F.col("_valid_to").isNull() | (F.col(event_ts) < F.col("_valid_to"))))
+        return events.join(snaps, cond, "left").drop("_k", "_valid_to")
+    type_name = snaps.schema[ts_col].dataType.simpleString()
+    n_runs = len(runs)
+    idx = snaps.withColumn("_i", _run_index(F.col(ts_col), runs, type_name))
+    span = (idx.withColumn("_next", F.coalesce(F.lead("_i").over(Window.partitionBy(key).orderBy("_i")),
+                                                 F.lit(n_runs)))
+            .withColumn("_r", F.explode(F.sequence(F.col("_i"), F.col("_next") - 1)))
+            .drop("_i", "_next")
+            .withColumnRenamed(key, "_k"))
+    ev = events.withColumn("_r", _run_index(F.col(event_ts), runs, type_name))
+    cond = (F.col(key) == F.col("_k")) & (ev["_r"] == span["_r"])
+    return ev.join(span, cond, "left").drop("_k", "_r")

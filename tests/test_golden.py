@@ -136,3 +136,14 @@ def test_unseen_category_is_zero_vector(spark):
     test = spark.createDataFrame([(1.0, "zzz")], "x double, c string")
     vec = model.transform(test).select("_m_c_ohe").first()[0]
     assert vec.numNonzeros() == 0
+
+
+@pytest.mark.parametrize("method", ["runs", "interval"])
+def test_asof_customer_missing_from_a_run(spark, method):
+    d = lambda x: dt.datetime(2024, 1, x)
+    snaps = spark.createDataFrame([(1, d(5), "a"), (1, d(9), "b"), (1, d(11), "c"), (2, d(5), "x"), (2, d(11), "z")],
+                                  "customer_id long, feature_ts timestamp_ntz, v string")
+    ev = spark.createDataFrame([(1, 2, d(10)), (2, 2, d(12)), (3, 2, d(4)), (4, 1, d(30)), (5, 3, d(10))],
+                               "eid long, customer_id long, ts timestamp_ntz")
+    got = {r["eid"]: r["v"] for r in snapshots.asof_features(ev, snaps, event_ts="ts", method=method).collect()}
+    assert got == {1: "x", 2: "z", 3: None, 4: "c", 5: None}
