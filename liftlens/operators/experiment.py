@@ -23,6 +23,12 @@ ASSIGNMENT_COLUMNS = ("customer_id", "segment_id", "value_tier", "group", "campa
                       "assigned_ts")
 
 
+def wave(df: DataFrame, campaign_ids: str | Sequence[str]) -> DataFrame:
+    """PF4: rows of the given wave(s); on a campaign_id-partitioned table this prunes partitions."""
+    ids = [campaign_ids] if isinstance(campaign_ids, str) else list(campaign_ids)
+    return df.filter(F.col("campaign_id").isin(ids))
+
+
 def eligible_by_tier(segments: DataFrame, tiers: Sequence[str]) -> DataFrame:
     """PF3: customers whose value tier is targeted by the wave."""
     return (segments.filter(F.col("value_tier").isin(list(tiers)))

@@ -248,6 +248,14 @@ def eval_frame(tb: TestBed) -> DataFrame:
     return tb.learning_outcomes.select("customer_id", "group", "purchased", stand_in_score())
 
 
+@query("qini_data")
+def _qini_data(tb: TestBed) -> DataFrame:
+    """J6 + PF4: scores joined with the learning wave's outcomes (the dashboard's Qini input)."""
+    scores = tb.scored().select("customer_id", "uplift_score")
+    out = experiment.wave(tb.learning_outcomes, LEARNING_WAVE).select("customer_id", "group", "purchased")
+    return reports.report_join(scores, out)
+
+
 @query("qini_curve")
 def _qini_curve(tb: TestBed) -> DataFrame:
     """W1 + W2: Qini curve and random diagonal."""

@@ -342,6 +342,9 @@ SELECT m.vec_id, m.label, CAST(b.centre_id AS INTEGER) AS centre_id FROM embeddi
   CASE WHEN r <= (n * 2000 + 9999) // 10000 THEN 'eval' ELSE 'train' END AS split FROM sp"""
     ev = WAVE1 + [EVAL]
     curve_d = ["uplift_score", "x", "qini", "random"]
+    q["qini_data"] = final(with_(*WAVE1, scored("scored", "f", "s")) + """SELECT u.customer_id, u.uplift_score,
+  o."group", o.purchased FROM scored u JOIN oc o USING (customer_id)
+  WHERE o.campaign_id = 'WAVE_01_LEARNING'""", ["uplift_score"])
     q["qini_curve"] = final(with_(*ev, *qini_ctes()) + "SELECT * FROM curve", curve_d)
     q["qini_coefficient"] = final(with_(*ev, *qini_ctes()) + QINI_COEF.format(sel="", grp=""),
                                   ["qini_coef", "qini_end"])

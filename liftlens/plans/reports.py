@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from liftlens.operators import evaluate, experiment, features
 
 
+def report_join(left: DataFrame, right: DataFrame, key: str = "customer_id") -> DataFrame:
+    """Inner join USING (customer_id), as the dashboard's report queries do."""
+    return left.join(right, key, "inner")
+
+
 def overview_counts(features_df: DataFrame, customers: DataFrame) -> DataFrame:
     """Total customers, known (modelled) and unknown (cold start, by anti join) in one aggregate."""
     routed = features.route_customers(features_df, customers)
