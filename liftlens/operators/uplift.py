@@ -12,6 +12,7 @@ array lookup per model: no join, no UDF.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -88,8 +89,13 @@ def fit_t_learner(train: DataFrame, params: Params, num: Sequence[str] = NUM_FEA
     """Two identical pipelines, one on treated rows and one on holdout rows."""
     x = _model_input(train, num, cat).persist()
     try:
-        m_t = feature_pipeline(params, num, cat, label, "t").fit(x.filter(F.col("group") == TREATMENT))
-        m_c = feature_pipeline(params, num, cat, label, "c").fit(x.filter(F.col("group") == HOLDOUT))
+        # The two fits are independent Spark jobs: submit them from two driver threads.
+        with ThreadPoolExecutor(max_workers=2) as pool:
+            f_t = pool.submit(lambda: feature_pipeline(params, num, cat, label, "t")
+                              .fit(x.filter(F.col("group") == TREATMENT)))
+            f_c = pool.submit(lambda: feature_pipeline(params, num, cat, label, "c")
+                              .fit(x.filter(F.col("group") == HOLDOUT)))
+            m_t, m_c = f_t.result(), f_c.result()
     finally:
         x.unpersist()
     return TLearner(m_t, m_c, tuple(num), tuple(cat))
