@@ -14,8 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from liftlens.functions.hashing import md5_bucket
+from liftlens.functions.lineage import materialize
+from liftlens.operators import allocate, evaluate, experiment, lift, outcomes, segments, snapshots
 from liftlens.operators import features as feat_ops
-from liftlens.plans.testbed import TestBed
+from liftlens.operators import runs as run_ops
+from liftlens.operators import uplift as uplift_ops
+from liftlens.operators.ordering import prefix_sum
+from liftlens.params import (
+    LEARNING_WAVE, OPTIMIZED_WAVE, TIER_BASE_RATE, TIER_BASE_RATE_DEFAULT, TIER_BASKET, TIER_BASKET_DEFAULT,
+)
+from liftlens.plans import reports
+from liftlens.plans.testbed import SNAPSHOT_DATES, WAVE2_AS_OF, TestBed, stand_in_score
+from liftlens.sources.tables import merge_by_key
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,16 +92,6 @@ def _tier_by_attr(tb: TestBed) -> DataFrame:
 
 # --- stage 1: tiers, profiles, lookups ------------------------------------------------
 
-from liftlens.operators import allocate, evaluate, experiment, lift, outcomes, segments, snapshots  # noqa: E402
-from liftlens.operators.ordering import prefix_sum  # noqa: E402
-from liftlens.params import (  # noqa: E402
-    LEARNING_WAVE, OPTIMIZED_WAVE, TIER_BASE_RATE, TIER_BASE_RATE_DEFAULT, TIER_BASKET, TIER_BASKET_DEFAULT,
-)
-from liftlens.plans import reports  # noqa: E402
-from liftlens.plans.testbed import SNAPSHOT_DATES, WAVE2_AS_OF, stand_in_score  # noqa: E402
-from liftlens.sources.tables import merge_by_key  # noqa: E402
-from liftlens.functions.hashing import md5_bucket  # noqa: E402
-from liftlens.functions.lineage import materialize  # noqa: E402
 
 REVENUE_TIERS = ("High Value", "Medium-High Value")
 # Budget grid of the dashboard slider (5,000 .. 200,000 step 5,000) at the test tables' money scale (x50).
@@ -424,7 +425,6 @@ def _prefix_sum(tb: TestBed) -> DataFrame:
 
 # --- models (Spark ML) -----------------------------------------------------------------
 
-from liftlens.operators import runs as run_ops, uplift as uplift_ops  # noqa: E402
 
 CHAMPION_SCORERS = ((1, "SCORE"), (2, "SCORE_B"), (3, "SCORE_C"))
 
