@@ -10,10 +10,12 @@ an anti join against the capped customers (no id list on the driver).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from liftlens.functions.lineage import materialize
 from liftlens.functions.numeric import clip
 from liftlens.functions.time import ts
 from liftlens.operators.ordering import prefix_sum
@@ -137,6 +139,35 @@ def budget_sweep(candidates: DataFrame, budgets: Sequence[float], params: Params
                       .alias("expected_roi"))
 
 
+MAX_PAIRS = 256
+
+
+def what_if_grid(eligible: DataFrame, budgets: Sequence[float], margin_rates: Sequence[float],
+                 coupon_values: Sequence[float], params: Params) -> DataFrame:
+    """E8 over a (margin rate x coupon value) grid: for each pair, economics and profitability
+    are recomputed from the eligible customers (PF5 output) and all budgets are answered from
+    one ranked pass. Pairs are bounded (at most MAX_PAIRS); each is an O(n) job, never a
+    product of candidates and grid cells."""
+    pairs = [(float(m), float(c)) for m in margin_rates for c in coupon_values]
+    if not pairs or len(pairs) > MAX_PAIRS:
+        raise ValueError(f"grid must have 1..{MAX_PAIRS} (margin, coupon) pairs")
+    eligible = materialize(eligible)      # computed once, read by every pair's pass
+
+    def sweep(pair: tuple[float, float]) -> DataFrame:
+        m, c = pair
+        p = params.with_(margin_rate=m, coupon_value=c)
+        return (budget_sweep(profitable(offer_economics(eligible, p)), budgets, p)
+                .select(F.lit(m).alias("margin_rate"), F.lit(c).alias("coupon_value"), "*"))
+
+    # Each pair's ranking runs its own small jobs (count, bounds); submit them concurrently.
+    with ThreadPoolExecutor(max_workers=min(8, len(pairs))) as pool:
+        parts = list(pool.map(sweep, pairs))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def plan_offers(scored: DataFrame, params: Params, campaign_id: str, *, ledger: DataFrame | None = None,
                 decision_ts: str | None = None) -> DataFrame:
     """Stage 3a chain: PF5 -> E7 -> PF6 -> J7 -> W7 (cap before allocation by default;

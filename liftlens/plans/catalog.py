@@ -22,7 +22,7 @@ from liftlens.operators import runs as run_ops
 from liftlens.operators import uplift as uplift_ops
 from liftlens.operators.ordering import prefix_sum
 from liftlens.params import (
-    LEARNING_WAVE, OPTIMIZED_WAVE, TIER_BASE_RATE, TIER_BASE_RATE_DEFAULT, TIER_BASKET, TIER_BASKET_DEFAULT,
+    Params, LEARNING_WAVE, OPTIMIZED_WAVE, TIER_BASE_RATE, TIER_BASE_RATE_DEFAULT, TIER_BASKET, TIER_BASKET_DEFAULT,
 )
 from liftlens.plans import reports
 from liftlens.plans.testbed import SNAPSHOT_DATES, WAVE2_AS_OF, TestBed, stand_in_score
@@ -237,6 +237,40 @@ def _latest_lift(tb: TestBed) -> DataFrame:
     return lift.latest_lift(lift_by_wave(tb))
 
 
+# Second outcome log: the events table (users active before the wave, purchases in the next day).
+EVENT_WAVE = "WAVE_EVENTS"
+EVENT_AS_OF = "2024-01-15"
+EVENT_DAYS = 1
+
+
+def event_wave(tb: TestBed) -> tuple[Params, DataFrame]:
+    ev = tb.tables.raw("events")
+    p = Params(as_of=EVENT_AS_OF, outcome_days=EVENT_DAYS)
+    users = (ev.filter((F.col("ts") < F.lit(EVENT_AS_OF).cast("timestamp_ntz"))
+                       & F.col("event_type").isin("view", "click"))
+             .select(F.col("user_id").alias("customer_id")).distinct()
+             .select("customer_id", F.lit(None).cast("int").alias("segment_id"),
+                     F.lit(None).cast("string").alias("value_tier")))
+    asg = experiment.assign_groups(users, EVENT_WAVE, p)
+    sales = (ev.filter(F.col("event_type") == "purchase")
+             .select(F.col("user_id").alias("customer_id"), F.col("ts").alias("txn_date"),
+                     F.col("value").alias("amount")))
+    return p, outcomes.attribute_outcomes(asg, sales, None, p)
+
+
+@query("event_outcomes")
+def _event_outcomes(tb: TestBed) -> DataFrame:
+    """J11 on the events log: purchases in the day after assignment of previously active users."""
+    return event_wave(tb)[1]
+
+
+@query("event_lift")
+def _event_lift(tb: TestBed) -> DataFrame:
+    """E4 on the events-log wave."""
+    p, out = event_wave(tb)
+    return lift.incremental_lift(out, p)
+
+
 @query("stratified_split")
 def _split(tb: TestBed) -> DataFrame:
     """80/20 train/eval split per group."""
@@ -331,6 +365,20 @@ def _sweep(tb: TestBed) -> DataFrame:
     return allocate.budget_sweep(candidates(tb), SWEEP_BUDGETS, tb.p)
 
 
+# What-if grid of the dashboard sliders (margin 0.10..0.50, coupon 1..20) at the test money scale:
+# margins 0.2/0.3/0.4, coupons 10,000/20,000 (x50 of 200/400 would be off-scale), 8 budgets.
+GRID_MARGINS = (0.2, 0.3, 0.4)
+GRID_COUPONS = (10_000.0, 20_000.0)
+GRID_BUDGETS = tuple(1_250_000.0 * i for i in range(1, 9))
+
+
+@query("budget_sweep_grid")
+def _what_if(tb: TestBed) -> DataFrame:
+    """E8 over budget x margin x coupon: the dashboard's what-if sliders as one frame."""
+    eligible = allocate.above_threshold(tb.scored(), tb.p.min_uplift)
+    return allocate.what_if_grid(eligible, GRID_BUDGETS, GRID_MARGINS, GRID_COUPONS, tb.p)
+
+
 def prior_ledger(tb: TestBed) -> DataFrame:
     """Offer ledger of three earlier waves (md5 half splits of the known customers)."""
     base = tb.features.select("customer_id")

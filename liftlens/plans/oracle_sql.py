@@ -170,7 +170,7 @@ def scored(name: str, f: str, s: str) -> str:
   {score_expr(f + '.customer_id')} AS uplift_score FROM {f} LEFT JOIN {s} ON {f}.customer_id = {s}.customer_id)"""
 
 
-def lift_sql(oc: str, measured: str) -> str:
+def lift_sql(oc: str, measured: str, coupon: float = COUPON) -> str:
     t, h = "\"group\" = 'treatment'", "\"group\" = 'holdout'"
     return f"""SELECT campaign_id, n_treated, n_holdout,
   round_even(rt - rh, 4) AS incr_purchase_rate,
@@ -183,7 +183,7 @@ def lift_sql(oc: str, measured: str) -> str:
   FROM (SELECT campaign_id, COUNT(*) FILTER (WHERE {t}) AS n_treated, COUNT(*) FILTER (WHERE {h}) AS n_holdout,
     AVG(purchased) FILTER (WHERE {t}) AS rt, AVG(purchased) FILTER (WHERE {h}) AS rh,
     AVG(spend) FILTER (WHERE {t}) AS st, AVG(spend) FILTER (WHERE {h}) AS sh,
-    CAST(SUM(redeemed) FILTER (WHERE {t}) AS DOUBLE) * {COUPON}::DOUBLE * 1.0::DOUBLE AS cost
+    CAST(SUM(redeemed) FILTER (WHERE {t}) AS DOUBLE) * {coupon}::DOUBLE * 1.0::DOUBLE AS cost
     FROM {oc} GROUP BY campaign_id) g"""
 
 
@@ -391,6 +391,35 @@ SELECT m.vec_id, m.label, CAST(b.centre_id AS INTEGER) AS centre_id FROM embeddi
   COALESCE(SUM(r.exp_incr_margin), 0.0) / GREATEST(COALESCE(SUM(r.exp_cost), 0.0), 1.0) AS expected_roi
   FROM grid g LEFT JOIN rk r ON r.cum_cost <= CAST(g.budget AS DECIMAL(20,6)) GROUP BY g.budget""",
                               ["budget", *summ])
+    grid_parts = []
+    for m in (0.2, 0.3, 0.4):
+        for c in (10000.0, 20000.0):
+            tag = f"{int(m * 10)}_{int(c)}"
+            grid_parts.append((m, c, tag))
+    gctes = []
+    for m, c, tag in grid_parts:
+        gctes.append(econ(f"e{tag}", "scored", margin=m, coupon=c))
+        gctes.append(ranked(f"r{tag}", f"e{tag} WHERE exp_incr_margin > exp_cost"))
+    gctes.append("""bgrid AS (SELECT CAST(i * 1250000 AS DOUBLE) AS budget FROM range(1, 9) t(i))""")
+    sel = []
+    for m, c, tag in grid_parts:
+        sel.append(f"""SELECT {m}::DOUBLE AS margin_rate, {c}::DOUBLE AS coupon_value, g.budget,
+  COUNT(r.customer_id) AS customers_offered, COALESCE(SUM(r.exp_cost), 0.0) AS expected_spend,
+  COALESCE(SUM(r.exp_incr_margin), 0.0) AS expected_margin,
+  COALESCE(SUM(r.exp_incr_margin), 0.0) / GREATEST(COALESCE(SUM(r.exp_cost), 0.0), 1.0) AS expected_roi
+  FROM bgrid g LEFT JOIN r{tag} r ON r.cum_cost <= CAST(g.budget AS DECIMAL(20,6)) GROUP BY g.budget""")
+    q["budget_sweep_grid"] = final(with_(*sc, *gctes) + "\nUNION ALL\n".join(sel),
+                                   ["margin_rate", "coupon_value", "budget", *summ])
+    ev_ctes = ["""users AS (SELECT DISTINCT user_id AS customer_id, CAST(NULL AS INTEGER) AS segment_id,
+  CAST(NULL AS VARCHAR) AS value_tier FROM events
+  WHERE ts < TIMESTAMP '2024-01-15' AND event_type IN ('view', 'click'))""",
+               assign("asg", "users", "WAVE_EVENTS", "2024-01-15", coupon=5.0),
+               """txn AS (SELECT user_id AS customer_id, ts AS txn_date, value AS amount FROM events
+  WHERE event_type = 'purchase')""",
+               """red AS (SELECT CAST(NULL AS BIGINT) AS customer_id, CAST(NULL AS TIMESTAMP) AS redeemed_ts WHERE false)""",
+               outcomes("oc", "asg", "2024-01-15", hi_days=1)]
+    q["event_outcomes"] = final(with_(*ev_ctes) + "SELECT * FROM oc", ["coupon_value", "spend"])
+    q["event_lift"] = final(with_(*ev_ctes) + lift_sql("oc", "2024-01-16", coupon=5.0), LIFT_DOUBLES)
     q["recent_offers"] = with_(*BASE, feat("f", AS_OF), ledger_cte(), CAPPED) + "SELECT * FROM capped"
     q["frequency_cap"] = final(with_(*sc, ledger_cte(), CAPPED, econ("e", "scored"),
                                      ranked("rk", "e WHERE exp_incr_margin > exp_cost "
