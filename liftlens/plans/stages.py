@@ -140,20 +140,15 @@ def score_and_allocate(store: TableStore, params: Params, campaign_id: str, mode
 
 def deliver_and_measure(store: TableStore, txns: DataFrame, redemptions: DataFrame | None, params: Params,
                         wave: str) -> DataFrame:
-    """E3 holdout reserve + channel, J11 outcomes, E4 lift (append, IO4), E5 feedback. Returns the lift row."""
+    """E3 holdout reserve + channel, J11 outcomes, E5 feedback, E4 lift. Returns the newest lift row.
+
+    Outcomes and lift rows are wave-partitioned tables: a rerun replaces its wave.
+    """
     offers = store.read_table(T_OFFERS).filter(F.col("campaign_id") == wave)
     delivered = experiment.reserve_holdout(offers, wave, params)
     asg = experiment.delivered_assignments(delivered, params)
     out = outcomes.attribute_outcomes(asg, txns, redemptions, params)
     outcomes.feed_back(out, store, T_OUTCOMES)
     measured = store.read_table(T_OUTCOMES).filter(F.col("campaign_id") == wave)
-    row = lift.incremental_lift(measured, params)
-    lift_table = store.read_table(T_LIFT, merge_schema=True) if store.exists(T_LIFT) else None
-    if lift_table is not None:                                 # a rerun replaces its own row
-        keep = lift_table.filter(F.col("campaign_id") != wave).select(*[f.name for f in LIFT.fields])
-        row = store.detach(keep.unionByName(row.select(*[f.name for f in LIFT.fields])))
-        store.write_overwrite(row, T_LIFT, LIFT)
-    else:
-        store.write_overwrite(row, T_LIFT, LIFT)
-    return lift.latest_lift(store.read_table(T_LIFT, merge_schema=True))
-
+    store.write_wave(lift.incremental_lift(measured, params), T_LIFT, LIFT)
+    return lift.latest_lift(store.read_table(T_LIFT))
