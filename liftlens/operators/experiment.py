@@ -42,7 +42,7 @@ def _uniform(kind: str, salt: str):
 def assign_groups(eligible: DataFrame, campaign_id: str, params: Params, *, mode: str = "bernoulli",
                   strata: Sequence[str] = ("value_tier",), hash_kind: str | None = None,
                   coupon_value: float | None = None, assigned_ts: str | None = None) -> DataFrame:
-    """treatment/holdout split of the eligible customers for one wave.
+    """treatment/holdout split of the eligible customers for one wave (PF2 computed columns).
 
     ``bernoulli``: u = bucket(campaign_id::customer_id) / 100000, treatment iff
     u < fraction (the reference's rule; balanced in expectation).
@@ -104,7 +104,7 @@ def stratified_split(df: DataFrame, params: Params, *, by: Sequence[str] = ("gro
 
 
 def balance_check(assignments: DataFrame, *, fill_zero: bool = False, by: str = "value_tier") -> DataFrame:
-    """A4: counts per tier x group pivoted, and the treated share rounded to 3 places.
+    """Counts per tier x group pivoted, and the treated share rounded to 3 places.
 
     The pivot values are given, so Spark plans no extra job to find them.
     ``fill_zero`` turns an absent cell into 0 (dashboard) instead of null (notebook).
@@ -133,7 +133,7 @@ def _group_avg(col: str, group: str):
 
 
 def ate(outcomes: DataFrame, by: Sequence[str] = ("campaign_id",)) -> DataFrame:
-    """Purchase rate of treatment minus holdout, one pass of conditional aggregation.
+    """Purchase rate of treatment minus holdout, one pass of conditional aggregation.
 
     A group with no rows gives null (no error).
     """

@@ -1,5 +1,7 @@
 """E4 incremental lift against the holdout, and W8 the newest lift row.
 
+J9 (treatment row minus holdout row) is a conditional aggregation, not a join.
+
 One conditional aggregation per wave gives both groups' figures; the lift
 arithmetic then runs on that one row per wave, so all waves are measured in
 a single pass and a missing group yields nulls rather than an error.
@@ -62,5 +64,5 @@ def incremental_lift(outcomes: DataFrame, params: Params, *, by: Sequence[str] =
 
 
 def latest_lift(lift: DataFrame) -> DataFrame:
-    """The newest measured row (a top-1, planned as TakeOrderedAndProject)."""
+    """W8 / SL2: the newest measured row (order + limit 1, planned as TakeOrderedAndProject)."""
     return lift.orderBy(F.col("measured_ts").desc(), F.col("campaign_id").desc()).limit(1)

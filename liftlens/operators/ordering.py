@@ -1,4 +1,4 @@
-"""Global running order at scale (row numbers and running sums).
+"""Global running order at scale (row numbers and running sums; SL3 row index after a sort).
 
 A plain ``Window.orderBy(...)`` without ``partitionBy`` moves every row into
 one task. Here the total order is cut into contiguous *range buckets* whose

@@ -30,7 +30,8 @@ from liftlens.params import SNAPSHOT_COLUMNS
 
 
 def snapshot_frame(features: DataFrame, segments: DataFrame | None, feature_ts: str) -> DataFrame:
-    """Features (+ segments, left) stamped with ``feature_ts``, in the snapshot column order."""
+    """J3 features left-joined with segments, stamped with ``feature_ts`` and projected (PF1) to the
+    snapshot column order."""
     f = features.join(segments, "customer_id", "left") if segments is not None else features
     have = set(f.columns)
     f = f.withColumn("feature_ts", ts(feature_ts))

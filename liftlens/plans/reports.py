@@ -27,7 +27,7 @@ def overview_counts(features_df: DataFrame, customers: DataFrame) -> DataFrame:
 
 
 def tier_profile(segments: DataFrame, features_df: DataFrame) -> DataFrame:
-    """Per value tier size, recency, frequency, monthly spend and basket (spend desc)."""
+    """Per value tier size, recency, frequency, monthly spend and basket (SL1: spend desc)."""
     j = segments.select("customer_id", "value_tier").join(features_df, "customer_id")
     return (j.groupBy("value_tier")
             .agg(F.count(F.lit(1)).alias("n_customers"),
