@@ -47,10 +47,10 @@ def stage1(store: TableStore, txns: DataFrame, customers: DataFrame, params: Par
     Returns the routing counts (a tiny frame) for display.
     """
     feats = features.customer_features(txns, customers, params).withColumn("feature_ts", ts(params.as_of))
-    store.write_overwrite(feats, T_FEATURES)
+    store.write_overwrite(feats, T_FEATURES, bucket_by="customer_id")
     feats = store.read_table(T_FEATURES)                     # read back: the plan runs once
     seg, selection = segments.segment_customers(feats, params, k)
-    store.write_overwrite(seg, T_SEGMENTS, SEGMENTS)
+    store.write_overwrite(seg, T_SEGMENTS, SEGMENTS, bucket_by="customer_id")
     store.write_overwrite(selection, T_SELECTION)
     snap = snapshots.snapshot_frame(feats.drop("feature_ts"), store.read_table(T_SEGMENTS), params.as_of)
     store.publish_snapshot(snap, T_SNAPSHOTS)
@@ -128,7 +128,8 @@ def score_and_allocate(store: TableStore, params: Params, campaign_id: str, mode
     """PF11 latest snapshot, M7 scores (IO2), then PF5-E7-PF6-J7-W7 against the offer ledger (IO3)."""
     latest = snapshots.latest_per_customer(store.read_snapshots(T_SNAPSHOTS))
     scored = champion_model(store, model_path).score(latest)
-    store.write_overwrite(scored.withColumn("scored_ts", ts(params.as_of)), T_SCORES, SCORES)
+    store.write_overwrite(scored.withColumn("scored_ts", ts(params.as_of)), T_SCORES, SCORES,
+                          bucket_by="customer_id")
     scored = store.read_table(T_SCORES).join(latest.select("customer_id", "avg_basket_value"), "customer_id")
     ledger = store.read_table(T_OFFERS) if store.exists(T_OFFERS) else None
     if ledger is not None:

@@ -14,6 +14,12 @@
                          plus existing rows whose key is absent from the new
                          ones, for the touched partitions only.
 * ``ensure_schema``    - create a namespace if absent.
+
+With ``database`` and ``buckets`` set, customer-keyed tables written with
+``bucket_by`` become catalog tables bucketed and sorted by that key (files
+under the same root). Two tables bucketed alike join without an exchange on
+either side, so the stage runner's repeated customer_id joins do not
+re-shuffle data that was already written in key order.
 """
 
 from __future__ import annotations
@@ -48,11 +54,22 @@ def conform(df: DataFrame, schema: T.StructType | None) -> DataFrame:
 class TableStore:
     spark: SparkSession
     root: str
+    database: str | None = None
+    buckets: int = 0
 
     def path(self, name: str) -> str:
         return os.path.join(self.root, name)
 
+    def table_name(self, name: str) -> str | None:
+        return f"{self.database}.{name}" if self.database else None
+
+    def _catalog_table(self, name: str) -> str | None:
+        t = self.table_name(name)
+        return t if t and self.spark.catalog.tableExists(t) else None
+
     def exists(self, name: str) -> bool:
+        if self._catalog_table(name):
+            return True
         jvm = self.spark.sparkContext._jvm
         jsc = self.spark.sparkContext._jsc
         p = jvm.org.apache.hadoop.fs.Path(self.path(name))
@@ -60,14 +77,26 @@ class TableStore:
 
     # IO1
     def read_table(self, name: str, merge_schema: bool = False) -> DataFrame:
+        t = self._catalog_table(name)
+        if t:
+            return self.spark.table(t)
         reader = self.spark.read
         if merge_schema:
             reader = reader.option("mergeSchema", "true")
         return reader.parquet(self.path(name))
 
     # IO2
-    def write_overwrite(self, df: DataFrame, name: str, schema: T.StructType | None = None) -> None:
-        conform(df, schema).write.mode("overwrite").parquet(self.path(name))
+    def write_overwrite(self, df: DataFrame, name: str, schema: T.StructType | None = None,
+                        bucket_by: str | None = None) -> None:
+        out = conform(df, schema)
+        if bucket_by and self.buckets > 0 and self.database:
+            ensure_schema(self.spark, self.database)
+            (out.write.mode("overwrite").format("parquet")
+                .bucketBy(self.buckets, bucket_by).sortBy(bucket_by)
+                .option("path", self.path(name))
+                .saveAsTable(self.table_name(name)))
+            return
+        out.write.mode("overwrite").parquet(self.path(name))
 
     # IO3
     def write_wave(self, df: DataFrame, name: str, schema: T.StructType | None = None) -> None:

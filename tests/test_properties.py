@@ -70,3 +70,24 @@ def test_merge_by_key(spark):
     new = spark.createDataFrame([(1, 2, "new"), (3, 2, "new")], "customer_id long, feature_ts long, v string")
     got = sorted(tuple(r) for r in merge_by_key(new, old, ["customer_id", "feature_ts"]).collect())
     assert got == [(1, 1, "old"), (1, 2, "new"), (2, 1, "old"), (3, 2, "new")]
+
+
+def test_bucketed_tables_join_without_exchange(spark, tmpdir_path):
+    import uuid
+
+    tb = TestBed(spark, SF_SMALL)
+    db = "lt_" + uuid.uuid4().hex[:8]
+    store = TableStore(spark, tmpdir_path, database=db, buckets=4)
+    store.write_overwrite(tb.features, "customer_features", bucket_by="customer_id")
+    store.write_overwrite(tb.segments, "customer_segments", bucket_by="customer_id")
+    j = store.read_table("customer_features").join(store.read_table("customer_segments"), "customer_id")
+    plan = j._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan or "BroadcastHashJoin" in plan
+    assert j.count() == tb.features.count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        j2 = store.read_table("customer_features").join(store.read_table("customer_segments"), "customer_id")
+        plan2 = j2._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan2 and "Exchange" not in plan2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

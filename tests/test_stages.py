@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from liftlens.params import LEARNING_WAVE, OPTIMIZED_WAVE
@@ -12,12 +13,18 @@ from liftlens.sources.testdata import TestTables
 from conftest import SF_SMALL
 
 
-def test_full_loop(spark, tmpdir_path):
+@pytest.mark.parametrize("bucketed", [False, True])
+def test_full_loop(spark, tmpdir_path, bucketed):
+    import uuid
+
     from liftlens.params import testdata_params
 
     p = testdata_params(kmeans_restarts=2, final_restarts=2, k_range=(3, 4), gbt_iters=5)
     tt = TestTables(spark, SF_SMALL)
-    store = TableStore(spark, f"{tmpdir_path}/wh")
+    if bucketed:
+        store = TableStore(spark, f"{tmpdir_path}/wh", database="lt_" + uuid.uuid4().hex[:8], buckets=4)
+    else:
+        store = TableStore(spark, f"{tmpdir_path}/wh")
     txns, cust, red = tt.transactions(), tt.customers(), tt.redemptions()
 
     routing = {r["data_tier"]: r["n"] for r in stages.stage1(store, txns, cust, p).collect()}
