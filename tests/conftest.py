@@ -19,7 +19,8 @@ def spark():
 
     from liftlens.session import LOCAL_CONF, ensure_checkpoint_dir
 
-    b = SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8")
+    b = (SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8")
+         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="liftlens-wh-", dir="/tmp")))
     for k, v in LOCAL_CONF.items():
         b = b.config(k, v)
     s = b.getOrCreate()
