@@ -98,7 +98,6 @@ REVENUE_TIERS = ("High Value", "Medium-High Value")
 SWEEP_BUDGETS = tuple(250_000.0 * i for i in range(1, 41))
 # Prior offer waves of the frequency-cap ledger: (wave, decision day); 30 days before 1997-01-01 is 1996-12-02.
 PRIOR_WAVES = (("PRIOR_A", "1996-11-15"), ("PRIOR_B", "1996-12-02"), ("PRIOR_C", "1996-12-20"))
-PRIOR_FRACTION = 0.5
 
 
 @query("segment_profile")
@@ -380,14 +379,15 @@ def _what_if(tb: TestBed) -> DataFrame:
 
 
 def prior_ledger(tb: TestBed) -> DataFrame:
-    """Offer ledger of three earlier waves (md5 half splits of the known customers)."""
-    base = tb.features.select("customer_id")
+    """Offer ledger of three earlier waves: the allocation (PF5-W7) run at each prior decision day
+    on the features as of that day."""
     frames = []
     for wave, day in PRIOR_WAVES:
-        u = md5_bucket("customer_id", wave) / F.lit(100000.0)
-        frames.append(base.filter(u < F.lit(PRIOR_FRACTION))
-                      .select("customer_id", F.lit(wave).alias("campaign_id"),
-                              F.lit(day).cast("timestamp_ntz").alias("decision_ts")))
+        t = tb.at(day)
+        scored = t.features.select("customer_id", F.lit(None).cast("string").alias("value_tier"),
+                                   "avg_basket_value", stand_in_score())
+        frames.append(allocate.plan_offers(scored, t.p, wave, decision_ts=day)
+                      .select("customer_id", "campaign_id", "decision_ts"))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)

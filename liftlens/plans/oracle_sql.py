@@ -242,10 +242,17 @@ QINI_COEF = """SELECT {sel}COUNT(*) AS n,
 LEDGER_WAVES = (("PRIOR_A", "1996-11-15"), ("PRIOR_B", "1996-12-02"), ("PRIOR_C", "1996-12-20"))
 
 
-def ledger_cte() -> str:
-    parts = [f"""SELECT customer_id, '{w}' AS campaign_id, TIMESTAMP '{d}' AS decision_ts FROM f
-  WHERE {md5_bucket('customer_id', w)} / 100000.0::DOUBLE < 0.5::DOUBLE""" for w, d in LEDGER_WAVES]
-    return "ledger AS (" + "\n  UNION ALL ".join(parts) + ")"
+def ledger_ctes() -> list[str]:
+    """Allocations at the three prior decision days (features as of each day, stand-in score)."""
+    ctes, parts = [], []
+    for i, (w, d) in enumerate(LEDGER_WAVES):
+        ctes += [feat(f"lf{i}", d),
+                 f"""ls{i} AS (SELECT customer_id, CAST(NULL AS VARCHAR) AS value_tier, avg_basket_value,
+  {score_expr('customer_id')} AS uplift_score FROM lf{i})""",
+                 econ(f"le{i}", f"ls{i}"), ranked(f"lr{i}", f"le{i} WHERE exp_incr_margin > exp_cost")]
+        parts.append(f"""SELECT customer_id, '{w}' AS campaign_id, TIMESTAMP '{d}' AS decision_ts FROM lr{i}
+  WHERE cum_cost <= CAST({BUDGET} AS DECIMAL(20,6))""")
+    return ctes + ["ledger AS (" + "\n  UNION ALL ".join(parts) + ")"]
 
 
 CAPPED = """capped AS (SELECT customer_id, COUNT(*) AS n_recent_offers FROM ledger
@@ -420,8 +427,8 @@ SELECT m.vec_id, m.label, CAST(b.centre_id AS INTEGER) AS centre_id FROM embeddi
                outcomes("oc", "asg", "2024-01-15", hi_days=1)]
     q["event_outcomes"] = final(with_(*ev_ctes) + "SELECT * FROM oc", ["coupon_value", "spend"])
     q["event_lift"] = final(with_(*ev_ctes) + lift_sql("oc", "2024-01-16", coupon=5.0), LIFT_DOUBLES)
-    q["recent_offers"] = with_(*BASE, feat("f", AS_OF), ledger_cte(), CAPPED) + "SELECT * FROM capped"
-    q["frequency_cap"] = final(with_(*sc, ledger_cte(), CAPPED, econ("e", "scored"),
+    q["recent_offers"] = with_(*BASE, feat("f", AS_OF), *ledger_ctes(), CAPPED) + "SELECT * FROM capped"
+    q["frequency_cap"] = final(with_(*sc, *ledger_ctes(), CAPPED, econ("e", "scored"),
                                      ranked("rk", "e WHERE exp_incr_margin > exp_cost "
                                                   "AND customer_id NOT IN (SELECT customer_id FROM capped)")) +
                                f"""SELECT customer_id, value_tier, uplift_score, exp_incr_margin, exp_cost,
