@@ -1,10 +1,13 @@
 """Global running order at scale (row numbers and running sums; SL3 row index after a sort).
 
 A plain ``Window.orderBy(...)`` without ``partitionBy`` moves every row into
-one task. Here the total order is cut into contiguous *range buckets* whose
-bounds are order-key tuples taken from a bounded driver-side sample, so a
-row's bucket is a pure function of its key (stable under recomputation after
-an executor loss; no ``spark_partition_id``). Then:
+one task. Here the total order is cut into contiguous *range buckets*. Up to
+128 buckets, the bounds are order-key tuples taken from a bounded
+driver-side sample and a row's bucket is a pure function of its key (a
+log2(k)-deep CASE tree, stable under recomputation). Beyond that, the tree
+would be too large to plan and compile, so Spark's range partitioner
+assigns the buckets and the partition index is frozen into a reliable
+checkpoint immediately (one extra exchange). Then:
 
 1. per-bucket counts and sums: one small partial+final aggregation;
 2. bucket offsets: a running sum over the tiny per-bucket table (at most
@@ -34,6 +37,7 @@ BUCKET = "_w0_bucket"
 SAMPLE_PER_BUCKET = 64
 MAX_SAMPLE = 200_000
 MAX_BUCKETS = 8192
+CASE_MAX_BUCKETS = 128   # above this the bound tree is too large to plan and compile cheaply
 
 OrderSpec = Sequence[tuple[str, bool]]  # (column, ascending)
 
@@ -129,10 +133,17 @@ def prefix_sum(df: DataFrame, order: Sequence[str | tuple[str, bool]],
 
     n = base.count()
     k = n_buckets(n, rows_per_bucket)
-    bounds = range_bounds(base, order_n, n, k, seed)
-    if not bounds:
-        return _single_bucket(base, order_n, exprs, part, row_number, count_col, totals)
-    bucketed = base.withColumn(BUCKET, _bucket_expr(order_n, bounds))
+    if k > CASE_MAX_BUCKETS:
+        # Many buckets: Spark's range partitioner (sampled bounds, binary search in the JVM)
+        # assigns them; the partition index is frozen into the materialised copy at once, so a
+        # recomputation can never move a row to another bucket.
+        bucketed = materialize(base.repartitionByRange(k, *sort_exprs(order_n))
+                               .withColumn(BUCKET, F.spark_partition_id()))
+    else:
+        bounds = range_bounds(base, order_n, n, k, seed)
+        if not bounds:
+            return _single_bucket(base, order_n, exprs, part, row_number, count_col, totals)
+        bucketed = base.withColumn(BUCKET, _bucket_expr(order_n, bounds))
 
     per_bucket = bucketed.groupBy(*part, BUCKET).agg(
         F.count(F.lit(1)).alias("_c_cnt"),

@@ -18,7 +18,7 @@ def _data(spark, n=3000, distinct=7, seed=1):
     return spark.createDataFrame(rows, "id long, k double, g string, v double")
 
 
-@pytest.mark.parametrize("rows_per_bucket", [1_000_000, 500, 97])
+@pytest.mark.parametrize("rows_per_bucket", [1_000_000, 500, 97, 10])  # 10 -> 300 buckets: range-partitioner path
 def test_prefix_sum_equals_plain_window(spark, rows_per_bucket):
     df = _data(spark)
     got = prefix_sum(df, [("k", False), ("id", True)], {"cv": F.col("v").cast("decimal(12,2)"), "cn": F.lit(1)},
@@ -38,9 +38,10 @@ def test_prefix_sum_equals_plain_window(spark, rows_per_bucket):
         assert g[i]["cv_total"] == total
 
 
-def test_prefix_sum_partitioned(spark):
+@pytest.mark.parametrize("rows_per_bucket", [150, 7])
+def test_prefix_sum_partitioned(spark, rows_per_bucket):
     df = _data(spark, n=2000)
-    got = global_rank(df, [("k", True), ("id", True)], partition_by=["g"], rows_per_bucket=150)
+    got = global_rank(df, [("k", True), ("id", True)], partition_by=["g"], rows_per_bucket=rows_per_bucket)
     w = Window.partitionBy("g").orderBy("k", "id")
     exp = df.select("id", F.row_number().over(w).alias("r"), F.count(F.lit(1)).over(Window.partitionBy("g")).alias("n"))
     g = {r["id"]: (r["row_idx"], r["n_rows"]) for r in got.collect()}
