@@ -46,7 +46,7 @@ def latest_per_customer(snapshots: DataFrame, key: str = "customer_id", ts_col:
     return picked.select(key, *[F.col(f"_row.{c}").alias(c) for c in others])
 
 
-MAX_RUNS = 4096
+MAX_RUNS = 128   # run-index CASE tree size; more runs fall back to the interval join
 
 
 def _run_index(col: Column, runs: list, type_name: str) -> Column:
