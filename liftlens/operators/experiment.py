@@ -19,10 +19,6 @@ from liftlens.functions.time import ts
 from liftlens.operators.ordering import global_rank
 from liftlens.params import CHANNELS, HASH_BUCKETS, HOLDOUT, NO_CHANNEL, TREATMENT, Params
 
-ASSIGNMENT_COLUMNS = ("customer_id", "segment_id", "value_tier", "group", "campaign_id", "coupon_value",
-                      "assigned_ts")
-
-
 def wave(df: DataFrame, campaign_ids: str | Sequence[str]) -> DataFrame:
     """PF4: rows of the given wave(s); on a campaign_id-partitioned table this prunes partitions."""
     ids = [campaign_ids] if isinstance(campaign_ids, str) else list(campaign_ids)

@@ -16,10 +16,7 @@ from pyspark.sql import functions as F
 
 from liftlens.functions.numeric import half_even
 from liftlens.functions.time import ts, ts_plus_days
-from liftlens.params import HOLDOUT, LIFT, TREATMENT, Params
-
-LIFT_COLUMNS = tuple(f.name for f in LIFT.fields)
-
+from liftlens.params import HOLDOUT, TREATMENT, Params
 
 def incremental_lift(outcomes: DataFrame, params: Params, *, by: Sequence[str] = ("campaign_id",),
                      measured_ts: str | None = None) -> DataFrame:

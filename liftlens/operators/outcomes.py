@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from liftlens.functions.time import ts, ts_plus_days
 from liftlens.params import OUTCOMES, TREATMENT, Params
 
-OUTCOME_COLUMNS = tuple(f.name for f in OUTCOMES.fields)
-
 
 def attribute_outcomes(assignments: DataFrame, txns: DataFrame, redemptions: DataFrame | None,
                        params: Params, *, days: int | None = None,

@@ -6,7 +6,7 @@ callers pass explicitly; nothing reads module-level mutable state.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import types as T
 
@@ -94,7 +94,6 @@ class Params:
     gbt_step: float = 0.1
     rows_per_bucket: int = 1_000_000      # target rows per range bucket of a global running order
     money_scale: int = 6                  # decimal scale of running money sums
-    extra: dict = field(default_factory=dict, compare=False)
 
     def with_(self, **kw) -> "Params":
         return replace(self, **kw)

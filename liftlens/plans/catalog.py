@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from liftlens.functions.hashing import md5_bucket
 from liftlens.functions.lineage import materialize
 from liftlens.operators import allocate, evaluate, experiment, lift, outcomes, segments, snapshots
 from liftlens.operators import features as feat_ops

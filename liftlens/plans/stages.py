@@ -99,9 +99,14 @@ def training_frame(store: TableStore, campaign_ids: Sequence[str], params: Param
     return j.filter(F.col("feature_ts").isNotNull())
 
 
-def learn(store: TableStore, params: Params, campaign_ids: Sequence[str], version: int,
+def learn(store: TableStore, params: Params, campaign_ids: Sequence[str], version: int | None,
           model_path: str) -> DataFrame:
-    """E6 split, M6 fit, M7 eval scores, W1-W5 metrics, M8 log, M9 champion. Returns the champion row."""
+    """E6 split, M6 fit, M7 eval scores, W1-W5 metrics, M8 log, M9 champion. Returns the champion row.
+
+    ``version=None`` takes the next free version number (A11).
+    """
+    if version is None:
+        version = runs.next_version(store.read_table(T_RUNS, merge_schema=True) if store.exists(T_RUNS) else None)
     frame = experiment.stratified_split(training_frame(store, campaign_ids, params), params)
     frame = materialize(frame)                                # computed once before the fits
     model = uplift.fit_t_learner(frame.filter(F.col("split") == "train"), params)
