@@ -1,23 +1,54 @@
 """J11 attribution of later sales to a wave, and E5 feedback of outcomes.
 
-The sales side is first cut to the wave's window by plain predicates (pushed
-into the Parquet scan), then joined to the assignments on customer_id with
-the per-row window as a residual condition. Sales and redemptions travel
-as one unioned stream, so the plan has one join and one aggregation. The
-join is inner with the sales on the streamed side, which AQE can split
-when one customer holds a large share of the sales; the aggregation is
-partial before its shuffle. A final left join on (campaign_id, customer_id)
-restores the customers who bought nothing.
+Assignments carry few distinct assignment times (one per wave, usually),
+so their windows [assigned_ts, +days) cut the timeline into a bounded
+number of elementary intervals. Each sale (and redemption) is mapped to
+its interval by a small binary-search expression and the sales are
+aggregated per (customer_id, interval) with a partial aggregation *before*
+any shuffle: a customer holding a third of all sales becomes a handful of
+rows per map task. Each assignment is expanded over the intervals its
+window covers (usually one) and the two sides meet in an equi-join on
+(customer_id, interval) with at most one row per key on each side, so no
+join task is hot. Only the scans see every sale; the window bounds are
+plain predicates pushed into them. With more than ``MAX_WINDOWS`` distinct
+assignment times the operator falls back to a join on customer_id with the
+window as a residual condition (AQE splits skewed partitions there).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from liftlens.functions.time import ts, ts_plus_days
 from liftlens.params import OUTCOMES, TREATMENT, Params
 
+MAX_WINDOWS = 64
+
+
+def _interval_index(col: Column, points: list, type_name: str) -> Column:
+    """Number of boundary points <= col (binary search over at most 2 * MAX_WINDOWS points)."""
+
+    def rec(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(col >= F.lit(str(points[mid])).cast(type_name), rec(mid + 1, hi)).otherwise(rec(lo, mid))
+
+    return rec(0, len(points))
+
+
+def _events(txns: DataFrame, redemptions: DataFrame | None, lo: Column, hi: Column) -> DataFrame:
+    sales = (txns.filter((F.col("txn_date") >= lo) & (F.col("txn_date") < hi))
+             .select("customer_id", F.col("txn_date").alias("event_ts"), "amount",
+                     F.lit(1).alias("is_sale"), F.lit(0).alias("is_redemption")))
+    if redemptions is None:
+        return sales
+    red = (redemptions.filter((F.col("redeemed_ts") >= lo) & (F.col("redeemed_ts") < hi))
+           .select("customer_id", F.col("redeemed_ts").alias("event_ts"), F.lit(0.0).alias("amount"),
+                   F.lit(0).alias("is_sale"), F.lit(1).alias("is_redemption")))
+    return sales.unionByName(red)
+
 
 def attribute_outcomes(assignments: DataFrame, txns: DataFrame, redemptions: DataFrame | None,
                        params: Params, *, days: int | None = None,
@@ -31,24 +62,19 @@ def attribute_outcomes(assignments: DataFrame, txns: DataFrame, redemptions: Dat
     days = params.outcome_days if days is None else days
     lo = ts(window_start or params.as_of)
     hi = ts(window_end) if window_end else ts_plus_days(ts(params.as_of), days)
-    sales = (txns.filter((F.col("txn_date") >= lo) & (F.col("txn_date") < hi))
-             .select("customer_id", F.col("txn_date").alias("event_ts"), "amount",
-                     F.lit(1).alias("is_sale"), F.lit(0).alias("is_redemption")))
-    events = sales
-    if redemptions is not None:
-        red = (redemptions.filter((F.col("redeemed_ts") >= lo) & (F.col("redeemed_ts") < hi))
-               .select("customer_id", F.col("redeemed_ts").alias("event_ts"), F.lit(0.0).alias("amount"),
-                       F.lit(0).alias("is_sale"), F.lit(1).alias("is_redemption")))
-        events = sales.unionByName(red)
+    events = _events(txns, redemptions, lo, hi)
     a = assignments.select("customer_id", "campaign_id", "assigned_ts")
-    in_window = ((F.col("event_ts") >= F.col("assigned_ts"))
-                 & (F.col("event_ts") < ts_plus_days(F.col("assigned_ts"), days)))
-    per_customer = (events.join(a, "customer_id", "inner")
-                    .filter(in_window)
-                    .groupBy("campaign_id", "customer_id")
-                    .agg(F.sum("is_sale").alias("_n_sales"),
-                         F.sum(F.col("amount") * F.col("is_sale")).alias("_spend"),
-                         F.max("is_redemption").alias("_any_redemption")))
+    starts = [r[0] for r in a.select("assigned_ts").distinct().limit(MAX_WINDOWS + 1).collect()]
+    if 0 < len(starts) <= MAX_WINDOWS:
+        per_customer = _by_interval(events, a, starts, days, assignments.schema["assigned_ts"].dataType)
+    else:
+        in_window = ((F.col("event_ts") >= F.col("assigned_ts"))
+                     & (F.col("event_ts") < ts_plus_days(F.col("assigned_ts"), days)))
+        per_customer = (events.join(a, "customer_id", "inner").filter(in_window)
+                        .groupBy("campaign_id", "customer_id")
+                        .agg(F.sum("is_sale").alias("_n_sales"),
+                             F.sum(F.col("amount") * F.col("is_sale")).alias("_spend"),
+                             F.max("is_redemption").alias("_any_redemption")))
     out = assignments.join(per_customer, ["campaign_id", "customer_id"], "left")
     purchased = F.coalesce(F.col("_n_sales"), F.lit(0)) > 0
     redeemed = ((F.col("group") == TREATMENT) & purchased
@@ -61,6 +87,27 @@ def attribute_outcomes(assignments: DataFrame, txns: DataFrame, redemptions: Dat
     )
 
 
+def _by_interval(events: DataFrame, a: DataFrame, starts: list, days: int, ts_type) -> DataFrame:
+    import datetime as dt
+
+    type_name = ts_type.simpleString()
+    points = sorted({p for s in starts for p in (s, s + dt.timedelta(days=days))})
+    iv = _interval_index(F.col("event_ts"), points, type_name)
+    # Pre-aggregated per (customer, interval) before the shuffle: hot customers collapse here.
+    ev = (events.withColumn("_iv", iv)
+          .groupBy("customer_id", "_iv")
+          .agg(F.sum("is_sale").alias("_n"), F.sum(F.col("amount") * F.col("is_sale")).alias("_s"),
+               F.max("is_redemption").alias("_r")))
+    # With idx(t) = number of points <= t, interval k is [points[k-1], points[k]); the window
+    # [s, s + days) starts and ends on points, so it covers k = idx(s) .. idx(s + days) - 1.
+    first = _interval_index(F.col("assigned_ts"), points, type_name)
+    last = _interval_index(ts_plus_days(F.col("assigned_ts"), days), points, type_name) - 1
+    spans = a.withColumn("_iv", F.explode(F.sequence(first, last)))
+    return (spans.join(ev, ["customer_id", "_iv"], "inner")
+            .groupBy("campaign_id", "customer_id")
+            .agg(F.sum("_n").alias("_n_sales"), F.sum("_s").alias("_spend"), F.max("_r").alias("_any_redemption")))
+
+
 def feed_back(outcomes: DataFrame, store, name: str = "campaign_outcomes") -> None:
     """E5: write a wave's outcomes for retraining; rewriting a wave replaces it (idempotent)."""
     store.write_wave(outcomes, name, OUTCOMES)

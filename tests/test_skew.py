@@ -46,3 +46,35 @@ def test_hot_customer_features_and_attribution(spark):
     win = [r for r in rows if r[0] == 0 and dt.datetime(2024, 5, 1) <= r[1] < dt.datetime(2024, 5, 31)]
     assert len(out) == 500
     assert out[0]["spend"] == sum(r[2] for r in win) and out[0]["purchased"] == 1
+
+
+def _brute(rows, asg, days):
+    out = {}
+    for cid, camp, start in asg:
+        end = start + dt.timedelta(days=days)
+        hits = [r for r in rows if r[0] == cid and start <= r[1] < end]
+        out[(camp, cid)] = (int(bool(hits)), sum(r[2] for r in hits))
+    return out
+
+
+def test_attribution_overlapping_windows_and_fallback(spark, monkeypatch):
+    rnd = random.Random(11)
+    base = dt.datetime(2024, 1, 1)
+    rows = [(rnd.randrange(40), base + dt.timedelta(hours=rnd.randrange(24 * 90)), float(rnd.randrange(1, 50)), 1, "a")
+            for _ in range(4000)]
+    txns = spark.createDataFrame(rows, "customer_id long, txn_date timestamp_ntz, amount double, n_items long, category string")
+    asg_rows = [(c, w, base + dt.timedelta(days=off, hours=h))
+                for w, off, h in (("W1", 10, 0), ("W2", 25, 6), ("W3", 26, 0)) for c in range(40)]
+    asg = spark.createDataFrame([(c, w, "treatment", "T", 1.0, t) for c, w, t in asg_rows],
+                                "customer_id long, campaign_id string, group string, value_tier string, "
+                                "coupon_value double, assigned_ts timestamp_ntz")
+    p = Params(as_of="2024-01-01", outcome_days=30)
+    exp = _brute(rows, asg_rows, 30)
+    kw = dict(window_start="2024-01-01", window_end="2024-03-31")
+    got = {(r["campaign_id"], r["customer_id"]): (r["purchased"], r["spend"])
+           for r in outcomes.attribute_outcomes(asg, txns, None, p, **kw).collect()}
+    assert got == exp
+    monkeypatch.setattr(outcomes, "MAX_WINDOWS", 1)          # residual-join fallback, same answer
+    got2 = {(r["campaign_id"], r["customer_id"]): (r["purchased"], r["spend"])
+            for r in outcomes.attribute_outcomes(asg, txns, None, p, **kw).collect()}
+    assert got2 == exp
