@@ -16,6 +16,13 @@ with at most one match per event, no fan-out and no residual predicate,
 with the events streamed so AQE can split a customer holding a large share
 of them. ``method="interval"`` keeps the same semantics with a range
 residual instead (no run list needed).
+
+Hot customers (more than ``hot_rows`` events) are also split explicitly,
+independent of AQE: one bounded aggregate finds them (at most ``MAX_HOT``
+keys reach the driver); their events get a deterministic salt (a hash of
+the event's columns modulo ``salts``) and only their snapshot rows are
+replicated once per salt, so a customer with a third of all events is
+spread over ``salts`` join tasks.
 """
 
 from __future__ import annotations
@@ -47,6 +54,7 @@ def latest_per_customer(snapshots: DataFrame, key: str = "customer_id", ts_col:
 
 
 MAX_RUNS = 128   # run-index CASE tree size; more runs fall back to the interval join
+MAX_HOT = 1000   # hot keys salted explicitly (an IN-set of at most this many literals)
 
 
 def _run_index(col: Column, runs: list, type_name: str) -> Column:
@@ -64,9 +72,15 @@ def _run_index(col: Column, runs: list, type_name: str) -> Column:
     return rec(0, len(runs))
 
 
+def hot_keys(df: DataFrame, key: str, hot_rows: int) -> list:
+    """Keys with more than ``hot_rows`` rows (partial count per key; at most MAX_HOT returned)."""
+    return [r[0] for r in (df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+                           .filter(F.col("_n") > hot_rows).select(key).limit(MAX_HOT).collect())]
+
+
 def asof_features(events: DataFrame, snapshots: DataFrame, *, event_ts: str, key: str = "customer_id",
                   columns: Sequence[str] | None = None, ts_col: str = "feature_ts",
-                  method: str = "runs") -> DataFrame:
+                  method: str = "runs", hot_rows: int = 1_000_000, salts: int = 32) -> DataFrame:
     """Each event with the newest snapshot of its customer taken at or before the event.
 
     Events without an earlier snapshot keep null features.
@@ -93,5 +107,14 @@ def asof_features(events: DataFrame, snapshots: DataFrame, *, event_ts: str, key
             .drop("_i", "_next")
             .withColumnRenamed(key, "_k"))
     ev = events.withColumn("_r", _run_index(F.col(event_ts), runs, type_name))
+    hot = hot_keys(events, key, hot_rows) if hot_rows else []
+    if hot:
+        is_hot_ev = F.col(key).isin(hot)
+        salt = F.pmod(F.xxhash64(*[F.col(c) for c in events.columns]), F.lit(salts))
+        ev = ev.withColumn("_salt", F.when(is_hot_ev, salt).otherwise(F.lit(0)))
+        fan = F.when(F.col("_k").isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+        span = span.withColumn("_salt", F.explode(fan))
+        cond = (F.col(key) == F.col("_k")) & (ev["_r"] == span["_r"]) & (ev["_salt"] == span["_salt"])
+        return ev.join(span, cond, "left").drop("_k", "_r", "_salt")
     cond = (F.col(key) == F.col("_k")) & (ev["_r"] == span["_r"])
     return ev.join(span, cond, "left").drop("_k", "_r")

@@ -78,3 +78,22 @@ def test_attribution_overlapping_windows_and_fallback(spark, monkeypatch):
     got2 = {(r["campaign_id"], r["customer_id"]): (r["purchased"], r["spend"])
             for r in outcomes.attribute_outcomes(asg, txns, None, p, **kw).collect()}
     assert got2 == exp
+
+
+def test_asof_hot_key_salting(spark):
+    from liftlens.operators import snapshots
+
+    rnd = random.Random(5)
+    base = dt.datetime(2024, 1, 1)
+    snaps = spark.createDataFrame([(c, base + dt.timedelta(days=d), f"{c}-{d}") for c in range(20) for d in (0, 10, 20)
+                                   if not (c == 3 and d == 10)],
+                                  "customer_id long, feature_ts timestamp_ntz, v string")
+    ev_rows = [(i, 0 if i % 3 == 0 else rnd.randrange(20), base + dt.timedelta(hours=rnd.randrange(24 * 30)))
+               for i in range(6000)]                                        # customer 0: a third of all events
+    ev = spark.createDataFrame(ev_rows, "eid long, customer_id long, ts timestamp_ntz")
+    plain = {r["eid"]: r["v"] for r in snapshots.asof_features(ev, snaps, event_ts="ts", hot_rows=0).collect()}
+    salted_df = snapshots.asof_features(ev, snaps, event_ts="ts", hot_rows=500, salts=8)
+    assert "_salt" in salted_df._jdf.queryExecution().optimizedPlan().toString()
+    salted = {r["eid"]: r["v"] for r in salted_df.collect()}
+    assert salted == plain and len(plain) == 6000
+    assert plain[0] is not None
