@@ -91,3 +91,26 @@ def test_bucketed_tables_join_without_exchange(spark, tmpdir_path):
         assert "SortMergeJoin" in plan2 and "Exchange" not in plan2
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_asof_never_reads_a_later_snapshot(spark):
+    from liftlens.plans.catalog import QUERIES
+
+    df = QUERIES["asof_features"](spark, SF_SMALL)
+    assert df.filter(F.col("feature_ts") > F.col("txn_date")).count() == 0
+    before_first = df.filter(F.col("txn_date") < F.lit("1997-01-01").cast("timestamp_ntz"))
+    assert before_first.filter(F.col("feature_ts").isNotNull()).count() == 0
+
+
+def test_qini_end_value(spark):
+    tb = TestBed(spark, SF_SMALL)
+    from liftlens.plans.catalog import eval_frame
+
+    ev = eval_frame(tb)
+    curve = evaluate.qini_curve(ev)
+    last = curve.orderBy(F.col("row_idx").desc()).first()
+    g = {r["group"]: (r["n"], r["buyers"]) for r in
+         ev.groupBy("group").agg(F.count("*").alias("n"), F.sum("purchased").alias("buyers")).collect()}
+    (nt, t), (nc, c) = g["treatment"], g["holdout"]
+    assert last["qini"] == t - c * (nt / nc)
+    assert last["row_idx"] == nt + nc
