@@ -17,6 +17,8 @@ window as a residual condition (AQE splits skewed partitions there).
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ def _interval_index(col: Column, points: list, type_name: str) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(col >= F.lit(str(points[mid])).cast(type_name), rec(mid + 1, hi)).otherwise(rec(lo, mid))
+        return F.when(col >= F.lit(points[mid]).cast(type_name), rec(mid + 1, hi)).otherwise(rec(lo, mid))
 
     return rec(0, len(points))
 
@@ -64,9 +66,13 @@ def attribute_outcomes(assignments: DataFrame, txns: DataFrame, redemptions: Dat
     hi = ts(window_end) if window_end else ts_plus_days(ts(params.as_of), days)
     events = _events(txns, redemptions, lo, hi)
     a = assignments.select("customer_id", "campaign_id", "assigned_ts")
-    starts = [r[0] for r in a.select("assigned_ts").distinct().limit(MAX_WINDOWS + 1).collect()]
-    if 0 < len(starts) <= MAX_WINDOWS:
-        per_customer = _by_interval(events, a, starts, days, assignments.schema["assigned_ts"].dataType)
+    # Window bounds as Spark formats them (start, start + days): the literals below are cast back
+    # with the column's own type, so no Python time-zone conversion is involved.
+    bounds = (a.select(F.col("assigned_ts").cast("string").alias("s"),
+                       ts_plus_days(F.col("assigned_ts"), days).cast("string").alias("e"))
+              .distinct().limit(MAX_WINDOWS + 1).collect())
+    if 0 < len(bounds) <= MAX_WINDOWS:
+        per_customer = _by_interval(events, a, bounds, days, assignments.schema["assigned_ts"].dataType)
     else:
         in_window = ((F.col("event_ts") >= F.col("assigned_ts"))
                      & (F.col("event_ts") < ts_plus_days(F.col("assigned_ts"), days)))
@@ -87,11 +93,9 @@ def attribute_outcomes(assignments: DataFrame, txns: DataFrame, redemptions: Dat
     )
 
 
-def _by_interval(events: DataFrame, a: DataFrame, starts: list, days: int, ts_type) -> DataFrame:
-    import datetime as dt
-
+def _by_interval(events: DataFrame, a: DataFrame, bounds: list, days: int, ts_type) -> DataFrame:
     type_name = ts_type.simpleString()
-    points = sorted({p for s in starts for p in (s, s + dt.timedelta(days=days))})
+    points = sorted({p for r in bounds for p in (r["s"], r["e"]) if p is not None}, key=dt.datetime.fromisoformat)
     iv = _interval_index(F.col("event_ts"), points, type_name)
     # Pre-aggregated per (customer, interval) before the shuffle: hot customers collapse here.
     ev = (events.withColumn("_iv", iv)

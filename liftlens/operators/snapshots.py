@@ -27,6 +27,7 @@ spread over ``salts`` join tasks.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -61,7 +62,7 @@ def _run_index(col: Column, runs: list, type_name: str) -> Column:
     """Index of the newest run time <= col (-1 before the first run): log2(#runs) comparisons."""
 
     def lit(v) -> Column:
-        return F.lit(str(v)).cast(type_name)
+        return F.lit(v).cast(type_name)
 
     def rec(lo: int, hi: int) -> Column:      # answer in [lo - 1, hi - 1]
         if lo == hi:
@@ -89,7 +90,9 @@ def asof_features(events: DataFrame, snapshots: DataFrame, *, event_ts: str, key
     snaps = snapshots.select(key, ts_col, *cols)
     runs = None
     if method == "runs":
-        runs = sorted(r[0] for r in snaps.select(ts_col).distinct().limit(MAX_RUNS + 1).collect())
+        # Run times as Spark formats them; cast back with the column's type (no Python time zones).
+        runs = sorted((r[0] for r in snaps.select(F.col(ts_col).cast("string")).distinct()
+                       .limit(MAX_RUNS + 1).collect() if r[0] is not None), key=dt.datetime.fromisoformat)
         if len(runs) > MAX_RUNS:
             runs = None
     w = Window.partitionBy(key).orderBy(F.col(ts_col))

@@ -97,3 +97,31 @@ def test_asof_hot_key_salting(spark):
     salted = {r["eid"]: r["v"] for r in salted_df.collect()}
     assert salted == plain and len(plain) == 6000
     assert plain[0] is not None
+
+
+def test_zone_aware_timestamps_under_a_non_utc_session(spark, monkeypatch):
+    from liftlens.operators import snapshots
+
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        base = dt.datetime(2024, 3, 9, 22, 30)        # around a DST change in that zone
+        snaps = spark.createDataFrame([(c, base + dt.timedelta(hours=h), f"{c}-{h}") for c in range(5) for h in (0, 5, 30)],
+                                      "customer_id long, feature_ts timestamp, v string")
+        ev = spark.createDataFrame([(i, i % 5, base + dt.timedelta(minutes=37 * i)) for i in range(200)],
+                                   "eid long, customer_id long, ts timestamp")
+        runs_ = {r["eid"]: r["v"] for r in snapshots.asof_features(ev, snaps, event_ts="ts").collect()}
+        interval = {r["eid"]: r["v"] for r in snapshots.asof_features(ev, snaps, event_ts="ts", method="interval").collect()}
+        assert runs_ == interval
+        txns = ev.select("customer_id", F.col("ts").alias("txn_date"), F.lit(1.0).alias("amount"))
+        asg = spark.createDataFrame([(c, "W", "treatment", "T", 1.0, base + dt.timedelta(hours=3)) for c in range(5)],
+                                    "customer_id long, campaign_id string, group string, value_tier string, "
+                                    "coupon_value double, assigned_ts timestamp")
+        p = Params(as_of="2024-03-01", outcome_days=2)
+        kw = dict(window_start="2024-03-01", window_end="2024-04-01")
+        a1 = sorted(tuple(r) for r in outcomes.attribute_outcomes(asg, txns, None, p, **kw).collect())
+        monkeypatch.setattr(outcomes, "MAX_WINDOWS", 0)
+        a2 = sorted(tuple(r) for r in outcomes.attribute_outcomes(asg, txns, None, p, **kw).collect())
+        assert a1 == a2 and sum(r[5] for r in a1) == 5
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
