@@ -50,11 +50,12 @@ def sort_exprs(order: Sequence[str | tuple[str, bool]]) -> list[Column]:
     return [F.col(c).asc() if asc else F.col(c).desc() for c, asc in _norm_order(order)]
 
 
-def _not_before(order: list[tuple[str, bool]], bound: tuple) -> Column:
+def _not_before(order: list[tuple[str, bool]], bound: tuple, types: list[str] | None = None) -> Column:
     """Row is at or after ``bound`` in the (lexicographic, directed) order."""
     expr = None
-    for (c, asc), b in reversed(list(zip(order, bound))):
-        lit = F.lit(b)
+    types = types or [None] * len(order)
+    for (c, asc), b, t in reversed(list(zip(order, bound, types))):
+        lit = F.lit(b).cast(t) if t else F.lit(b)
         if expr is None:   # last key: at or after
             expr = (F.col(c) >= lit) if asc else (F.col(c) <= lit)
         else:
@@ -63,14 +64,14 @@ def _not_before(order: list[tuple[str, bool]], bound: tuple) -> Column:
     return expr
 
 
-def _bucket_expr(order: list[tuple[str, bool]], bounds: list[tuple]) -> Column:
+def _bucket_expr(order: list[tuple[str, bool]], bounds: list[tuple], types: list[str] | None = None) -> Column:
     """Number of bounds at or before the row: a balanced binary search, log2(k) tests per row."""
 
     def rec(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(_not_before(order, bounds[mid]), rec(mid + 1, hi)).otherwise(rec(lo, mid))
+        return F.when(_not_before(order, bounds[mid], types), rec(mid + 1, hi)).otherwise(rec(lo, mid))
 
     return rec(0, len(bounds))
 
@@ -94,7 +95,7 @@ def range_bounds(df: DataFrame, order: list[tuple[str, bool]], n_rows: int, k: i
     target = min(MAX_SAMPLE, SAMPLE_PER_BUCKET * k)
     frac = min(1.0, target / n_rows)
     cols = [c for c, _ in order]
-    sample = [tuple(r) for r in df.select(*cols).sample(False, frac, seed).collect()]
+    sample = [tuple(r) for r in df.select(*_sample_cols(df, cols)).sample(False, frac, seed).collect()]
     if len(sample) < 2:
         return []
     sample.sort(key=_cmp_tuples(order))
@@ -107,6 +108,20 @@ def range_bounds(df: DataFrame, order: list[tuple[str, bool]], n_rows: int, k: i
     return bounds
 
 
+_TIME_TYPES = ("timestamp", "timestamp_ntz", "date")
+
+
+def _sample_cols(df: DataFrame, cols: list[str]) -> list[Column]:
+    """Order keys for the bound sample; time keys as Spark-formatted strings (ISO order = time order)."""
+    return [F.col(c).cast("string").alias(c) if df.schema[c].dataType.simpleString() in _TIME_TYPES else F.col(c)
+            for c in cols]
+
+
+def _literal_types(df: DataFrame, cols: list[str]) -> list[str | None]:
+    return [df.schema[c].dataType.simpleString() if df.schema[c].dataType.simpleString() in _TIME_TYPES else None
+            for c in cols]
+
+
 def n_buckets(n_rows: int, rows_per_bucket: int) -> int:
     return max(1, min(MAX_BUCKETS, math.ceil(n_rows / max(1, rows_per_bucket))))
 
@@ -143,7 +158,7 @@ def prefix_sum(df: DataFrame, order: Sequence[str | tuple[str, bool]],
         bounds = range_bounds(base, order_n, n, k, seed)
         if not bounds:
             return _single_bucket(base, order_n, exprs, part, row_number, count_col, totals)
-        bucketed = base.withColumn(BUCKET, _bucket_expr(order_n, bounds))
+        bucketed = base.withColumn(BUCKET, _bucket_expr(order_n, bounds, _literal_types(base, [c for c, _ in order_n])))
 
     per_bucket = bucketed.groupBy(*part, BUCKET).agg(
         F.count(F.lit(1)).alias("_c_cnt"),

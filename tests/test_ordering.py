@@ -66,3 +66,14 @@ def test_exact_quantile_matches_pandas(spark):
     for p in (0.0, 0.1, 0.5, 0.9, 1.0):
         got = exact_quantile(df, "v", p, "id", rows_per_bucket=100).first()["q"]
         assert got == pytest.approx(float(pdf["v"].quantile(p)))
+
+
+def test_timestamp_order_key_multi_bucket(spark):
+    import datetime as dt
+
+    base = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(i, base + dt.timedelta(minutes=(i * 7919) % 5000)) for i in range(1500)],
+                               "id long, t timestamp_ntz")
+    got = {r["id"]: r["row_idx"] for r in global_rank(df, [("t", True), ("id", True)], rows_per_bucket=100).collect()}
+    exp = {r["id"]: r["r"] for r in df.select("id", F.row_number().over(Window.orderBy("t", "id")).alias("r")).collect()}
+    assert got == exp
