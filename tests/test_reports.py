@@ -43,3 +43,14 @@ def test_next_version(spark):
     assert runs.next_version(None) == 1
     df = spark.createDataFrame([(1,), (3,)], "version int")
     assert runs.next_version(df) == 4
+
+
+def test_optimisation_page(spark):
+    from liftlens.operators import lift as lift_ops
+
+    tb = TestBed(spark, SF_SMALL)
+    lift_table = lift_ops.incremental_lift(tb.learning_outcomes, tb.p)
+    page = reports.optimisation_page(tb.scored(), lift_table, tb.p, budget=1_000_000.0, margin_rate=0.4)
+    a = page["allocation"].first()
+    assert 0 < a["customers_offered"] and a["expected_spend"] <= 1_000_000.0
+    assert page["latest_lift"].first()["campaign_id"] == "WAVE_01_LEARNING"
