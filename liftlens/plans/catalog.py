@@ -476,6 +476,18 @@ def _prefix_sum(tb: TestBed) -> DataFrame:
 CHAMPION_SCORERS = ((1, "SCORE"), (2, "SCORE_B"), (3, "SCORE_C"))
 
 
+@query("cluster_vectors")
+def _cluster_vectors(tb: TestBed) -> DataFrame:
+    """M1: the six clustering features of every known customer, nulls to 0, log1p on money,
+    standardised by the population std (one column per vector element)."""
+    from pyspark.ml.functions import vector_to_array
+
+    from liftlens.params import CLUSTER_FEATURES
+
+    v = segments.cluster_vectors(tb.features).withColumn("_a", vector_to_array("features"))
+    return v.select("customer_id", *[F.col("_a")[i].alias(f"z_{c}") for i, c in enumerate(CLUSTER_FEATURES)])
+
+
 @query("kmeans_segments")
 def _kmeans(tb: TestBed) -> DataFrame:
     """M1 + M3 + A3 + W6: k-means segments (k = n_segments) with value tiers (rows-only check)."""

@@ -427,6 +427,17 @@ SELECT m.vec_id, m.label, CAST(b.centre_id AS INTEGER) AS centre_id FROM embeddi
                outcomes("oc", "asg", "2024-01-15", hi_days=1)]
     q["event_outcomes"] = final(with_(*ev_ctes) + "SELECT * FROM oc", ["coupon_value", "spend"])
     q["event_lift"] = final(with_(*ev_ctes) + lift_sql("oc", "2024-01-16", coupon=5.0), LIFT_DOUBLES)
+    cl = ["recency_days", "frequency_per_month", "monetary_per_month", "avg_basket_value", "category_diversity",
+          "avg_items"]
+    logs = {"monetary_per_month", "avg_basket_value"}
+    xs = ", ".join((f"ln(1 + COALESCE(CAST({c} AS DOUBLE), 0.0)) AS {c}" if c in logs
+                    else f"COALESCE(CAST({c} AS DOUBLE), 0.0) AS {c}") for c in cl)
+    st = ", ".join(f"AVG({c}) AS m_{c}, STDDEV_POP({c}) AS s_{c}" for c in cl)
+    zs = ", ".join(f"(x.{c} - st.m_{c}) / (CASE WHEN st.s_{c} = 0 OR st.s_{c} IS NULL THEN 1.0 ELSE st.s_{c} END) "
+                   f"AS z_{c}" for c in cl)
+    q["cluster_vectors"] = final(with_(*BASE, feat("f", AS_OF), f"x AS (SELECT customer_id, {xs} FROM f)",
+                                       f"st AS (SELECT {st} FROM x)") + f"SELECT x.customer_id, {zs} FROM x, st",
+                                 [f"z_{c}" for c in cl])
     q["recent_offers"] = with_(*BASE, feat("f", AS_OF), *ledger_ctes(), CAPPED) + "SELECT * FROM capped"
     q["frequency_cap"] = final(with_(*sc, *ledger_ctes(), CAPPED, econ("e", "scored"),
                                      ranked("rk", "e WHERE exp_incr_margin > exp_cost "
