@@ -42,25 +42,38 @@ def cluster_vectors(features: DataFrame, cols: Sequence[str] = CLUSTER_FEATURES,
     return VectorAssembler(inputCols=list(cols), outputCol=VECTOR).transform(scaled).select(id_col, VECTOR)
 
 
-def fit_kmeans(vectors: DataFrame, k: int, restarts: int, seed: int, max_iter: int = 20,
-               parallelism: int = 8) -> KMeansModel:
-    """Best of ``restarts`` k-means|| fits (seeds seed..seed+restarts-1) by training cost.
+def _fit(vectors: DataFrame, k: int, seed: int, max_iter: int) -> KMeansModel:
+    return KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol=VECTOR, predictionCol="segment_id").fit(vectors)
+
 
-    The restarts are independent Spark jobs over the same cached vectors and
-    are submitted from ``parallelism`` driver threads, as ``CrossValidator``
-    does for its folds; the winner (lowest cost, then lowest seed) does not
-    depend on the thread count.
+def fit_best(vectors: DataFrame, ks: Sequence[int], restarts: int, seed: int, max_iter: int = 20,
+             parallelism: int = 8) -> dict[int, KMeansModel]:
+    """For each k, the best of ``restarts`` k-means|| fits (seeds seed..seed+restarts-1) by training cost.
+
+    All (k, restart) fits are independent Spark jobs over the same cached vectors and are submitted
+    from ``parallelism`` driver threads (as ``CrossValidator`` does); the winner per k (lowest cost,
+    then lowest seed) does not depend on the thread count.
     """
+    jobs = [(k, i) for k in ks for i in range(max(1, restarts))]
+
+    def run(job: tuple[int, int]) -> tuple[int, float, int, KMeansModel]:
+        k, i = job
+        m = _fit(vectors, k, seed + i, max_iter)
+        return k, m.summary.trainingCost, i, m
 
-    def fit(i: int) -> tuple[float, int, KMeansModel]:
-        m = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol=VECTOR,
-                   predictionCol="segment_id").fit(vectors)
-        return m.summary.trainingCost, i, m
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(jobs)))) as pool:
+        results = list(pool.map(run, jobs))
+    best: dict[int, tuple[float, int, KMeansModel]] = {}
+    for k, cost, i, m in results:
+        if k not in best or (cost, i) < best[k][:2]:
+            best[k] = (cost, i, m)
+    return {k: v[2] for k, v in best.items()}
 
-    n = max(1, restarts)
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, n))) as pool:
-        results = list(pool.map(fit, range(n)))
-    return min(results, key=lambda r: (r[0], r[1]))[2]
+
+def fit_kmeans(vectors: DataFrame, k: int, restarts: int, seed: int, max_iter: int = 20,
+               parallelism: int = 8) -> KMeansModel:
+    """Best of ``restarts`` k-means|| fits for one k (see :func:`fit_best`)."""
+    return fit_best(vectors, [k], restarts, seed, max_iter, parallelism)[k]
 
 
 SELECTION_SAMPLE = 5000  # rows used to choose k (fixed value of the reference)
@@ -81,12 +94,15 @@ def choose_k(vectors: DataFrame, params: Params) -> tuple[int, DataFrame]:
     evaluator = ClusteringEvaluator(featuresCol=VECTOR, predictionCol="segment_id",
                                     distanceMeasure="squaredEuclidean")
     sample = selection_sample(vectors, seed=params.seed).persist()
-    rows = []
     try:
-        for k in params.k_range:
-            model = fit_kmeans(sample, k, params.kmeans_restarts, params.seed)
-            sil = evaluator.evaluate(model.transform(sample))
-            rows.append((int(k), float(sil), float(model.summary.trainingCost)))
+        models = fit_best(sample, params.k_range, params.kmeans_restarts, params.seed)
+
+        def score(k: int) -> tuple[int, float, float]:
+            m = models[k]
+            return int(k), float(evaluator.evaluate(m.transform(sample))), float(m.summary.trainingCost)
+
+        with ThreadPoolExecutor(max_workers=max(1, len(models))) as pool:
+            rows = sorted(pool.map(score, list(models)))
     finally:
         sample.unpersist()
     best = max(rows, key=lambda r: r[1])[0] if rows else params.n_segments
