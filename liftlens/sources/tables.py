@@ -1,4 +1,5 @@
-"""IO1-IO6: named tables under one warehouse root, stored as Parquet.
+"""IO1-IO6: named tables under one warehouse root, stored as Parquet (or another file-based
+format Spark can write with the same options, e.g. ``fmt="delta"`` when its jars are on the classpath).
 
 * ``read_table``       - whole-table scan by name (filters and projections on
                          the returned frame push down to the Parquet scan and,
@@ -56,6 +57,7 @@ class TableStore:
     root: str
     database: str | None = None
     buckets: int = 0
+    fmt: str = "parquet"
 
     def path(self, name: str) -> str:
         return os.path.join(self.root, name)
@@ -80,10 +82,10 @@ class TableStore:
         t = self._catalog_table(name)
         if t:
             return self.spark.table(t)
-        reader = self.spark.read
+        reader = self.spark.read.format(self.fmt)
         if merge_schema:
             reader = reader.option("mergeSchema", "true")
-        return reader.parquet(self.path(name))
+        return reader.load(self.path(name))
 
     # IO2
     def write_overwrite(self, df: DataFrame, name: str, schema: T.StructType | None = None,
@@ -91,24 +93,24 @@ class TableStore:
         out = conform(df, schema)
         if bucket_by and self.buckets > 0 and self.database:
             ensure_schema(self.spark, self.database)
-            (out.write.mode("overwrite").format("parquet")
+            (out.write.mode("overwrite").format(self.fmt)
                 .bucketBy(self.buckets, bucket_by).sortBy(bucket_by)
                 .option("path", self.path(name))
                 .saveAsTable(self.table_name(name)))
             return
-        out.write.mode("overwrite").parquet(self.path(name))
+        out.write.mode("overwrite").format(self.fmt).save(self.path(name))
 
     # IO3
     def write_wave(self, df: DataFrame, name: str, schema: T.StructType | None = None) -> None:
         out = conform(df, schema)
-        (out.write.mode("overwrite")
+        (out.write.mode("overwrite").format(self.fmt)
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("campaign_id")
-            .parquet(self.path(name)))
+            .save(self.path(name)))
 
     # IO4
     def append_evolving(self, df: DataFrame, name: str) -> None:
-        df.write.mode("append").parquet(self.path(name))
+        df.write.mode("append").format(self.fmt).option("mergeSchema", "true").save(self.path(name))
 
     # IO5
     def publish_snapshot(self, df: DataFrame, name: str = "customer_features_fs",
@@ -121,10 +123,10 @@ class TableStore:
             # The merged rows are cut from the files they came from before those
             # partitions are replaced.
             new = self.detach(merge_by_key(new, in_touched, keys))
-        (new.write.mode("overwrite")
+        (new.write.mode("overwrite").format(self.fmt)
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(SNAPSHOT_PARTITION)
-            .parquet(self.path(name)))
+            .save(self.path(name)))
 
     def detach(self, df: DataFrame) -> DataFrame:
         """``df`` with no lineage into this store's files, so it may overwrite them.
@@ -135,7 +137,7 @@ class TableStore:
         if self.spark.sparkContext.getCheckpointDir():
             return df.checkpoint(eager=True)
         path = self.path(f"_staging/{uuid.uuid4().hex}")
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(path)       # private staging copy, always Parquet
         return self.spark.read.parquet(path)
 
     def read_snapshots(self, name: str = "customer_features_fs") -> DataFrame:
