@@ -37,7 +37,7 @@ def _interval_index(col: Column, points: list, type_name: str) -> Column:
         mid = (lo + hi) // 2
         return F.when(col >= F.lit(points[mid]).cast(type_name), rec(mid + 1, hi)).otherwise(rec(lo, mid))
 
-    return rec(0, len(points))
+    return F.when(col.isNotNull(), rec(0, len(points)))
 
 
 def _events(txns: DataFrame, redemptions: DataFrame | None, lo: Column, hi: Column) -> DataFrame:
@@ -106,7 +106,8 @@ def _by_interval(events: DataFrame, a: DataFrame, bounds: list, days: int, ts_ty
     # [s, s + days) starts and ends on points, so it covers k = idx(s) .. idx(s + days) - 1.
     first = _interval_index(F.col("assigned_ts"), points, type_name)
     last = _interval_index(ts_plus_days(F.col("assigned_ts"), days), points, type_name) - 1
-    spans = a.withColumn("_iv", F.explode(F.sequence(first, last)))
+    spans = (a.filter(F.col("assigned_ts").isNotNull())          # no window, no purchases
+             .withColumn("_iv", F.explode(F.sequence(first, last))))
     return (spans.join(ev, ["customer_id", "_iv"], "inner")
             .groupBy("campaign_id", "customer_id")
             .agg(F.sum("_n").alias("_n_sales"), F.sum("_s").alias("_spend"), F.max("_r").alias("_any_redemption")))

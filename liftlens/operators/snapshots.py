@@ -70,7 +70,7 @@ def _run_index(col: Column, runs: list, type_name: str) -> Column:
         mid = (lo + hi) // 2
         return F.when(col >= lit(runs[mid]), rec(mid + 1, hi)).otherwise(rec(lo, mid))
 
-    return rec(0, len(runs))
+    return F.when(col.isNotNull(), rec(0, len(runs)))
 
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int) -> list:
@@ -103,7 +103,7 @@ def asof_features(events: DataFrame, snapshots: DataFrame, *, event_ts: str, key
         return events.join(snaps, cond, "left").drop("_k", "_valid_to")
     type_name = snaps.schema[ts_col].dataType.simpleString()
     n_runs = len(runs)
-    idx = snaps.withColumn("_i", _run_index(F.col(ts_col), runs, type_name))
+    idx = snaps.filter(F.col(ts_col).isNotNull()).withColumn("_i", _run_index(F.col(ts_col), runs, type_name))
     span = (idx.withColumn("_next", F.coalesce(F.lead("_i").over(Window.partitionBy(key).orderBy("_i")),
                                                  F.lit(n_runs)))
             .withColumn("_r", F.explode(F.sequence(F.col("_i"), F.col("_next") - 1)))

@@ -147,3 +147,21 @@ def test_asof_customer_missing_from_a_run(spark, method):
                                "eid long, customer_id long, ts timestamp_ntz")
     got = {r["eid"]: r["v"] for r in snapshots.asof_features(ev, snaps, event_ts="ts", method=method).collect()}
     assert got == {1: "x", 2: "z", 3: None, 4: "c", 5: None}
+
+
+def test_null_timestamps_match_nothing(spark):
+    from liftlens.operators import outcomes
+
+    d = lambda x: dt.datetime(2024, 1, x)
+    snaps = spark.createDataFrame([(1, d(5), "a"), (1, None, "n")], "customer_id long, feature_ts timestamp_ntz, v string")
+    ev = spark.createDataFrame([(1, 1, d(10)), (2, 1, None)], "eid long, customer_id long, ts timestamp_ntz")
+    got = {r["eid"]: r["v"] for r in snapshots.asof_features(ev, snaps, event_ts="ts").collect()}
+    assert got == {1: "a", 2: None}
+    txns = spark.createDataFrame([(1, d(2), 5.0), (1, d(20), 7.0)], "customer_id long, txn_date timestamp_ntz, amount double")
+    asg = spark.createDataFrame([(1, "W", "treatment", "T", 1.0, None), (2, "W", "treatment", "T", 1.0, d(15))],
+                                "customer_id long, campaign_id string, group string, value_tier string, "
+                                "coupon_value double, assigned_ts timestamp_ntz")
+    out = {r["customer_id"]: (r["purchased"], r["spend"]) for r in
+           outcomes.attribute_outcomes(asg, txns, None, Params(as_of="2024-01-01", outcome_days=10),
+                                       window_end="2024-02-01").collect()}
+    assert out == {1: (0, 0.0), 2: (0, 0.0)}
