@@ -7,7 +7,12 @@ from pyspark.sql import DataFrame
 
 
 def has_checkpoint_dir(df: DataFrame) -> bool:
-    return bool(df.sparkSession.sparkContext.getCheckpointDir())
+    """Whether the session names a (shared) checkpoint folder."""
+    spark = df.sparkSession
+    try:
+        return bool(spark.sparkContext.getCheckpointDir())
+    except Exception:  # noqa: BLE001  (sessions without a SparkContext handle, e.g. Spark Connect)
+        return bool(spark.conf.get("spark.checkpoint.dir", None))
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from liftlens.functions.lineage import has_checkpoint_dir
+
 SNAPSHOT_PARTITION = "snapshot_date"
 
 
@@ -72,8 +74,15 @@ class TableStore:
     def exists(self, name: str) -> bool:
         if self._catalog_table(name):
             return True
-        jvm = self.spark.sparkContext._jvm
-        jsc = self.spark.sparkContext._jsc
+        try:
+            jvm = self.spark.sparkContext._jvm
+            jsc = self.spark.sparkContext._jsc
+        except Exception:  # noqa: BLE001  (no JVM handle, e.g. Spark Connect): probe by reading
+            try:
+                self.spark.read.format(self.fmt).load(self.path(name)).schema
+                return True
+            except Exception:  # noqa: BLE001
+                return False
         p = jvm.org.apache.hadoop.fs.Path(self.path(name))
         return p.getFileSystem(jsc.hadoopConfiguration()).exists(p)
 
@@ -134,7 +143,7 @@ class TableStore:
         A reliable checkpoint in ``spark.checkpoint.dir`` when the cluster names
         one, else a staged copy written under ``<root>/_staging``.
         """
-        if self.spark.sparkContext.getCheckpointDir():
+        if has_checkpoint_dir(df):
             return df.checkpoint(eager=True)
         path = self.path(f"_staging/{uuid.uuid4().hex}")
         df.write.mode("overwrite").parquet(path)       # private staging copy, always Parquet
