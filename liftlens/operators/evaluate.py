@@ -106,7 +106,8 @@ def top_bottom_lift(lift_by_decile: DataFrame, top: int = 9, bottom: int = 0,
 
 def score_summary(scores: DataFrame, *, score: str = "uplift_score", id_col: str = "customer_id",
                   q: float = 0.9, rows_per_bucket: int = 1_000_000) -> DataFrame:
-    """Count, mean, sample std, min, max, share > 0 and the exact (interpolated) q-quantile.
+    """Count, mean, sample std, min, quartiles, max (``describe``), share > 0 and the exact
+    (interpolated) q-quantile.
 
     The quantile is found by rank (W0) and not by ``percentile``, whose
     global buffer would hold every value in one task.
@@ -121,6 +122,9 @@ def score_summary(scores: DataFrame, *, score: str = "uplift_score", id_col: str
         F.min(score).alias("min_uplift"),
         F.max(score).alias("max_uplift"),
         F.avg((F.col(score) > 0).cast("double")).alias("share_positive"),
+        quantile_agg(score, "_r", "_n", 0.25).alias("p25_uplift"),
+        quantile_agg(score, "_r", "_n", 0.5).alias("p50_uplift"),
+        quantile_agg(score, "_r", "_n", 0.75).alias("p75_uplift"),
         quantile_agg(score, "_r", "_n", q).alias("p90_uplift"),
     )
 

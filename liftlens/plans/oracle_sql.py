@@ -374,9 +374,10 @@ SELECT m.vec_id, m.label, CAST(b.centre_id AS INTEGER) AS centre_id FROM embeddi
     q["score_summary"] = final(with_(*sc) + """SELECT COUNT(uplift_score) AS n, AVG(uplift_score) AS mean_uplift,
   STDDEV_SAMP(uplift_score) AS std_uplift, MIN(uplift_score) AS min_uplift, MAX(uplift_score) AS max_uplift,
   AVG(CASE WHEN uplift_score > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS share_positive,
-  QUANTILE_CONT(uplift_score, 0.9) AS p90_uplift FROM scored""",
+  QUANTILE_CONT(uplift_score, 0.25) AS p25_uplift, QUANTILE_CONT(uplift_score, 0.5) AS p50_uplift,
+  QUANTILE_CONT(uplift_score, 0.75) AS p75_uplift, QUANTILE_CONT(uplift_score, 0.9) AS p90_uplift FROM scored""",
                                ["mean_uplift", "std_uplift", "min_uplift", "max_uplift", "share_positive",
-                                "p90_uplift"])
+                                "p25_uplift", "p50_uplift", "p75_uplift", "p90_uplift"])
     q["score_histogram"] = final(with_(*sc, """b AS (SELECT MIN(uplift_score) AS lo, MAX(uplift_score) AS hi
   FROM scored)""") + """SELECT bin, lo + (bin - 1) * ((hi - lo) / 40) AS bin_lo, lo + bin * ((hi - lo) / 40) AS bin_hi,
   n FROM (SELECT CAST(CASE WHEN hi > lo THEN LEAST(FLOOR((uplift_score - lo) * 40 / (hi - lo)) + 1, 40) ELSE 1 END
