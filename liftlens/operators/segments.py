@@ -10,6 +10,7 @@ ranks them and the broadcast that applies them are bounded by k.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -23,30 +24,40 @@ from liftlens.functions.lineage import materialize
 from liftlens.params import CLUSTER_FEATURES, LOG_FEATURES, TIER_LABELS, Params
 
 VECTOR = "features"
+# Cached dense vectors per partition: ~10 doubles a row, so about 50 MB. Every k-means iteration is
+# one job over all partitions; a row-count bound keeps tiny inputs from paying for idle tasks and
+# still splits a billion customers into ~2,000 partitions.
+ROWS_PER_VECTOR_PARTITION = 500_000
 
 
 # M1
 def cluster_vectors(features: DataFrame, cols: Sequence[str] = CLUSTER_FEATURES,
-                    log_cols: Sequence[str] = LOG_FEATURES, id_col: str = "customer_id") -> DataFrame:
+                    log_cols: Sequence[str] = LOG_FEATURES, id_col: str = "customer_id",
+                    rows_per_partition: int = ROWS_PER_VECTOR_PARTITION) -> DataFrame:
     """Nulls to 0, log1p on the skewed money columns, standardised by the population std
-    (as scikit-learn's scaler; a zero std leaves the centred value), assembled to ``features``."""
+    (as scikit-learn's scaler; a zero std leaves the centred value), assembled to ``features``.
+
+    The output has ``ceil(rows / rows_per_partition)`` partitions at most (a narrow coalesce,
+    no shuffle); the row count comes from the same aggregate as the scaling statistics."""
     x = features.select(id_col, *[
         (F.log1p(F.coalesce(F.col(c).cast("double"), F.lit(0.0))) if c in log_cols
          else F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(c)
         for c in cols])
-    stats = x.agg(*[F.avg(c).alias(f"m_{c}") for c in cols],
+    stats = x.agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(f"m_{c}") for c in cols],
                   *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()  # one row of 2 * len(cols)
     scaled = x.select(id_col, *[
         ((F.col(c) - F.lit(stats[f"m_{c}"] or 0.0))
          / F.lit(stats[f"s_{c}"] if stats[f"s_{c}"] else 1.0)).alias(c) for c in cols])
-    return VectorAssembler(inputCols=list(cols), outputCol=VECTOR).transform(scaled).select(id_col, VECTOR)
+    parts = max(1, math.ceil((stats["_n"] or 0) / max(1, rows_per_partition)))
+    return (VectorAssembler(inputCols=list(cols), outputCol=VECTOR).transform(scaled)
+            .select(id_col, VECTOR).coalesce(parts))
 
 
 def _fit(vectors: DataFrame, k: int, seed: int, max_iter: int) -> KMeansModel:
     return KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol=VECTOR, predictionCol="segment_id").fit(vectors)
 
 
-def fit_best(vectors: DataFrame, ks: Sequence[int], restarts: int, seed: int, max_iter: int = 20,
+def fit_best(vectors: DataFrame, ks: Sequence[int], restarts: int, seed: int, max_iter: int = 300,
              parallelism: int = 8) -> dict[int, KMeansModel]:
     """For each k, the best of ``restarts`` k-means|| fits (seeds seed..seed+restarts-1) by training cost.
 
@@ -70,7 +81,7 @@ def fit_best(vectors: DataFrame, ks: Sequence[int], restarts: int, seed: int, ma
     return {k: v[2] for k, v in best.items()}
 
 
-def fit_kmeans(vectors: DataFrame, k: int, restarts: int, seed: int, max_iter: int = 20,
+def fit_kmeans(vectors: DataFrame, k: int, restarts: int, seed: int, max_iter: int = 300,
                parallelism: int = 8) -> KMeansModel:
     """Best of ``restarts`` k-means|| fits for one k (see :func:`fit_best`)."""
     return fit_best(vectors, [k], restarts, seed, max_iter, parallelism)[k]
@@ -95,7 +106,7 @@ def choose_k(vectors: DataFrame, params: Params) -> tuple[int, DataFrame]:
                                     distanceMeasure="squaredEuclidean")
     sample = selection_sample(vectors, seed=params.seed).persist()
     try:
-        models = fit_best(sample, params.k_range, params.kmeans_restarts, params.seed)
+        models = fit_best(sample, params.k_range, params.kmeans_restarts, params.seed, params.kmeans_max_iter)
 
         def score(k: int) -> tuple[int, float, float]:
             m = models[k]
@@ -115,7 +126,7 @@ def choose_k(vectors: DataFrame, params: Params) -> tuple[int, DataFrame]:
 # M3
 def fit_segments(vectors: DataFrame, k: int, params: Params) -> DataFrame:
     """Final k-means (``final_restarts`` restarts, all rows): customer_id, segment_id."""
-    model = fit_kmeans(vectors, k, params.final_restarts, params.seed)
+    model = fit_kmeans(vectors, k, params.final_restarts, params.seed, params.kmeans_max_iter)
     return model.transform(vectors).select("customer_id", F.col("segment_id").cast("int"))
 
 

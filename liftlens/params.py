@@ -75,6 +75,7 @@ class Params:
     k_range: tuple[int, ...] = (3, 4, 5, 6)
     kmeans_restarts: int = 10
     final_restarts: int = 20
+    kmeans_max_iter: int = 300            # iterations per k-means fit (scikit-learn's default)
     min_history_txns: int = MIN_HISTORY_TXNS
     treatment_fraction: float = 0.80
     coupon_value: float = 5.0
