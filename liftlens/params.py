@@ -90,8 +90,8 @@ class Params:
     hash_kind: str = "md5"                # "md5" (portable) or "murmur3" (the reference's)
     spend_is_net: bool = False            # add redeemed coupon value back before the lift
     cap_stage: str = "before"             # apply the frequency cap "before" or "after" allocation
-    gbt_iters: int = 20
-    gbt_depth: int = 3
+    gbt_iters: int = 100                  # boosting rounds, depth and step: scikit-learn's defaults,
+    gbt_depth: int = 3                    # which the reference keeps
     gbt_step: float = 0.1
     rows_per_bucket: int = 1_000_000      # target rows per range bucket of a global running order
     money_scale: int = 6                  # decimal scale of running money sums
