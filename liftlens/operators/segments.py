@@ -130,6 +130,9 @@ def fit_segments(vectors: DataFrame, k: int, params: Params) -> DataFrame:
     return model.transform(vectors).select("customer_id", F.col("segment_id").cast("int"))
 
 
+MAX_CENTRES = 256  # literal centres per expression; more belong in a model, not in a plan
+
+
 # M4
 def assign_nearest(df: DataFrame, vec_col: str, centres: Mapping[int, Sequence[float]],
                    out_col: str = "centre_id") -> DataFrame:
@@ -138,6 +141,8 @@ def assign_nearest(df: DataFrame, vec_col: str, centres: Mapping[int, Sequence[f
     The centres (k x dim, bounded) are literals; each row computes its k
     distances with array expressions, so there is no join and no shuffle.
     """
+    if not 0 < len(centres) <= MAX_CENTRES:
+        raise ValueError(f"assign_nearest takes 1..{MAX_CENTRES} centres, got {len(centres)}")
     cands = []
     for cid, c in sorted(centres.items()):
         lits = F.array(*[F.lit(float(v)) for v in c])

@@ -137,7 +137,7 @@ def _assign_nearest(tb: TestBed) -> DataFrame:
     dim = emb.agg(F.max(F.size("embedding"))).first()[0] or 0
     cent = (emb.groupBy("label")
             .agg(*[F.avg(F.col("embedding")[i]).alias(f"c{i}") for i in range(dim)])
-            .collect())  # k x dim centres: bounded by the number of labels
+            .limit(segments.MAX_CENTRES + 1).collect())  # k x dim centres; more than the bound is refused
     centres = {int(r["label"]): [r[f"c{i}"] for i in range(dim)] for r in cent}
     return segments.assign_nearest(emb, "embedding", centres).select("vec_id", "label", "centre_id")
 
