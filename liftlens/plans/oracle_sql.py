@@ -40,6 +40,46 @@ def md5_u32(expr: str, salt: str | None) -> str:
     return f"(('0x' || substr(md5({s}), 1, 8))::BIGINT)"
 
 
+U32 = 4294967296
+
+
+def _mul32(x: str, c: int) -> str:
+    return f"((({x})::HUGEINT * {c}) % {U32})::BIGINT"
+
+
+def _rotl32(x: str, r: int) -> str:
+    return f"(((({x}) << {r}) | (({x}) >> {32 - r})) & {U32 - 1})"
+
+
+def _byte(hx: str, i: str) -> str:
+    return f"(('0x' || substr({hx}, 2 * ({i}) + 1, 2))::BIGINT)"
+
+
+def spark_hash(s: str) -> str:
+    """Spark's ``hash`` of a string: Murmur3 x86 32-bit, seed 42, over the UTF-8 bytes; whole 4-byte
+    little-endian words first, then each trailing byte (sign-extended) on its own, then the finaliser.
+    Written with list lambdas, 32-bit arithmetic done in BIGINT/HUGEINT modulo 2^32."""
+    hx = f"hex({s})"
+    n = f"(length({hx}) // 2)"
+    words = (f"list_transform(range({n} // 4), lambda w: {_byte(hx, '4 * w')} + {_byte(hx, '4 * w + 1')} * 256"
+             f" + {_byte(hx, '4 * w + 2')} * 65536 + {_byte(hx, '4 * w + 3')} * 16777216)")
+    tail = (f"list_transform(range(({n} // 4) * 4, {n}), lambda i: CASE WHEN {_byte(hx, 'i')} >= 128"
+            f" THEN {_byte(hx, 'i')} + {U32 - 256} ELSE {_byte(hx, 'i')} END)")
+    k1 = (f"list_transform(list_transform(list_concat({words}, {tail}), lambda x: {_mul32('x', 0xcc9e2d51)}),"
+          f" lambda y: {_mul32(_rotl32('y', 15), 0x1b873593)})")
+    h = (f"list_reduce(list_concat([42::BIGINT], {k1}),"
+         f" lambda h, k: ({_rotl32('xor(h, k)', 13)} * 5 + {0xe6546b64}) % {U32})")
+    f1 = f"list_transform([xor({h}, {n})], lambda a: {_mul32('xor(a, a >> 16)', 0x85ebca6b)})[1]"
+    f2 = f"list_transform([{f1}], lambda b: {_mul32('xor(b, b >> 13)', 0xc2b2ae35)})[1]"
+    f3 = f"list_transform([{f2}], lambda c: xor(c, c >> 16))[1]"
+    return f"list_transform([{f3}], lambda d: CASE WHEN d >= {U32 // 2} THEN d - {U32} ELSE d END)[1]"
+
+
+def murmur_bucket(expr: str, salt: str | None) -> str:
+    s = f"'{salt}::' || CAST({expr} AS VARCHAR)" if salt else f"CAST({expr} AS VARCHAR)"
+    return f"(abs({spark_hash(s)}) % 100000)"
+
+
 def score_expr(col: str = "customer_id", salt: str = "SCORE") -> str:
     return f"(({md5_bucket(col, salt)} - 30000) / 100000.0::DOUBLE)"
 
@@ -90,8 +130,8 @@ def seg(name: str, feat_name: str) -> str:
   WHEN 2 THEN 'Medium Value' ELSE 'Low Value' END AS value_tier FROM {name}_r)"""
 
 
-def assign(name: str, seg_name: str, campaign: str, as_of: str, coupon: float = COUPON) -> str:
-    u = f"({md5_bucket('customer_id', campaign)} / 100000.0::DOUBLE)"
+def assign(name: str, seg_name: str, campaign: str, as_of: str, coupon: float = COUPON, bucket=md5_bucket) -> str:
+    u = f"({bucket('customer_id', campaign)} / 100000.0::DOUBLE)"
     return f"""{name} AS (SELECT customer_id, segment_id, value_tier,
   CASE WHEN {u} < 0.8::DOUBLE THEN 'treatment' ELSE 'holdout' END AS "group",
   '{campaign}' AS campaign_id,
@@ -310,6 +350,9 @@ SELECT m.vec_id, m.label, CAST(b.centre_id AS INTEGER) AS centre_id FROM embeddi
     q["eligible_by_tier"] = with_(*BASE, feat("f", AS_OF), seg("s", "f")) + \
         "SELECT customer_id, segment_id, value_tier FROM s WHERE value_tier IN ('High Value', 'Medium-High Value')"
     q["assign_groups_md5"] = final(with_(*WAVE1) + "SELECT * FROM asg", ["coupon_value"])
+    q["murmur_groups"] = final(with_(*BASE, feat("f", AS_OF), seg("s", "f"),
+                                     assign("asg", "s", LEARNING_WAVE, AS_OF, bucket=murmur_bucket))
+                               + "SELECT * FROM asg", ["coupon_value"])
     h = md5_u32("customer_id", LEARNING_WAVE)
     q["assign_groups_exact"] = final(with_(*BASE, feat("f", AS_OF), seg("s", "f"), f"""rk AS (SELECT *,
   ROW_NUMBER() OVER (PARTITION BY value_tier ORDER BY {h}, customer_id) AS r,
