@@ -30,3 +30,23 @@ def test_vector_partitions_follow_row_bound(spark):
         v = segments.cluster_vectors(tb.features, rows_per_partition=rpp)
         assert v.rdd.getNumPartitions() <= -(-n // rpp)
         assert v.count() == n
+
+
+def test_converged_centres_are_segment_means(spark):
+    import numpy as np
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import functions as F
+
+    tb = TestBed(spark, SF_SMALL)
+    vectors = segments.cluster_vectors(tb.features).persist()
+    try:
+        model = segments.fit_kmeans(vectors, 4, 2, 42, tb.p.kmeans_max_iter)
+        dim = len(model.clusterCenters()[0])
+        means = (model.transform(vectors).withColumn("_a", vector_to_array(segments.VECTOR))
+                 .groupBy("segment_id").agg(*[F.avg(F.col("_a")[i]).alias(f"m{i}") for i in range(dim)])
+                 .collect())
+        for r in means:
+            centre = model.clusterCenters()[r["segment_id"]]
+            assert np.allclose([r[f"m{i}"] for i in range(dim)], centre, atol=1e-3)
+    finally:
+        vectors.unpersist()
