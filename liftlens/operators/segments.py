@@ -196,7 +196,10 @@ def tier_lookup(df: DataFrame, mapping: Mapping[str, float], default: float, out
 
 def segment_customers(features: DataFrame, params: Params, k: int | None = None) -> tuple[DataFrame, DataFrame]:
     """M1-M3 + A3 + W6: (segments customer_id/segment_id/value_tier, the k-selection frame)."""
-    vectors = cluster_vectors(features).persist()
+    # Checkpointed (lineage cut at the shared folder) and cached on top: the restarts make hundreds of
+    # passes, and a lost executor's partitions are re-read from the checkpoint, not recomputed from
+    # the feature joins and shuffles.
+    vectors = materialize(cluster_vectors(features)).persist()
     try:
         if k is None:
             k, frame = choose_k(vectors, params)
