@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+STAGE_FOLDER = "liftlens-staged"
 
 
 def has_checkpoint_dir(df: DataFrame) -> bool:
@@ -15,14 +20,47 @@ def has_checkpoint_dir(df: DataFrame) -> bool:
         return bool(spark.conf.get("spark.checkpoint.dir", None))
 
 
+def _checkpoint_dir(df: DataFrame) -> str | None:
+    spark = df.sparkSession
+    try:
+        d = spark.sparkContext.getCheckpointDir()
+    except Exception:  # noqa: BLE001
+        d = None
+    return d or spark.conf.get("spark.checkpoint.dir", None)
+
+
+def _parquet_ok(dt: T.DataType) -> bool:
+    """Whether a column type survives a Parquet round trip (void and interval columns do not)."""
+    if isinstance(dt, (T.NullType, T.CalendarIntervalType, T.DayTimeIntervalType, T.YearMonthIntervalType)):
+        return False
+    if isinstance(dt, T.StructType):
+        return all(_parquet_ok(f.dataType) for f in dt.fields)
+    if isinstance(dt, T.ArrayType):
+        return _parquet_ok(dt.elementType)
+    if isinstance(dt, T.MapType):
+        return _parquet_ok(dt.keyType) and _parquet_ok(dt.valueType)
+    if isinstance(dt, T.UserDefinedType):
+        return _parquet_ok(dt.sqlType())
+    return True
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once for the several passes that follow.
 
-    A reliable checkpoint in the cluster's shared ``spark.checkpoint.dir``
-    when one is set (cuts the lineage: a lost executor re-reads the files
-    instead of replaying upstream joins); otherwise a memory-and-disk
-    persist, which Spark recomputes from lineage after a loss.
+    When the cluster names a shared ``spark.checkpoint.dir``, the rows are
+    written there once as a staged Parquet table and read back: the lineage
+    is cut (a lost executor re-reads files instead of replaying upstream joins
+    and shuffles), and the later passes get a columnar, pruned, vectorised
+    scan and a row count from the file footers. Column types Parquet cannot
+    hold fall back to a reliable ``checkpoint()`` in the same folder. With no
+    shared folder, a memory-and-disk persist, which Spark recomputes from
+    lineage after a loss.
     """
-    if has_checkpoint_dir(df):
+    d = _checkpoint_dir(df)
+    if not d:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    if not all(_parquet_ok(f.dataType) for f in df.schema.fields):
         return df.checkpoint(eager=True)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    path = f"{d.rstrip('/')}/{STAGE_FOLDER}/{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)
