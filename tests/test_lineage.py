@@ -9,7 +9,7 @@ from liftlens.functions.lineage import STAGE_FOLDER, materialize
 
 def test_stages_parquet_under_checkpoint_dir(spark):
     df = spark.range(1000).withColumn("g", F.col("id") % 7).groupBy("g").agg(F.sum("id").alias("s"))
-    m = materialize(df)
+    m = materialize(df, stage_min_bytes=0)
     files = m.inputFiles()
     assert files and all(f"/{STAGE_FOLDER}/" in f for f in files)
     ckpt_leaf = spark.sparkContext.getCheckpointDir().rstrip("/").rsplit("/", 1)[-1]
@@ -19,8 +19,15 @@ def test_stages_parquet_under_checkpoint_dir(spark):
     assert sorted(map(tuple, m.collect())) == sorted(map(tuple, df.collect()))
 
 
+def test_small_plans_use_checkpoint(spark):
+    df = spark.range(1000).withColumn("g", F.col("id") % 7)
+    m = materialize(df)
+    assert not m.inputFiles()
+    assert m.count() == 1000
+
+
 def test_void_columns_fall_back_to_checkpoint(spark):
     df = spark.range(10).withColumn("nothing", F.lit(None))
-    m = materialize(df)
+    m = materialize(df, stage_min_bytes=0)
     assert not m.inputFiles()
     assert m.count() == 10 and m.schema == df.schema
