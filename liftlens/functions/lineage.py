@@ -49,9 +49,15 @@ def _parquet_ok(dt: T.DataType) -> bool:
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of the optimised plan (no job runs); None when unavailable."""
+    """Planned size of ``df`` without running a job: Catalyst's estimate of the optimised plan,
+    bounded by the summed size of the plan's inputs (join estimates can exceed any real output by
+    orders of magnitude). None when unavailable."""
     try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        plan = df._jdf.queryExecution().optimizedPlan()
+        est = int(str(plan.stats().sizeInBytes()))
+        leaves = plan.collectLeaves()
+        inputs = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+        return min(est, inputs) if leaves.size() else est
     except Exception:  # noqa: BLE001  (e.g. Spark Connect)
         return None
 
