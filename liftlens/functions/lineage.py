@@ -62,13 +62,14 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
-def materialize(df: DataFrame, stage_min_bytes: int = STAGE_MIN_BYTES) -> DataFrame:
+def materialize(df: DataFrame, stage_min_bytes: int | None = None) -> DataFrame:
     """Compute ``df`` once for the several passes that follow, cutting its lineage.
 
     When the cluster names a shared ``spark.checkpoint.dir``, a lost executor
     re-reads files there instead of replaying upstream joins and shuffles:
 
-    - planned size at least ``stage_min_bytes`` (or unknown): the rows are
+    - planned size at least ``stage_min_bytes`` (default ``STAGE_MIN_BYTES``, read at call
+      time; or size unknown): the rows are
       written once as a staged Parquet table and read back, so later passes
       get a columnar, pruned, vectorised scan and a row count from the file
       footers;
@@ -82,7 +83,7 @@ def materialize(df: DataFrame, stage_min_bytes: int = STAGE_MIN_BYTES) -> DataFr
     if not d:
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     size = estimated_bytes(df)
-    small = size is not None and size < stage_min_bytes
+    small = size is not None and size < (STAGE_MIN_BYTES if stage_min_bytes is None else stage_min_bytes)
     if small or not all(_parquet_ok(f.dataType) for f in df.schema.fields):
         return df.checkpoint(eager=True)
     path = f"{d.rstrip('/')}/{STAGE_FOLDER}/{uuid.uuid4().hex}"
