@@ -31,3 +31,18 @@ def test_void_columns_fall_back_to_checkpoint(spark):
     m = materialize(df, stage_min_bytes=0)
     assert not m.inputFiles()
     assert m.count() == 10 and m.schema == df.schema
+
+
+def test_without_shared_folder_persists(spark, monkeypatch):
+    from pyspark import StorageLevel
+
+    from liftlens.functions import lineage
+
+    monkeypatch.setattr(lineage, "_checkpoint_dir", lambda df: None)
+    df = spark.range(100).withColumn("g", F.col("id") % 3)
+    m = lineage.materialize(df, stage_min_bytes=0)
+    try:
+        assert m.storageLevel == StorageLevel.MEMORY_AND_DISK
+        assert not m.inputFiles() and m.count() == 100
+    finally:
+        m.unpersist()
