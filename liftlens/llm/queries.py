@@ -6,11 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chunks import op8_substring_dedup
+from .decontaminate import op1_decontamination
 from .jaccard import op5_ngram_jaccard
 from .oracle_sql import ORACLE_SQL
+from .sentencepiece_fst import op7_sentencepiece
+from .toxicity import op9_toxicity
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op7_sentencepiece": op7_sentencepiece,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_toxicity": op9_toxicity,
 }

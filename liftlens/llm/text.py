@@ -62,6 +62,13 @@ class Words:
     ends: np.ndarray
     hashes: np.ndarray
     ptr: np.ndarray
+    total: np.ndarray  # running sums behind the hashes
+
+    def lead_hashes(self, size: int) -> np.ndarray:
+        """Hash of the first ``size`` bytes of each word (all of a shorter one)."""
+        ends = np.minimum(self.ends, self.starts + size)
+        h = (self.total[ends] - self.total[self.starts]) * _base_powers(len(self.data) + 1)[1][self.starts]
+        return mix(h + (ends - self.starts).astype(np.uint64) + np.uint64(size << 32))
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +113,7 @@ def words(column: pa.Array, separators: np.ndarray = WHITE, lower_ascii: bool =
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_byte_values(lower_ascii)[data] * up[:n], out=total[1:])
     h = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return Words(data, off, starts, ends, h, np.searchsorted(starts, off))
+    return Words(data, off, starts, ends, h, np.searchsorted(starts, off), total)
 
 
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
