@@ -30,3 +30,33 @@ WITH RECURSIVE words AS (
 SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id
 FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT u, min(v) AS c FROM reach GROUP BY u) m ON m.u = d.doc_id
 """
+
+ORACLE_SQL["op6_url_filters"] = r"""
+WITH parsed AS (
+    SELECT page_id,
+           coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+           coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+    FROM pages
+), rules(verdict, rhost, rpath) AS (
+    VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+           ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), fits AS (
+    SELECT page_id, rhost || rpath AS rule, verdict
+    FROM parsed JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+), best AS (
+    SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM fits GROUP BY page_id
+)
+SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, 'allow') AS verdict FROM parsed p LEFT JOIN best b USING (page_id)
+"""
+
+ORACLE_SQL["op10_warc"] = """
+WITH facts AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), owned AS (
+    SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS owner FROM facts
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND owner <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND owner <> page_id THEN owner END AS refers_to
+FROM owned
+"""

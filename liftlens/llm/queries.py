@@ -12,13 +12,17 @@ from .jaccard import op5_ngram_jaccard
 from .oracle_sql import ORACLE_SQL
 from .sentencepiece_fst import op7_sentencepiece
 from .toxicity import op9_toxicity
+from .urls import op6_url_filters
+from .warc import op10_warc
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_url_filters": op6_url_filters,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_toxicity": op9_toxicity,
+    "op10_warc": op10_warc,
 }
