@@ -11,6 +11,7 @@ from .decontaminate import op1_decontamination
 from .jaccard import op5_ngram_jaccard
 from .oracle_sql import ORACLE_SQL
 from .sentencepiece_fst import op7_sentencepiece
+from .syncmers import op4_syncmers
 from .toxicity import op9_toxicity
 from .urls import op6_url_filters
 from .warc import op10_warc
@@ -19,6 +20,7 @@ __all__ = ["ORACLE_SQL", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op4_syncmers": op4_syncmers,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_url_filters": op6_url_filters,
     "op7_sentencepiece": op7_sentencepiece,
