@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import op2_chat_format
 from .chunks import op8_substring_dedup
 from .decontaminate import op1_decontamination
 from .jaccard import op5_ngram_jaccard
@@ -20,6 +21,7 @@ __all__ = ["ORACLE_SQL", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_chat_format": op2_chat_format,
     "op4_syncmers": op4_syncmers,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_url_filters": op6_url_filters,
