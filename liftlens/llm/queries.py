@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import op2_chat_format
 from .chunks import op8_substring_dedup
 from .decontaminate import op1_decontamination
+from .html_tree import op3_html_text
 from .jaccard import op5_ngram_jaccard
 from .oracle_sql import ORACLE_SQL
 from .sentencepiece_fst import op7_sentencepiece
@@ -22,6 +23,7 @@ __all__ = ["ORACLE_SQL", "QUERIES"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_chat_format": op2_chat_format,
+    "op3_html_text": op3_html_text,
     "op4_syncmers": op4_syncmers,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_url_filters": op6_url_filters,
