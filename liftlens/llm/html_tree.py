@@ -45,6 +45,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 FRAME = frozenset("nav header footer aside form menu dialog button fieldset".split())
 MAIN = frozenset("article main".split())
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote figure figcaption ul ol li dl dt dd table thead tbody tfoot tr td th caption".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote figcaption".split())  # links may fill these
 CLOSES_P = FRAME | MAIN | PARAGRAPH | frozenset("div section address hr details summary center".split())
 SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
              "option": {"option"}, "p": {"p"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
@@ -194,7 +195,7 @@ def features(nodes: list[Node]) -> list[tuple[int, ...]]:
             f.append(8)
         f.append(9 if not x.chars else 10 if x.chars < 40 else 11 if x.chars < 160 else 12)
         if x.chars:
-            f.append(13 if 2 * x.linked > x.chars else 14)
+            f.append(13 if 2 * x.linked > x.chars and x.tag not in PROSE else 14)
         if x.words > 15:
             f.append(15)
         out.append(tuple(f))
@@ -247,8 +248,7 @@ def _variants(nodes: list[Node], y: list[int]) -> Iterator[tuple[list[Node], lis
     """The labelled page and made-up ones like it.
 
     Furniture stands where it was or inside the article, and is as it was or
-    holds a copy of the article's blocks (then not content); blocks of an article
-    may be links; the article is
+    holds a copy of the article's blocks (then not content); the article is
     marked up, a plain container, or bare, its blocks right under its parent
     (whose line up to the root then counts as content).
     """
@@ -281,8 +281,6 @@ def _variants(nodes: list[Node], y: list[int]) -> Iterator[tuple[list[Node], lis
                 todo.extend((j, len(made), True) for j in children.get(main, ()) if y[j])
             c = Node(parent, "div" if shape == "plain" and i == main else x.tag, x.hint, x.good and shape == "marked", x.hidden)
             c.chars, c.linked, c.words, c.children = x.chars, x.linked, x.words, x.children
-            if inside and shape == "marked" and y[i] and i % 2 and not dead:
-                c.linked = c.chars
             labels.append(int(not dead and (y[i] or shape == "bare" and i in above)))
             todo.extend((j, len(made), dead) for j in reversed(kids))
             made.append(c)
