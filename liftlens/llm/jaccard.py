@@ -18,7 +18,8 @@ words: the whole run as one). Two sets link when
    nodes, then of members are traversed together; a pair of nodes is dropped
    when its largest possible overlap is too small for any link, or when all of
    both sides are in one component already.
-5. *Verification* of the surviving pairs on the full sets, then components.
+5. *Verification* of the surviving pairs on the full sets, which are made anew
+   from the texts of the classes concerned, then components.
 
 Links inside one component need not all be enumerated; no link between two
 components is lost, because step 4 starts from every prefix token. A hot
@@ -38,16 +39,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import staged
+from .storage import new_path, remove, staged
 from .text import mix, shingles, slices, words
 
 CELLS = 1 << 20  # cells of the order table (1 byte each when sent to tasks)
 BLOCK = 256  # members of a signature tree
 LEAF = 16  # members under one inner node
+BLOCK_SHINGLES = 1 << 21  # shingles of a block of full sets (16 MB)
 MIN_HASHES = 4
 
 
@@ -78,16 +81,18 @@ def order_levels(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, levels: np.ndarray, size: int, percent: int) -> DataFrame:
-    """Per row: doc_id, n, digest of the set and, once per task for equal sets, prefix, min hashes and bitmap."""
+    """Per row: a row number, doc_id, n, digest of the set and, once per task for equal sets, prefix, min hashes and bitmap."""
     sent = docs.sparkSession.sparkContext.broadcast(levels)
     odd = mix(np.arange(1, MIN_HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lev, seen = sent.value, set()
+        lev, seen, row = sent.value, set(), TaskContext.get().partitionId() << 40
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 w = words(batch.column(1).slice(a, b - a))
-                ns, digests, prefixes, mins, bits = [], [], [], [], []
+                rows = np.arange(row, row + b - a)
+                row += b - a
+                ns, digests, prefixes, mins, bits, few = [], [], [], [], [], []
                 for i in range(b - a):
                     s = np.unique(shingles(w.hashes[w.ptr[i]:w.ptr[i + 1]], size))
                     n = len(s)
@@ -95,7 +100,7 @@ def shingle_sets(docs: DataFrame, levels: np.ndarray, size: int, percent: int) -
                     d = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if n else None
                     digests.append(d)
                     if d is None or d in seen:
-                        prefixes.append(None), mins.append(None), bits.append(None)
+                        prefixes.append(None), mins.append(None), bits.append(None), few.append(None)
                         continue
                     seen.add(d)
                     keep = n - -(-percent * n // 100) + 1
@@ -105,19 +110,21 @@ def shingle_sets(docs: DataFrame, levels: np.ndarray, size: int, percent: int) -
                         low = s[np.argsort(level, kind="stable")]
                     prefixes.append(low[:keep].astype(np.int64))
                     mins.append(np.array([mix(s * o).min() for o in odd]).astype(np.int64))
-                    bits.append(bitmap(s).tobytes())
+                    whole = bitmap(s)
+                    bits.append(whole.tobytes())
+                    few.append(fold(whole, max(8, len(whole) // 4)).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()),
-                     pa.array(prefixes, pa.list_(pa.int64())), pa.array(mins, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-                    ["doc_id", "n", "digest", "prefix", "mins", "bits"])
+                    [pa.array(rows), batch.column(0).slice(a, b - a), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()),
+                     pa.array(prefixes, pa.list_(pa.int64())), pa.array(mins, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(few, pa.binary())],
+                    ["row", "doc_id", "n", "digest", "prefix", "mins", "bits", "few_bits"])
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id bigint, n bigint, digest binary, prefix array<bigint>, mins array<bigint>, bits binary")
+        run, "row bigint, doc_id bigint, n bigint, digest binary, prefix array<bigint>, mins array<bigint>, bits binary, few_bits binary")
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """Bits set by a set's hashes; the length is the power of two from the set's size up (64 at least)."""
-    m = max(64, 1 << (len(s) - 1).bit_length())
+    """Bits set by a set's hashes; the length is the power of two from twice the set's size up (64 at least)."""
+    m = max(64, 1 << (2 * len(s) - 1).bit_length())
     out = np.zeros(m, bool)
     out[(mix(s) & np.uint64(m - 1)).astype(np.int64)] = True
     return np.packbits(out)
@@ -179,7 +186,7 @@ def traverse(x: SignatureTree, y: SignatureTree, same: bool, percent: int) -> It
 
 def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Pairs of blocks of one token that may hold a link: roots' size ranges and components are compared."""
-    root = members.groupBy("token", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"),
+    root = members.groupBy("token", F.col("at").alias("block")).agg(F.min("n").alias("low"), F.max("n").alias("high"),
                                                  F.min("comp").alias("c0"), F.max("comp").alias("c1"))
     other = root.select("token", *[F.col(c).alias(f"{c}_2") for c in ("block", "low", "high", "c0", "c1")])
     return root.join(other, "token").where(
@@ -188,12 +195,17 @@ def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
     ).select("token", "block", "block_2")
 
 
-def candidate_pairs(classes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+def candidate_pairs(sets: DataFrame, classes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs of classes in different components that the signature trees can't rule out."""
-    tokens = classes.join(comps, "cls").select(F.explode("prefix").alias("token"), "comp", "cls", "n")
     by_token = Window.partitionBy("token")
-    open_groups = tokens.withColumn("c0", F.min("comp").over(by_token)).withColumn("c1", F.max("comp").over(by_token)) \
-        .where("c0 < c1").select("token", "comp", "cls", "n").checkpoint()
+    own = sets.where("prefix IS NOT NULL")
+    tokens = own.select(F.explode("prefix").alias("token"), "row")
+    shared = tokens.withColumn("holders", F.count("*").over(by_token)).where("holders > 1").select("token", "row")
+    known = own.select("row", "digest").join(classes.join(comps, "cls").select("digest", "cls", "n", "comp"), "digest").drop("digest")
+    placed = shared.join(known, "row").select("token", "comp", "cls", "n")
+    # the windows and the grouping below share one exchange by token
+    open_groups = placed.withColumn("c0", F.min("comp").over(by_token)).withColumn("c1", F.max("comp").over(by_token)) \
+        .where("c0 < c1").groupBy("token", "comp", "cls", "n").agg(F.lit(1)).select("token", "comp", "cls", "n").checkpoint()
     open_groups = open_groups.withColumn("group_n", F.count("*").over(by_token))
     leaf = open_groups.where(F.col("group_n") <= LEAF).drop("group_n")
     other = leaf.select("token", *[F.col(c).alias(f"{c}_2") for c in ("comp", "cls", "n")])
@@ -203,12 +215,11 @@ def candidate_pairs(classes: DataFrame, comps: DataFrame, percent: int) -> DataF
     ).select(F.col("cls").alias("a"), F.col("cls_2").alias("b")).distinct()
 
     place = F.row_number().over(by_token.orderBy("n", "cls"))
-    members = open_groups.where(F.col("group_n") > LEAF).drop("group_n").withColumn("block", F.floor((place - 1) / BLOCK)) \
-        .join(classes.select("cls", "bits"), "cls")
+    members = open_groups.where(F.col("group_n") > LEAF).drop("group_n").withColumn("at", F.floor((place - 1) / BLOCK))
     pairs = _block_pairs(members, percent)
-    left = pairs.join(members, ["token", "block"]).withColumn("side", F.lit(0))
-    right = pairs.join(members.withColumnRenamed("block", "block_2"), ["token", "block_2"]).where("block <> block_2") \
-        .withColumn("side", F.lit(1))
+    sides = pairs.select("token", "block", "block_2", F.lit(0).alias("side"), F.col("block").alias("at")).unionByName(
+        pairs.where("block <> block_2").select("token", "block", "block_2", F.lit(1).alias("side"), F.col("block_2").alias("at")))
+    both = sides.join(members, ["token", "at"]).join(classes.select("cls", F.col("few_bits").alias("bits")), "cls")
 
     def join_blocks(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         sizes = [len(b) for b in table["bits"].to_pylist()]
@@ -228,10 +239,9 @@ def candidate_pairs(classes: DataFrame, comps: DataFrame, percent: int) -> DataF
         b = np.concatenate(found_b) if found_b else np.zeros(0, np.int64)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    both = left.unionByName(right).select("token", "block", "block_2", "side", "cls", "n", "comp", "bits")
     tree_pairs = both.groupBy("token", "block", "block_2").applyInArrow(join_blocks, "a bigint, b bigint")
-    # a single leaf has no inner node to prune: its pairs meet the bitmap test in bulk, once for all their tokens
-    return _may_link(leaf_pairs, classes, percent).unionByName(tree_pairs).distinct()
+    # a single leaf has no inner node to prune; its pairs and those that the trees leave meet the longer bitmaps once for all their tokens
+    return _may_link(leaf_pairs.unionByName(tree_pairs).distinct(), classes, percent)
 
 
 def centre_pairs(classes: DataFrame) -> DataFrame:
@@ -262,74 +272,110 @@ def _may_link(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets link."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    wanted = ends.join(classes.select("cls", "owner", "digest"), "cls")
-    sets = _full_sets(docs, wanted, size)
-    rows = pairs.join(sets.select(F.col("cls").alias("a"), F.col("hashes").alias("x")), "a") \
-        .join(sets.select(F.col("cls").alias("b"), F.col("hashes").alias("y")), "b")
+    """Of the pairs (a, b) of classes those whose full sets link, or enough of them to connect the same classes.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    Pairs meet in families (components of the pairs), cut into blocks of about
+    BLOCK_SHINGLES shingles in the order of their minimum hashes (which keeps
+    likely partners together), so that a text moves once for each pair of blocks,
+    not of classes. Classes that other links of the same pair of blocks connect
+    already aren't compared.
+    """
+    pairs = pairs.checkpoint()
+    family = connected_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    before = F.sum("n").over(Window.partitionBy("component").orderBy("mins", "node")) - F.col("n")
+    members = family.join(classes.select(F.col("cls").alias("node"), "n", "mins"), "node") \
+        .withColumn("block", F.floor(before / BLOCK_SHINGLES)).checkpoint()
+    left = members.select(F.col("node").alias("a"), "component", F.col("block").alias("p"))
+    right = members.select(F.col("node").alias("b"), F.col("block").alias("q"))
+    groups = max(1, members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // BLOCK_SHINGLES)
+    key = F.pmod(F.xxhash64("component", F.least("p", "q"), F.greatest("p", "q")), F.lit(groups))
+    meet = pairs.join(left, "a").join(right, "b").select(key.alias("key"), "a", "b").checkpoint()
+    need = meet.select("key", F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "owner", "digest"), "cls")
+    texts = _texts_of(docs, need.select("owner"))
+    rows = need.join(texts, "owner").select("key", F.col("cls").alias("a"), F.lit(None).cast("bigint").alias("b"), "digest", "text") \
+        .unionByName(meet.select("key", "a", "b"), allowMissingColumns=True)
+
+    def check(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        loaded = table.filter(pc.is_valid(table["text"])).combine_chunks()
+        sets = {}
+        for cls, digest, text in zip(loaded["a"].to_pylist(), loaded["digest"].to_pylist(), loaded["text"], strict=True):
+            if cls not in sets:
+                s = np.unique(shingles(words(pa.array([text.as_py()])).hashes, size))
+                if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == digest:
+                    sets[cls] = s
+        asked = table.filter(pc.is_valid(table["b"]))
+        found, head = [], {}
+
+        def top(c: int) -> int:
+            while head.get(c, c) != c:
+                head[c] = c = head.get(head[c], head[c])
+            return c
+
+        for a, b in zip(asked["a"].to_pylist(), asked["b"].to_pylist(), strict=True):
+            p, q = top(a), top(b)
+            if p == q:
+                continue
+            x, y = sets[a], sets[b]
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * common >= percent * (len(x) + len(y) - common):
+                found.append((a, b))
+                head[p] = q
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return rows.groupBy("key").applyInArrow(check, "a bigint, b bigint")
 
 
 FILTER_BITS = 1 << 23
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(cls, hashes): the whole sets of the wanted classes, from their owners' texts.
+def _texts_of(docs: DataFrame, owners: DataFrame) -> DataFrame:
+    """(owner, text): texts of the owners, and perhaps of a few other documents.
 
-    A bit filter of fixed size over the owners spares other documents the
-    work; the join that follows is exact whatever the filter lets through.
+    A bit filter of fixed size over the owners keeps other texts from being
+    shuffled; the join that follows is exact whatever the filter lets through.
+    Equal rows come once per task.
     """
     def mark(rows) -> Iterator[np.ndarray]:
         bits = np.zeros(FILTER_BITS, bool)
         for r in rows:
-            bits[hash(r[0]) % FILTER_BITS] = True
+            bits[r[0] % FILTER_BITS] = True
         yield np.packbits(bits)
 
-    wanted = wanted.checkpoint()
     zero = np.zeros(FILTER_BITS // 8, np.uint8)
-    marks = wanted.select("owner").coalesce(64).rdd.mapPartitions(mark).treeAggregate(zero, np.bitwise_or, np.bitwise_or)
+    marks = owners.distinct().rdd.mapPartitions(mark).treeAggregate(zero, np.bitwise_or, np.bitwise_or)
     sent = docs.sparkSession.sparkContext.broadcast(marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(sent.value).astype(bool)
+        bits, seen = np.unpackbits(sent.value).astype(bool), set()
         for batch in batches:
-            hit = pa.array([i is not None and bool(bits[hash(i) % FILTER_BITS]) for i in batch.column(0).to_pylist()], pa.bool_())
-            batch = batch.filter(hit)
-            for a, b in slices(batch.column(1)):
-                w = words(batch.column(1).slice(a, b - a))
-                found = [np.unique(shingles(w.hashes[w.ptr[i]:w.ptr[i + 1]], size)).tobytes() for i in range(b - a)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in found], pa.binary()),
-                     pa.array(found, pa.binary())], ["owner", "digest", "hashes"])
+            hit = [i is not None and bool(bits[i % FILTER_BITS]) for i in batch.column(0).to_pylist()]
+            part = batch.filter(pa.array(hit, pa.bool_()))
+            new = []
+            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                same = (doc, hash(text))
+                new.append(text is not None and same not in seen)
+                seen.add(same)
+            yield part.filter(pa.array(new, pa.bool_()))
 
-    got = docs.select("doc_id", "text").mapInArrow(run, "owner bigint, digest binary, hashes binary")
-    return wanted.join(got, ["owner", "digest"]).dropDuplicates(["cls"]).select("cls", "hashes")
+    return docs.mapInArrow(run, docs.schema).select(F.col("doc_id").alias("owner"), "text")
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id reachable by links).
 
     Null text or no words: ``n_shingles`` 0 and a component of its own. Rows
-    that repeat a doc_id are judged each by its own text. Other columns are ignored.
+    that repeat a doc_id are judged each by its own text. A row without an id
+    links only with equal sets. Other columns are ignored.
     """
     docs = docs.select("doc_id", "text")
-    sets = staged(shingle_sets(docs, order_levels(docs, size), size, percent), "sets")
+    spark = docs.sparkSession
+    path = new_path(spark, "sets")
+    shingle_sets(docs, order_levels(docs, size), size, percent).write.parquet(path)
+    sets = spark.read.parquet(path)
     named = sets.where("n > 0").groupBy("digest").agg(
         F.min("doc_id").alias("owner"), F.max("n").alias("n"),
-        F.max(F.struct(F.col("prefix").isNotNull().alias("own"), "prefix", "mins", "bits")).alias("s"))
-    classes = staged(named.select(F.monotonically_increasing_id().alias("cls"), "digest", "owner", "n", "s.prefix", "s.mins", "s.bits"),
-                     "classes")
+        F.max(F.struct(F.col("mins").isNotNull().alias("own"), "mins", "bits", "few_bits")).alias("s"))
+    classes = staged(named.select(F.monotonically_increasing_id().alias("cls"), "digest", "owner", "n", "s.mins", "s.bits", "s.few_bits"), "classes")
     linkable = classes.where("owner IS NOT NULL")
 
     first = verified(_may_link(centre_pairs(linkable), linkable, percent).checkpoint(), linkable, docs, size, percent) \
@@ -337,7 +383,9 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     comps = linkable.select("cls").join(connected_components(first), F.col("cls") == F.col("node"), "left") \
         .select("cls", F.coalesce("component", "cls").alias("comp")).checkpoint()
 
-    rest = candidate_pairs(linkable, comps, percent).checkpoint()
+    rest = candidate_pairs(sets, linkable, comps, percent).checkpoint()
+    sets = sets.select("doc_id", "n", "digest").checkpoint()
+    remove(spark, path)
     more = verified(rest, linkable, docs, size, percent)
     across = more.join(comps.select(F.col("cls").alias("a"), F.col("comp").alias("u")), "a") \
         .join(comps.select(F.col("cls").alias("b"), F.col("comp").alias("v")), "b").select("u", "v")
