@@ -1,13 +1,9 @@
 """Global running order at scale (row numbers and running sums; SL3 row index after a sort).
 
 A plain ``Window.orderBy(...)`` without ``partitionBy`` moves every row into
-one task. Here the total order is cut into contiguous *range buckets*. Up to
-128 buckets, the bounds are order-key tuples taken from a bounded
-driver-side sample and a row's bucket is a pure function of its key (a
-log2(k)-deep CASE tree, stable under recomputation). Beyond that, the tree
-would be too large to plan and compile, so Spark's range partitioner
-assigns the buckets and the partition index is frozen into a reliable
-checkpoint immediately (one extra exchange). Then:
+one task. Here Spark's range partitioner cuts the total order into
+contiguous *range buckets* (it orders nulls as a window does), and the
+partition index is frozen into a materialised copy at once. Then:
 
 1. per-bucket counts and sums: one small partial+final aggregation;
 2. bucket offsets: a running sum over the tiny per-bucket table (at most
@@ -16,7 +12,7 @@ checkpoint immediately (one extra exchange). Then:
 3. ``Window.partitionBy(bucket).orderBy(keys)`` running values plus the offset.
 
 Ties must be broken by the caller with a unique last key (e.g. customer_id);
-the bounds then include it, so even a key with very few distinct values
+the ranges then include it, so even a key with very few distinct values
 splits evenly. ``partition_by`` restarts the order per group (e.g. per
 stratum); buckets are (group, range bucket), so a group holding a third of all
 rows is still split into bounded tasks.
@@ -24,7 +20,6 @@ rows is still split into bounded tasks.
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Mapping, Sequence
 
@@ -34,10 +29,6 @@ from pyspark.sql import functions as F
 from liftlens.functions.lineage import materialize
 
 BUCKET = "_w0_bucket"
-SAMPLE_PER_BUCKET = 64
-MAX_SAMPLE = 200_000
-MAX_BUCKETS = 8192
-CASE_MAX_BUCKETS = 128   # above this the bound tree is too large to plan and compile cheaply
 
 OrderSpec = Sequence[tuple[str, bool]]  # (column, ascending)
 
@@ -50,80 +41,8 @@ def sort_exprs(order: Sequence[str | tuple[str, bool]]) -> list[Column]:
     return [F.col(c).asc() if asc else F.col(c).desc() for c, asc in _norm_order(order)]
 
 
-def _not_before(order: list[tuple[str, bool]], bound: tuple, types: list[str] | None = None) -> Column:
-    """Row is at or after ``bound`` in the (lexicographic, directed) order."""
-    expr = None
-    types = types or [None] * len(order)
-    for (c, asc), b, t in reversed(list(zip(order, bound, types))):
-        lit = F.lit(b).cast(t) if t else F.lit(b)
-        if expr is None:   # last key: at or after
-            expr = (F.col(c) >= lit) if asc else (F.col(c) <= lit)
-        else:
-            after = (F.col(c) > lit) if asc else (F.col(c) < lit)
-            expr = after | ((F.col(c) == lit) & expr)
-    return expr
-
-
-def _bucket_expr(order: list[tuple[str, bool]], bounds: list[tuple], types: list[str] | None = None) -> Column:
-    """Number of bounds at or before the row: a balanced binary search, log2(k) tests per row."""
-
-    def rec(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(_not_before(order, bounds[mid], types), rec(mid + 1, hi)).otherwise(rec(lo, mid))
-
-    return rec(0, len(bounds))
-
-
-def _cmp_tuples(order: list[tuple[str, bool]]):
-    def cmp(a: tuple, b: tuple) -> int:
-        for (_, asc), x, y in zip(order, a, b):
-            if x == y:
-                continue
-            lt = x < y
-            return (-1 if lt else 1) if asc else (1 if lt else -1)
-        return 0
-
-    return functools.cmp_to_key(cmp)
-
-
-def range_bounds(df: DataFrame, order: list[tuple[str, bool]], n_rows: int, k: int, seed: int = 42) -> list[tuple]:
-    """k-1 order-key tuples cutting ``df`` into k near-equal ranges (bounded sample to the driver)."""
-    if k <= 1 or n_rows == 0:
-        return []
-    target = min(MAX_SAMPLE, SAMPLE_PER_BUCKET * k)
-    frac = min(1.0, target / n_rows)
-    cols = [c for c, _ in order]
-    sample = [tuple(r) for r in df.select(*_sample_cols(df, cols)).sample(False, frac, seed).collect()]
-    if len(sample) < 2:
-        return []
-    sample.sort(key=_cmp_tuples(order))
-    m = len(sample)
-    bounds: list[tuple] = []
-    for j in range(1, k):
-        b = sample[min(m - 1, (j * m) // k)]
-        if not bounds or b != bounds[-1]:
-            bounds.append(b)
-    return bounds
-
-
-_TIME_TYPES = ("timestamp", "timestamp_ntz", "date")
-
-
-def _sample_cols(df: DataFrame, cols: list[str]) -> list[Column]:
-    """Order keys for the bound sample; time keys as Spark-formatted strings (ISO order = time order)."""
-    return [F.col(c).cast("string").alias(c) if df.schema[c].dataType.simpleString() in _TIME_TYPES else F.col(c)
-            for c in cols]
-
-
-def _literal_types(df: DataFrame, cols: list[str]) -> list[str | None]:
-    return [df.schema[c].dataType.simpleString() if df.schema[c].dataType.simpleString() in _TIME_TYPES else None
-            for c in cols]
-
-
 def n_buckets(n_rows: int, rows_per_bucket: int) -> int:
-    return max(1, min(MAX_BUCKETS, math.ceil(n_rows / max(1, rows_per_bucket))))
+    return max(1, math.ceil(n_rows / max(1, rows_per_bucket)))
 
 
 def prefix_sum(df: DataFrame, order: Sequence[str | tuple[str, bool]],
@@ -136,7 +55,7 @@ def prefix_sum(df: DataFrame, order: Sequence[str | tuple[str, bool]],
     Adds ``row_number`` (1-based), one running column per ``sums`` entry
     (inclusive of the row), and, when ``totals``, ``<name>_total`` per sum
     and ``count_col`` with the group size. The input is materialised once
-    (count, bound sample, totals and the window pass all read it).
+    (count, range sample, totals and the window pass all read it).
     """
     order_n = _norm_order(order)
     sums = dict(sums or {})
@@ -148,17 +67,12 @@ def prefix_sum(df: DataFrame, order: Sequence[str | tuple[str, bool]],
 
     n = base.count()
     k = n_buckets(n, rows_per_bucket)
-    if k > CASE_MAX_BUCKETS:
-        # Many buckets: Spark's range partitioner (sampled bounds, binary search in the JVM)
-        # assigns them; the partition index is frozen into the materialised copy at once, so a
-        # recomputation can never move a row to another bucket.
-        bucketed = materialize(base.repartitionByRange(k, *sort_exprs(order_n))
-                               .withColumn(BUCKET, F.spark_partition_id()))
-    else:
-        bounds = range_bounds(base, order_n, n, k, seed)
-        if not bounds:
-            return _single_bucket(base, order_n, exprs, part, row_number, count_col, totals)
-        bucketed = base.withColumn(BUCKET, _bucket_expr(order_n, bounds, _literal_types(base, [c for c, _ in order_n])))
+    if k == 1:
+        return _single_bucket(base, order_n, exprs, part, row_number, count_col, totals)
+    # Spark's range partitioner orders nulls as the window does; the partition index is frozen into
+    # the materialised copy at once, so a recomputation can never move a row to another bucket.
+    bucketed = materialize(base.repartitionByRange(k, *sort_exprs(order_n))
+                           .withColumn(BUCKET, F.spark_partition_id()))
 
     per_bucket = bucketed.groupBy(*part, BUCKET).agg(
         F.count(F.lit(1)).alias("_c_cnt"),
@@ -174,7 +88,7 @@ def prefix_sum(df: DataFrame, order: Sequence[str | tuple[str, bool]],
         for name in exprs:
             off_cols[f"_t_{name}"] = F.sum(f"_c_{name}").over(w_all)
     offsets = per_bucket.withColumns(off_cols).drop("_c_cnt", *[f"_c_{name}" for name in exprs])
-    # Without a partition key the offsets table has at most k rows (k <= MAX_BUCKETS): broadcast.
+    # Without a partition key the offsets table has at most k rows: broadcast.
     offsets = F.broadcast(offsets) if not part else offsets
     joined = bucketed.join(offsets, [*part, BUCKET], "inner")
 

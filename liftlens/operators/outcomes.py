@@ -3,16 +3,15 @@
 Assignments carry few distinct assignment times (one per wave, usually),
 so their windows [assigned_ts, +days) cut the timeline into a bounded
 number of elementary intervals. Each sale (and redemption) is mapped to
-its interval by a small binary-search expression and the sales are
+its interval by its place among their bounds and the sales are
 aggregated per (customer_id, interval) with a partial aggregation *before*
 any shuffle: a customer holding a third of all sales becomes a handful of
 rows per map task. Each assignment is expanded over the intervals its
 window covers (usually one) and the two sides meet in an equi-join on
 (customer_id, interval) with at most one row per key on each side, so no
-join task is hot. Only the scans see every sale; the window bounds are
-plain predicates pushed into them. With more than ``MAX_WINDOWS`` distinct
-assignment times the operator falls back to a join on customer_id with the
-window as a residual condition (AQE splits skewed partitions there).
+join task is hot. Only the scans see every sale; the first and last window
+bounds are plain predicates pushed into them. The number of assignment times
+is that of waves; each adds two points to one constant array.
 """
 
 from __future__ import annotations
@@ -22,22 +21,13 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from liftlens.functions.time import ts, ts_plus_days
+from liftlens.functions.time import ts_plus_days
 from liftlens.params import OUTCOMES, TREATMENT, Params
 
-MAX_WINDOWS = 64
-
-
-def _interval_index(col: Column, points: list, type_name: str) -> Column:
-    """Number of boundary points <= col (binary search over at most 2 * MAX_WINDOWS points)."""
-
-    def rec(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(col >= F.lit(points[mid]).cast(type_name), rec(mid + 1, hi)).otherwise(rec(lo, mid))
-
-    return F.when(col.isNotNull(), rec(0, len(points)))
+def _interval_index(col: Column, points: list[str], type_name: str) -> Column:
+    """Number of boundary points <= col (the points are one constant array); null for null."""
+    bounds = F.transform(F.split(F.lit("|".join(points)), r"\|"), lambda p: p.cast(type_name))
+    return F.when(col.isNotNull(), F.size(F.filter(bounds, lambda p: p <= col)))
 
 
 def _events(txns: DataFrame, redemptions: DataFrame | None, lo: Column, hi: Column) -> DataFrame:
@@ -53,34 +43,26 @@ def _events(txns: DataFrame, redemptions: DataFrame | None, lo: Column, hi: Colu
 
 
 def attribute_outcomes(assignments: DataFrame, txns: DataFrame, redemptions: DataFrame | None,
-                       params: Params, *, days: int | None = None,
-                       window_start: str | None = None, window_end: str | None = None) -> DataFrame:
+                       params: Params, *, days: int | None = None) -> DataFrame:
     """Per assigned customer: purchased (any sale in [assigned_ts, +days)), spend (sum, else 0),
     redeemed (treated, purchased, and a redemption in the window).
 
-    ``window_start``/``window_end`` bound all waves' windows (default
-    [as_of, as_of + days)) and only serve to prune the scans.
+    The windows are those of the assignments themselves, whatever ``params.as_of`` is; the first
+    and the last of them prune the scans.
     """
     days = params.outcome_days if days is None else days
-    lo = ts(window_start or params.as_of)
-    hi = ts(window_end) if window_end else ts_plus_days(ts(params.as_of), days)
-    events = _events(txns, redemptions, lo, hi)
     a = assignments.select("customer_id", "campaign_id", "assigned_ts")
-    # Window bounds as Spark formats them (start, start + days): the literals below are cast back
-    # with the column's own type, so no Python time-zone conversion is involved.
-    bounds = (a.select(F.col("assigned_ts").cast("string").alias("s"),
-                       ts_plus_days(F.col("assigned_ts"), days).cast("string").alias("e"))
-              .distinct().limit(MAX_WINDOWS + 1).collect())
-    if 0 < len(bounds) <= MAX_WINDOWS:
-        per_customer = _by_interval(events, a, bounds, days, assignments.schema["assigned_ts"].dataType)
-    else:
-        in_window = ((F.col("event_ts") >= F.col("assigned_ts"))
-                     & (F.col("event_ts") < ts_plus_days(F.col("assigned_ts"), days)))
-        per_customer = (events.join(a, "customer_id", "inner").filter(in_window)
-                        .groupBy("campaign_id", "customer_id")
-                        .agg(F.sum("is_sale").alias("_n_sales"),
-                             F.sum(F.col("amount") * F.col("is_sale")).alias("_spend"),
-                             F.max("is_redemption").alias("_any_redemption")))
+    # Window bounds as Spark formats them (start, start + days), one row per distinct assignment
+    # time: the literals below are cast back with the column's own type, so no Python time-zone
+    # conversion is involved.
+    bounds = (a.filter(F.col("assigned_ts").isNotNull())
+              .select(F.col("assigned_ts").cast("string").alias("s"),
+                      ts_plus_days(F.col("assigned_ts"), days).cast("string").alias("e"))
+              .distinct().collect())
+    points = sorted({p for r in bounds for p in (r["s"], r["e"])}, key=dt.datetime.fromisoformat)
+    type_name = assignments.schema["assigned_ts"].dataType.simpleString()
+    lo, hi = (F.lit(p).cast(type_name) for p in (points[0], points[-1])) if points else (F.lit(None).cast(type_name),) * 2
+    per_customer = _by_interval(_events(txns, redemptions, lo, hi), a, points, days, type_name)
     out = assignments.join(per_customer, ["campaign_id", "customer_id"], "left")
     purchased = F.coalesce(F.col("_n_sales"), F.lit(0)) > 0
     redeemed = ((F.col("group") == TREATMENT) & purchased
@@ -93,9 +75,7 @@ def attribute_outcomes(assignments: DataFrame, txns: DataFrame, redemptions: Dat
     )
 
 
-def _by_interval(events: DataFrame, a: DataFrame, bounds: list, days: int, ts_type) -> DataFrame:
-    type_name = ts_type.simpleString()
-    points = sorted({p for r in bounds for p in (r["s"], r["e"]) if p is not None}, key=dt.datetime.fromisoformat)
+def _by_interval(events: DataFrame, a: DataFrame, points: list[str], days: int, type_name: str) -> DataFrame:
     iv = _interval_index(F.col("event_ts"), points, type_name)
     # Pre-aggregated per (customer, interval) before the shuffle: hot customers collapse here.
     ev = (events.withColumn("_iv", iv)

@@ -77,3 +77,15 @@ def test_timestamp_order_key_multi_bucket(spark):
     got = {r["id"]: r["row_idx"] for r in global_rank(df, [("t", True), ("id", True)], rows_per_bucket=100).collect()}
     exp = {r["id"]: r["r"] for r in df.select("id", F.row_number().over(Window.orderBy("t", "id")).alias("r")).collect()}
     assert got == exp
+
+
+@pytest.mark.parametrize("ascending", [True, False])
+@pytest.mark.parametrize("nulls", [1, 400])
+@pytest.mark.parametrize("buckets", [1, 10, 500])
+def test_null_order_keys_rank_as_in_a_window(spark, ascending, nulls, buckets):
+    n = 3000
+    df = spark.range(n).select("id", F.when(F.col("id") >= nulls, F.pmod(F.xxhash64("id"), F.lit(1000)) / 10.0).alias("k"))
+    got = global_rank(df, [("k", ascending), ("id", True)], rows_per_bucket=-(-n // buckets))
+    key = F.col("k").asc() if ascending else F.col("k").desc()
+    exp = df.select("id", F.row_number().over(Window.orderBy(key, "id")).alias("r"))
+    assert {r["id"]: r["row_idx"] for r in got.collect()} == {r["id"]: r["r"] for r in exp.collect()}

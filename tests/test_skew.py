@@ -8,7 +8,7 @@ import random
 from pyspark.sql import functions as F
 
 from liftlens.operators import features, outcomes
-from liftlens.operators.ordering import BUCKET, _bucket_expr, _norm_order, global_rank, range_bounds
+from liftlens.operators.ordering import BUCKET, global_rank, sort_exprs
 from liftlens.params import Params
 
 
@@ -16,9 +16,8 @@ def test_w0_buckets_stay_bounded_under_ties(spark):
     rnd = random.Random(7)
     n = 30_000
     df = spark.createDataFrame([(i, float(rnd.randrange(3))) for i in range(n)], "id long, k double")
-    order = _norm_order([("k", False), ("id", True)])
-    bounds = range_bounds(df, order, n, 30)
-    sizes = [r["n"] for r in df.withColumn(BUCKET, _bucket_expr(order, bounds))
+    ranges = df.repartitionByRange(30, *sort_exprs([("k", False), ("id", True)]))
+    sizes = [r["n"] for r in ranges.withColumn(BUCKET, F.spark_partition_id())
              .groupBy(BUCKET).agg(F.count("*").alias("n")).collect()]
     assert len(sizes) >= 25 and max(sizes) <= 3 * n / 30
     ranked = global_rank(df, [("k", False), ("id", True)], rows_per_bucket=1000)
@@ -57,7 +56,7 @@ def _brute(rows, asg, days):
     return out
 
 
-def test_attribution_overlapping_windows_and_fallback(spark, monkeypatch):
+def test_attribution_overlapping_windows_at_any_as_of(spark):
     rnd = random.Random(11)
     base = dt.datetime(2024, 1, 1)
     rows = [(rnd.randrange(40), base + dt.timedelta(hours=rnd.randrange(24 * 90)), float(rnd.randrange(1, 50)), 1, "a")
@@ -70,14 +69,14 @@ def test_attribution_overlapping_windows_and_fallback(spark, monkeypatch):
                                 "coupon_value double, assigned_ts timestamp_ntz")
     p = Params(as_of="2024-01-01", outcome_days=30)
     exp = _brute(rows, asg_rows, 30)
-    kw = dict(window_start="2024-01-01", window_end="2024-03-31")
     got = {(r["campaign_id"], r["customer_id"]): (r["purchased"], r["spend"])
-           for r in outcomes.attribute_outcomes(asg, txns, None, p, **kw).collect()}
+           for r in outcomes.attribute_outcomes(asg, txns, None, p).collect()}
     assert got == exp
-    monkeypatch.setattr(outcomes, "MAX_WINDOWS", 1)          # residual-join fallback, same answer
-    got2 = {(r["campaign_id"], r["customer_id"]): (r["purchased"], r["spend"])
-            for r in outcomes.attribute_outcomes(asg, txns, None, p, **kw).collect()}
-    assert got2 == exp
+    for as_of in ("2023-06-01", "2024-09-01"):               # measured long before or after: the same windows
+        other = Params(as_of=as_of, outcome_days=30)
+        got2 = {(r["campaign_id"], r["customer_id"]): (r["purchased"], r["spend"])
+                for r in outcomes.attribute_outcomes(asg, txns, None, other).collect()}
+        assert got2 == exp
 
 
 def test_asof_hot_key_salting(spark):
@@ -99,7 +98,7 @@ def test_asof_hot_key_salting(spark):
     assert plain[0] is not None
 
 
-def test_zone_aware_timestamps_under_a_non_utc_session(spark, monkeypatch):
+def test_zone_aware_timestamps_under_a_non_utc_session(spark):
     from liftlens.operators import snapshots
 
     old = spark.conf.get("spark.sql.session.timeZone")
@@ -118,10 +117,7 @@ def test_zone_aware_timestamps_under_a_non_utc_session(spark, monkeypatch):
                                     "customer_id long, campaign_id string, group string, value_tier string, "
                                     "coupon_value double, assigned_ts timestamp")
         p = Params(as_of="2024-03-01", outcome_days=2)
-        kw = dict(window_start="2024-03-01", window_end="2024-04-01")
-        a1 = sorted(tuple(r) for r in outcomes.attribute_outcomes(asg, txns, None, p, **kw).collect())
-        monkeypatch.setattr(outcomes, "MAX_WINDOWS", 0)
-        a2 = sorted(tuple(r) for r in outcomes.attribute_outcomes(asg, txns, None, p, **kw).collect())
-        assert a1 == a2 and sum(r[5] for r in a1) == 5
+        a1 = sorted(tuple(r) for r in outcomes.attribute_outcomes(asg, txns, None, p).collect())
+        assert sum(r[5] for r in a1) == 5
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
