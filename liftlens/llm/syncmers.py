@@ -179,7 +179,7 @@ def beside_next(docs: DataFrame, buckets_per_partition: int = 3) -> DataFrame:
     keyed = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("bigint"), last).alias("at"), F.xxhash64("text").alias("tie"))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * buckets_per_partition)
     cuts = keyed.withColumn("d", F.col("at").cast("double")).approxQuantile("d", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
-    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
+    splits = [-float("inf"), *(sorted(set(cuts)) or [0.0]), float("inf")]
     placed = Bucketizer(splits=splits, inputCol="d", outputCol="b", handleInvalid="keep").transform(
         keyed.withColumn("d", F.col("at").cast("double"))).withColumn("bucket", F.col("b").cast("int")).drop("d", "b")
     # one row per range: at most n of them
