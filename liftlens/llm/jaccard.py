@@ -18,8 +18,10 @@ words: the whole run as one). Two sets link when
    nodes, then of members are traversed together; a pair of nodes is dropped
    when its largest possible overlap is too small for any link, or when all of
    both sides are in one component already.
-5. *Verification* of the surviving pairs on the full sets, which are made anew
-   from the texts of the classes concerned, then components.
+   A tree gives a spanning forest of the surviving pairs, not the pairs.
+5. *Verification.* Classes joined by these forests form families. Blocks of a
+   family meet as trees again, now over the full sets made anew from the texts,
+   and each pair that the bitmaps leave is compared on the spot. Then components.
 
 Links inside one component need not all be enumerated; no link between two
 components is lost, because step 4 starts from every prefix token. A hot
@@ -48,7 +50,7 @@ from .storage import new_path, remove, staged
 from .text import mix, shingles, slices, words
 
 CELLS = 1 << 20  # cells of the order table (1 byte each when sent to tasks)
-BLOCK = 256  # members of a signature tree
+BLOCK = 4096  # members of a signature tree
 LEAF = 16  # members under one inner node
 BLOCK_SHINGLES = 1 << 21  # shingles of a block of full sets (16 MB)
 MIN_HASHES = 4
@@ -112,7 +114,7 @@ def shingle_sets(docs: DataFrame, levels: np.ndarray, size: int, percent: int) -
                     mins.append(np.array([mix(s * o).min() for o in odd]).astype(np.int64))
                     whole = bitmap(s)
                     bits.append(whole.tobytes())
-                    few.append(fold(whole, max(8, len(whole) // 4)).tobytes())
+                    few.append(fold(whole, max(8, len(whole) // 2)).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(rows), batch.column(0).slice(a, b - a), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()),
                      pa.array(prefixes, pa.list_(pa.int64())), pa.array(mins, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(few, pa.binary())],
@@ -161,27 +163,51 @@ def _max_overlap(n, bits, other):
     return n - np.bitwise_count(bits & ~other).sum(axis=-1).astype(np.int64)
 
 
-def traverse(x: SignatureTree, y: SignatureTree, same: bool, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Dual traversal: (member of x, members of y) that may link and are in different components."""
+def traverse(x: SignatureTree, y: SignatureTree, same: bool, percent: int, accept=None) -> Iterator[tuple[int, np.ndarray]]:
+    """Dual traversal: (member of x, members of y), edges of a spanning forest over the pairs that may link.
+
+    Without ``accept`` every pair of different components that sizes and bitmaps
+    allow counts, and members joined by such pairs end up joined by the edges.
+    With ``accept(r, ys)``, the exact test, only pairs that it confirms count and
+    members of one component are joined from the start. Nodes and members that
+    are joined already are not compared again.
+    """
+    comps = x.comp if same else np.concatenate([x.comp, y.comp])
+    joined = np.arange(len(comps)) if accept is None else np.unique(comps, return_inverse=True)[1].astype(np.int64)
+    jx = joined[:len(x.n)]
+    jy = jx if same else joined[len(x.n):]
+    firsts = np.array([c for c, _ in y.spans])
     for i, (a, b) in enumerate(x.spans):
-        for j, (c, d) in enumerate(y.spans):
-            if same and j < i or x.one[i] is not None and x.one[i] == y.one[j]:
-                continue
-            # sizes: J >= t needs the smaller to be at least t of the larger
-            if 100 * x.high[i] < percent * y.low[j] or 100 * y.high[j] < percent * x.low[i]:
+        # sizes: J >= t needs the smaller to be at least t of the larger
+        near = (100 * x.high[i] >= percent * y.low) & (100 * y.high >= percent * x.low[i])
+        if same:
+            near[:i] = False
+        if (jx[a:b] == jx[a]).all():
+            near &= (np.minimum.reduceat(jy, firsts) != jx[a]) | (np.maximum.reduceat(jy, firsts) != jx[a])
+        for j in np.flatnonzero(near):
+            c, d = y.spans[j]
+            if x.one[i] is not None and x.one[i] == y.one[j]:
                 continue
             rows = np.arange(a, b)
             # members of the one node against the OR of the other, at the other's smallest size
             able = _max_overlap(x.n[a:b], x.bits[a:b], y.node_bits[j]) >= _least_overlap(x.n[a:b], y.low[j], percent)
             for r in rows[able]:
                 ys = np.arange(max(c, r + 1) if same else c, d)
+                ys = ys[(jy[ys] != jx[r]) & (y.comp[ys] != x.comp[r])]
                 if not len(ys):
                     continue
                 need = _least_overlap(x.n[r], y.n[ys], percent)
                 most = np.minimum(_max_overlap(x.n[r], x.bits[r], y.bits[ys]), _max_overlap(y.n[ys], y.bits[ys], x.bits[r]))
-                ok = (most >= need) & (y.comp[ys] != x.comp[r])
-                if ok.any():
-                    yield r, ys[ok]
+                ys = ys[most >= need]
+                if accept is not None and len(ys):
+                    ys = ys[accept(r, ys)]
+                if not len(ys):
+                    continue
+                others, at = np.unique(jy[ys], return_index=True)
+                own = jx[r]
+                for other in others:
+                    joined[joined == other] = own
+                yield r, ys[at]
 
 
 def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
@@ -195,8 +221,19 @@ def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
     ).select("token", "block", "block_2")
 
 
-def candidate_pairs(sets: DataFrame, classes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of classes in different components that the signature trees can't rule out."""
+def _sides(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The members of both blocks (side 0 and 1) of each pair; a block with itself comes once."""
+    sides = pairs.select("token", "block", "block_2", F.lit(0).alias("side"), F.col("block").alias("at")).unionByName(
+        pairs.where("block <> block_2").select("token", "block", "block_2", F.lit(1).alias("side"), F.col("block_2").alias("at")))
+    return sides.join(members, ["token", "at"])
+
+
+def candidate_edges(sets: DataFrame, classes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """(a, b): edges that join every two classes of different components which the signature trees can't rule out.
+
+    A tree gives a spanning forest of its surviving pairs, so its rows are fewer
+    than its members however many pairs survive.
+    """
     by_token = Window.partitionBy("token")
     own = sets.where("prefix IS NOT NULL")
     tokens = own.select(F.explode("prefix").alias("token"), "row")
@@ -217,9 +254,7 @@ def candidate_pairs(sets: DataFrame, classes: DataFrame, comps: DataFrame, perce
     place = F.row_number().over(by_token.orderBy("n", "cls"))
     members = open_groups.where(F.col("group_n") > LEAF).drop("group_n").withColumn("at", F.floor((place - 1) / BLOCK))
     pairs = _block_pairs(members, percent)
-    sides = pairs.select("token", "block", "block_2", F.lit(0).alias("side"), F.col("block").alias("at")).unionByName(
-        pairs.where("block <> block_2").select("token", "block", "block_2", F.lit(1).alias("side"), F.col("block_2").alias("at")))
-    both = sides.join(members, ["token", "at"]).join(classes.select("cls", F.col("few_bits").alias("bits")), "cls")
+    both = _sides(pairs, members).join(classes.select("cls", F.col("few_bits").alias("bits")), "cls")
 
     def join_blocks(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         sizes = [len(b) for b in table["bits"].to_pylist()]
@@ -239,9 +274,9 @@ def candidate_pairs(sets: DataFrame, classes: DataFrame, comps: DataFrame, perce
         b = np.concatenate(found_b) if found_b else np.zeros(0, np.int64)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    tree_pairs = both.groupBy("token", "block", "block_2").applyInArrow(join_blocks, "a bigint, b bigint")
-    # a single leaf has no inner node to prune; its pairs and those that the trees leave meet the longer bitmaps once for all their tokens
-    return _may_link(leaf_pairs.unionByName(tree_pairs).distinct(), classes, percent)
+    tree_edges = both.groupBy("token", "block", "block_2").applyInArrow(join_blocks, "a bigint, b bigint")
+    # a group of at most LEAF members has no inner node to prune; its pairs meet the longer bitmaps once for all their tokens
+    return _may_link(leaf_pairs, classes, percent).unionByName(tree_edges.distinct())
 
 
 def centre_pairs(classes: DataFrame) -> DataFrame:
@@ -325,6 +360,72 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, p
     return rows.groupBy("key").applyInArrow(check, "a bigint, b bigint")
 
 
+def family_links(edges: DataFrame, classes: DataFrame, comps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): links between classes of different components, enough of them to connect all that links connect.
+
+    Classes joined by candidate ``edges`` form families, cut into blocks of about
+    BLOCK_SHINGLES shingles, components side by side. Every two blocks of a family
+    that their roots allow meet as signature trees over the full sets, made anew
+    from the texts; the pairs that the trees leave are compared exactly on the
+    spot, so that pairs never become rows.
+    """
+    family = connected_components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    known = classes.select("cls", "n").join(comps, "cls")
+    before = F.sum("n").over(Window.partitionBy("component").orderBy("comp", "node")) - F.col("n")
+    members = family.join(known.withColumnRenamed("cls", "node"), "node") \
+        .select(F.col("component").alias("token"), F.col("node").alias("cls"), "n", "comp", F.floor(before / BLOCK_SHINGLES).alias("at")).checkpoint()
+    need = _sides(_block_pairs(members, percent), members).checkpoint()
+    groups = max(1, need.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // BLOCK_SHINGLES)
+    need = need.withColumn("key", F.pmod(F.xxhash64("token", "block", "block_2"), F.lit(groups))) \
+        .join(classes.select("cls", "owner", "digest", "bits"), "cls")
+    rows = need.join(_texts_of(docs, need.select("owner")), "owner") \
+        .select("key", "token", "block", "block_2", "side", "cls", "n", "comp", "digest", "bits", "text")
+
+    def check(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        meets: dict[tuple, tuple[dict, dict]] = {}
+        for batch in table.to_batches():
+            texts = batch.column("text")
+            for i, (token, p, q, side, cls, digest) in enumerate(zip(
+                    *(batch.column(c).to_pylist() for c in ("token", "block", "block_2", "side", "cls", "digest")), strict=True)):
+                own = meets.setdefault((token, p, q), ({}, {}))[side]
+                if cls in own:
+                    continue
+                s = np.unique(shingles(words(texts.slice(i, 1)).hashes, size))
+                if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == digest:
+                    own[cls] = s, batch.column("bits")[i].as_py(), batch.column("comp")[i].as_py()
+        found = [pair for sides in meets.values() for pair in _links_of(sides, percent)]
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    return rows.groupBy("key").applyInArrow(check, "a bigint, b bigint")
+
+
+def _links_of(sides: tuple[dict, dict], percent: int) -> Iterator[tuple[int, int]]:
+    """Links between two blocks (an empty second side: within the first), each {class: (set, bitmap, component)}."""
+    width = min(len(bits) for side in sides for _, bits, _ in side.values())
+    ordered = [sorted(side, key=lambda c: (len(side[c][0]), c)) for side in sides if side]
+    trees = [SignatureTree(np.array([len(side[c][0]) for c in ids]), [side[c][1] for c in ids], np.array([side[c][2] for c in ids]), width)
+             for ids, side in zip(ordered, sides)]
+    every = [side[c][0] for ids, side in zip(ordered, sides) for c in ids]
+    place = np.unique(np.concatenate(every), return_inverse=True)[1]
+    local = np.split(place, np.cumsum([len(s) for s in every])[:-1])
+    same = len(trees) == 1
+    x, y = trees[0], trees[-1]
+    ys_from = 0 if same else len(x.n)
+    held = np.zeros(place.max() + 1, bool)
+
+    def accept(r: int, ys: np.ndarray) -> np.ndarray:
+        held[local[r]] = True
+        parts = [local[ys_from + k] for k in ys]
+        starts = np.cumsum([0] + [len(p) for p in parts[:-1]])
+        common = np.add.reduceat(held[np.concatenate(parts)].astype(np.int64), starts)
+        held[local[r]] = False
+        return 100 * common >= percent * (x.n[r] + y.n[ys] - common)
+
+    for r, ys in traverse(x, y, same, percent, accept):
+        for k in ys:
+            yield ordered[0][r], ordered[-1][k]
+
+
 FILTER_BITS = 1 << 23
 
 
@@ -383,10 +484,10 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     comps = linkable.select("cls").join(connected_components(first), F.col("cls") == F.col("node"), "left") \
         .select("cls", F.coalesce("component", "cls").alias("comp")).checkpoint()
 
-    rest = candidate_pairs(sets, linkable, comps, percent).checkpoint()
+    rest = candidate_edges(sets, linkable, comps, percent).checkpoint()
     sets = sets.select("doc_id", "n", "digest").checkpoint()
     remove(spark, path)
-    more = verified(rest, linkable, docs, size, percent)
+    more = family_links(rest, linkable, comps, docs, size, percent)
     across = more.join(comps.select(F.col("cls").alias("a"), F.col("comp").alias("u")), "a") \
         .join(comps.select(F.col("cls").alias("b"), F.col("comp").alias("v")), "b").select("u", "v")
     merged = connected_components(across)
