@@ -52,6 +52,7 @@ from .text import mix, shingles, slices, words
 CELLS = 1 << 20  # cells of the order table (1 byte each when sent to tasks)
 BLOCK = 4096  # members of a signature tree
 LEAF = 16  # members under one inner node
+STRIP = 1 << 22  # bytes of bitmaps compared at a time
 BLOCK_SHINGLES = 1 << 21  # shingles of a block of full sets (16 MB)
 MIN_HASHES = 4
 
@@ -94,7 +95,7 @@ def shingle_sets(docs: DataFrame, levels: np.ndarray, size: int, percent: int) -
                 w = words(batch.column(1).slice(a, b - a))
                 rows = np.arange(row, row + b - a)
                 row += b - a
-                ns, digests, prefixes, mins, bits, few = [], [], [], [], [], []
+                ns, digests, prefixes, mins, bits = [], [], [], [], []
                 for i in range(b - a):
                     s = np.unique(shingles(w.hashes[w.ptr[i]:w.ptr[i + 1]], size))
                     n = len(s)
@@ -102,7 +103,7 @@ def shingle_sets(docs: DataFrame, levels: np.ndarray, size: int, percent: int) -
                     d = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if n else None
                     digests.append(d)
                     if d is None or d in seen:
-                        prefixes.append(None), mins.append(None), bits.append(None), few.append(None)
+                        prefixes.append(None), mins.append(None), bits.append(None)
                         continue
                     seen.add(d)
                     keep = n - -(-percent * n // 100) + 1
@@ -112,16 +113,14 @@ def shingle_sets(docs: DataFrame, levels: np.ndarray, size: int, percent: int) -
                         low = s[np.argsort(level, kind="stable")]
                     prefixes.append(low[:keep].astype(np.int64))
                     mins.append(np.array([mix(s * o).min() for o in odd]).astype(np.int64))
-                    whole = bitmap(s)
-                    bits.append(whole.tobytes())
-                    few.append(fold(whole, max(8, len(whole) // 2)).tobytes())
+                    bits.append(bitmap(s).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(rows), batch.column(0).slice(a, b - a), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()),
-                     pa.array(prefixes, pa.list_(pa.int64())), pa.array(mins, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(few, pa.binary())],
-                    ["row", "doc_id", "n", "digest", "prefix", "mins", "bits", "few_bits"])
+                     pa.array(prefixes, pa.list_(pa.int64())), pa.array(mins, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
+                    ["row", "doc_id", "n", "digest", "prefix", "mins", "bits"])
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "row bigint, doc_id bigint, n bigint, digest binary, prefix array<bigint>, mins array<bigint>, bits binary, few_bits binary")
+        run, "row bigint, doc_id bigint, n bigint, digest binary, prefix array<bigint>, mins array<bigint>, bits binary")
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -133,9 +132,9 @@ def bitmap(s: np.ndarray) -> np.ndarray:
 
 
 def fold(bits: np.ndarray, size: int) -> np.ndarray:
-    """A bitmap at a smaller power-of-two length: the OR of its parts."""
-    while len(bits) > size:
-        bits = bits[: len(bits) // 2] | bits[len(bits) // 2:]
+    """Bitmaps (in the last axis) at a smaller power-of-two length: the OR of their parts."""
+    while (half := bits.shape[-1] // 2) >= size:
+        bits = bits[..., :half] | bits[..., half:]
     return bits
 
 
@@ -145,14 +144,21 @@ def _least_overlap(na, nb, percent: int):
 
 
 class SignatureTree:
-    """Members sorted by size; leaves under inner nodes of LEAF members, with OR-combined bitmaps and size ranges."""
+    """Members sorted by size; leaves under inner nodes of LEAF members, with OR-combined bitmaps and size ranges.
 
-    def __init__(self, n: np.ndarray, bits: list[bytes], comp: np.ndarray, width: int):
+    Each node keeps the bitmaps at the length of its shortest, so that large
+    sets in the same tree stay sparse.
+    """
+
+    def __init__(self, n: np.ndarray, bits: list[bytes], comp: np.ndarray):
         self.n, self.comp = n, comp
-        self.bits = np.stack([fold(np.frombuffer(b, np.uint8), width) for b in bits])
-        starts = range(0, len(n), LEAF)
-        self.spans = [(s, min(s + LEAF, len(n))) for s in starts]
-        self.node_bits = np.stack([np.bitwise_or.reduce(self.bits[a:b]) for a, b in self.spans])
+        self.spans = [(s, min(s + LEAF, len(n))) for s in range(0, len(n), LEAF)]
+        self.bits = []
+        for a, b in self.spans:
+            width = min(len(x) for x in bits[a:b])
+            self.bits.append(np.stack([fold(np.frombuffer(x, np.uint8), width) for x in bits[a:b]]).view(np.uint64))
+        self.ors = [np.bitwise_or.reduce(x)[None] for x in self.bits]
+        self.widths = np.array([x.shape[1] for x in self.bits])
         self.low = np.array([n[a:b].min() for a, b in self.spans])
         self.high = np.array([n[a:b].max() for a, b in self.spans])
         self.one = [comp[a] if (comp[a:b] == comp[a]).all() else None for a, b in self.spans]
@@ -163,6 +169,20 @@ def _max_overlap(n, bits, other):
     return n - np.bitwise_count(bits & ~other).sum(axis=-1).astype(np.int64)
 
 
+def _common_bits(xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+    """Matrix of the bits that each of ``xs`` shares with each of ``ys``."""
+    return np.bitwise_count(xs[:, None, :] & ys[None, :, :]).sum(axis=-1, dtype=np.int64)
+
+
+def _strips(nodes: np.ndarray, widths: np.ndarray) -> Iterator[np.ndarray]:
+    """Runs of nodes whose bitmaps are equally long, at most STRIP bytes of a comparison with one node each."""
+    for width in np.unique(widths[nodes]):
+        own = nodes[widths[nodes] == width]
+        step = max(1, STRIP // (8 * int(width) * LEAF * LEAF))
+        for k in range(0, len(own), step):
+            yield own[k:k + step]
+
+
 def traverse(x: SignatureTree, y: SignatureTree, same: bool, percent: int, accept=None) -> Iterator[tuple[int, np.ndarray]]:
     """Dual traversal: (member of x, members of y), edges of a spanning forest over the pairs that may link.
 
@@ -184,30 +204,42 @@ def traverse(x: SignatureTree, y: SignatureTree, same: bool, percent: int, accep
             near[:i] = False
         if (jx[a:b] == jx[a]).all():
             near &= (np.minimum.reduceat(jy, firsts) != jx[a]) | (np.maximum.reduceat(jy, firsts) != jx[a])
-        for j in np.flatnonzero(near):
-            c, d = y.spans[j]
-            if x.one[i] is not None and x.one[i] == y.one[j]:
+        if x.one[i] is not None:
+            near &= np.array([c != x.one[i] for c in y.one])
+        nx, cx = x.n[a:b, None], x.comp[a:b, None]
+        for js in _strips(np.flatnonzero(near), y.widths):
+            width = min(x.widths[i], y.widths[js[0]])
+            xb = fold(x.bits[i], width)
+            absent = nx - np.bitwise_count(xb).sum(axis=-1, dtype=np.int64)[:, None]
+            # members of the one node against the ORs of the others, at the others' smallest sizes
+            able = absent + _common_bits(xb, np.concatenate([fold(y.ors[j], width) for j in js])) >= _least_overlap(nx, y.low[js], percent)
+            js = js[able.any(axis=0)]
+            if not len(js):
                 continue
-            rows = np.arange(a, b)
-            # members of the one node against the OR of the other, at the other's smallest size
-            able = _max_overlap(x.n[a:b], x.bits[a:b], y.node_bits[j]) >= _least_overlap(x.n[a:b], y.low[j], percent)
-            for r in rows[able]:
-                ys = np.arange(max(c, r + 1) if same else c, d)
-                ys = ys[(jy[ys] != jx[r]) & (y.comp[ys] != x.comp[r])]
-                if not len(ys):
-                    continue
-                need = _least_overlap(x.n[r], y.n[ys], percent)
-                most = np.minimum(_max_overlap(x.n[r], x.bits[r], y.bits[ys]), _max_overlap(y.n[ys], y.bits[ys], x.bits[r]))
-                ys = ys[most >= need]
-                if accept is not None and len(ys):
-                    ys = ys[accept(r, ys)]
-                if not len(ys):
+            ys = np.concatenate([np.arange(*y.spans[j]) for j in js])
+            yb = np.concatenate([fold(y.bits[j], width) for j in js])
+            ok = (jy[ys] != jx[a:b, None]) & (y.comp[ys] != cx)
+            if same:
+                ok &= ys > np.arange(a, b)[:, None]
+            use = ok.any(axis=0)
+            if not use.any():
+                continue
+            ys, yb, ok = ys[use], yb[use], ok[:, use]
+            common = _common_bits(xb, yb)
+            most = np.minimum(absent + common, y.n[ys] - np.bitwise_count(yb).sum(axis=-1, dtype=np.int64) + common)
+            ok &= most >= _least_overlap(nx, y.n[ys], percent)
+            for k in np.flatnonzero(ok.any(axis=1)):
+                r, left = a + k, ys[ok[k]]
+                left = left[jy[left] != jx[r]]
+                if accept is not None and len(left):
+                    left = left[accept(r, left)]
+                if not len(left):
                     continue
-                others, at = np.unique(jy[ys], return_index=True)
+                others, at = np.unique(jy[left], return_index=True)
                 own = jx[r]
                 for other in others:
                     joined[joined == other] = own
-                yield r, ys[at]
+                yield r, left[at]
 
 
 def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
@@ -254,15 +286,13 @@ def candidate_edges(sets: DataFrame, classes: DataFrame, comps: DataFrame, perce
     place = F.row_number().over(by_token.orderBy("n", "cls"))
     members = open_groups.where(F.col("group_n") > LEAF).drop("group_n").withColumn("at", F.floor((place - 1) / BLOCK))
     pairs = _block_pairs(members, percent)
-    both = _sides(pairs, members).join(classes.select("cls", F.col("few_bits").alias("bits")), "cls")
+    both = _sides(pairs, members).join(classes.select("cls", "bits"), "cls")
 
     def join_blocks(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        sizes = [len(b) for b in table["bits"].to_pylist()]
-        width = min(sizes)
         trees = []
         for side in (0, 1):
             t = table.filter(pc.equal(table["side"], side)).sort_by([("n", "ascending"), ("cls", "ascending")])
-            trees.append((t["cls"].to_numpy(), SignatureTree(t["n"].to_numpy(), t["bits"].to_pylist(), t["comp"].to_numpy(), width))
+            trees.append((t["cls"].to_numpy(), SignatureTree(t["n"].to_numpy(), t["bits"].to_pylist(), t["comp"].to_numpy()))
                          if len(t) else None)
         (ids, x), other = trees[0], trees[1]
         ids2, y = other or (ids, x)
@@ -275,7 +305,7 @@ def candidate_edges(sets: DataFrame, classes: DataFrame, comps: DataFrame, perce
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     tree_edges = both.groupBy("token", "block", "block_2").applyInArrow(join_blocks, "a bigint, b bigint")
-    # a group of at most LEAF members has no inner node to prune; its pairs meet the longer bitmaps once for all their tokens
+    # a group of at most LEAF members has no inner node to prune; its pairs meet the bitmaps once for all their tokens
     return _may_link(leaf_pairs, classes, percent).unionByName(tree_edges.distinct())
 
 
@@ -401,9 +431,8 @@ def family_links(edges: DataFrame, classes: DataFrame, comps: DataFrame, docs: D
 
 def _links_of(sides: tuple[dict, dict], percent: int) -> Iterator[tuple[int, int]]:
     """Links between two blocks (an empty second side: within the first), each {class: (set, bitmap, component)}."""
-    width = min(len(bits) for side in sides for _, bits, _ in side.values())
     ordered = [sorted(side, key=lambda c: (len(side[c][0]), c)) for side in sides if side]
-    trees = [SignatureTree(np.array([len(side[c][0]) for c in ids]), [side[c][1] for c in ids], np.array([side[c][2] for c in ids]), width)
+    trees = [SignatureTree(np.array([len(side[c][0]) for c in ids]), [side[c][1] for c in ids], np.array([side[c][2] for c in ids]))
              for ids, side in zip(ordered, sides)]
     every = [side[c][0] for ids, side in zip(ordered, sides) for c in ids]
     place = np.unique(np.concatenate(every), return_inverse=True)[1]
@@ -475,8 +504,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     sets = spark.read.parquet(path)
     named = sets.where("n > 0").groupBy("digest").agg(
         F.min("doc_id").alias("owner"), F.max("n").alias("n"),
-        F.max(F.struct(F.col("mins").isNotNull().alias("own"), "mins", "bits", "few_bits")).alias("s"))
-    classes = staged(named.select(F.monotonically_increasing_id().alias("cls"), "digest", "owner", "n", "s.mins", "s.bits", "s.few_bits"), "classes")
+        F.max(F.struct(F.col("mins").isNotNull().alias("own"), "mins", "bits")).alias("s"))
+    classes = staged(named.select(F.monotonically_increasing_id().alias("cls"), "digest", "owner", "n", "s.mins", "s.bits"), "classes")
     linkable = classes.where("owner IS NOT NULL")
 
     first = verified(_may_link(centre_pairs(linkable), linkable, percent).checkpoint(), linkable, docs, size, percent) \
