@@ -394,14 +394,14 @@ def family_links(edges: DataFrame, classes: DataFrame, comps: DataFrame, docs: D
     """(a, b): links between classes of different components, enough of them to connect all that links connect.
 
     Classes joined by candidate ``edges`` form families, cut into blocks of about
-    BLOCK_SHINGLES shingles, components side by side. Every two blocks of a family
+    BLOCK_SHINGLES shingles by size. Every two blocks of a family
     that their roots allow meet as signature trees over the full sets, made anew
     from the texts; the pairs that the trees leave are compared exactly on the
     spot, so that pairs never become rows.
     """
     family = connected_components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
     known = classes.select("cls", "n").join(comps, "cls")
-    before = F.sum("n").over(Window.partitionBy("component").orderBy("comp", "node")) - F.col("n")
+    before = F.sum("n").over(Window.partitionBy("component").orderBy("n", "comp", "node")) - F.col("n")
     members = family.join(known.withColumnRenamed("cls", "node"), "node") \
         .select(F.col("component").alias("token"), F.col("node").alias("cls"), "n", "comp", F.floor(before / BLOCK_SHINGLES).alias("at")).checkpoint()
     need = _sides(_block_pairs(members, percent), members).checkpoint()
