@@ -1,17 +1,20 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: word-pair seeds, then Smith-Waterman alignment.
 
 Texts are lower-cased words of letters and digits. Test items are taken in
 blocks of at most ITEMS_PER_BLOCK items and BLOCK_BYTES bytes of text, each block
 against all documents (a stated query set):
 
-1. every SEED-word run of an item is a possible seed (a shorter item: its whole
-   run); one pass counts how often each occurs in the whole corpus;
-2. of every SPAN consecutive runs of an item the rarest is a seed, so that any
-   SPAN + SEED - 1 intact words hold one and no item loses its seeds, while
-   phrases that fill the corpus are passed over where rarer ones stand near;
-3. in a second pass each seed found in a document sets a window around the place
-   the item would take; overlapping windows merge, and a Smith-Waterman
-   alignment (match 2, else -1, gap -1) scores item against window.
+1. the seeds of an item are its ordered pairs of words next to each other or one
+   word apart (an item under SEED words: its whole run); one pass counts how often
+   each occurs, as such a pair, in the whole corpus;
+2. an alignment of ``least`` and more holds a known number of seeds (see
+   :func:`_bounds`), each at its own place of the item and of the document. Half
+   that number of an item's places, those with the commonest seeds, are passed
+   over; the rest of the number must still be met, so that no alignment is lost;
+3. in a second pass the documents' seeds are counted along each text; where an
+   item meets its number within the longest reach of an alignment, a window takes
+   all that such an alignment could cover; overlapping windows merge, and a
+   Smith-Waterman alignment (match 2, else -1, gap -1) scores item against window.
 
 ``score`` is the alignment's score over that of an exact copy. Pairs of at least
 ``least`` are returned. Texts never move between tasks.
@@ -22,6 +25,7 @@ give repeated pairs; items with equal ids are one item each.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,9 +36,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import PUNCT, shingles, slices, words
+from .text import PUNCT, mix, shingles, slices, words
 
-SEED, SPAN = 4, 3
+SEED = 4  # words from which an item is sought by pairs
 LEAST = 0.5
 ITEMS_PER_BLOCK, BLOCK_BYTES = 2_000, 4 << 20
 MATCH, MISS, GAP = 2, -1, -1
@@ -45,43 +49,76 @@ def _words(column: pa.Array):
     return words(pc.utf8_lower(pc.fill_null(column, "")), PUNCT)
 
 
-def _seed_size(n: int) -> int:
-    return min(SEED, n)
+def _kind(n: int) -> int:
+    """0: an item of ``n`` words is sought by pairs; else by its whole run of so many words."""
+    return 0 if n >= SEED else n
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(mix(a + np.uint64(0x9E3779B97F4A7C15)) + b)
+
+
+def _bounds(n: int, least: float) -> tuple[int, int]:
+    """(pairs, document words) that an alignment of an item of ``n`` words with a score of ``least`` has at least, at most.
+
+    M matches with X errors score 2 M - X >= s. Of the M - 1 steps from match to match those with two errors and more
+    are at most X / 2 <= M - s / 2, so s / 2 - 1 steps have one error or none: they go one or two words on in both
+    texts. In the document the alignment takes at most M + X <= 3 M - s words.
+    """
+    if _kind(n):
+        return 1, n
+    s = math.ceil(MATCH * n * least - 1e-9)
+    return max(1, math.ceil(s / 2) - 1), max(n, 3 * n - s)
 
 
 @dataclass
 class Items:
-    """A block of test items: ids, word hashes, and seeds sorted by hash with their item and position."""
+    """A block of test items: ids, word hashes, and seeds sorted by hash with their item and position.
+
+    ``need``: places of each item that a document must meet within ``reach`` words.
+    """
 
     ids: np.ndarray
     words: list[np.ndarray]
     seeds: np.ndarray
     item: np.ndarray
     place: np.ndarray
-
-    def thinned(self, counts: dict[int, int]) -> Items:
-        """Only the rarest of every SPAN consecutive runs of each item."""
-        keep = np.zeros(len(self.seeds), bool)
-        n = np.array([counts.get(int(i), 0) for i in range(len(self.seeds))])
+    need: np.ndarray
+    reach: np.ndarray
+
+    def thinned(self, counts: dict[int, int], least: float) -> Items:
+        """Without the commonest places of each item, half as many as an alignment of ``least`` is sure to meet."""
+        keep = np.ones(len(self.seeds), bool)
+        n = np.array([counts.get(int(i), 0) for i in range(len(self.seeds))], np.int64)
+        bounds = [_bounds(len(w), least) for w in self.words]
+        need = np.array([b[0] for b in bounds], np.int64)
         for i in range(len(self.ids)):
             own = np.flatnonzero(self.item == i)
-            own = own[np.argsort(self.place[own])]
-            for a in range(max(1, len(own) - SPAN + 1)):
-                window = own[a:a + SPAN]
-                if len(window):
-                    keep[window[np.argmin(n[window])]] = True
-        return Items(self.ids, self.words, self.seeds[keep], self.item[keep], self.place[keep])
+            cost = np.bincount(self.place[own], n[own])
+            passed = need[i] // 2
+            keep[own] = ~np.isin(self.place[own], np.argsort(-cost, kind="stable")[:passed])
+            need[i] -= passed
+        return Items(self.ids, self.words, self.seeds[keep], self.item[keep], self.place[keep], need,
+                     np.array([b[1] for b in bounds], np.int64))
 
 
 def _seeds(ids: list, texts: list) -> Items:
     w = _words(pa.array(texts, pa.string()))
     runs = [w.hashes[w.ptr[i]:w.ptr[i + 1]] for i in range(len(texts))]
-    made = [shingles(r, _seed_size(len(r))) for r in runs]
+    made, places = [], []
+    for r in runs:
+        if _kind(len(r)) or not len(r):
+            made.append(shingles(r, len(r)))
+            places.append(np.zeros(len(made[-1]), np.int64))
+        else:
+            made.append(np.concatenate([_pair(r[:-1], r[1:]), _pair(r[:-2], r[2:])]))
+            places.append(np.concatenate([np.arange(len(r) - 1), np.arange(len(r) - 2)]))
     h = np.concatenate(made) if made else np.zeros(0, np.uint64)
     item = np.repeat(np.arange(len(made)), [len(m) for m in made])
-    place = np.concatenate([np.arange(len(m)) for m in made]) if made else np.zeros(0, np.int64)
+    place = np.concatenate(places) if made else np.zeros(0, np.int64)
     order = np.lexsort((place, item, h))
-    return Items(np.array(ids, np.int64), runs, h[order], item[order], place[order])
+    none = np.zeros(len(ids), np.int64)
+    return Items(np.array(ids, np.int64), runs, h[order], item[order], place[order], none, none)
 
 
 def _blocks(items: DataFrame) -> Iterator[Items]:
@@ -98,22 +135,23 @@ def _blocks(items: DataFrame) -> Iterator[Items]:
         yield _seeds(ids, texts)
 
 
-def _runs(w, sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(size, hash of each run of that many words, position in the slice); runs that cross texts are left out."""
-    for size in sizes:
-        n = len(w.hashes) - size + 1
-        if n < 1:
-            continue
-        h = shingles(w.hashes, int(size))
-        text = np.searchsorted(w.ptr, np.arange(len(w.hashes)), side="right")
-        at = np.flatnonzero(text[:n] == text[size - 1:])
-        yield size, h[at], at
+def _runs(w, kinds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, positions in the slice) of the pairs (kind 0) and of the runs of so many words, none across texts."""
+    text = np.repeat(np.arange(len(w.ptr) - 1), np.diff(w.ptr))
+    for kind in kinds.tolist():
+        for far in (1, 2) if kind == 0 else (kind - 1,):
+            n = len(w.hashes) - far
+            if n < 1:
+                continue
+            h = _pair(w.hashes[:n], w.hashes[far:]) if kind == 0 else shingles(w.hashes, kind)
+            at = np.flatnonzero(text[:n] == text[far:])
+            yield h[at], at
 
 
 def _hits(w, seeds: np.ndarray, sizes: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(position in the slice, index of the first equal seed) of every seed met."""
     at_all, seed_all = [], []
-    for _, h, at in _runs(w, sizes):
+    for h, at in _runs(w, sizes):
         maybe = np.flatnonzero(near[(h & np.uint64(0xFFFFF)).astype(np.int64)])
         i = np.searchsorted(seeds, h[maybe])
         ok = (i < len(seeds)) & (seeds[np.minimum(i, len(seeds) - 1)] == h[maybe])
@@ -129,7 +167,7 @@ def _near(seeds: np.ndarray) -> np.ndarray:
 
 
 def _sizes(items: Items) -> np.ndarray:
-    return np.unique([_seed_size(len(r)) for r in items.words if len(r)])
+    return np.unique([_kind(len(r)) for r in items.words if len(r)])
 
 
 def seed_counts(docs: DataFrame, items: Items) -> dict[int, int]:
@@ -201,13 +239,21 @@ def _windows(w, items: Items, hits: tuple[np.ndarray, np.ndarray]) -> list[tuple
     last = np.searchsorted(items.seeds, items.seeds[first], side="right")
     n = last - first
     at = np.repeat(at, n)
-    seed = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    item, place = items.item[seed], items.place[seed]
-    length = np.array([len(r) for r in items.words])[item]
+    item = items.item[np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+    # the distinct places met, by item and then along the texts
+    met = np.unique(item * np.int64(len(w.hashes)) + at)
+    item, at = np.divmod(met, len(w.hashes))
     text = np.searchsorted(w.ptr, at, side="right") - 1
-    pad = 2 + length // 4
-    low = np.maximum(at - place - pad, w.ptr[text])
-    high = np.minimum(at - place + length + pad, w.ptr[text + 1])
+    # those among as many as the item needs, within its reach
+    begin = np.arange(len(met))
+    stop = begin + items.need[item] - 1
+    end = np.minimum(stop, len(met) - 1)
+    full = (stop == end) & (item[end] == item) & (text[end] == text) & (at[end] - at < items.reach[item])
+    marks = np.bincount(begin[full], minlength=len(met) + 1) - np.bincount(end[full] + 1, minlength=len(met) + 1)
+    among = np.cumsum(marks[:-1]) > 0
+    item, at, text = item[among], at[among], text[among]
+    low = np.maximum(at - items.reach[item], w.ptr[text])
+    high = np.minimum(at + items.reach[item], w.ptr[text + 1])
     out: list[tuple[int, int, int, int]] = []
     for t, i, a, b in sorted(zip(text.tolist(), item.tolist(), low.tolist(), high.tolist(), strict=True)):
         if out and out[-1][:2] == (t, i) and a <= out[-1][3]:
@@ -249,7 +295,7 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     schema = "doc_id bigint, item_id bigint, score double, first_word bigint, last_word bigint"
     out = docs.sparkSession.createDataFrame([], schema)
     for block in _blocks(items):
-        thin = block.thinned(seed_counts(docs, block))
+        thin = block.thinned(seed_counts(docs, block), least)
         sent = docs.sparkSession.sparkContext.broadcast(thin)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -271,7 +317,7 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
 def clean_of(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     """Rows of ``docs`` that hold no test item; all columns are kept."""
     for block in _blocks(items):
-        thin = block.thinned(seed_counts(docs, block))
+        thin = block.thinned(seed_counts(docs, block), least)
         sent = docs.sparkSession.sparkContext.broadcast(thin)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

@@ -122,6 +122,31 @@ def test_edited_copies_are_leaks(spark):
     assert {r["doc_id"] for r in decontaminate.clean_of(docs, items).collect()} == {4, 5}
 
 
+def test_every_alignment_of_half_the_score_is_found(spark):
+    rnd = random.Random(9)
+    common = [f"c{k}" for k in range(12)]
+    texts, items = [], []
+    for n in (4, 5, 16, 24, 39, 59):
+        w = [rnd.choice(common) if rnd.random() < 0.4 else f"w{rnd.randrange(10**6)}" for _ in range(n)]
+        items.append((n, w))
+        copies = [[x if i % step != off else "changed" for i, x in enumerate(w)] for step in (3, 4, 5, 6) for off in (step - 1, step // 2)]
+        copies += [[y for x in w for y in (x, "put")], [x for i, x in enumerate(w) if i % 4 != 2], w, w[:n // 2], w[n // 3:]]
+        for _ in range(25):
+            copies.append([y for x in w for y in ([x], [x], [x], ["changed"], [], [x, "put"])[rnd.randrange(6)]])
+        texts += [[rnd.choice(common) for _ in range(20)] + c + [rnd.choice(common) for _ in range(20)] for c in copies]
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.leaks(
+        _docs(spark, [(i, " ".join(t)) for i, t in enumerate(texts)]),
+        spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id bigint, text string")).collect()}
+    code = {x: np.uint64(i + 2) for i, x in enumerate({x for t in texts for x in t})}
+    want = {}
+    for i, t in enumerate(texts):
+        for n, w in items:
+            score = decontaminate.align([np.array([code[x] for x in w])], [np.array([code[x] for x in t])])[0][0] / (2 * n)
+            if score >= 0.5:
+                want[i, n] = score
+    assert got == pytest.approx(want) and len(want) > 120
+
+
 def test_toxicity_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     train, held = labels.where("doc_id % 3 <> 0"), labels.where("doc_id % 3 = 0")
