@@ -87,35 +87,29 @@ def fit_kmeans(vectors: DataFrame, k: int, restarts: int, seed: int, max_iter: i
     return fit_best(vectors, [k], restarts, seed, max_iter, parallelism)[k]
 
 
-SELECTION_SAMPLE = 5000  # rows used to choose k (fixed value of the reference)
-
-
-def selection_sample(vectors: DataFrame, n_max: int = SELECTION_SAMPLE, seed: int = 42) -> DataFrame:
-    """At most ``n_max`` rows, a seeded sample: bounded, so it is kept in one cached partition."""
-    n = vectors.count()
-    frac = min(1.0, (n_max * 1.1) / n) if n else 1.0
-    return vectors.sample(False, frac, seed).limit(n_max).coalesce(1)
-
-
 # M2
 def choose_k(vectors: DataFrame, params: Params) -> tuple[int, DataFrame]:
-    """Silhouette for each k of ``params.k_range`` on a sample of at most 5,000 rows (as the
-    reference selects k); the best k (fallback ``n_segments``) and a small frame
-    (k, silhouette, training_cost, chosen)."""
+    """Silhouette for each k of ``params.k_range``, fitted and scored on all rows; the best k
+    (fallback ``n_segments``) and a small frame (k, silhouette, training_cost, chosen).
+
+    The vectors are cached for the fits unless the caller has done so."""
     evaluator = ClusteringEvaluator(featuresCol=VECTOR, predictionCol="segment_id",
                                     distanceMeasure="squaredEuclidean")
-    sample = selection_sample(vectors, seed=params.seed).persist()
+    own = not vectors.is_cached
+    if own:
+        vectors.persist()
     try:
-        models = fit_best(sample, params.k_range, params.kmeans_restarts, params.seed, params.kmeans_max_iter)
+        models = fit_best(vectors, params.k_range, params.kmeans_restarts, params.seed, params.kmeans_max_iter)
 
         def score(k: int) -> tuple[int, float, float]:
             m = models[k]
-            return int(k), float(evaluator.evaluate(m.transform(sample))), float(m.summary.trainingCost)
+            return int(k), float(evaluator.evaluate(m.transform(vectors))), float(m.summary.trainingCost)
 
         with ThreadPoolExecutor(max_workers=max(1, len(models))) as pool:
             rows = sorted(pool.map(score, list(models)))
     finally:
-        sample.unpersist()
+        if own:
+            vectors.unpersist()
     best = max(rows, key=lambda r: r[1])[0] if rows else params.n_segments
     spark = vectors.sparkSession
     frame = spark.createDataFrame([(k, s, c, k == best) for k, s, c in rows],

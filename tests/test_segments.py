@@ -50,3 +50,17 @@ def test_converged_centres_are_segment_means(spark):
             assert np.allclose([r[f"m{i}"] for i in range(dim)], centre, atol=1e-3)
     finally:
         vectors.unpersist()
+
+
+def test_k_is_chosen_on_all_rows(spark):
+    from pyspark.ml.linalg import Vectors
+
+    from liftlens import Params
+
+    n = 12_000  # three groups, every row at distance 1 from its group's centre
+    rows = [(i, Vectors.dense(100.0 * (i % 3), 1.0 if i % 2 else -1.0)) for i in range(n)]
+    vectors = spark.createDataFrame(rows, ["customer_id", segments.VECTOR])
+    k, frame = segments.choose_k(vectors, Params(as_of="2024-12-31", k_range=(2, 3), kmeans_restarts=3))
+    cost = {r["k"]: r["training_cost"] for r in frame.collect()}
+    assert k == 3 and abs(cost[3] - n) < 1e-3
+    assert not vectors.is_cached
