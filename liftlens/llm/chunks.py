@@ -5,12 +5,16 @@ the last 16 bytes only); a chunk ends where its top bits are zero, after
 MIN_CHUNK and at most MAX_CHUNK bytes, and only between characters. Insertions
 shift texts but not the cuts behind them. Chunks with equal digests (128-bit
 BLAKE2) are one chunk; the first holder, by doc_id, keeps it. In every other
-place, runs of consecutive known chunks of at least ``min_bytes`` bytes are cut
-out. Shorter coincidences stay.
+place, runs of consecutive known chunks are extended on both sides by the bytes
+that an earlier holder of the run's outer chunk has there too (at most CONTEXT),
+and runs of at least ``min_bytes`` bytes are cut out, from word to word where an
+extension ends within one. Shorter coincidences stay.
 
 One shuffle carries (digest, place) rows, pre-aggregated per batch: of a digest's
 places in a batch only the least one can be the first, the others are dealt out
-by place. One more brings the cut ordinals to their texts. A chunk that a third
+by place. One more brings the cut ordinals, each with an earlier place of its chunk, to
+their texts. Then each distinct outer chunk fetches the bytes beside it from that
+earlier place, for the runs that ask for them. A chunk that a third
 of all documents hold costs one row per batch in its digest's partition.
 
 Rows with equal doc_id and text count as one document and stay alike. Rows with
@@ -33,8 +37,10 @@ from pyspark.sql import types as T
 
 from .text import mix, slices, text_buffers
 
-MIN_CHUNK, MAX_CHUNK = 16, 128
-CUT_BITS = 5  # a cut every 2**5 bytes on average, behind the least size
+MIN_CHUNK, MAX_CHUNK = 8, 128
+WINDOW = 16  # bytes that a gear hash depends on
+CONTEXT = 128  # bytes compared beside a run, on each side
+CUT_BITS = 4  # a cut every 2**4 bytes on average, behind the least size
 MIN_BYTES = 100
 NO_ID = np.iinfo(np.int64).max
 
@@ -69,7 +75,7 @@ def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
                 while not lead[at]:
                     at -= 1
                 ends.append(at)
-            if e - at >= MIN_CHUNK:
+            if e - at >= MIN_CHUNK and e - start >= WINDOW:  # before, the hash holds bytes of another text
                 ends.append(e)
                 at = e
         while stop - at > MAX_CHUNK:
@@ -83,7 +89,8 @@ def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-PLACES = "part bigint, known boolean, h1 bigint, h2 bigint, doc bigint, crc bigint, k int"
+PLACES = "part bigint, known boolean, h1 bigint, h2 bigint, doc bigint, crc bigint, k int, doc0 bigint, crc0 bigint, k0 int"
+LATER = "doc bigint, crc bigint, k int, doc0 bigint, crc0 bigint, k0 int"
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,58 +120,161 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))]
             known = same & ((doc[order] != doc[first]) | (crc[order] != crc[first]) | (k[order] != k[first]))
             drop = same & ~known  # the same place again, of a repeated row
-            o, known = order[~drop], known[~drop]
+            o, known, of = order[~drop], known[~drop], first[~drop]
             part = np.where(known, mix(doc[o].astype(np.uint64) * np.uint64(31) + k[o].astype(np.uint64)).astype(np.int64), h[o, 0])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(part), pa.array(known), pa.array(h[o, 0]), pa.array(h[o, 1]), pa.array(doc[o]), pa.array(crc[o]),
-                 pa.array(k[o].astype(np.int32))], ["part", "known", "h1", "h2", "doc", "crc", "k"])
+                 pa.array(k[o].astype(np.int32)), *(pa.array(np.where(known, c[of], 0).astype(t)) for c, t in ((doc, np.int64), (crc, np.int64), (k, np.int32)))],
+                ["part", "known", "h1", "h2", "doc", "crc", "k", "doc0", "crc0", "k0"])
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (known, digest, place): every place that isn't its digest's first."""
+    """Of rows sorted by (known, digest, place): every place that isn't its digest's first, with an earlier place."""
     lead = None  # (h1, h2, doc, crc, k) of the first place of the digest at hand
     for batch in batches:
         if not batch.num_rows:
             continue
         known, *cols = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("known", "h1", "h2", "doc", "crc", "k"))
         m = np.stack([c.astype(np.int64) for c in cols], axis=1)
+        of = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("doc0", "crc0", "k0")], axis=1)
         if lead is not None:
             m = np.vstack([lead, m])
             known = np.concatenate([[False], known])
+            of = np.vstack([np.zeros((1, 3), np.int64), of])
         same = np.zeros(len(m), bool)
         same[1:] = (m[1:, :2] == m[:-1, :2]).all(axis=1)
         first = np.maximum.accumulate(np.where(same, 0, np.arange(len(m))))
         later = known | (m != m[first]).any(axis=1)
         lead = m[first[-1]][None] if not known[-1] else lead
-        yield pa.RecordBatch.from_arrays([pa.array(m[later, 2]), pa.array(m[later, 3]), pa.array(m[later, 4].astype(np.int32))],
-                                         ["doc", "crc", "k"])
+        out = np.hstack([m[:, 2:], np.where(known[:, None], of, m[first, 2:])])[later]
+        yield pa.RecordBatch.from_arrays([pa.array(out[:, c].astype(np.int32 if c % 3 == 2 else np.int64)) for c in range(6)],
+                                         ["doc", "crc", "k", "doc0", "crc0", "k0"])
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(doc, crc, ks): per text (doc_id, CRC-32) the ordinals of its chunks that an earlier place holds."""
+    """(doc, crc, ks): per text (doc_id, CRC-32) the ordinals of its chunks that an earlier place holds, each with such a place."""
     places = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_places, PLACES)
     dealt = places.repartition("part").sortWithinPartitions("known", "h1", "h2", "doc", "crc", "k")
-    later = dealt.mapInArrow(_later, "doc bigint, crc bigint, k int")
-    return later.groupBy("doc", "crc").agg(F.collect_set("k").alias("ks"))
+    later = dealt.mapInArrow(_later, LATER)
+    return later.groupBy("doc", "crc").agg(F.collect_set(F.struct("k", "doc0", "crc0", "k0")).alias("ks"))
 
 
-def without(text: str, ks: list[int], min_bytes: int) -> tuple[str, int]:
-    """``text`` without its runs of the chunks ``ks`` of at least ``min_bytes`` bytes, and how many code points went."""
-    raw = text.encode()
+def _ends(raw: bytes) -> np.ndarray:
+    data = np.frombuffer(raw, np.uint8)
+    return chunk_ends(data, np.array([0, len(data)]))[0]
+
+
+def _beside(raw: bytes, ends: np.ndarray, k: int, side: int) -> bytes:
+    """The bytes before (side 0) or behind (side 1) chunk ``k``, the nearest first."""
+    if side:
+        return raw[ends[k]:ends[k] + CONTEXT]
+    start = int(ends[k - 1]) if k else 0
+    return raw[max(start - CONTEXT, 0):start][::-1]
+
+
+def _common(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    if not n:
+        return 0
+    other = np.flatnonzero(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n))
+    return int(other[0]) if len(other) else n
+
+
+def _chunk_runs(ks: np.ndarray) -> list[tuple[int, int]]:
+    """(first, last) of each run of consecutive ordinals."""
+    ks = np.unique(ks)
+    cut = np.flatnonzero(np.diff(ks) != 1)
+    return list(zip(ks[np.r_[0, cut + 1]].tolist(), ks[np.r_[cut, len(ks) - 1]].tolist(), strict=True))
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each end of each run: where an earlier place of its outer chunk is, and this text's bytes beside it."""
+    for batch in batches:
+        rows = []
+        for doc, crc, text, ks in zip(*(batch.column(c).to_pylist() for c in ("_doc", "_crc", "text", "_ks")), strict=True):
+            if not text or not ks:
+                continue
+            raw = text.encode()
+            ends, of = _ends(raw), {}
+            for m in ks:
+                of[m["k"]] = min(of.get(m["k"], (m["doc0"], m["crc0"], m["k0"])), (m["doc0"], m["crc0"], m["k0"]))
+            for run in _chunk_runs(np.array(list(of))):
+                for side, k in enumerate(run):
+                    near = _beside(raw, ends, k, side)
+                    if near:
+                        rows.append((*of[k], side, doc, crc, k, near))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(
+            (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))],
+            ["doc0", "crc0", "k0", "side", "doc", "crc", "k", "near"])
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes beside the chunks that edges ask for."""
+    for batch in batches:
+        rows = []
+        for doc, crc, text, asked in zip(*(batch.column(c).to_pylist() for c in ("_doc", "_crc", "text", "asked")), strict=True):
+            raw = text.encode()
+            ends = _ends(raw)
+            rows += [(doc, crc, a["k0"], a["side"], _beside(raw, ends, a["k0"], a["side"])) for a in asked]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(
+            (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["doc0", "crc0", "k0", "side", "there"])
+
+
+def _extents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n = [_common(a, b) for a, b in zip(batch.column("near").to_pylist(), batch.column("there").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc", "crc", "k", "side")), pa.array(n, pa.int32())], ["doc", "crc", "k", "side", "n"])
+
+
+def extents(texts: DataFrame, marked: DataFrame) -> DataFrame:
+    """(doc, crc, ext): per text how many bytes beside the ends of its runs an earlier place has too."""
+    edges = marked.mapInArrow(  # all columns, so that the texts' one exchange serves every join
+        _edges, "doc0 bigint, crc0 bigint, k0 int, side int, doc bigint, crc bigint, k int, near binary")
+    asked = edges.select("doc0", "crc0", "k0", "side").distinct().groupBy(F.col("doc0").alias("_doc"), F.col("crc0").alias("_crc")).agg(
+        F.collect_list(F.struct("k0", "side")).alias("asked"))
+    there = texts.join(asked, ["_doc", "_crc"]).mapInArrow(
+        _contexts, "doc0 bigint, crc0 bigint, k0 int, side int, there binary")
+    met = edges.join(there, ["doc0", "crc0", "k0", "side"]).mapInArrow(_extents, "doc bigint, crc bigint, k int, side int, n int")
+    return met.where("n > 0").groupBy("doc", "crc").agg(F.collect_set(F.struct("k", "side", "n")).alias("ext"))
+
+
+def _word_ends(raw: bytes) -> np.ndarray:
+    """Whether a cut may start or end at each byte position: beside white space, or between non-ASCII characters."""
     data = np.frombuffer(raw, np.uint8)
-    ends = chunk_ends(data, np.array([0, len(data)]))[0]
-    marked = np.zeros(len(ends), bool)
-    marked[ks] = True
-    kept, at, start = [], 0, None
-    for i, e in enumerate([*ends.tolist(), None]):
-        if e is not None and marked[i]:
-            start = (ends[i - 1] if i else 0) if start is None else start
-        elif start is not None:
-            stop = ends[i - 1]
-            if stop - start >= min_bytes:
-                kept.append(raw[at:start])
-                at = stop
-            start = None
+    space, wide = np.isin(data, [0x20, *range(0x09, 0x0E)]), data >= 128
+    ok = np.ones(len(data) + 1, bool)
+    ok[1:-1] = (space[1:] != space[:-1]) | (wide[1:] & wide[:-1] & ((data[1:] & 0xC0) != 0x80))
+    return ok
+
+
+def without(text: str, ks: list[int], min_bytes: int, ext: list[tuple[int, int, int]] = ()) -> tuple[str, int]:
+    """``text`` without its runs of the chunks ``ks`` of at least ``min_bytes`` bytes, and how many code points went.
+
+    ``ext`` (chunk, side, bytes): how far runs reach beyond their outer chunks.
+    """
+    raw = text.encode()
+    ends = _ends(raw)
+    more: dict[tuple[int, int], int] = {}
+    for k, side, n in ext:
+        more[k, side] = max(n, more.get((k, side), 0))
+    ok, data = _word_ends(raw), np.frombuffer(raw, np.uint8)
+    space = np.append(np.isin(data, [0x20, *range(0x09, 0x0E)]), False)
+    runs: list[list[int]] = []  # exact start and end, start and end at words
+    for i, j in _chunk_runs(np.asarray(ks)):
+        start, stop = int(ends[i - 1]) if i else 0, int(ends[j])
+        low, high = start - more.get((i, 0), 0), stop + more.get((j, 1), 0)
+        at = low + np.flatnonzero(ok[low:start] & ~space[low:start])
+        to = stop + 1 + np.flatnonzero(ok[stop + 1:high + 1] & ~space[stop:high])
+        new = [low, high, int(at[0]) if len(at) else start, int(to[-1]) if len(to) else stop]
+        if runs and low <= runs[-1][1]:  # both reach the bytes between them
+            runs[-1] = [min(low, runs[-1][0]), max(high, runs[-1][1]), min(new[2], runs[-1][2]), max(new[3], runs[-1][3])]
+        else:
+            runs.append(new)
+    kept, at = [], 0
+    for low, high, start, stop in runs:
+        if high - low >= min_bytes:
+            kept.append(raw[at:start])
+            at = stop
     kept.append(raw[at:])
     out = b"".join(kept).decode()
     return out, len(text) - len(out)
@@ -177,7 +287,10 @@ def dedup_substrings(docs: DataFrame, min_bytes: int = MIN_BYTES, removed: str |
     fields = [f for f in docs.schema.fields if f.name != removed]
     frame = docs.select(*[F.col(f"`{f.name}`") for f in fields], key[0].alias("_doc"), key[1].alias("_crc"))
     ks = ks.select(F.col("doc").alias("_doc"), F.col("crc").alias("_crc"), F.col("ks").alias("_ks"))
-    joined = frame.join(ks, ["_doc", "_crc"], "left").select(*[F.col(f"`{f.name}`") for f in fields], "_ks")
+    marked = frame.join(ks, ["_doc", "_crc"], "left")
+    ext = extents(frame, marked).select(F.col("doc").alias("_doc"), F.col("crc").alias("_crc"), F.col("ext").alias("_ext"))
+    joined = marked.join(ext, ["_doc", "_crc"], "left").select(
+        *[F.col(f"`{f.name}`") for f in fields], F.col("_ks.k").alias("_ks"), "_ext")
     out = [*fields, *([T.StructField(removed, T.LongType())] if removed else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,10 +298,11 @@ def dedup_substrings(docs: DataFrame, min_bytes: int = MIN_BYTES, removed: str |
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 texts, gone = part.column("text").to_pylist(), [0] * part.num_rows
+                ext = part.column("_ext").to_pylist()
                 for i, marked in enumerate(part.column("_ks")):
                     if marked.is_valid and texts[i]:
-                        texts[i], gone[i] = without(texts[i], marked.values.to_numpy(), min_bytes)
-                columns = {n: part.column(n) for n in part.schema.names if n != "_ks"}
+                        texts[i], gone[i] = without(texts[i], marked.values.to_numpy(), min_bytes, [(e["k"], e["side"], e["n"]) for e in ext[i] or ()])
+                columns = {n: part.column(n) for n in part.schema.names if n not in ("_ks", "_ext")}
                 columns["text"] = pa.array(texts, pa.string())
                 if "n_chars" in columns:
                     kind = columns["n_chars"].type

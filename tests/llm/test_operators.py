@@ -110,6 +110,17 @@ def test_shared_passages_stay_once(spark):
     assert all(got[i].startswith(t.split(passage)[0]) and got[i].endswith(t.split(passage)[1]) for i, t in texts[:8])
 
 
+def test_shared_passages_go_whole(spark):
+    rnd = random.Random(6)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(2, 9))) for _ in range(n))
+    passages = [words(51) for _ in range(60)]
+    texts = [(100 * c + i, f"{words(20 + c)} {p} {words(25)}") for i, p in enumerate(passages) for c in range(3)]
+    got = {r["doc_id"]: r["text"] for r in chunks.dedup_substrings(_docs(spark, texts)).collect()}
+    for i, t in texts:
+        before, behind = t.split(passages[i % 100])
+        assert got[i] == t if i < 100 else got[i].split() == (before + behind).split()
+
+
 def test_edited_copies_are_leaks(spark):
     rnd = random.Random(4)
     w = [f"w{rnd.randrange(10**6)}" for _ in range(40)]
