@@ -60,3 +60,48 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND owner <> page_id THEN owner END AS refers_to
 FROM owned
 """
+
+ORACLE_SQL["op13_filter_audit"] = r"""
+WITH RECURSIVE texts AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), firsts AS (
+    SELECT text, min(doc_id) AS least FROM texts GROUP BY text
+), known AS (
+    SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad
+    FROM labels GROUP BY doc_id
+), judged AS (
+    SELECT t.part, coalesce(k.good, 0) AS good, coalesce(k.bad, 0) AS bad,
+           len(w) < 50 AS a, 100 * len(list_distinct(w)) < 65 * len(w) AS b,
+           100 * len(regexp_replace(t.text, '[^A-Z]', '', 'g')) > 5 * len(t.text) AS c,
+           regexp_matches(t.text, '[#$%&*|]') AS d, coalesce(t.doc_id > f.least, false) AS e
+    FROM texts t JOIN firsts f USING (text) LEFT JOIN known k USING (doc_id)
+), masks AS (
+    SELECT part, good, bad, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask FROM judged
+), cells AS (
+    SELECT part, mask, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM masks GROUP BY part, mask
+), letters(letter, bit) AS (
+    VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), orders AS (
+    SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+    FROM letters a, letters b, letters c, letters d, letters e
+    WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit <> b.bit AND a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), steps AS (
+    SELECT filter_order, s AS step, bits[s] AS bit, coalesce(list_sum(bits[1:s - 1]), 0)::INT AS before
+    FROM orders, range(1, 6) AS r(s)
+), counted AS (
+    SELECT part, filter_order, step, bit,
+           coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0) AS kept,
+           coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit <> 0), 0) AS removed,
+           coalesce(sum(n) FILTER (mask & before <> 0 AND mask & bit <> 0), 0) AS redundant,
+           coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+           coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit <> 0), 0) AS good_lost,
+           coalesce(sum(bad) FILTER (mask & before = 0 AND mask & bit <> 0), 0) AS toxic_lost
+    FROM cells, steps GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM counted
+"""

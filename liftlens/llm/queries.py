@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import op2_chat_format
 from .chunks import op8_substring_dedup
 from .decontaminate import op1_decontamination
+from .filter_audit import op13_filter_audit
 from .html_tree import op3_html_text
 from .jaccard import op5_ngram_jaccard
 from .oracle_sql import ORACLE_SQL
@@ -31,4 +32,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
+    "op13_filter_audit": op13_filter_audit,
 }
