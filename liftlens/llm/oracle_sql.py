@@ -105,3 +105,40 @@ SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS ke
        CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
 FROM counted
 """
+
+ORACLE_SQL["op12_quality_rules"] = r"""
+WITH texts AS (
+    SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+    FROM documents
+), windows AS (
+    SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS three FROM texts, unnest(range(1, len(w) - 1)) AS p(i)
+), twice AS (
+    SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, three) > 1
+), covered AS (
+    SELECT r, count(DISTINCT i + k) AS n FROM twice, range(3) AS s(k) GROUP BY r
+), measured AS (
+    SELECT t.*, len(w) AS n_words, list_sum(list_transform(w, lambda x: len(x))) AS chars,
+           len(regexp_extract_all(text, '[#*$%&|<>]')) AS symbols, len(lines) - len(list_distinct(lines)) AS dups, coalesce(c.n, 0) AS repeats
+    FROM texts t LEFT JOIN covered c USING (r)
+), held AS (
+    SELECT r, source, text, len(w) AS n,
+           array_to_string(regexp_extract_all(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS line
+    FROM texts, unnest(lines) AS u(l)
+), hosts AS (
+    SELECT source, count(DISTINCT text) AS n FROM texts GROUP BY source
+), frequent AS (
+    SELECT h.source, line FROM held h JOIN hosts s ON h.source IS NOT DISTINCT FROM s.source
+    GROUP BY h.source, line, s.n HAVING count(DISTINCT text) > 10 AND 1000 * count(DISTINCT text) > s.n
+), lost AS (
+    SELECT r, sum(len(string_split(h.line, ' '))) AS n
+    FROM held h JOIN frequent f ON h.line = f.line AND h.source IS NOT DISTINCT FROM f.source GROUP BY r
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(coalesce(chars, 0) AS BIGINT) AS word_chars, CAST(symbols AS BIGINT) AS n_symbols,
+       CAST(dups AS BIGINT) AS n_dup_lines, CAST(repeats AS BIGINT) AS n_repeat_words,
+       n_words < 50 OR 100 * repeats > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * repeats > 50 * n_words) AND 2 * (n_words - coalesce(l.n, 0)) >= n_words AS kept,
+       CASE WHEN NOT (n_words < 50 OR 100 * repeats > 50 * n_words) THEN CAST(coalesce(l.n, 0) AS BIGINT) END AS n_removed_words
+FROM measured LEFT JOIN lost l USING (r)
+"""

@@ -12,6 +12,7 @@ from .decontaminate import op1_decontamination
 from .filter_audit import op13_filter_audit
 from .html_tree import op3_html_text
 from .jaccard import op5_ngram_jaccard
+from .line_frequency import op12_quality_rules
 from .oracle_sql import ORACLE_SQL
 from .sentencepiece_fst import op7_sentencepiece
 from .syncmers import op4_syncmers
@@ -32,5 +33,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
+    "op12_quality_rules": op12_quality_rules,
     "op13_filter_audit": op13_filter_audit,
 }
