@@ -142,3 +142,61 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(coalesce(chars, 0) AS BI
        CASE WHEN NOT (n_words < 50 OR 100 * repeats > 50 * n_words) THEN CAST(coalesce(l.n, 0) AS BIGINT) END AS n_removed_words
 FROM measured LEFT JOIN lost l USING (r)
 """
+
+ORACLE_SQL["op11_merkle_manifest"] = r"""
+WITH RECURSIVE texts AS (
+    SELECT row_number() OVER () AS r, doc_id, source,
+           coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-') AS head,
+           text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS small,
+           coalesce(xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT),
+               lambda c, b: list_reduce(range(8)::UBIGINT[], lambda y, k: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::UBIGINT) ELSE y >> 1 END,
+                                 xor(c, b)), 4294967295::UBIGINT), 4294967295::UBIGINT) % 5 = 0, false) AS tampered
+    FROM documents
+), leaves AS (
+    SELECT r, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+           CASE WHEN tampered THEN sha256(head || coalesce(strlen(small) || ':' || small, '-')) END AS other
+    FROM texts
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS place, count(*) OVER (PARTITION BY source) AS n
+    FROM leaves
+), tree(source, level, i, h, n) AS (
+    SELECT source, 0, place, leaf, n FROM placed
+    UNION ALL
+    SELECT source, level + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), (n + 15) // 16
+    FROM tree WHERE n > 1 GROUP BY source, level, i // 16, n
+), roots AS (
+    SELECT source, level AS depth, h AS subroot, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS place, count(*) OVER () AS n
+    FROM tree WHERE n = 1
+), top(level, i, h, n) AS (
+    SELECT 0, place, subroot, n FROM roots
+    UNION ALL
+    SELECT level + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), (n + 15) // 16 FROM top WHERE n > 1 GROUP BY level, i // 16, n
+), around AS (
+    SELECT a.source, a.level, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS before,
+           coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS behind
+    FROM tree a JOIN tree b ON a.source IS NOT DISTINCT FROM b.source AND a.level = b.level AND a.i // 16 = b.i // 16
+    WHERE a.n > 1 GROUP BY a.source, a.level, a.i
+), around_top AS (
+    SELECT a.level, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS before,
+           coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS behind
+    FROM top a JOIN top b ON a.level = b.level AND a.i // 16 = b.i // 16 WHERE a.n > 1 GROUP BY a.level, a.i
+), steps AS (
+    SELECT p.r, a.level AS step, a.before, a.behind
+    FROM placed p JOIN around a ON a.source IS NOT DISTINCT FROM p.source AND a.i = p.place // (16 ** a.level)::BIGINT
+    UNION ALL
+    SELECT p.r, s.depth + t.level, t.before, t.behind
+    FROM placed p JOIN roots s ON s.source IS NOT DISTINCT FROM p.source JOIN around_top t ON t.i = s.place // (16 ** t.level)::BIGINT
+), fold(r, step, h) AS (
+    SELECT r, 0, coalesce(other, leaf) FROM placed
+    UNION ALL
+    SELECT f.r, f.step + 1, sha256(s.before || f.h || s.behind) FROM fold f JOIN steps s ON s.r = f.r AND s.step = f.step
+), folded AS (
+    SELECT r, arg_max(h, step) AS h FROM fold GROUP BY r
+), proofs AS (
+    SELECT r, string_agg(before || behind, '' ORDER BY step) AS p FROM steps GROUP BY r
+)
+SELECT p.doc_id, p.leaf, s.subroot, t.h AS root, sha256(coalesce(q.p, '')) AS proof_sha256, f.h AS folded_root, f.h = t.h AS verified
+FROM placed p JOIN roots s ON s.source IS NOT DISTINCT FROM p.source JOIN folded f ON f.r = p.r LEFT JOIN proofs q ON q.r = p.r
+JOIN top t ON t.n = 1
+"""

@@ -13,6 +13,7 @@ from .filter_audit import op13_filter_audit
 from .html_tree import op3_html_text
 from .jaccard import op5_ngram_jaccard
 from .line_frequency import op12_quality_rules
+from .merkle import op11_merkle_manifest
 from .oracle_sql import ORACLE_SQL
 from .sentencepiece_fst import op7_sentencepiece
 from .syncmers import op4_syncmers
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op12_quality_rules": op12_quality_rules,
     "op13_filter_audit": op13_filter_audit,
 }
