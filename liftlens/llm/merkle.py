@@ -48,6 +48,7 @@ from .storage import staged
 FANOUT = 16
 DEPTH = 3  # levels of a whole block: 16 ** 3 leaves
 ROWS_PER_BUCKET = 250_000
+BUCKETS = 64  # as many range buckets at least, where there are blocks enough, so that a large group is split at any size
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -81,6 +82,7 @@ def _sorted_leaves(table: pa.Table) -> tuple[np.ndarray, list[str]]:
 def ordered_leaves(rows: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, depth: int = DEPTH) -> DataFrame:
     """``rows`` (key, id, leaf, ...) with place (from 0) in the key, n of the key, and block."""
     tied = rows.withColumn("_tie", F.monotonically_increasing_id())
+    rows_per_bucket = min(rows_per_bucket, max(FANOUT ** depth, -(-rows.count() // BUCKETS)))
     placed = prefix_sum(tied, [("id", True), ("leaf", True), ("_tie", True)], partition_by=["key"], rows_per_bucket=rows_per_bucket,
                         row_number="place", count_col="n").drop("_tie")
     placed = placed.withColumn("place", F.col("place") - 1)
