@@ -10,19 +10,15 @@ an anti join against the capped customers (no id list on the driver).
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from liftlens.functions.lineage import materialize
 from liftlens.functions.numeric import clip
 from liftlens.functions.time import ts
 from liftlens.operators.ordering import prefix_sum
 from liftlens.params import REDEEM_BASE, REDEEM_MAX, REDEEM_MIN, ROI_COST_FLOOR, Params
 
-MAX_GRID = 128   # budgets per sweep: the index is a binary-search CASE tree, kept small enough to compile
-
 
 def money(c: Column, params: Params) -> Column:
     return c.cast(f"decimal(20,{params.money_scale})")
@@ -98,15 +94,39 @@ def allocation_summary(selected: DataFrame) -> DataFrame:
 
 
 def _grid_index(value: Column, grid: list[float], params: Params) -> Column:
-    """Index of the smallest grid budget >= value (len(grid) when above all): binary search."""
+    """Index of the smallest grid budget >= value (len(grid) when above all)."""
+    points = [money(F.lit(b), params) for b in grid]
 
-    def rec(lo: int, hi: int) -> Column:
+    def search(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(value <= money(F.lit(grid[mid]), params), rec(lo, mid)).otherwise(rec(mid + 1, hi))
+        return F.when(value <= points[mid], search(lo, mid)).otherwise(search(mid + 1, hi))
+
+    return search(0, len(grid))
+
+
+def _accumulate(tagged: DataFrame, cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Summary of every budget of a grid: the rows tagged with it (``_g``) and with smaller ones, per ``by``.
+
+    ``cells`` holds one row per ``by`` and budget: the only rows that the window sees."""
+    keys = [*by, "_g"]
+    per_tag = tagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum("exp_cost").alias("_cost"),
+                                        F.sum("exp_incr_margin").alias("_margin"))
+    w = Window.partitionBy(*by).orderBy("_g").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    acc = cells.join(per_tag, keys, "left").select(
+        *[c for c in cells.columns if c != "_g"],
+        F.sum(F.coalesce(F.col("_n"), F.lit(0))).over(w).cast("bigint").alias("customers_offered"),
+        F.sum(F.coalesce(F.col("_cost"), F.lit(0.0))).over(w).alias("expected_spend"),
+        F.sum(F.coalesce(F.col("_margin"), F.lit(0.0))).over(w).alias("expected_margin"))
+    return acc.withColumn("expected_roi", F.col("expected_margin") / F.greatest(F.col("expected_spend"), F.lit(1.0)))
 
-    return rec(0, len(grid))
+
+def _grid(budgets: Sequence[float]) -> list[float]:
+    grid = sorted(float(b) for b in budgets)
+    if not grid:
+        raise ValueError("a budget grid needs a budget")
+    return grid
 
 
 def budget_sweep(candidates: DataFrame, budgets: Sequence[float], params: Params) -> DataFrame:
@@ -116,56 +136,41 @@ def budget_sweep(candidates: DataFrame, budgets: Sequence[float], params: Params
     running cost; per-tag totals (at most len(grid)+1 rows) are accumulated
     over the grid. No cross join and no per-budget rescan.
     """
-    grid = sorted(float(b) for b in budgets)
-    if not grid or len(grid) > MAX_GRID:
-        raise ValueError(f"budget grid must have 1..{MAX_GRID} values")
-    spark = candidates.sparkSession
+    grid = _grid(budgets)
     ranked = rank_by_roi(candidates, params)
-    per_tag = (ranked.withColumn("_g", _grid_index(F.col("cum_cost"), grid, params))
-               .filter(F.col("_g") < len(grid))
-               .groupBy("_g")
-               .agg(F.count(F.lit(1)).alias("_n"), F.sum("exp_cost").alias("_cost"),
-                    F.sum("exp_incr_margin").alias("_margin")))
-    grid_df = spark.createDataFrame([(i, b) for i, b in enumerate(grid)], "_g int, budget double")
-    w = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # <= MAX_GRID rows
-    acc = (grid_df.join(F.broadcast(per_tag), "_g", "left")
-           .select("_g", "budget",
-                   F.sum(F.coalesce(F.col("_n"), F.lit(0))).over(w).alias("customers_offered"),
-                   F.sum(F.coalesce(F.col("_cost"), F.lit(0.0))).over(w).alias("expected_spend"),
-                   F.sum(F.coalesce(F.col("_margin"), F.lit(0.0))).over(w).alias("expected_margin")))
-    return acc.select("budget", F.col("customers_offered").cast("bigint").alias("customers_offered"),
-                      "expected_spend", "expected_margin",
-                      (F.col("expected_margin") / F.greatest(F.col("expected_spend"), F.lit(1.0)))
-                      .alias("expected_roi"))
-
-
-MAX_PAIRS = 256
+    tagged = ranked.withColumn("_g", _grid_index(F.col("cum_cost"), grid, params)).filter(F.col("_g") < len(grid))
+    return _accumulate(tagged, candidates.sparkSession.createDataFrame(list(enumerate(grid)), "_g int, budget double"))
 
 
 def what_if_grid(eligible: DataFrame, budgets: Sequence[float], margin_rates: Sequence[float],
                  coupon_values: Sequence[float], params: Params) -> DataFrame:
-    """E8 over a (margin rate x coupon value) grid: for each pair, economics and profitability
-    are recomputed from the eligible customers (PF5 output) and all budgets are answered from
-    one ranked pass. Pairs are bounded (at most MAX_PAIRS); each is an O(n) job, never a
-    product of candidates and grid cells."""
-    pairs = [(float(m), float(c)) for m in margin_rates for c in coupon_values]
-    if not pairs or len(pairs) > MAX_PAIRS:
-        raise ValueError(f"grid must have 1..{MAX_PAIRS} (margin, coupon) pairs")
-    eligible = materialize(eligible)      # computed once, read by every pair's pass
-
-    def sweep(pair: tuple[float, float]) -> DataFrame:
-        m, c = pair
-        p = params.with_(margin_rate=m, coupon_value=c)
-        return (budget_sweep(profitable(offer_economics(eligible, p)), budgets, p)
-                .select(F.lit(m).alias("margin_rate"), F.lit(c).alias("coupon_value"), "*"))
-
-    # Each pair's ranking runs its own small jobs (count, bounds); submit them concurrently.
-    with ThreadPoolExecutor(max_workers=min(8, len(pairs))) as pool:
-        parts = list(pool.map(sweep, pairs))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """E8 over a (margin rate x coupon value x budget) grid, from ONE ranked pass over the eligible customers
+    (PF5 output), whatever the size of the grid.
+
+    Margin per dollar is (margin rate / coupon value) * uplift * basket / p_redeem, so the order of the
+    customers is the same for every pair, a pair's profitable customers are a prefix of it, and their
+    running cost is that of all customers before them. So one W0 pass with a running cost per coupon
+    value answers all pairs. It holds where no cost falls below the ROI's cost floor, which is checked.
+    """
+    grid = _grid(budgets)
+    margins, coupons = [float(m) for m in margin_rates], [float(c) for c in coupon_values]
+    if min(margins) <= 0 or min(coupons) * REDEEM_MIN <= ROI_COST_FLOOR:
+        raise ValueError("margin rates and coupon values must be positive, and every expected cost above the ROI's cost floor")
+    unit = offer_economics(eligible, params, margin_rate=1.0, coupon_value=1.0)
+    ranked = prefix_sum(unit.select("customer_id", "uplift_score", "avg_basket_value", "p_redeem", "roi_per_dollar"),
+                        [("roi_per_dollar", False), ("customer_id", True)],
+                        {f"cost_{i}": money(F.col("p_redeem") * F.lit(c), params) for i, c in enumerate(coupons)},
+                        rows_per_bucket=params.rows_per_bucket, row_number="roi_rank", count_col=None, totals=False)
+    pairs = F.array(*[F.struct(F.lit(m).alias("margin_rate"), F.lit(c).alias("coupon_value"), F.lit(i).alias("i"))
+                      for m in margins for i, c in enumerate(coupons)])
+    each = (ranked.withColumn("_cums", F.array(*[F.col(f"cost_{i}") for i in range(len(coupons))])).withColumn("_pair", F.explode(pairs))
+            .select("_pair.margin_rate", "_pair.coupon_value", F.get("_cums", F.col("_pair.i")).alias("cum_cost"),
+                    (F.col("uplift_score") * F.col("avg_basket_value") * F.col("_pair.margin_rate")).alias("exp_incr_margin"),
+                    (F.col("p_redeem") * F.col("_pair.coupon_value")).alias("exp_cost")))
+    tagged = profitable(each).withColumn("_g", _grid_index(F.col("cum_cost"), grid, params)).filter(F.col("_g") < len(grid))
+    cells = eligible.sparkSession.createDataFrame([(m, c, g, b) for m in margins for c in coupons for g, b in enumerate(grid)],
+                                                  "margin_rate double, coupon_value double, _g int, budget double")
+    return _accumulate(tagged, cells, ("margin_rate", "coupon_value"))
 
 
 def plan_offers(scored: DataFrame, params: Params, campaign_id: str, *, ledger: DataFrame | None = None,

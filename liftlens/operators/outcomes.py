@@ -1,33 +1,32 @@
 """J11 attribution of later sales to a wave, and E5 feedback of outcomes.
 
-Assignments carry few distinct assignment times (one per wave, usually),
-so their windows [assigned_ts, +days) cut the timeline into a bounded
-number of elementary intervals. Each sale (and redemption) is mapped to
-its interval by its place among their bounds and the sales are
-aggregated per (customer_id, interval) with a partial aggregation *before*
-any shuffle: a customer holding a third of all sales becomes a handful of
-rows per map task. Each assignment is expanded over the intervals its
-window covers (usually one) and the two sides meet in an equi-join on
-(customer_id, interval) with at most one row per key on each side, so no
-join task is hot. Only the scans see every sale; the first and last window
-bounds are plain predicates pushed into them. The number of assignment times
-is that of waves; each adds two points to one constant array.
+A band join in time cells: the calendar is cut into cells as wide as the
+window, each window [assigned_ts, +days) stands in the two or three cells that
+it reaches, and each sale in one. Sales meet windows in an equi-join on
+(customer_id, cell) and are tested against the exact bounds, so a sale sees
+only windows that begin at most two cells before it, whatever the number of
+assignment times: every customer may have an own time, and several that
+overlap. The sums are pre-aggregated per assignment before they are shuffled.
+A customer with a large share of all sales is spread over salts
+(``operators/skew.py``). The first and last window bound prune the scans as
+scalar subqueries; nothing is collected.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from liftlens.functions.time import ts_plus_days
+from liftlens.operators import skew
 from liftlens.params import OUTCOMES, TREATMENT, Params
 
-def _interval_index(col: Column, points: list[str], type_name: str) -> Column:
-    """Number of boundary points <= col (the points are one constant array); null for null."""
-    bounds = F.transform(F.split(F.lit("|".join(points)), r"\|"), lambda p: p.cast(type_name))
-    return F.when(col.isNotNull(), F.size(F.filter(bounds, lambda p: p <= col)))
+ASSIGNMENT = ("campaign_id", "customer_id", "assigned_ts")
+
+
+def _cell(ts: Column, width: int, margin: int = 0) -> Column:
+    """Number of the cell of ``width`` days that the day of ``ts``, moved by ``margin`` days, lies in."""
+    return F.floor((F.unix_date(ts.cast("date")) + F.lit(margin)) / F.lit(width))
 
 
 def _events(txns: DataFrame, redemptions: DataFrame | None, lo: Column, hi: Column) -> DataFrame:
@@ -43,27 +42,31 @@ def _events(txns: DataFrame, redemptions: DataFrame | None, lo: Column, hi: Colu
 
 
 def attribute_outcomes(assignments: DataFrame, txns: DataFrame, redemptions: DataFrame | None,
-                       params: Params, *, days: int | None = None) -> DataFrame:
+                       params: Params, *, days: int | None = None, share: int = skew.SHARE,
+                       least_hot: int = skew.LEAST_ROWS) -> DataFrame:
     """Per assigned customer: purchased (any sale in [assigned_ts, +days)), spend (sum, else 0),
     redeemed (treated, purchased, and a redemption in the window).
 
-    The windows are those of the assignments themselves, whatever ``params.as_of`` is; the first
-    and the last of them prune the scans.
+    The windows are those of the assignments themselves, whatever ``params.as_of`` is. An
+    assignment without a time or a customer has no purchases; assignments that repeat
+    (campaign, customer, time) share theirs.
     """
     days = params.outcome_days if days is None else days
-    a = assignments.select("customer_id", "campaign_id", "assigned_ts")
-    # Window bounds as Spark formats them (start, start + days), one row per distinct assignment
-    # time: the literals below are cast back with the column's own type, so no Python time-zone
-    # conversion is involved.
-    bounds = (a.filter(F.col("assigned_ts").isNotNull())
-              .select(F.col("assigned_ts").cast("string").alias("s"),
-                      ts_plus_days(F.col("assigned_ts"), days).cast("string").alias("e"))
-              .distinct().collect())
-    points = sorted({p for r in bounds for p in (r["s"], r["e"])}, key=dt.datetime.fromisoformat)
-    type_name = assignments.schema["assigned_ts"].dataType.simpleString()
-    lo, hi = (F.lit(p).cast(type_name) for p in (points[0], points[-1])) if points else (F.lit(None).cast(type_name),) * 2
-    per_customer = _by_interval(_events(txns, redemptions, lo, hi), a, points, days, type_name)
-    out = assignments.join(per_customer, ["campaign_id", "customer_id"], "left")
+    windows = (assignments.select(*ASSIGNMENT).where("assigned_ts IS NOT NULL AND customer_id IS NOT NULL").distinct()
+               .withColumn("_end", ts_plus_days(F.col("assigned_ts"), days)))
+    lo, hi = windows.agg(F.min("assigned_ts")).scalar(), windows.agg(F.max("_end")).scalar()
+    events = _events(txns, redemptions, lo, hi)
+    hot = skew.hot_keys(events, "customer_id", share, least_hot)
+    # A margin of a day: a zone whose clock steps back over midnight gives a later time an earlier date.
+    cells = F.sequence(_cell(F.col("assigned_ts"), days, -1), _cell(F.col("_end"), days, 1))
+    spans = skew.repeated(windows.withColumn("_cell", F.explode(cells)), "customer_id", hot)
+    sold = skew.salted(events.where("customer_id IS NOT NULL").withColumn("_cell", _cell(F.col("event_ts"), days)), "customer_id", hot)
+    per = (sold.join(spans, ["customer_id", "_cell", skew.SALT])
+           .where((F.col("event_ts") >= F.col("assigned_ts")) & (F.col("event_ts") < F.col("_end")))
+           .groupBy(*ASSIGNMENT)
+           .agg(F.sum("is_sale").alias("_n_sales"), F.sum(F.col("amount") * F.col("is_sale")).alias("_spend"),
+                F.max("is_redemption").alias("_any_redemption")))
+    out = assignments.join(per, list(ASSIGNMENT), "left")
     purchased = F.coalesce(F.col("_n_sales"), F.lit(0)) > 0
     redeemed = ((F.col("group") == TREATMENT) & purchased
                 & (F.coalesce(F.col("_any_redemption"), F.lit(0)) == 1))
@@ -75,24 +78,6 @@ def attribute_outcomes(assignments: DataFrame, txns: DataFrame, redemptions: Dat
     )
 
 
-def _by_interval(events: DataFrame, a: DataFrame, points: list[str], days: int, type_name: str) -> DataFrame:
-    iv = _interval_index(F.col("event_ts"), points, type_name)
-    # Pre-aggregated per (customer, interval) before the shuffle: hot customers collapse here.
-    ev = (events.withColumn("_iv", iv)
-          .groupBy("customer_id", "_iv")
-          .agg(F.sum("is_sale").alias("_n"), F.sum(F.col("amount") * F.col("is_sale")).alias("_s"),
-               F.max("is_redemption").alias("_r")))
-    # With idx(t) = number of points <= t, interval k is [points[k-1], points[k]); the window
-    # [s, s + days) starts and ends on points, so it covers k = idx(s) .. idx(s + days) - 1.
-    first = _interval_index(F.col("assigned_ts"), points, type_name)
-    last = _interval_index(ts_plus_days(F.col("assigned_ts"), days), points, type_name) - 1
-    spans = (a.filter(F.col("assigned_ts").isNotNull())          # no window, no purchases
-             .withColumn("_iv", F.explode(F.sequence(first, last))))
-    return (spans.join(ev, ["customer_id", "_iv"], "inner")
-            .groupBy("campaign_id", "customer_id")
-            .agg(F.sum("_n").alias("_n_sales"), F.sum("_s").alias("_spend"), F.max("_r").alias("_any_redemption")))
-
-
 def feed_back(outcomes: DataFrame, store, name: str = "campaign_outcomes") -> None:
     """E5: write a wave's outcomes for retraining; rewriting a wave replaces it (idempotent)."""
     store.write_wave(outcomes, name, OUTCOMES)

@@ -4,46 +4,35 @@
 shuffle), not a per-customer window, so a customer with many snapshots does
 not make a hot task.
 
-``asof_features`` exploits that snapshots are taken in runs (one
-feature_ts per run for all customers). The distinct run times (bounded by
-the number of runs, checked) become a binary-search expression that maps
-any timestamp to its run index. Each snapshot is then valid for the run
-indices from its own up to (not including) the customer's next snapshot,
-found with a window over the *snapshot* table (rows per customer <= number
-of runs), and is expanded over those indices (one row when the customer is
-in every run). Events join on (customer_id, run index): a pure equi-join
-with at most one match per event, no fan-out and no residual predicate,
-with the events streamed so AQE can split a customer holding a large share
-of them. ``method="interval"`` keeps the same semantics with a range
-residual instead (no run list needed).
-
-Hot customers (more than ``hot_rows`` events) are also split explicitly,
-independent of AQE: one bounded aggregate finds them (at most ``MAX_HOT``
-keys reach the driver); their events get a deterministic salt (a hash of
-the event's columns modulo ``salts``) and only their snapshot rows are
-replicated once per salt, so a customer with a third of all events is
-spread over ``salts`` join tasks.
+``asof_features`` carries snapshots forward: events and snapshots are stacked,
+shuffled once by customer, sorted by time, and each event takes the last
+snapshot before it. One exchange and one sort, whatever the number of snapshot
+times: there is no list of them, no range condition and no fan-out. A customer
+with a large share of all events is spread over salts and only that customer's
+snapshots are repeated for each (``operators/skew.py``).
 """
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from liftlens.functions.time import ts
+from liftlens.operators import skew
 from liftlens.params import SNAPSHOT_COLUMNS
 
 
+def snapshot_rows(df: DataFrame) -> DataFrame:
+    """PF1: the snapshot columns in their order; those that are missing are null."""
+    return df.select(*[F.col(c) if c in df.columns else F.lit(None).alias(c) for c in SNAPSHOT_COLUMNS])
+
+
 def snapshot_frame(features: DataFrame, segments: DataFrame | None, feature_ts: str) -> DataFrame:
-    """J3 features left-joined with segments, stamped with ``feature_ts`` and projected (PF1) to the
-    snapshot column order."""
+    """J3 features left-joined with segments, stamped with ``feature_ts`` and projected to the snapshot columns."""
     f = features.join(segments, "customer_id", "left") if segments is not None else features
-    have = set(f.columns)
-    f = f.withColumn("feature_ts", ts(feature_ts))
-    return f.select(*[F.col(c) if c in have or c == "feature_ts" else F.lit(None).alias(c) for c in SNAPSHOT_COLUMNS])
+    return snapshot_rows(f.withColumn("feature_ts", ts(feature_ts)))
 
 
 def latest_per_customer(snapshots: DataFrame, key: str = "customer_id", ts_col: str = "feature_ts") -> DataFrame:
@@ -54,70 +43,24 @@ def latest_per_customer(snapshots: DataFrame, key: str = "customer_id", ts_col:
     return picked.select(key, *[F.col(f"_row.{c}").alias(c) for c in others])
 
 
-MAX_RUNS = 128   # run-index CASE tree size; more runs fall back to the interval join
-MAX_HOT = 1000   # hot keys salted explicitly (an IN-set of at most this many literals)
-
-
-def _run_index(col: Column, runs: list, type_name: str) -> Column:
-    """Index of the newest run time <= col (-1 before the first run): log2(#runs) comparisons."""
-
-    def lit(v) -> Column:
-        return F.lit(v).cast(type_name)
-
-    def rec(lo: int, hi: int) -> Column:      # answer in [lo - 1, hi - 1]
-        if lo == hi:
-            return F.lit(lo - 1)
-        mid = (lo + hi) // 2
-        return F.when(col >= lit(runs[mid]), rec(mid + 1, hi)).otherwise(rec(lo, mid))
-
-    return F.when(col.isNotNull(), rec(0, len(runs)))
-
-
-def hot_keys(df: DataFrame, key: str, hot_rows: int) -> list:
-    """Keys with more than ``hot_rows`` rows (partial count per key; at most MAX_HOT returned)."""
-    return [r[0] for r in (df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-                           .filter(F.col("_n") > hot_rows).select(key).limit(MAX_HOT).collect())]
-
-
 def asof_features(events: DataFrame, snapshots: DataFrame, *, event_ts: str, key: str = "customer_id",
                   columns: Sequence[str] | None = None, ts_col: str = "feature_ts",
-                  method: str = "runs", hot_rows: int = 1_000_000, salts: int = 32) -> DataFrame:
+                  share: int = skew.SHARE, least_hot: int = skew.LEAST_ROWS) -> DataFrame:
     """Each event with the newest snapshot of its customer taken at or before the event.
 
-    Events without an earlier snapshot keep null features.
+    Events without an earlier snapshot, a time or a key keep null features; snapshots without a
+    time or a key are never the newest.
     """
     cols = list(columns) if columns is not None else [c for c in snapshots.columns if c not in (key, ts_col)]
-    snaps = snapshots.select(key, ts_col, *cols)
-    runs = None
-    if method == "runs":
-        # Run times as Spark formats them; cast back with the column's type (no Python time zones).
-        runs = sorted((r[0] for r in snaps.select(F.col(ts_col).cast("string")).distinct()
-                       .limit(MAX_RUNS + 1).collect() if r[0] is not None), key=dt.datetime.fromisoformat)
-        if len(runs) > MAX_RUNS:
-            runs = None
-    w = Window.partitionBy(key).orderBy(F.col(ts_col))
-    if runs is None:
-        snaps = snaps.withColumn("_valid_to", F.lead(ts_col).over(w)).withColumnRenamed(key, "_k")
-        cond = ((F.col(key) == F.col("_k")) & (F.col(event_ts) >= F.col(ts_col))
-                & (F.col("_valid_to").isNull() | (F.col(event_ts) < F.col("_valid_to"))))
-        return events.join(snaps, cond, "left").drop("_k", "_valid_to")
-    type_name = snaps.schema[ts_col].dataType.simpleString()
-    n_runs = len(runs)
-    idx = snaps.filter(F.col(ts_col).isNotNull()).withColumn("_i", _run_index(F.col(ts_col), runs, type_name))
-    span = (idx.withColumn("_next", F.coalesce(F.lead("_i").over(Window.partitionBy(key).orderBy("_i")),
-                                                 F.lit(n_runs)))
-            .withColumn("_r", F.explode(F.sequence(F.col("_i"), F.col("_next") - 1)))
-            .drop("_i", "_next")
-            .withColumnRenamed(key, "_k"))
-    ev = events.withColumn("_r", _run_index(F.col(event_ts), runs, type_name))
-    hot = hot_keys(events, key, hot_rows) if hot_rows else []
-    if hot:
-        is_hot_ev = F.col(key).isin(hot)
-        salt = F.pmod(F.xxhash64(*[F.col(c) for c in events.columns]), F.lit(salts))
-        ev = ev.withColumn("_salt", F.when(is_hot_ev, salt).otherwise(F.lit(0)))
-        fan = F.when(F.col("_k").isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-        span = span.withColumn("_salt", F.explode(fan))
-        cond = (F.col(key) == F.col("_k")) & (ev["_r"] == span["_r"]) & (ev["_salt"] == span["_salt"])
-        return ev.join(span, cond, "left").drop("_k", "_r", "_salt")
-    cond = (F.col(key) == F.col("_k")) & (ev["_r"] == span["_r"])
-    return ev.join(span, cond, "left").drop("_k", "_r")
+    snaps = (snapshots.where(F.col(key).isNotNull() & F.col(ts_col).isNotNull())
+             .select(F.col(key).alias("_key"), F.col(ts_col).alias("_ts"), F.struct(ts_col, *cols).alias("_snap")))
+    rows = events.select(F.col(key).alias("_key"), F.col(event_ts).alias("_ts"),
+                         F.struct(*[F.col(c) for c in events.columns]).alias("_event"))
+    hot = skew.hot_keys(rows.select("_key"), "_key", share, least_hot)
+    snaps = skew.repeated(snaps, "_key", hot).withColumn("_event", F.lit(None).cast(rows.schema["_event"].dataType))
+    rows = skew.salted(rows, "_key", hot).withColumn("_snap", F.lit(None).cast(snaps.schema["_snap"].dataType))
+    order = Window.partitionBy("_key", skew.SALT).orderBy("_ts", F.col("_event").isNotNull(), "_snap")
+    newest = F.last("_snap", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    carried = snaps.unionByName(rows).withColumn("_newest", newest).where("_event IS NOT NULL")
+    return carried.select(*[F.col("_event")[c].alias(c) for c in events.columns],
+                          *[F.col("_newest")[c].alias(c) for c in (ts_col, *cols)])

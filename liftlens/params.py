@@ -54,11 +54,6 @@ SNAPSHOT_COLUMNS = (
     "age_group", "city_tier", "channel_pref",
     "segment_id", "value_tier",
 )
-# Per-tier purchase base rate and typical basket (tier lookups, default for absent tiers).
-TIER_BASE_RATE = {"High Value": 0.45, "Medium-High Value": 0.35, "Medium Value": 0.25, "Low Value": 0.15}
-TIER_BASE_RATE_DEFAULT = 0.20
-TIER_BASKET = {"High Value": 70.0, "Medium-High Value": 55.0, "Medium Value": 42.0, "Low Value": 32.0}
-TIER_BASKET_DEFAULT = 40.0
 
 
 @dataclass(frozen=True)

@@ -8,6 +8,7 @@ Doubles are rounded to 4 places the same way on both sides
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,16 +16,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from liftlens.functions.lineage import materialize
+from liftlens.functions.time import ts
 from liftlens.operators import allocate, evaluate, experiment, lift, outcomes, segments, snapshots
 from liftlens.operators import features as feat_ops
 from liftlens.operators import runs as run_ops
 from liftlens.operators import uplift as uplift_ops
 from liftlens.operators.ordering import prefix_sum
 from liftlens.params import (
-    Params, LEARNING_WAVE, OPTIMIZED_WAVE, TIER_BASE_RATE, TIER_BASE_RATE_DEFAULT, TIER_BASKET, TIER_BASKET_DEFAULT,
+    CLUSTER_FEATURES, LEARNING_WAVE, OPTIMIZED_WAVE, SNAPSHOT_COLUMNS, TIER_LABELS, VALUE_TIERS, Params,
 )
 from liftlens.plans import reports
-from liftlens.plans.testbed import SNAPSHOT_DATES, WAVE2_AS_OF, TestBed, stand_in_score
+from liftlens.plans.testbed import SNAPSHOT_DATES, WAVE2_AS_OF, TestBed, quartile_tiers, stand_in_score
 from liftlens.sources.tables import merge_by_key
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,13 +82,13 @@ def _unknown(tb: TestBed) -> DataFrame:
 @query("routing_counts")
 def _routing(tb: TestBed) -> DataFrame:
     """E2 + A2: customers per lane (known_full / known_sparse / unknown)."""
-    return feat_ops.count_by(feat_ops.route_customers(tb.features, tb.customers), "data_tier")
+    return feat_ops.count_by(feat_ops.route_customers(tb.features, tb.customers, tb.p), "data_tier")
 
 
 @query("data_tier_by_attribute")
 def _tier_by_attr(tb: TestBed) -> DataFrame:
     """A2: lanes by market segment (age_group)."""
-    return feat_ops.count_by(feat_ops.route_customers(tb.features, tb.customers), "age_group", "data_tier")
+    return feat_ops.count_by(feat_ops.route_customers(tb.features, tb.customers, tb.p), "age_group", "data_tier")
 
 
 # --- stage 1: tiers, profiles, lookups ------------------------------------------------
@@ -119,27 +121,24 @@ def _tier_profile(tb: TestBed) -> DataFrame:
 
 @query("tier_lookup")
 def _tier_lookup(tb: TestBed) -> DataFrame:
-    """Base purchase rate and typical basket by tier, with defaults for absent tiers."""
-    s = segments.tier_lookup(tb.segments, TIER_BASE_RATE, TIER_BASE_RATE_DEFAULT, "base_rate")
-    return segments.tier_lookup(s, TIER_BASKET, TIER_BASKET_DEFAULT, "expected_basket")
+    """Every master customer's value tier, looked up by its segment among the ranked top segments (else the lowest)."""
+    tiers = segments.value_tiers(segments.segment_profile(tb.features, "age_group"), "age_group").where("tier_rank <= 3")
+    return segments.tier_lookup(tb.customers.select("customer_id", "age_group"), tiers, "age_group", "value_tier", TIER_LABELS[-1])
 
 
 @query("overview_counts")
 def _overview(tb: TestBed) -> DataFrame:
     """U2 + A2: total, known and unknown customers."""
-    return reports.overview_counts(tb.features, tb.customers)
+    return reports.overview_counts(tb.features, tb.customers, tb.p)
 
 
 @query("assign_nearest")
 def _assign_nearest(tb: TestBed) -> DataFrame:
     """M4: nearest of fixed centres (per-label mean embedding) for every embedding."""
     emb = tb.tables.raw("embeddings")
-    dim = emb.agg(F.max(F.size("embedding"))).first()[0] or 0
-    cent = (emb.groupBy("label")
-            .agg(*[F.avg(F.col("embedding")[i]).alias(f"c{i}") for i in range(dim)])
-            .limit(segments.MAX_CENTRES + 1).collect())  # k x dim centres; more than the bound is refused
-    centres = {int(r["label"]): [r[f"c{i}"] for i in range(dim)] for r in cent}
-    return segments.assign_nearest(emb, "embedding", centres).select("vec_id", "label", "centre_id")
+    means = (emb.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
+             .groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centre")))
+    return segments.assign_nearest(emb, "embedding", means).select("vec_id", "label", "centre_id")
 
 
 # --- stage 2a: experiment design ------------------------------------------------------
@@ -159,14 +158,14 @@ def _assign_md5(tb: TestBed) -> DataFrame:
 @query("assign_groups_exact")
 def _assign_exact(tb: TestBed) -> DataFrame:
     """E1 exact mode: per value tier exactly floor(0.8 n + 0.5) treated."""
-    eligible = experiment.eligible_by_tier(tb.segments, tuple(TIER_BASE_RATE))
+    eligible = experiment.eligible_by_tier(tb.segments, VALUE_TIERS)
     return experiment.assign_groups(eligible, LEARNING_WAVE, tb.p, mode="exact")
 
 
 @query("murmur_groups")
 def _murmur(tb: TestBed) -> DataFrame:
     """E1 with Spark's Murmur3 hash, as the reference computes it (rows-only check)."""
-    eligible = experiment.eligible_by_tier(tb.segments, tuple(TIER_BASE_RATE))
+    eligible = experiment.eligible_by_tier(tb.segments, VALUE_TIERS)
     return experiment.assign_groups(eligible, LEARNING_WAVE, tb.p, hash_kind="murmur3")
 
 
@@ -235,6 +234,22 @@ def _latest_lift(tb: TestBed) -> DataFrame:
     return lift.latest_lift(lift_by_wave(tb))
 
 
+# Customers assigned at their own times: on one of 180 days and 1,440 minutes by their id; a second wave 45 days later.
+OWN_TIMES = (("WAVE_OWN_A", 0), ("WAVE_OWN_B", 45))
+
+
+@query("attribute_own_times")
+def _own_times(tb: TestBed) -> DataFrame:
+    """J11 where every customer has an own assignment time, in two waves whose windows overlap."""
+    out = None
+    for wave, later in OWN_TIMES:
+        asg = experiment.assign_groups(tb.segments, wave, tb.p)
+        own = F.make_dt_interval((F.col("customer_id") % 180 + later).cast("int"), F.lit(0), (F.col("customer_id") * 7919 % 1440).cast("int"))
+        asg = asg.withColumn("assigned_ts", ts(tb.p.as_of) + own)
+        out = asg if out is None else out.unionByName(asg)
+    return outcomes.attribute_outcomes(out, tb.tables.transactions(with_items=False), tb.redemptions, tb.p)
+
+
 # Second outcome log: the events table (users active before the wave, purchases in the next day).
 EVENT_WAVE = "WAVE_EVENTS"
 EVENT_AS_OF = "2024-01-15"
@@ -379,17 +394,16 @@ def _what_if(tb: TestBed) -> DataFrame:
 
 def prior_ledger(tb: TestBed) -> DataFrame:
     """Offer ledger of three earlier waves: the allocation (PF5-W7) run at each prior decision day
-    on the features as of that day."""
-    frames = []
+    on the features as of that day (one history of all of them)."""
+    days = [day for _, day in PRIOR_WAVES]
+    history = materialize(tb.history(days).select("customer_id", "feature_ts", F.lit(None).cast("string").alias("value_tier"),
+                                                  "avg_basket_value", stand_in_score()))
+    out = None
     for wave, day in PRIOR_WAVES:
-        t = tb.at(day)
-        scored = t.features.select("customer_id", F.lit(None).cast("string").alias("value_tier"),
-                                   "avg_basket_value", stand_in_score())
-        frames.append(allocate.plan_offers(scored, t.p, wave, decision_ts=day)
-                      .select("customer_id", "campaign_id", "decision_ts"))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
+        scored = history.where(F.col("feature_ts") == ts(day)).drop("feature_ts")
+        part = (allocate.plan_offers(scored, tb.p.with_(as_of=day), wave, decision_ts=day)
+                .select("customer_id", "campaign_id", "decision_ts"))
+        out = part if out is None else out.unionByName(part)
     return out
 
 
@@ -418,15 +432,16 @@ def _reserve(tb: TestBed) -> DataFrame:
 
 # --- snapshots -------------------------------------------------------------------------
 
-def snapshot_history(tb: TestBed, dates=SNAPSHOT_DATES, with_tiers: bool = True) -> DataFrame:
-    frames = []
-    for d in dates:
-        t = tb.at(d)
-        frames.append(snapshots.snapshot_frame(t.features, t.segments if with_tiers else None, d))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+def snapshot_history(tb: TestBed, dates=SNAPSHOT_DATES) -> DataFrame:
+    """Snapshot rows of every date: features of one scan, tiers ranked per date."""
+    h = materialize(tb.history(dates))
+    return snapshots.snapshot_rows(h.join(quartile_tiers(h, tb.p, ("feature_ts",)), ["feature_ts", "customer_id"], "left"))
+
+
+@query("feature_history")
+def _feature_history(tb: TestBed) -> DataFrame:
+    """A1 + J1 + E2 as of three dates from one scan of the orders."""
+    return tb.history(SNAPSHOT_DATES)
 
 
 @query("latest_snapshot")
@@ -438,8 +453,21 @@ def _latest_snapshot(tb: TestBed) -> DataFrame:
 @query("asof_features")
 def _asof(tb: TestBed) -> DataFrame:
     """Every order with the newest feature snapshot taken at or before it."""
-    snaps = snapshot_history(tb, with_tiers=False).select(
-        "customer_id", "feature_ts", "recency_days", "txn_count", "monetary_per_month")
+    return asof(tb, SNAPSHOT_DATES)
+
+
+# Mondays of three years.
+WEEKS = tuple((dt.date(1996, 1, 1) + dt.timedelta(weeks=i)).isoformat() for i in range(157))
+
+
+@query("asof_weekly_features")
+def _asof_weekly(tb: TestBed) -> DataFrame:
+    """J10 over weekly snapshots (157 dates of one scan): every order with its customer's features of that week's Monday."""
+    return asof(tb, WEEKS)
+
+
+def asof(tb: TestBed, dates) -> DataFrame:
+    snaps = tb.history(dates).select("customer_id", "feature_ts", "recency_days", "txn_count", "monetary_per_month")
     events = tb.tables.transactions(with_items=False).select(
         F.col("txn_id").alias("o_orderkey"), "customer_id", "txn_date")
     return snapshots.asof_features(events, snaps, event_ts="txn_date")
@@ -448,12 +476,10 @@ def _asof(tb: TestBed) -> DataFrame:
 @query("publish_snapshot_merge")
 def _merge(tb: TestBed) -> DataFrame:
     """IO5 key-merge: snapshots (1997, 1998) merged with new ones (1998 known_full only, 1999)."""
-    cols = ["customer_id", "feature_ts", "txn_count", "monetary_per_month"]
-    old = snapshot_history(tb, SNAPSHOT_DATES[:2], with_tiers=False).select(*cols).withColumn("source", F.lit("existing"))
-    t98, t99 = tb.at(SNAPSHOT_DATES[1]), tb.at(SNAPSHOT_DATES[2])
-    new98 = snapshots.snapshot_frame(t98.features.filter(F.col("data_tier") == "known_full"), None, SNAPSHOT_DATES[1])
-    new99 = snapshots.snapshot_frame(t99.features, None, SNAPSHOT_DATES[2])
-    new = new98.unionByName(new99).select(*cols).withColumn("source", F.lit("new"))
+    h = materialize(tb.history(SNAPSHOT_DATES).select("customer_id", "feature_ts", "txn_count", "monetary_per_month", "data_tier"))
+    middle, newest = (F.col("feature_ts") == ts(d) for d in SNAPSHOT_DATES[1:])
+    old = h.where(~newest).drop("data_tier").withColumn("source", F.lit("existing"))
+    new = h.where(newest | (middle & (F.col("data_tier") == "known_full"))).drop("data_tier").withColumn("source", F.lit("new"))
     return merge_by_key(new, old, ["customer_id", "feature_ts"])
 
 
@@ -480,12 +506,8 @@ CHAMPION_SCORERS = ((1, "SCORE"), (2, "SCORE_B"), (3, "SCORE_C"))
 def _cluster_vectors(tb: TestBed) -> DataFrame:
     """M1: the six clustering features of every known customer, nulls to 0, log1p on money,
     standardised by the population std (one column per vector element)."""
-    from pyspark.ml.functions import vector_to_array
-
-    from liftlens.params import CLUSTER_FEATURES
-
-    v = segments.cluster_vectors(tb.features).withColumn("_a", vector_to_array("features"))
-    return v.select("customer_id", *[F.col("_a")[i].alias(f"z_{c}") for i, c in enumerate(CLUSTER_FEATURES)])
+    v = segments.cluster_vectors(tb.features)
+    return v.select("customer_id", *[F.col(segments.VECTOR)[i].alias(f"z_{c}") for i, c in enumerate(CLUSTER_FEATURES)])
 
 
 @query("kmeans_segments")
@@ -498,12 +520,22 @@ def _kmeans(tb: TestBed) -> DataFrame:
 @query("choose_k")
 def _choose_k(tb: TestBed) -> DataFrame:
     """M2: silhouette for k = 3..6 over all known customers (rows-only check)."""
-    vectors = segments.cluster_vectors(tb.features).persist()
+    return segments.choose_k(materialize(segments.cluster_vectors(tb.features)), tb.p)[1]
+
+
+@query("kmeans_facts")
+def _kmeans_facts(tb: TestBed) -> DataFrame:
+    """M1 + M3 facts that hold for any converged fit: every known customer in one of k segments, whose own mean is the nearest."""
+    vectors = materialize(segments.cluster_vectors(tb.features)).persist()
     try:
-        _, frame = segments.choose_k(vectors, tb.p)
-        return materialize(frame)
+        seg = materialize(segments.fit_segments(vectors, tb.p.n_segments, tb.p).join(vectors, "customer_id"))
     finally:
         vectors.unpersist()
+    means = (seg.select("segment_id", F.posexplode(segments.VECTOR).alias("i", "x")).groupBy("segment_id", "i").agg(F.avg("x").alias("m"))
+             .groupBy("segment_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean")))
+    near = segments.assign_nearest(seg, segments.VECTOR, means, "nearest")
+    return near.agg(F.count(F.lit(1)).alias("n_customers"), F.count_distinct("segment_id").alias("n_segments"),
+                    (F.count_if(F.col("segment_id") != F.col("nearest")) * 1000 < F.count(F.lit(1))).alias("nearest_mean"))
 
 
 def training_frame(tb: TestBed) -> DataFrame:

@@ -331,12 +331,10 @@ def _batch2() -> dict[str, str]:
   AVG(f.monetary_per_month) AS avg_monthly_spend, AVG(f.avg_basket_value) AS avg_basket
   FROM s JOIN f USING (customer_id) GROUP BY s.value_tier""",
                               ["avg_recency", "avg_freq", "avg_monthly_spend", "avg_basket"])
-    q["tier_lookup"] = final(with_(*BASE, feat("f", AS_OF), seg("s", "f")) + """SELECT customer_id, segment_id,
-  value_tier,
-  CASE value_tier WHEN 'High Value' THEN 0.45 WHEN 'Medium-High Value' THEN 0.35 WHEN 'Medium Value' THEN 0.25
-    WHEN 'Low Value' THEN 0.15 ELSE 0.20 END::DOUBLE AS base_rate,
-  CASE value_tier WHEN 'High Value' THEN 70.0 WHEN 'Medium-High Value' THEN 55.0 WHEN 'Medium Value' THEN 42.0
-    WHEN 'Low Value' THEN 32.0 ELSE 40.0 END::DOUBLE AS expected_basket FROM s""", ["base_rate", "expected_basket"])
+    q["tier_lookup"] = with_(*BASE, feat("f", AS_OF), f"p AS ({prof})", """tiers AS (SELECT age_group,
+  ROW_NUMBER() OVER (ORDER BY monetary DESC, age_group) AS r FROM p)""") + """SELECT customer_id, c.age_group,
+  CASE r WHEN 1 THEN 'High Value' WHEN 2 THEN 'Medium-High Value' WHEN 3 THEN 'Medium Value' ELSE 'Low Value' END AS value_tier
+  FROM cust c LEFT JOIN tiers t ON c.age_group = t.age_group"""
     q["overview_counts"] = with_(*BASE, feat("f", AS_OF)) + """SELECT (SELECT COUNT(*) FROM cust) AS n_total,
   (SELECT COUNT(*) FROM f) AS n_known,
   (SELECT COUNT(*) FROM cust c ANTI JOIN f ON c.customer_id = f.customer_id) AS n_unknown"""
@@ -498,6 +496,26 @@ SELECT m.vec_id, m.label, CAST(b.centre_id AS INTEGER) AS centre_id FROM embeddi
     ELSE 'none' END AS channel FROM al2"""
     q["latest_snapshot"] = final(with_(*BASE, *snaps_ctes(True)) + f"""SELECT {SNAP_COLS} FROM snaps
   QUALIFY ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY feature_ts DESC) = 1""", SNAP_DOUBLES)
+    q["kmeans_facts"] = with_(*BASE, feat("f", AS_OF)) + \
+        "SELECT COUNT(*) AS n_customers, CAST(4 AS BIGINT) AS n_segments, true AS nearest_mean FROM f"
+    q["feature_history"] = final(with_(*BASE, *[feat(f"f{i}x", d) for i, d in enumerate(SNAPSHOT_DATES)]) + " UNION ALL ".join(
+        f"SELECT *, TIMESTAMP '{d}' AS feature_ts FROM f{i}x" for i, d in enumerate(SNAPSHOT_DATES)), FEAT_DOUBLES)
+    q["asof_weekly_features"] = final(with_(*BASE, """weeks AS (SELECT TIMESTAMP '1996-01-01' + to_days(CAST(7 * i AS INTEGER)) AS w
+  FROM range(157) t(i))""", """newest AS (SELECT txn_id, customer_id, txn_date, w FROM txn LEFT JOIN weeks ON w <= txn_date
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY txn_id ORDER BY w DESC NULLS LAST) = 1)""",
+                                              """states AS (SELECT n.txn_id, COUNT(*) AS txn_count, SUM(t.amount) AS spend,
+  date_diff('day', CAST(MAX(t.txn_date) AS DATE), CAST(ANY_VALUE(n.w) AS DATE)) AS recency,
+  date_diff('day', CAST(MIN(t.txn_date) AS DATE), CAST(ANY_VALUE(n.w) AS DATE)) AS tenure
+  FROM newest n JOIN txn t ON t.customer_id = n.customer_id AND t.txn_date < n.w GROUP BY n.txn_id)""") + """SELECT n.txn_id AS o_orderkey,
+  n.customer_id, n.txn_date, CASE WHEN txn_count > 0 THEN n.w END AS feature_ts, CAST(recency AS INTEGER) AS recency_days, txn_count,
+  spend / GREATEST(tenure / 30.0::DOUBLE, 1.0::DOUBLE) AS monetary_per_month
+  FROM newest n LEFT JOIN states USING (txn_id) WHERE n.customer_id IN (SELECT customer_id FROM cust)""", ["monetary_per_month"])
+    own = [f"""own{i} AS (SELECT * REPLACE (assigned_ts + to_days(CAST(customer_id % 180 + {later} AS INTEGER))
+  + to_minutes(customer_id * 7919 % 1440) AS assigned_ts) FROM own{i}_base)""" for i, later in enumerate((0, 45))]
+    q["attribute_own_times"] = final(with_(*BASE, REDEMPTIONS, feat("f", AS_OF), seg("s", "f"), assign("own0_base", "s", "WAVE_OWN_A", AS_OF),
+                                           assign("own1_base", "s", "WAVE_OWN_B", AS_OF), *own,
+                                           "own AS (SELECT * FROM own0 UNION ALL SELECT * FROM own1)", outcomes("oc", "own", AS_OF))
+                                     + "SELECT * FROM oc", ["coupon_value", "spend"])
     q["asof_features"] = final(with_(*BASE, *snaps_ctes(False)) + """SELECT t.txn_id AS o_orderkey, t.customer_id,
   t.txn_date, s.feature_ts, s.recency_days, s.txn_count, s.monetary_per_month
   FROM txn t ASOF LEFT JOIN snaps s ON t.customer_id = s.customer_id AND t.txn_date >= s.feature_ts""",

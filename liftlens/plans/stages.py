@@ -54,7 +54,7 @@ def stage1(store: TableStore, txns: DataFrame, customers: DataFrame, params: Par
     store.write_overwrite(selection, T_SELECTION)
     snap = snapshots.snapshot_frame(feats.drop("feature_ts"), store.read_table(T_SEGMENTS), params.as_of)
     store.publish_snapshot(snap, T_SNAPSHOTS)
-    return features.count_by(features.route_customers(feats, customers), "data_tier")
+    return features.count_by(features.route_customers(feats, customers, params), "data_tier")
 
 
 def design_wave(store: TableStore, params: Params, campaign_id: str,

@@ -37,14 +37,14 @@ def stand_in_score(salt: str = SCORE_SALT):
     return ((md5_bucket("customer_id", salt) - F.lit(SCORE_OFFSET)) / F.lit(SCORE_SCALE)).alias("uplift_score")
 
 
-def quartile_tiers(feats: DataFrame, params: Params) -> DataFrame:
-    """customer_id, segment_id (0 = top quarter of monthly spend), value_tier."""
-    ranked = global_rank(feats.select("customer_id", "monetary_per_month"),
-                         [("monetary_per_month", False), ("customer_id", True)],
+def quartile_tiers(feats: DataFrame, params: Params, by: tuple[str, ...] = ()) -> DataFrame:
+    """``by``, customer_id, segment_id (0 = top quarter of monthly spend), value_tier."""
+    ranked = global_rank(feats.select(*by, "customer_id", "monetary_per_month"),
+                         [("monetary_per_month", False), ("customer_id", True)], partition_by=by,
                          rows_per_bucket=params.rows_per_bucket, row_number="_r", count_col="_n")
     q = F.floor(((F.col("_r") - 1) * 4) / F.col("_n")).cast("int")
     labels = F.array(*[F.lit(t) for t in TIER_LABELS[:4]])
-    return ranked.select("customer_id", q.alias("segment_id"), F.element_at(labels, q + 1).alias("value_tier"))
+    return ranked.select(*by, "customer_id", q.alias("segment_id"), F.element_at(labels, q + 1).alias("value_tier"))
 
 
 class TestBed:
@@ -75,6 +75,10 @@ class TestBed:
     def features(self) -> DataFrame:
         return features.customer_features(self.txns, self.customers, self.p)
 
+    def history(self, dates) -> DataFrame:
+        """The customer_features table as of each date, with feature_ts."""
+        return features.customer_history(self.txns, self.customers, self.p, dates)
+
     @cached_property
     def segments(self) -> DataFrame:
         return quartile_tiers(self.features, self.p)

@@ -81,10 +81,37 @@ def test_routing_golden(spark):
                                  "customer_id long, age_group string, city_tier string, channel_pref string")
     p = Params(as_of="2024-12-31")
     f = features.customer_features(txns, cust, p)
-    routed = {r["customer_id"]: r["data_tier"] for r in features.route_customers(f, cust).collect()}
+    routed = {r["customer_id"]: r["data_tier"] for r in features.route_customers(f, cust, p).collect()}
     assert routed == {1: "known_full", 2: "known_sparse", 3: "unknown"}
 
 
+def test_history_equals_features_as_of_each_date(spark):
+    import random
+
+    rnd = random.Random(2)
+    base = dt.datetime(2024, 1, 1)
+    rows = [(rnd.randrange(30), base + dt.timedelta(hours=rnd.randrange(-100, 3000)), rnd.choice((None, 5.0, 7.5)), rnd.choice((None, 1, 2)),
+             rnd.choice(("a", "b", "c", None))) for _ in range(600)] + [(40, None, 1.0, 1, "a")]
+    txns = spark.createDataFrame(rows, "customer_id long, txn_date timestamp_ntz, amount double, n_items long, category string")
+    dates = [(base + dt.timedelta(days=d)).strftime("%Y-%m-%d") for d in (0, 3, 4, 50, 51, 90, 400)]
+    got = features.rfm_history(txns, dates[::-1])
+    for d in dates:
+        exp = features.rfm_features(txns, Params(as_of=d))
+        mine = got.where(F.col("feature_ts") == F.lit(d).cast("timestamp_ntz")).select(*exp.columns)
+        assert sorted(mine.collect(), key=str) == sorted(exp.collect(), key=str)
+    approx = features.rfm_history(txns, dates, approx_distinct=True)
+    assert sorted(approx.select("customer_id", "feature_ts", "category_diversity").collect()) == \
+        sorted(got.select("customer_id", "feature_ts", "category_diversity").collect())
+    assert features.rfm_history(txns.limit(0), dates).count() == 0
+
+
+def test_history_scans_the_orders_once(spark):
+    from liftlens.plans.testbed import SNAPSHOT_DATES, TestBed
+
+    plan = TestBed(spark, "/root/testdata/sf0.001").history(SNAPSHOT_DATES)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("o_orderdate#") and len([x for x in plan.splitlines() if "Relation" in x and "o_orderkey" in x]) == 1
+
+
 def test_rates_golden(spark):
     as_of = dt.datetime(2024, 3, 1)
     rows = [(1, as_of - dt.timedelta(days=10), 25.0, 1, "a")] * 4 + [(2, as_of - dt.timedelta(days=60), 25.0, 1, "a")] * 4
@@ -138,14 +165,13 @@ def test_unseen_category_is_zero_vector(spark):
     assert vec.numNonzeros() == 0
 
 
-@pytest.mark.parametrize("method", ["runs", "interval"])
-def test_asof_customer_missing_from_a_run(spark, method):
+def test_asof_customer_missing_from_a_run(spark):
     d = lambda x: dt.datetime(2024, 1, x)
     snaps = spark.createDataFrame([(1, d(5), "a"), (1, d(9), "b"), (1, d(11), "c"), (2, d(5), "x"), (2, d(11), "z")],
                                   "customer_id long, feature_ts timestamp_ntz, v string")
     ev = spark.createDataFrame([(1, 2, d(10)), (2, 2, d(12)), (3, 2, d(4)), (4, 1, d(30)), (5, 3, d(10))],
                                "eid long, customer_id long, ts timestamp_ntz")
-    got = {r["eid"]: r["v"] for r in snapshots.asof_features(ev, snaps, event_ts="ts", method=method).collect()}
+    got = {r["eid"]: r["v"] for r in snapshots.asof_features(ev, snaps, event_ts="ts").collect()}
     assert got == {1: "x", 2: "z", 3: None, 4: "c", 5: None}
 
 

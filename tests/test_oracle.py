@@ -5,12 +5,12 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from liftlens.plans.catalog import QUERIES
+from liftlens.plans.oracle_sql import ORACLE_SQL as SQL
 from tools.oracle_check import duck, rows_of
 
 from conftest import SF_SMALL
 
-SQL = entry.oracle_sql()
-QUERIES = entry.queries()
 SLOW = {"choose_k", "kmeans_segments", "t_learner_scores"}
 
 

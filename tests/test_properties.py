@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from liftlens.operators import allocate, evaluate, experiment
@@ -114,3 +115,20 @@ def test_qini_end_value(spark):
     (nt, t), (nc, c) = g["treatment"], g["holdout"]
     assert last["qini"] == t - c * (nt / nc)
     assert last["row_idx"] == nt + nc
+
+
+def test_what_if_grid_equals_a_sweep_per_pair(spark):
+    from liftlens.operators import allocate
+
+    tb = TestBed(spark, SF_SMALL)
+    p = tb.p.with_(rows_per_bucket=80)
+    eligible = allocate.above_threshold(tb.scored(), 0.0)
+    budgets, margins, coupons = [50_000.0 * i for i in range(1, 141)], (0.1, 0.6), (2_000.0, 30_000.0)
+    got = {(r["margin_rate"], r["coupon_value"], r["budget"]): tuple(r)[3:]
+           for r in allocate.what_if_grid(eligible, budgets, margins, coupons, p).collect()}
+    assert len(got) == 140 * 4
+    for m in margins:
+        for c in coupons:
+            q = p.with_(margin_rate=m, coupon_value=c)
+            for r in allocate.budget_sweep(allocate.profitable(allocate.offer_economics(eligible, q)), budgets, q).collect():
+                assert got[m, c, r["budget"]] == pytest.approx(tuple(r)[1:], abs=1e-6)

@@ -22,9 +22,11 @@ def test_pages(spark):
     assert page["curve"].count() == 2 * tb.learning_outcomes.count()
     assert page["qini"].first()["n"] == tb.learning_outcomes.count()
     assert page["summary"].first()["n"] == tb.scored().count()
-    prof = reports.profile_display(reports.tier_profile(tb.segments, tb.features))
-    assert set(prof.columns) == set(reports.PROFILE_LABELS.values())
-    over = reports.overview_counts(tb.features, tb.customers).first()
+    labels = {"value_tier": "Value tier", "avg_basket": "Mean basket"}
+    prof = reports.display(reports.tier_profile(tb.segments, tb.features), labels)
+    assert set(labels.values()) <= set(prof.columns) and "avg_recency" in prof.columns
+    assert all(r["Mean basket"] == round(r["Mean basket"], 2) for r in prof.collect())
+    over = reports.overview_counts(tb.features, tb.customers, tb.p).first()
     assert over["n_total"] == over["n_known"] + over["n_unknown"] == 150
 
 

@@ -79,23 +79,68 @@ def test_attribution_overlapping_windows_at_any_as_of(spark):
         assert got2 == exp
 
 
-def test_asof_hot_key_salting(spark):
-    from liftlens.operators import snapshots
+def test_attribution_with_100_000_assignment_times(spark):
+    rnd = random.Random(12)
+    base = dt.datetime(2024, 1, 1)
+    asg_rows = [(c, f"W{c % 3}", base + dt.timedelta(minutes=rnd.randrange(300_000), microseconds=c)) for c in range(100_000)]
+    rows = [(0 if i % 3 == 0 else rnd.randrange(100_000), base + dt.timedelta(minutes=rnd.randrange(400_000)), float(i % 7), 1, "a")
+            for i in range(60_000)]                               # customer 0 holds a third of all sales
+    asg_rows += [(0, f"X{i}", base + dt.timedelta(minutes=1000 * i)) for i in range(200)]
+    txns = spark.createDataFrame(rows, "customer_id long, txn_date timestamp_ntz, amount double, n_items long, category string")
+    asg = spark.createDataFrame([(c, w, "treatment", "T", 1.0, t) for c, w, t in asg_rows],
+                                "customer_id long, campaign_id string, group string, value_tier string, "
+                                "coupon_value double, assigned_ts timestamp_ntz")
+    assert asg.select("assigned_ts").distinct().count() > 99_000
+    by = {}
+    for r in rows:
+        by.setdefault(r[0], []).append(r)
+    exp = {}
+    for c, w, t in asg_rows:
+        hits = [r for r in by.get(c, ()) if t <= r[1] < t + dt.timedelta(days=30)]
+        exp[w, c] = (int(bool(hits)), sum(r[2] for r in hits))
+    p = Params(as_of="2024-01-01", outcome_days=30)
+    for kw in ({}, {"share": 50, "least_hot": 100}):                # as it is, and with customer 0 over salts
+        got = {(r["campaign_id"], r["customer_id"]): (r["purchased"], r["spend"])
+               for r in outcomes.attribute_outcomes(asg, txns, None, p, **kw).collect()}
+        assert got == exp
+
+
+def _brute_asof(ev_rows, snap_rows):
+    by = {}
+    for c, t, v in sorted(snap_rows):
+        by.setdefault(c, []).append((t, v))
+    return {eid: next((v for s, v in reversed(by.get(c, ())) if s <= t), None) for eid, c, t in ev_rows}
+
+
+def test_asof_hot_key_and_1_000_runs(spark):
+    from liftlens.operators import skew, snapshots
 
     rnd = random.Random(5)
     base = dt.datetime(2024, 1, 1)
-    snaps = spark.createDataFrame([(c, base + dt.timedelta(days=d), f"{c}-{d}") for c in range(20) for d in (0, 10, 20)
-                                   if not (c == 3 and d == 10)],
-                                  "customer_id long, feature_ts timestamp_ntz, v string")
-    ev_rows = [(i, 0 if i % 3 == 0 else rnd.randrange(20), base + dt.timedelta(hours=rnd.randrange(24 * 30)))
+    snap_rows = [(c, base + dt.timedelta(hours=h), f"{c}-{h}") for c in range(20) for h in range(1000) if c == 0 or (c * 7 + h) % 5]
+    ev_rows = [(i, 0 if i % 3 == 0 else rnd.randrange(22), base + dt.timedelta(minutes=rnd.randrange(-500, 70_000)))
                for i in range(6000)]                                        # customer 0: a third of all events
+    snaps = spark.createDataFrame(snap_rows, "customer_id long, feature_ts timestamp_ntz, v string")
     ev = spark.createDataFrame(ev_rows, "eid long, customer_id long, ts timestamp_ntz")
-    plain = {r["eid"]: r["v"] for r in snapshots.asof_features(ev, snaps, event_ts="ts", hot_rows=0).collect()}
-    salted_df = snapshots.asof_features(ev, snaps, event_ts="ts", hot_rows=500, salts=8)
-    assert "_salt" in salted_df._jdf.queryExecution().optimizedPlan().toString()
-    salted = {r["eid"]: r["v"] for r in salted_df.collect()}
-    assert salted == plain and len(plain) == 6000
-    assert plain[0] is not None
+    exp = _brute_asof(ev_rows, snap_rows)
+    for kw in ({}, {"share": 20, "least_hot": 10}):
+        got = {r["eid"]: r["v"] for r in snapshots.asof_features(ev, snaps, event_ts="ts", **kw).collect()}
+        assert got == exp and len(got) == 6000
+    hot = {r["customer_id"]: r["_salts"] for r in skew.hot_keys(ev, "customer_id", 20, 10).collect()}
+    assert hot[0] >= 6 and sum(hot.values()) <= 40
+    sizes = skew.salted(ev, "customer_id", skew.hot_keys(ev, "customer_id", 20, 10)).groupBy("customer_id", "_salt").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 2 * 6000 / 20
+
+
+def test_hot_null_keys_are_spread(spark):
+    from liftlens.operators import snapshots
+
+    ev = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, F.col("id")).alias("customer_id"),
+                                  F.lit(dt.datetime(2024, 1, 2)).cast("timestamp_ntz").alias("ts"))
+    snaps = spark.createDataFrame([(None, dt.datetime(2024, 1, 1), "n"), (4, dt.datetime(2024, 1, 1), "f")],
+                                  "customer_id long, feature_ts timestamp_ntz, v string")
+    got = snapshots.asof_features(ev, snaps, event_ts="ts").where("v IS NOT NULL").collect()
+    assert [(r["id"], r["v"]) for r in got] == [(4, "f")]
 
 
 def test_zone_aware_timestamps_under_a_non_utc_session(spark):
@@ -105,13 +150,13 @@ def test_zone_aware_timestamps_under_a_non_utc_session(spark):
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:
         base = dt.datetime(2024, 3, 9, 22, 30)        # around a DST change in that zone
-        snaps = spark.createDataFrame([(c, base + dt.timedelta(hours=h), f"{c}-{h}") for c in range(5) for h in (0, 5, 30)],
-                                      "customer_id long, feature_ts timestamp, v string")
-        ev = spark.createDataFrame([(i, i % 5, base + dt.timedelta(minutes=37 * i)) for i in range(200)],
-                                   "eid long, customer_id long, ts timestamp")
-        runs_ = {r["eid"]: r["v"] for r in snapshots.asof_features(ev, snaps, event_ts="ts").collect()}
-        interval = {r["eid"]: r["v"] for r in snapshots.asof_features(ev, snaps, event_ts="ts", method="interval").collect()}
-        assert runs_ == interval
+        base = base.astimezone()
+        snap_rows = [(c, base + dt.timedelta(hours=h), f"{c}-{h}") for c in range(5) for h in (0, 5, 30)]
+        ev_rows = [(i, i % 5, base + dt.timedelta(minutes=37 * i)) for i in range(200)]
+        snaps = spark.createDataFrame(snap_rows, "customer_id long, feature_ts timestamp, v string")
+        ev = spark.createDataFrame(ev_rows, "eid long, customer_id long, ts timestamp")
+        got = {r["eid"]: r["v"] for r in snapshots.asof_features(ev, snaps, event_ts="ts").collect()}
+        assert got == _brute_asof(ev_rows, snap_rows)
         txns = ev.select("customer_id", F.col("ts").alias("txn_date"), F.lit(1.0).alias("amount"))
         asg = spark.createDataFrame([(c, "W", "treatment", "T", 1.0, base + dt.timedelta(hours=3)) for c in range(5)],
                                     "customer_id long, campaign_id string, group string, value_tier string, "
