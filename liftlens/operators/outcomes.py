@@ -8,8 +8,8 @@ only windows that begin at most two cells before it, whatever the number of
 assignment times: every customer may have an own time, and several that
 overlap. The sums are pre-aggregated per assignment before they are shuffled.
 A customer with a large share of all sales is spread over salts
-(``operators/skew.py``). The first and last window bound prune the scans as
-scalar subqueries; nothing is collected.
+(``operators/skew.py``). The first and last window bound, two values, prune the
+scans; no list of times or customers is collected.
 """
 
 from __future__ import annotations
@@ -42,8 +42,7 @@ def _events(txns: DataFrame, redemptions: DataFrame | None, lo: Column, hi: Colu
 
 
 def attribute_outcomes(assignments: DataFrame, txns: DataFrame, redemptions: DataFrame | None,
-                       params: Params, *, days: int | None = None, share: int = skew.SHARE,
-                       least_hot: int = skew.LEAST_ROWS) -> DataFrame:
+                       params: Params, *, days: int | None = None, rows_per_salt: int = skew.ROWS) -> DataFrame:
     """Per assigned customer: purchased (any sale in [assigned_ts, +days)), spend (sum, else 0),
     redeemed (treated, purchased, and a redemption in the window).
 
@@ -54,9 +53,11 @@ def attribute_outcomes(assignments: DataFrame, txns: DataFrame, redemptions: Dat
     days = params.outcome_days if days is None else days
     windows = (assignments.select(*ASSIGNMENT).where("assigned_ts IS NOT NULL AND customer_id IS NOT NULL").distinct()
                .withColumn("_end", ts_plus_days(F.col("assigned_ts"), days)))
-    lo, hi = windows.agg(F.min("assigned_ts")).scalar(), windows.agg(F.max("_end")).scalar()
+    # As Spark formats them, cast back with the column's own type: no Python time zones are involved.
+    bounds = assignments.agg(F.min("assigned_ts").cast("string"), ts_plus_days(F.max("assigned_ts"), days).cast("string")).first()
+    lo, hi = (F.lit(b).cast(assignments.schema["assigned_ts"].dataType) for b in bounds)
     events = _events(txns, redemptions, lo, hi)
-    hot = skew.hot_keys(events, "customer_id", share, least_hot)
+    hot = skew.hot_keys(events, "customer_id", rows_per_salt=rows_per_salt)
     # A margin of a day: a zone whose clock steps back over midnight gives a later time an earlier date.
     cells = F.sequence(_cell(F.col("assigned_ts"), days, -1), _cell(F.col("_end"), days, 1))
     spans = skew.repeated(windows.withColumn("_cell", F.explode(cells)), "customer_id", hot)

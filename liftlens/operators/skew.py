@@ -1,12 +1,12 @@
 """Spreading the rows of hot keys over several tasks.
 
-A key is hot when it holds more than 1/``share`` of all rows: there are at most
-``share`` of them, so their list is broadcast. A hot key gets as many salts as
-it holds such shares. The rows on the large side take one salt each, the
-matching rows on the other side are repeated once per salt (at most twice
-``share`` extra rows for each row per key), and the two meet on (key, salt).
-The list is found by one pre-aggregated count inside the same plan; nothing is
-collected.
+A hot key is one of the ``KEYS`` with the most rows that holds more than
+``ROWS`` of them; any other key has at most ``ROWS`` rows or one in ``KEYS`` of
+all, so leaving it whole is safe, and the list of hot keys is small enough to
+broadcast whatever the table's size. A hot key gets a salt for every ``ROWS``
+of its rows. The rows on the large side take one salt each, the matching rows
+on the other side are repeated once per salt, and the two meet on (key, salt).
+The list comes from one pre-aggregated count inside the same plan.
 """
 
 from __future__ import annotations
@@ -14,16 +14,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SHARE = 10_000
-LEAST_ROWS = 100_000  # no key with fewer rows is worth splitting
+KEYS = 10_000
+ROWS = 100_000
 SALT = "_salt"
 
 
-def hot_keys(rows: DataFrame, key: str, share: int = SHARE, least: int = LEAST_ROWS) -> DataFrame:
-    """(key, _salts) of the keys with more rows than both ``least`` and one of ``share``; null keys aside."""
+def hot_keys(rows: DataFrame, key: str, keys: int = KEYS, rows_per_salt: int = ROWS) -> DataFrame:
+    """(key, _salts) of the hot keys; null keys aside."""
     counts = rows.where(F.col(key).isNotNull()).groupBy(F.col(key)).agg(F.count(F.lit(1)).alias("_n"))
-    limit = counts.agg(F.greatest(F.sum("_n") / F.lit(share), F.lit(float(least))).alias("_limit")).scalar()
-    return counts.where(F.col("_n") > limit).select(key, F.ceil(F.col("_n") / limit).alias("_salts"))
+    hot = counts.where(F.col("_n") > rows_per_salt).orderBy(F.col("_n").desc()).limit(keys)
+    return hot.select(key, F.ceil(F.col("_n") / F.lit(rows_per_salt)).alias("_salts"))
 
 
 def salted(rows: DataFrame, key: str, hot: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ def latest_per_customer(snapshots: DataFrame, key: str = "customer_id", ts_col:
 
 def asof_features(events: DataFrame, snapshots: DataFrame, *, event_ts: str, key: str = "customer_id",
                   columns: Sequence[str] | None = None, ts_col: str = "feature_ts",
-                  share: int = skew.SHARE, least_hot: int = skew.LEAST_ROWS) -> DataFrame:
+                  rows_per_salt: int = skew.ROWS) -> DataFrame:
     """Each event with the newest snapshot of its customer taken at or before the event.
 
     Events without an earlier snapshot, a time or a key keep null features; snapshots without a
@@ -56,7 +56,7 @@ def asof_features(events: DataFrame, snapshots: DataFrame, *, event_ts: str, key
              .select(F.col(key).alias("_key"), F.col(ts_col).alias("_ts"), F.struct(ts_col, *cols).alias("_snap")))
     rows = events.select(F.col(key).alias("_key"), F.col(event_ts).alias("_ts"),
                          F.struct(*[F.col(c) for c in events.columns]).alias("_event"))
-    hot = skew.hot_keys(rows.select("_key"), "_key", share, least_hot)
+    hot = skew.hot_keys(rows.select("_key"), "_key", rows_per_salt=rows_per_salt)
     snaps = skew.repeated(snaps, "_key", hot).withColumn("_event", F.lit(None).cast(rows.schema["_event"].dataType))
     rows = skew.salted(rows, "_key", hot).withColumn("_snap", F.lit(None).cast(snaps.schema["_snap"].dataType))
     order = Window.partitionBy("_key", skew.SALT).orderBy("_ts", F.col("_event").isNotNull(), "_snap")

@@ -212,7 +212,7 @@ def wave2(tb: TestBed) -> tuple[TestBed, DataFrame]:
     tb2 = tb.at(WAVE2_AS_OF)
     offers = allocate.plan_offers(tb2.scored(), tb2.p, OPTIMIZED_WAVE)
     delivered = experiment.reserve_holdout(offers, OPTIMIZED_WAVE, tb2.p)
-    asg = experiment.delivered_assignments(delivered, tb2.p)
+    asg = materialize(experiment.delivered_assignments(delivered, tb2.p))
     out = outcomes.attribute_outcomes(asg, tb.tables.transactions(with_items=False), tb.redemptions, tb2.p)
     return tb2, out
 
@@ -247,7 +247,7 @@ def _own_times(tb: TestBed) -> DataFrame:
         own = F.make_dt_interval((F.col("customer_id") % 180 + later).cast("int"), F.lit(0), (F.col("customer_id") * 7919 % 1440).cast("int"))
         asg = asg.withColumn("assigned_ts", ts(tb.p.as_of) + own)
         out = asg if out is None else out.unionByName(asg)
-    return outcomes.attribute_outcomes(out, tb.tables.transactions(with_items=False), tb.redemptions, tb.p)
+    return outcomes.attribute_outcomes(materialize(out), tb.tables.transactions(with_items=False), tb.redemptions, tb.p)
 
 
 # Second outcome log: the events table (users active before the wave, purchases in the next day).
@@ -264,7 +264,7 @@ def event_wave(tb: TestBed) -> tuple[Params, DataFrame]:
              .select(F.col("user_id").alias("customer_id")).distinct()
              .select("customer_id", F.lit(None).cast("int").alias("segment_id"),
                      F.lit(None).cast("string").alias("value_tier")))
-    asg = experiment.assign_groups(users, EVENT_WAVE, p)
+    asg = materialize(experiment.assign_groups(users, EVENT_WAVE, p))
     sales = (ev.filter(F.col("event_type") == "purchase")
              .select(F.col("user_id").alias("customer_id"), F.col("ts").alias("txn_date"),
                      F.col("value").alias("amount")))

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftlens.functions.hashing import md5_bucket
+from liftlens.functions.lineage import materialize
 from liftlens.functions.time import ts
 from liftlens.operators import experiment, features, outcomes
 from liftlens.operators.ordering import global_rank
@@ -100,5 +101,5 @@ class TestBed:
 
     @cached_property
     def learning_outcomes(self) -> DataFrame:
-        return outcomes.attribute_outcomes(self.learning_assignments, self.tables.transactions(with_items=False),
+        return outcomes.attribute_outcomes(materialize(self.learning_assignments), self.tables.transactions(with_items=False),
                                            self.redemptions, self.p)
