@@ -34,8 +34,8 @@ def run_rows(version: int, qini: DataFrame, deciles: DataFrame, sizes: DataFrame
 
 
 def log_run(store, run: DataFrame, name: str = "runs") -> None:
-    """M8: append the run (schema may gain columns over time)."""
-    store.append_evolving(run.select(*[F.col(f.name).cast(f.dataType) for f in RUNS.fields]), name)
+    """M8: record the run; a rerun of the same version and wave replaces its row."""
+    store.replace_rows(run.select(*[F.col(f.name).cast(f.dataType) for f in RUNS.fields]), name, ("version", "campaign_id"))
 
 
 def champion(runs: DataFrame) -> DataFrame:

@@ -9,25 +9,27 @@ Doubles are rounded to 4 places the same way on both sides
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from liftlens.functions.lineage import materialize
+from liftlens.functions.lineage import materialize, shared_folder
 from liftlens.functions.time import ts
-from liftlens.operators import allocate, evaluate, experiment, lift, outcomes, segments, snapshots
+from liftlens.operators import allocate, evaluate, experiment, lift, outcomes, segments, sketches, snapshots
 from liftlens.operators import features as feat_ops
 from liftlens.operators import runs as run_ops
 from liftlens.operators import uplift as uplift_ops
 from liftlens.operators.ordering import prefix_sum
 from liftlens.params import (
-    CLUSTER_FEATURES, LEARNING_WAVE, OPTIMIZED_WAVE, SNAPSHOT_COLUMNS, TIER_LABELS, VALUE_TIERS, Params,
+    ASSIGNMENTS, CLUSTER_FEATURES, LEARNING_WAVE, OPTIMIZED_WAVE, OUTCOMES, RUNS, TIER_LABELS, VALUE_TIERS, Params,
 )
 from liftlens.plans import reports
 from liftlens.plans.testbed import SNAPSHOT_DATES, WAVE2_AS_OF, TestBed, quartile_tiers, stand_in_score
-from liftlens.sources.tables import merge_by_key
+from liftlens.sources.tables import TableStore, merge_by_key
+from liftlens.sources.versions import VersionedTables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -483,6 +485,77 @@ def _merge(tb: TestBed) -> DataFrame:
     return merge_by_key(new, old, ["customer_id", "feature_ts"])
 
 
+def _shared(tb: TestBed, name: str) -> str:
+    """A new folder in the cluster's shared checkpoint folder."""
+    return f"{shared_folder(tb.spark)}/liftlens-tables/{name}-{uuid.uuid4().hex}"
+
+
+@query("published_snapshots")
+def _published(tb: TestBed) -> DataFrame:
+    """IO5: two publications (1997 and 1998; then 1998 known_full and 1999) as commits, read back from the newest version."""
+    h = materialize(tb.history(SNAPSHOT_DATES).select("customer_id", "feature_ts", "txn_count", "monetary_per_month", "data_tier"))
+    newest, full = F.col("feature_ts") == ts(SNAPSHOT_DATES[2]), F.col("data_tier") == "known_full"
+    tables = VersionedTables(tb.spark, _shared(tb, "published"))
+    tables.publish_snapshot(h.where(~newest).drop("data_tier").withColumn("source", F.lit("existing")), "snapshots")
+    middle = F.col("feature_ts") == ts(SNAPSHOT_DATES[1])
+    tables.publish_snapshot(h.where(newest | (middle & full)).drop("data_tier").withColumn("source", F.lit("new")), "snapshots")
+    return tables.read("snapshots")
+
+
+@query("rewritten_waves")
+def _rewritten(tb: TestBed) -> DataFrame:
+    """IO2, IO3, E5: assignments written whole, outcomes of the wave fed back twice, read back (a rerun adds nothing)."""
+    store = TableStore(tb.spark, _shared(tb, "waves"))
+    store.write_overwrite(tb.learning_assignments, "assignments", ASSIGNMENTS)
+    out = outcomes.attribute_outcomes(store.read_table("assignments"), tb.tables.transactions(with_items=False), tb.redemptions, tb.p)
+    for _ in range(2):
+        outcomes.feed_back(out, store)
+    return store.read_table("campaign_outcomes").select(*[f.name for f in OUTCOMES.fields])
+
+
+@query("logged_runs")
+def _logged(tb: TestBed) -> DataFrame:
+    """M8 + A11 + IO4: three runs logged under claimed versions, the last one twice, with a column that only later runs have."""
+    store, tables = TableStore(tb.spark, _shared(tb, "runs")), VersionedTables(tb.spark, _shared(tb, "claims"))
+    sizes = tb.learning_outcomes.groupBy("campaign_id").agg(F.count(F.lit(1)).alias("n_train"), F.sum("purchased").alias("n_eval"))
+    for again in (1, 1, 2):
+        version = tables.claim("runs")
+        run = materialize(sizes.select(F.lit(version).alias("version"), "campaign_id", "n_train", "n_eval",
+                                       *[F.lit(None).cast("double").alias(f.name) for f in RUNS.fields[4:]]))
+        for _ in range(again):
+            run_ops.log_run(store, run)
+    store.append_evolving(store.read_table("runs").where("version = 3").select("version", "n_train", F.lit("later").alias("note")), "notes")
+    store.append_evolving(store.read_table("runs").where("version < 3").select("version", "n_train"), "notes")
+    return store.read_table("notes", merge_schema=True).join(store.read_table("runs").select("version", "campaign_id", "n_eval"), "version")
+
+
+@query("customers_sketch")
+def _customers_sketch(tb: TestBed) -> DataFrame:
+    """A10: distinct buyers before each date, exact and by sketches united over the dates, within three standard errors."""
+    d = sketches.distinct_history(tb.tables.transactions(with_items=False), "customer_id", "txn_date", SNAPSHOT_DATES)
+    error = sketches.distinct_error()
+    return d.select("feature_ts", "n_exact", F.lit(error).alias("stated_error"),
+                    (F.abs(F.col("n_estimate") - F.col("n_exact")) <= 3 * error * F.col("n_exact") + 1).alias("within"))
+
+
+SKETCH_QUANTILES = (0.25, 0.5, 0.75, 0.9)
+
+
+@query("score_quantile_sketch")
+def _quantile_sketch(tb: TestBed) -> DataFrame:
+    """Quantiles of the scores from one sketch per value tier, merged; their exact ranks are within the stated error."""
+    scored = materialize(tb.scored())
+    row = sketches.merged_quantiles(sketches.quantile_sketches(scored, "uplift_score", ["value_tier"]), SKETCH_QUANTILES).first()
+    found = row["quantiles"] if row else [None] * len(SKETCH_QUANTILES)
+    ranks = scored.agg(F.count("uplift_score").alias("n"), F.array(*[F.struct(
+        F.lit(p).alias("p"), F.count_if(F.col("uplift_score") < F.lit(v)).alias("below"),
+        F.count_if(F.col("uplift_score") <= F.lit(v)).alias("upto")) for p, v in zip(SKETCH_QUANTILES, found)]).alias("r"))
+    each = ranks.select("n", F.inline("r"))
+    slack = F.col("n") * F.lit(sketches.RANK_ERROR)
+    return each.select("p", "n", F.lit(sketches.RANK_ERROR).alias("stated_error"),
+                       ((F.col("below") <= F.col("p") * F.col("n") + slack) & (F.col("upto") >= F.col("p") * F.col("n") - slack)).alias("within"))
+
+
 # --- W0 directly -----------------------------------------------------------------------
 
 @query("prefix_sum")

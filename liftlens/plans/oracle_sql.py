@@ -526,6 +526,16 @@ SELECT m.vec_id, m.label, CAST(b.centre_id AS INTEGER) AS centre_id FROM embeddi
   'new' AS source FROM snaps WHERE (feature_ts = TIMESTAMP '1998-01-01' AND data_tier = 'known_full')
   OR feature_ts = TIMESTAMP '1999-01-01')""") + """SELECT * FROM new UNION ALL
   SELECT * FROM old ANTI JOIN new USING (customer_id, feature_ts)""", ["monetary_per_month"])
+    q["published_snapshots"] = q["publish_snapshot_merge"]
+    q["rewritten_waves"] = q["attribute_outcomes"]
+    q["logged_runs"] = with_(*WAVE1) + """SELECT CAST(v AS INTEGER) AS version, COUNT(*) AS n_train,
+  CASE v WHEN 3 THEN 'later' END AS note, campaign_id, CAST(SUM(purchased) AS BIGINT) AS n_eval
+  FROM oc, range(1, 4) t(v) GROUP BY v, campaign_id"""
+    q["customers_sketch"] = final("SELECT d AS feature_ts, COUNT(DISTINCT o_custkey) AS n_exact, 0.01625::DOUBLE AS stated_error, true AS within FROM ("
+                                  + " UNION ALL ".join(f"SELECT TIMESTAMP '{d}' AS d" for d in SNAPSHOT_DATES)
+                                  + ") t LEFT JOIN orders ON o_orderdate < d GROUP BY d", ["stated_error"])
+    q["score_quantile_sketch"] = final(with_(*sc) + """SELECT p::DOUBLE AS p, n, 0.0165::DOUBLE AS stated_error, true AS within
+  FROM (VALUES (0.25), (0.5), (0.75), (0.9)) t(p), (SELECT COUNT(uplift_score) AS n FROM scored) u""", ["p", "stated_error"])
     q["prefix_sum"] = """SELECT o_orderkey, ROW_NUMBER() OVER w AS row_idx,
   CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) OVER w AS DOUBLE) AS running_total, COUNT(*) OVER () AS n_rows
   FROM orders WINDOW w AS (ORDER BY o_totalprice DESC, o_orderkey ROWS UNBOUNDED PRECEDING)"""

@@ -117,6 +117,11 @@ class TableStore:
             .partitionBy("campaign_id")
             .save(self.path(name)))
 
+    def replace_rows(self, df: DataFrame, name: str, by: tuple[str, ...]) -> None:
+        """Put ``df`` in place of the rows with its values of ``by`` (dynamic partition overwrite): reruns add nothing."""
+        (df.write.mode("overwrite").format(self.fmt).option("partitionOverwriteMode", "dynamic")
+            .partitionBy(*by).save(self.path(name)))
+
     # IO4
     def append_evolving(self, df: DataFrame, name: str) -> None:
         df.write.mode("append").format(self.fmt).option("mergeSchema", "true").save(self.path(name))
