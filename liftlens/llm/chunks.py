@@ -25,7 +25,6 @@ consists of known chunks becomes empty, its row stays.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +42,11 @@ CONTEXT = 128  # bytes compared beside a run, on each side
 CUT_BITS = 4  # a cut every 2**4 bytes on average, behind the least size
 MIN_BYTES = 100
 NO_ID = np.iinfo(np.int64).max
+KEY_DIGITS = 15  # hex digits of a text's SHA-256 that tell rows of one doc_id apart
+
+
+def _text_key(raw) -> int:
+    return int(hashlib.sha256(raw).hexdigest()[:KEY_DIGITS], 16)
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -89,8 +93,8 @@ def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-PLACES = "part bigint, known boolean, h1 bigint, h2 bigint, doc bigint, crc bigint, k int, doc0 bigint, crc0 bigint, k0 int"
-LATER = "doc bigint, crc bigint, k int, doc0 bigint, crc0 bigint, k0 int"
+PLACES = "part bigint, known boolean, h1 bigint, h2 bigint, doc bigint, tkey bigint, k int, doc0 bigint, tkey0 bigint, k0 int"
+LATER = "doc bigint, tkey bigint, k int, doc0 bigint, tkey0 bigint, k0 int"
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,10 +104,10 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data, off = text_buffers(batch.column(1).slice(a, b - a))
             raw = data.tobytes()
             ids = pc.fill_null(batch.column(0).slice(a, b - a), NO_ID).to_numpy()
-            digests, counts, crcs = [], [], []
+            digests, counts, keys_ = [], [], []
             for i, ends in enumerate(chunk_ends(data, off)):
                 at = int(off[i])
-                crcs.append(zlib.crc32(raw[at:int(off[i + 1])]))
+                keys_.append(_text_key(raw[at:int(off[i + 1])]))
                 counts.append(len(ends))
                 for e in ends.tolist():
                     digests.append(hashlib.blake2b(raw[at:e], digest_size=16).digest())
@@ -112,31 +116,31 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             n = np.array(counts)
-            doc, crc = np.repeat(ids, n), np.repeat(np.array(crcs, np.int64), n)
+            doc, tkey = np.repeat(ids, n), np.repeat(np.array(keys_, np.int64), n)
             k = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-            order = np.lexsort((k, crc, doc, h[:, 1], h[:, 0]))
+            order = np.lexsort((k, tkey, doc, h[:, 1], h[:, 0]))
             same = np.zeros(len(h), bool)
             same[1:] = (h[order[1:]] == h[order[:-1]]).all(axis=1)
             first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))]
-            known = same & ((doc[order] != doc[first]) | (crc[order] != crc[first]) | (k[order] != k[first]))
+            known = same & ((doc[order] != doc[first]) | (tkey[order] != tkey[first]) | (k[order] != k[first]))
             drop = same & ~known  # the same place again, of a repeated row
             o, known, of = order[~drop], known[~drop], first[~drop]
             part = np.where(known, mix(doc[o].astype(np.uint64) * np.uint64(31) + k[o].astype(np.uint64)).astype(np.int64), h[o, 0])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part), pa.array(known), pa.array(h[o, 0]), pa.array(h[o, 1]), pa.array(doc[o]), pa.array(crc[o]),
-                 pa.array(k[o].astype(np.int32)), *(pa.array(np.where(known, c[of], 0).astype(t)) for c, t in ((doc, np.int64), (crc, np.int64), (k, np.int32)))],
-                ["part", "known", "h1", "h2", "doc", "crc", "k", "doc0", "crc0", "k0"])
+                [pa.array(part), pa.array(known), pa.array(h[o, 0]), pa.array(h[o, 1]), pa.array(doc[o]), pa.array(tkey[o]),
+                 pa.array(k[o].astype(np.int32)), *(pa.array(np.where(known, c[of], 0).astype(t)) for c, t in ((doc, np.int64), (tkey, np.int64), (k, np.int32)))],
+                ["part", "known", "h1", "h2", "doc", "tkey", "k", "doc0", "tkey0", "k0"])
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by (known, digest, place): every place that isn't its digest's first, with an earlier place."""
-    lead = None  # (h1, h2, doc, crc, k) of the first place of the digest at hand
+    lead = None  # (h1, h2, doc, tkey, k) of the first place of the digest at hand
     for batch in batches:
         if not batch.num_rows:
             continue
-        known, *cols = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("known", "h1", "h2", "doc", "crc", "k"))
+        known, *cols = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("known", "h1", "h2", "doc", "tkey", "k"))
         m = np.stack([c.astype(np.int64) for c in cols], axis=1)
-        of = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("doc0", "crc0", "k0")], axis=1)
+        of = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("doc0", "tkey0", "k0")], axis=1)
         if lead is not None:
             m = np.vstack([lead, m])
             known = np.concatenate([[False], known])
@@ -148,15 +152,15 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = m[first[-1]][None] if not known[-1] else lead
         out = np.hstack([m[:, 2:], np.where(known[:, None], of, m[first, 2:])])[later]
         yield pa.RecordBatch.from_arrays([pa.array(out[:, c].astype(np.int32 if c % 3 == 2 else np.int64)) for c in range(6)],
-                                         ["doc", "crc", "k", "doc0", "crc0", "k0"])
+                                         ["doc", "tkey", "k", "doc0", "tkey0", "k0"])
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(doc, crc, ks): per text (doc_id, CRC-32) the ordinals of its chunks that an earlier place holds, each with such a place."""
+    """(doc, tkey, ks): per text (doc_id, text key) the ordinals of its chunks that an earlier place holds, each with such a place."""
     places = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_places, PLACES)
-    dealt = places.repartition("part").sortWithinPartitions("known", "h1", "h2", "doc", "crc", "k")
+    dealt = places.repartition("part").sortWithinPartitions("known", "h1", "h2", "doc", "tkey", "k")
     later = dealt.mapInArrow(_later, LATER)
-    return later.groupBy("doc", "crc").agg(F.collect_set(F.struct("k", "doc0", "crc0", "k0")).alias("ks"))
+    return later.groupBy("doc", "tkey").agg(F.collect_set(F.struct("k", "doc0", "tkey0", "k0")).alias("ks"))
 
 
 def _ends(raw: bytes) -> np.ndarray:
@@ -191,51 +195,51 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each end of each run: where an earlier place of its outer chunk is, and this text's bytes beside it."""
     for batch in batches:
         rows = []
-        for doc, crc, text, ks in zip(*(batch.column(c).to_pylist() for c in ("_doc", "_crc", "text", "_ks")), strict=True):
+        for doc, tkey, text, ks in zip(*(batch.column(c).to_pylist() for c in ("_doc", "_tkey", "text", "_ks")), strict=True):
             if not text or not ks:
                 continue
             raw = text.encode()
             ends, of = _ends(raw), {}
             for m in ks:
-                of[m["k"]] = min(of.get(m["k"], (m["doc0"], m["crc0"], m["k0"])), (m["doc0"], m["crc0"], m["k0"]))
+                of[m["k"]] = min(of.get(m["k"], (m["doc0"], m["tkey0"], m["k0"])), (m["doc0"], m["tkey0"], m["k0"]))
             for run in _chunk_runs(np.array(list(of))):
                 for side, k in enumerate(run):
                     near = _beside(raw, ends, k, side)
                     if near:
-                        rows.append((*of[k], side, doc, crc, k, near))
+                        rows.append((*of[k], side, doc, tkey, k, near))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(
             (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))],
-            ["doc0", "crc0", "k0", "side", "doc", "crc", "k", "near"])
+            ["doc0", "tkey0", "k0", "side", "doc", "tkey", "k", "near"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes beside the chunks that edges ask for."""
     for batch in batches:
         rows = []
-        for doc, crc, text, asked in zip(*(batch.column(c).to_pylist() for c in ("_doc", "_crc", "text", "asked")), strict=True):
+        for doc, tkey, text, asked in zip(*(batch.column(c).to_pylist() for c in ("_doc", "_tkey", "text", "asked")), strict=True):
             raw = text.encode()
             ends = _ends(raw)
-            rows += [(doc, crc, a["k0"], a["side"], _beside(raw, ends, a["k0"], a["side"])) for a in asked]
+            rows += [(doc, tkey, a["k0"], a["side"], _beside(raw, ends, a["k0"], a["side"])) for a in asked]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(
-            (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["doc0", "crc0", "k0", "side", "there"])
+            (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["doc0", "tkey0", "k0", "side", "there"])
 
 
 def _extents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = [_common(a, b) for a, b in zip(batch.column("near").to_pylist(), batch.column("there").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc", "crc", "k", "side")), pa.array(n, pa.int32())], ["doc", "crc", "k", "side", "n"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc", "tkey", "k", "side")), pa.array(n, pa.int32())], ["doc", "tkey", "k", "side", "n"])
 
 
 def extents(texts: DataFrame, marked: DataFrame) -> DataFrame:
-    """(doc, crc, ext): per text how many bytes beside the ends of its runs an earlier place has too."""
+    """(doc, tkey, ext): per text how many bytes beside the ends of its runs an earlier place has too."""
     edges = marked.mapInArrow(  # all columns, so that the texts' one exchange serves every join
-        _edges, "doc0 bigint, crc0 bigint, k0 int, side int, doc bigint, crc bigint, k int, near binary")
-    asked = edges.select("doc0", "crc0", "k0", "side").distinct().groupBy(F.col("doc0").alias("_doc"), F.col("crc0").alias("_crc")).agg(
+        _edges, "doc0 bigint, tkey0 bigint, k0 int, side int, doc bigint, tkey bigint, k int, near binary")
+    asked = edges.select("doc0", "tkey0", "k0", "side").distinct().groupBy(F.col("doc0").alias("_doc"), F.col("tkey0").alias("_tkey")).agg(
         F.collect_list(F.struct("k0", "side")).alias("asked"))
-    there = texts.join(asked, ["_doc", "_crc"]).mapInArrow(
-        _contexts, "doc0 bigint, crc0 bigint, k0 int, side int, there binary")
-    met = edges.join(there, ["doc0", "crc0", "k0", "side"]).mapInArrow(_extents, "doc bigint, crc bigint, k int, side int, n int")
-    return met.where("n > 0").groupBy("doc", "crc").agg(F.collect_set(F.struct("k", "side", "n")).alias("ext"))
+    there = texts.join(asked, ["_doc", "_tkey"]).mapInArrow(
+        _contexts, "doc0 bigint, tkey0 bigint, k0 int, side int, there binary")
+    met = edges.join(there, ["doc0", "tkey0", "k0", "side"]).mapInArrow(_extents, "doc bigint, tkey bigint, k int, side int, n int")
+    return met.where("n > 0").groupBy("doc", "tkey").agg(F.collect_set(F.struct("k", "side", "n")).alias("ext"))
 
 
 def _word_ends(raw: bytes) -> np.ndarray:
@@ -283,13 +287,13 @@ def without(text: str, ks: list[int], min_bytes: int, ext: list[tuple[int, int,
 def dedup_substrings(docs: DataFrame, min_bytes: int = MIN_BYTES, removed: str | None = None) -> DataFrame:
     """``docs`` with ``text`` free of repeated runs and, if it has it, ``n_chars`` set anew; ``removed``: a column for what went."""
     ks = repeated_chunks(docs)
-    key = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(int(NO_ID))), F.crc32(F.coalesce("text", F.lit("")))]
+    key = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(int(NO_ID))), F.conv(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, KEY_DIGITS), 16, 10).cast("bigint")]
     fields = [f for f in docs.schema.fields if f.name != removed]
-    frame = docs.select(*[F.col(f"`{f.name}`") for f in fields], key[0].alias("_doc"), key[1].alias("_crc"))
-    ks = ks.select(F.col("doc").alias("_doc"), F.col("crc").alias("_crc"), F.col("ks").alias("_ks"))
-    marked = frame.join(ks, ["_doc", "_crc"], "left")
-    ext = extents(frame, marked).select(F.col("doc").alias("_doc"), F.col("crc").alias("_crc"), F.col("ext").alias("_ext"))
-    joined = marked.join(ext, ["_doc", "_crc"], "left").select(
+    frame = docs.select(*[F.col(f"`{f.name}`") for f in fields], key[0].alias("_doc"), key[1].alias("_tkey"))
+    ks = ks.select(F.col("doc").alias("_doc"), F.col("tkey").alias("_tkey"), F.col("ks").alias("_ks"))
+    marked = frame.join(ks, ["_doc", "_tkey"], "left")
+    ext = extents(frame, marked).select(F.col("doc").alias("_doc"), F.col("tkey").alias("_tkey"), F.col("ext").alias("_ext"))
+    joined = marked.join(ext, ["_doc", "_tkey"], "left").select(
         *[F.col(f"`{f.name}`") for f in fields], F.col("_ks.k").alias("_ks"), "_ext")
     out = [*fields, *([T.StructField(removed, T.LongType())] if removed else [])]
 

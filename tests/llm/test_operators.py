@@ -6,6 +6,7 @@ import hashlib
 import html
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -121,6 +122,22 @@ def test_shared_passages_go_whole(spark):
         assert got[i] == t if i < 100 else got[i].split() == (before + behind).split()
 
 
+def test_rows_without_id_and_with_equal_crc_are_told_apart(spark):
+    rnd = random.Random(11)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    passage, seen, pair = words(60), {}, None
+    for i in range(1 << 20):
+        text = f"{i} alone" if i % 2 else f"{i} {passage} {i}"
+        other = seen.setdefault(zlib.crc32(text.encode()), text)
+        if len(other) != len(text) and abs(len(other) - len(text)) > 100:
+            pair = sorted((other, text), key=len)
+            break
+    short, long = pair
+    rows = [(1, f"first {passage} holder"), (None, short), (None, long)]
+    got = [r["text"] for r in chunks.dedup_substrings(_docs(spark, rows)).collect()]
+    assert rows[0][1] in got and short in got and long not in got and sum(passage[100:200] in t for t in got) == 1
+
+
 def test_edited_copies_are_leaks(spark):
     rnd = random.Random(4)
     w = [f"w{rnd.randrange(10**6)}" for _ in range(40)]
