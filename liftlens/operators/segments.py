@@ -25,6 +25,7 @@ from liftlens.functions.lineage import materialize
 from liftlens.params import CLUSTER_FEATURES, LOG_FEATURES, TIER_LABELS, Params
 
 VECTOR = "features"
+ROWS_PER_PARTITION = 50_000
 START_ROWS = 2_000  # rows that the starting centres are drawn from; fits and scores use all rows
 SHIFT = 1e-4  # a fit has converged when no centre moves further
 PARTIAL_ROWS = 50_000  # partial sums of a pass that the driver takes as they are
@@ -34,16 +35,19 @@ CELLS = 1 << 20  # differences computed at a time
 
 # M1
 def cluster_vectors(features: DataFrame, cols: Sequence[str] = CLUSTER_FEATURES,
-                    log_cols: Sequence[str] = LOG_FEATURES, id_col: str = "customer_id") -> DataFrame:
+                    log_cols: Sequence[str] = LOG_FEATURES, id_col: str = "customer_id",
+                    rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
     """Nulls to 0, log1p on the skewed money columns, standardised by the population std
-    (as scikit-learn's scaler; a zero std leaves the centred value): an array column ``features``."""
+    (as scikit-learn's scaler; a zero std leaves the centred value): an array column ``features``.
+
+    At most ``ceil(rows / rows_per_partition)`` partitions: every k-means pass runs a task for each."""
     x = features.select(id_col, *[
         (F.log1p(F.coalesce(F.col(c).cast("double"), F.lit(0.0))) if c in log_cols
          else F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(c)
         for c in cols])
-    stats = x.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
+    stats = x.agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
     return x.select(id_col, F.array(*[
-        (F.col(c) - F.lit(stats[f"m_{c}"] or 0.0)) / F.lit(stats[f"s_{c}"] or 1.0) for c in cols]).alias(VECTOR))
+        (F.col(c) - F.lit(stats[f"m_{c}"] or 0.0)) / F.lit(stats[f"s_{c}"] or 1.0) for c in cols]).alias(VECTOR)).coalesce(max(1, -(-stats["_n"] // rows_per_partition)))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
