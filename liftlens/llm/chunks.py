@@ -1,25 +1,30 @@
 """Substring deduplication by content-defined chunks.
 
 A gear hash rolls over each text's UTF-8 bytes (16-bit, so a value depends on
-the last 16 bytes only); a chunk ends where its top bits are zero, after
-MIN_CHUNK and at most MAX_CHUNK bytes, and only between characters. Insertions
-shift texts but not the cuts behind them. Chunks with equal digests (128-bit
-BLAKE2) are one chunk; the first holder, by doc_id, keeps it. In every other
-place, runs of consecutive known chunks are extended on both sides by the bytes
-that an earlier holder of the run's outer chunk has there too (at most CONTEXT),
-and runs of at least ``min_bytes`` bytes are cut out, from word to word where an
-extension ends within one. Shorter coincidences stay.
+the last 16 bytes only); a chunk ends where its top bits are zero and weren't at
+any of the QUIET bytes before, at most MAX_CHUNK bytes on, and only between
+characters. That rule is local: a passage's cuts are the same in every text, and
+insertions shift texts but not the cuts behind them. Chunks with equal digests
+(128-bit BLAKE2) are one chunk; the first holder, by doc_id, keeps it. In every
+other place, runs of consecutive known chunks are extended on both sides by the
+bytes that an earlier holder has there too, and runs of at least ``min_bytes``
+bytes are cut out, from word to word where an extension ends within one. Shorter
+coincidences stay. The earlier holders compared are those of every chunk within
+REACH bytes of the run's end, so that an outer chunk that stands in a foreign
+text too doesn't hide the passage's own. An extension reaches CONTEXT bytes past
+the run; a longer common stretch has cuts, and so chunks, of its own.
 
 One shuffle carries (digest, place) rows, pre-aggregated per batch: of a digest's
 places in a batch only the least one can be the first, the others are dealt out
 by place. One more brings the cut ordinals, each with an earlier place of its chunk, to
-their texts. Then each distinct outer chunk fetches the bytes beside it from that
-earlier place, for the runs that ask for them. A chunk that a third
-of all documents hold costs one row per batch in its digest's partition.
+their texts. Then each distinct chunk asked for fetches the bytes beside it from that
+earlier place. A chunk that a third of all documents hold costs one row per batch in
+its digest's partition.
 
 Rows with equal doc_id and text count as one document and stay alike. Rows with
 a null doc_id come last. Null texts stay null, empty texts empty; a text that
-consists of known chunks becomes empty, its row stays.
+consists of known chunks becomes empty, its row stays. Extra columns of any name
+pass through.
 """
 
 from __future__ import annotations
@@ -34,12 +39,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import mix, slices, text_buffers
+from .text import free, mix, slices, text_buffers
 
-MIN_CHUNK, MAX_CHUNK = 8, 128
+QUIET, MAX_CHUNK = 16, 160
 WINDOW = 16  # bytes that a gear hash depends on
-CONTEXT = 128  # bytes compared beside a run, on each side
-CUT_BITS = 4  # a cut every 2**4 bytes on average, behind the least size
+CONTEXT = 256  # bytes compared beside a run, on each side
+REACH = 160  # bytes from a run's end within which every chunk's earlier holder is compared
+CUT_BITS = 4  # one byte in 2**4 may end a chunk; with QUIET chunks have 41 bytes on average
 MIN_BYTES = 100
 NO_ID = np.iinfo(np.int64).max
 KEY_DIGITS = 15  # hex digits of a text's SHA-256 that tell rows of one doc_id apart
@@ -61,39 +67,39 @@ def gear(data: np.ndarray) -> np.ndarray:
 
 
 def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """For each text (byte range between offsets): where its chunks end, ascending; empty text: none."""
+    """For each text (byte range between offsets): where its chunks end, ascending; empty text: none.
+
+    A cut depends on the WINDOW + QUIET bytes before it only, so two texts with a common stretch have
+    the same cuts in it from there on; forced cuts of long chunks count from the cut before.
+    """
     out = []
     lead = (data & 0xC0) != 0x80  # bytes that start a character
-    may_end = np.ones(len(data), bool)
-    may_end[:-1] = lead[1:]
-    cut = may_end & (gear(data) >> np.uint16(16 - CUT_BITS) == 0)
-    wanted = np.flatnonzero(cut) + 1
-    bounds = np.searchsorted(wanted, offsets)
+    low = np.flatnonzero(gear(data) >> np.uint16(16 - CUT_BITS) == 0) + 1
+    bounds = np.searchsorted(low, offsets, "right")
     for i in range(len(offsets) - 1):
         start, stop = int(offsets[i]), int(offsets[i + 1])
-        ends: list[int] = []
-        at = start
-        for e in wanted[bounds[i]:bounds[i + 1]].tolist():
-            while e - at > MAX_CHUNK:
-                at += MAX_CHUNK
-                while not lead[at]:
-                    at -= 1
-                ends.append(at)
-            if e - at >= MIN_CHUNK and e - start >= WINDOW:  # before, the hash holds bytes of another text
-                ends.append(e)
-                at = e
-        while stop - at > MAX_CHUNK:
-            at += MAX_CHUNK
-            while not lead[at]:
-                at -= 1
-            ends.append(at)
-        if stop > at:
-            ends.append(stop)
-        out.append(np.array(ends, np.int64))
+        if start == stop:
+            out.append(np.zeros(0, np.int64))
+            continue
+        c = low[bounds[i]:bounds[i + 1]]
+        c = c[(c - start >= WINDOW) & (c < stop)]  # before, the hash holds bytes of another text
+        c = c[np.diff(c, prepend=start - QUIET) > QUIET]
+        ends = np.append(c[lead[c]], stop)
+        if len(wide := np.flatnonzero(np.diff(ends, prepend=start) > MAX_CHUNK)):
+            forced = []
+            for j in wide.tolist():
+                at, to = int(ends[j - 1]) if j else start, int(ends[j])
+                while to - at > MAX_CHUNK:
+                    at += MAX_CHUNK
+                    while not lead[at]:
+                        at -= 1
+                    forced.append(at)
+            ends = np.sort(np.append(ends, forced))
+        out.append(ends.astype(np.int64))
     return out
 
 
-PLACES = "part bigint, known boolean, h1 bigint, h2 bigint, doc bigint, tkey bigint, k int, doc0 bigint, tkey0 bigint, k0 int"
+PLACES = "known boolean, h1 bigint, h2 bigint, doc bigint, tkey bigint, k int, doc0 bigint, tkey0 bigint, k0 int"
 LATER = "doc bigint, tkey bigint, k int, doc0 bigint, tkey0 bigint, k0 int"
 
 
@@ -125,11 +131,12 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = same & ((doc[order] != doc[first]) | (tkey[order] != tkey[first]) | (k[order] != k[first]))
             drop = same & ~known  # the same place again, of a repeated row
             o, known, of = order[~drop], known[~drop], first[~drop]
-            part = np.where(known, mix(doc[o].astype(np.uint64) * np.uint64(31) + k[o].astype(np.uint64)).astype(np.int64), h[o, 0])
+            dealt = mix(doc[o].astype(np.uint64) * np.uint64(31) + k[o].astype(np.uint64)).astype(np.int64)  # a known place needs no digest
+            h1, h2 = np.where(known, dealt, h[o, 0]), np.where(known, 0, h[o, 1])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part), pa.array(known), pa.array(h[o, 0]), pa.array(h[o, 1]), pa.array(doc[o]), pa.array(tkey[o]),
+                [pa.array(known), pa.array(h1), pa.array(h2), pa.array(doc[o]), pa.array(tkey[o]),
                  pa.array(k[o].astype(np.int32)), *(pa.array(np.where(known, c[of], 0).astype(t)) for c, t in ((doc, np.int64), (tkey, np.int64), (k, np.int32)))],
-                ["part", "known", "h1", "h2", "doc", "tkey", "k", "doc0", "tkey0", "k0"])
+                ["known", "h1", "h2", "doc", "tkey", "k", "doc0", "tkey0", "k0"])
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +165,7 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """(doc, tkey, ks): per text (doc_id, text key) the ordinals of its chunks that an earlier place holds, each with such a place."""
     places = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_places, PLACES)
-    dealt = places.repartition("part").sortWithinPartitions("known", "h1", "h2", "doc", "tkey", "k")
+    dealt = places.repartition("h1").sortWithinPartitions("known", "h1", "h2", "doc", "tkey", "k")
     later = dealt.mapInArrow(_later, LATER)
     return later.groupBy("doc", "tkey").agg(F.collect_set(F.struct("k", "doc0", "tkey0", "k0")).alias("ks"))
 
@@ -168,12 +175,12 @@ def _ends(raw: bytes) -> np.ndarray:
     return chunk_ends(data, np.array([0, len(data)]))[0]
 
 
-def _beside(raw: bytes, ends: np.ndarray, k: int, side: int) -> bytes:
-    """The bytes before (side 0) or behind (side 1) chunk ``k``, the nearest first."""
+def _beside(raw: bytes, ends: np.ndarray, k: int, side: int, size: int) -> bytes:
+    """At most ``size`` bytes before (side 0) or behind (side 1) chunk ``k``, the nearest first."""
     if side:
-        return raw[ends[k]:ends[k] + CONTEXT]
+        return raw[ends[k]:ends[k] + size]
     start = int(ends[k - 1]) if k else 0
-    return raw[max(start - CONTEXT, 0):start][::-1]
+    return raw[max(start - size, 0):start][::-1]
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -191,55 +198,84 @@ def _chunk_runs(ks: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(ks[np.r_[0, cut + 1]].tolist(), ks[np.r_[cut, len(ks) - 1]].tolist(), strict=True))
 
 
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each end of each run: where an earlier place of its outer chunk is, and this text's bytes beside it."""
-    for batch in batches:
-        rows = []
-        for doc, tkey, text, ks in zip(*(batch.column(c).to_pylist() for c in ("_doc", "_tkey", "text", "_ks")), strict=True):
-            if not text or not ks:
-                continue
-            raw = text.encode()
-            ends, of = _ends(raw), {}
-            for m in ks:
-                of[m["k"]] = min(of.get(m["k"], (m["doc0"], m["tkey0"], m["k0"])), (m["doc0"], m["tkey0"], m["k0"]))
-            for run in _chunk_runs(np.array(list(of))):
-                for side, k in enumerate(run):
-                    near = _beside(raw, ends, k, side)
-                    if near:
-                        rows.append((*of[k], side, doc, tkey, k, near))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(
-            (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))],
-            ["doc0", "tkey0", "k0", "side", "doc", "tkey", "k", "near"])
-
-
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _asked(of: dict[int, tuple], ends: np.ndarray, run: tuple[int, int], side: int) -> Iterator[tuple[int, int]]:
+    """(chunk, bytes from there to the run's end): the outermost chunk of each earlier holder within REACH of that end.
+
+    Chunks that follow each other in the holder as in this text are compared once.
+    """
+    seen = set()
+    for k in range(run[1], run[0] - 1, -1) if side else range(run[0], run[1] + 1):
+        if side:
+            gap = int(ends[run[1]] - ends[k])
+        else:
+            gap = int(ends[k - 1] if k else 0) - int(ends[run[0] - 1] if run[0] else 0)
+        if gap > REACH:
+            return
+        doc0, tkey0, k0 = of[k]
+        if (doc0, tkey0, k0 - k) not in seen:
+            seen.add((doc0, tkey0, k0 - k))
+            yield k, gap
+
+
+EDGES = "doc0 bigint, tkey0 bigint, k0 int, side int, doc bigint, tkey bigint, k int, gap int, near binary"
+THERE = "doc0 bigint, tkey0 bigint, k0 int, side int, there binary"
+
+
+def _edges(doc_name: str, tkey_name: str, ks_name: str):
+    """For each end of each run: the earlier places asked there, and this text's bytes from the asked chunk outwards."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, tkey, text, ks in zip(*(batch.column(c).to_pylist() for c in (doc_name, tkey_name, "text", ks_name)), strict=True):
+                if not text or not ks:
+                    continue
+                raw = text.encode()
+                ends, of = _ends(raw), {}
+                for m in ks:
+                    place = (m["doc0"], m["tkey0"], m["k0"])
+                    of[m["k"]] = min(of.get(m["k"], place), place)
+                for chunks in _chunk_runs(np.array(list(of))):
+                    for side, outer in enumerate(chunks):
+                        for k, gap in _asked(of, ends, chunks, side):
+                            near = _beside(raw, ends, k, side, gap + CONTEXT)
+                            if len(near) > gap:
+                                rows.append((*of[k], side, doc, tkey, outer, gap, near))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(
+                (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))],
+                ["doc0", "tkey0", "k0", "side", "doc", "tkey", "k", "gap", "near"])
+    return run
+
+
+def _contexts(doc_name: str, tkey_name: str, asked_name: str):
     """The bytes beside the chunks that edges ask for."""
-    for batch in batches:
-        rows = []
-        for doc, tkey, text, asked in zip(*(batch.column(c).to_pylist() for c in ("_doc", "_tkey", "text", "asked")), strict=True):
-            raw = text.encode()
-            ends = _ends(raw)
-            rows += [(doc, tkey, a["k0"], a["side"], _beside(raw, ends, a["k0"], a["side"])) for a in asked]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(
-            (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["doc0", "tkey0", "k0", "side", "there"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, tkey, text, asked in zip(*(batch.column(c).to_pylist() for c in (doc_name, tkey_name, "text", asked_name)), strict=True):
+                raw = text.encode()
+                ends = _ends(raw)
+                rows += [(doc, tkey, a["k0"], a["side"], _beside(raw, ends, a["k0"], a["side"], a["gap"] + CONTEXT)) for a in asked]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(
+                (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["doc0", "tkey0", "k0", "side", "there"])
+    return run
 
 
 def _extents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n = [_common(a, b) for a, b in zip(batch.column("near").to_pylist(), batch.column("there").to_pylist(), strict=True)]
+        n = [_common(a, b) - gap for a, b, gap in zip(*(batch.column(c).to_pylist() for c in ("near", "there", "gap")), strict=True)]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc", "tkey", "k", "side")), pa.array(n, pa.int32())], ["doc", "tkey", "k", "side", "n"])
 
 
-def extents(texts: DataFrame, marked: DataFrame) -> DataFrame:
-    """(doc, tkey, ext): per text how many bytes beside the ends of its runs an earlier place has too."""
-    edges = marked.mapInArrow(  # all columns, so that the texts' one exchange serves every join
-        _edges, "doc0 bigint, tkey0 bigint, k0 int, side int, doc bigint, tkey bigint, k int, near binary")
-    asked = edges.select("doc0", "tkey0", "k0", "side").distinct().groupBy(F.col("doc0").alias("_doc"), F.col("tkey0").alias("_tkey")).agg(
-        F.collect_list(F.struct("k0", "side")).alias("asked"))
-    there = texts.join(asked, ["_doc", "_tkey"]).mapInArrow(
-        _contexts, "doc0 bigint, tkey0 bigint, k0 int, side int, there binary")
+def extents(texts: DataFrame, marked: DataFrame, doc: str, tkey: str, ks: str) -> DataFrame:
+    """(doc, tkey, ext): per text how many bytes past the ends of its runs an earlier holder has too."""
+    asks = free("chunk_asked", texts.columns)
+    edges = marked.mapInArrow(_edges(doc, tkey, ks), EDGES)  # all columns, so that the texts' one exchange serves every join
+    asked = edges.groupBy("doc0", "tkey0", "k0", "side").agg(F.max("gap").alias("gap")) \
+        .groupBy(F.col("doc0").alias(doc), F.col("tkey0").alias(tkey)).agg(F.collect_list(F.struct("k0", "side", "gap")).alias(asks))
+    there = texts.join(asked, [doc, tkey]).mapInArrow(_contexts(doc, tkey, asks), THERE)
     met = edges.join(there, ["doc0", "tkey0", "k0", "side"]).mapInArrow(_extents, "doc bigint, tkey bigint, k int, side int, n int")
-    return met.where("n > 0").groupBy("doc", "tkey").agg(F.collect_set(F.struct("k", "side", "n")).alias("ext"))
+    return met.where("n > 0").groupBy("doc", "tkey", "k", "side").agg(F.max("n").alias("n")) \
+        .groupBy("doc", "tkey").agg(F.collect_list(F.struct("k", "side", "n")).alias("ext"))
 
 
 def _word_ends(raw: bytes) -> np.ndarray:
@@ -286,15 +322,15 @@ def without(text: str, ks: list[int], min_bytes: int, ext: list[tuple[int, int,
 
 def dedup_substrings(docs: DataFrame, min_bytes: int = MIN_BYTES, removed: str | None = None) -> DataFrame:
     """``docs`` with ``text`` free of repeated runs and, if it has it, ``n_chars`` set anew; ``removed``: a column for what went."""
-    ks = repeated_chunks(docs)
+    doc, tkey, known, more = (free(n, docs.columns) for n in ("chunk_doc", "chunk_text", "chunk_known", "chunk_ext"))
     key = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(int(NO_ID))), F.conv(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, KEY_DIGITS), 16, 10).cast("bigint")]
     fields = [f for f in docs.schema.fields if f.name != removed]
-    frame = docs.select(*[F.col(f"`{f.name}`") for f in fields], key[0].alias("_doc"), key[1].alias("_tkey"))
-    ks = ks.select(F.col("doc").alias("_doc"), F.col("tkey").alias("_tkey"), F.col("ks").alias("_ks"))
-    marked = frame.join(ks, ["_doc", "_tkey"], "left")
-    ext = extents(frame, marked).select(F.col("doc").alias("_doc"), F.col("tkey").alias("_tkey"), F.col("ext").alias("_ext"))
-    joined = marked.join(ext, ["_doc", "_tkey"], "left").select(
-        *[F.col(f"`{f.name}`") for f in fields], F.col("_ks.k").alias("_ks"), "_ext")
+    frame = docs.select(*[F.col(f"`{f.name}`") for f in fields], key[0].alias(doc), key[1].alias(tkey))
+    ks = repeated_chunks(docs).select(F.col("doc").alias(doc), F.col("tkey").alias(tkey), F.col("ks").alias(known))
+    marked = frame.join(ks, [doc, tkey], "left")
+    ext = extents(frame, marked, doc, tkey, known).select(F.col("doc").alias(doc), F.col("tkey").alias(tkey), F.col("ext").alias(more))
+    joined = marked.join(ext, [doc, tkey], "left").select(
+        *[F.col(f"`{f.name}`") for f in fields], F.col(f"{known}.k").alias(known), more)
     out = [*fields, *([T.StructField(removed, T.LongType())] if removed else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,11 +338,11 @@ def dedup_substrings(docs: DataFrame, min_bytes: int = MIN_BYTES, removed: str |
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 texts, gone = part.column("text").to_pylist(), [0] * part.num_rows
-                ext = part.column("_ext").to_pylist()
-                for i, marked in enumerate(part.column("_ks")):
+                ext = part.column(more).to_pylist()
+                for i, marked in enumerate(part.column(known)):
                     if marked.is_valid and texts[i]:
                         texts[i], gone[i] = without(texts[i], marked.values.to_numpy(), min_bytes, [(e["k"], e["side"], e["n"]) for e in ext[i] or ()])
-                columns = {n: part.column(n) for n in part.schema.names if n not in ("_ks", "_ext")}
+                columns = {n: part.column(n) for n in part.schema.names if n not in (known, more)}
                 columns["text"] = pa.array(texts, pa.string())
                 if "n_chars" in columns:
                     kind = columns["n_chars"].type

@@ -19,6 +19,14 @@ WHITE[[0x20, *range(0x09, 0x0E)]] = True
 PUNCT = np.array([not (chr(b).isalnum() or b >= 128) for b in range(256)])
 
 
+def free(name: str, columns: list[str]) -> str:
+    """``name``, with as many ``_`` before it as it takes to differ from every column."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """SplitMix64 finaliser over uint64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
