@@ -46,8 +46,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .skew import lookup
 from .storage import new_path, remove, staged
-from .text import mix, shingles, slices, words
+from .text import free, mix, shingles, slices, words
 
 CELLS = 1 << 20  # cells of the order table (1 byte each when sent to tasks)
 BLOCK = 4096  # members of a signature tree
@@ -55,6 +56,7 @@ LEAF = 16  # members under one inner node
 STRIP = 1 << 22  # bytes of bitmaps compared at a time
 BLOCK_SHINGLES = 1 << 21  # shingles of a block of full sets (16 MB)
 MIN_HASHES = 4
+TEXT_KEY = 16  # bytes of a text's SHA-256 that tell rows of one doc_id apart
 
 
 def _order_counts(docs: DataFrame, size: int) -> np.ndarray:
@@ -84,7 +86,7 @@ def order_levels(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, levels: np.ndarray, size: int, percent: int) -> DataFrame:
-    """Per row: a row number, doc_id, n, digest of the set and, once per task for equal sets, prefix, min hashes and bitmap."""
+    """Per row: a row number, doc_id, key of the text, n, digest of the set and, once per task for equal sets, prefix, min hashes and bitmap."""
     sent = docs.sparkSession.sparkContext.broadcast(levels)
     odd = mix(np.arange(1, MIN_HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -95,8 +97,9 @@ def shingle_sets(docs: DataFrame, levels: np.ndarray, size: int, percent: int) -
                 w = words(batch.column(1).slice(a, b - a))
                 rows = np.arange(row, row + b - a)
                 row += b - a
-                ns, digests, prefixes, mins, bits = [], [], [], [], []
+                keys, ns, digests, prefixes, mins, bits = [], [], [], [], [], []
                 for i in range(b - a):
+                    keys.append(hashlib.sha256(w.data[w.offsets[i]:w.offsets[i + 1]]).digest()[:TEXT_KEY])
                     s = np.unique(shingles(w.hashes[w.ptr[i]:w.ptr[i + 1]], size))
                     n = len(s)
                     ns.append(n)
@@ -115,12 +118,12 @@ def shingle_sets(docs: DataFrame, levels: np.ndarray, size: int, percent: int) -
                     mins.append(np.array([mix(s * o).min() for o in odd]).astype(np.int64))
                     bits.append(bitmap(s).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows), batch.column(0).slice(a, b - a), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()),
+                    [pa.array(rows), batch.column(0).slice(a, b - a), pa.array(keys, pa.binary()), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()),
                      pa.array(prefixes, pa.list_(pa.int64())), pa.array(mins, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-                    ["row", "doc_id", "n", "digest", "prefix", "mins", "bits"])
+                    ["row", "doc_id", "tkey", "n", "digest", "prefix", "mins", "bits"])
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "row bigint, doc_id bigint, n bigint, digest binary, prefix array<bigint>, mins array<bigint>, bits binary")
+        run, "row bigint, doc_id bigint, tkey binary, n bigint, digest binary, prefix array<bigint>, mins array<bigint>, bits binary")
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -490,13 +493,8 @@ def _texts_of(docs: DataFrame, owners: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, docs.schema).select(F.col("doc_id").alias("owner"), "text")
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id reachable by links).
-
-    Null text or no words: ``n_shingles`` 0 and a component of its own. Rows
-    that repeat a doc_id are judged each by its own text. A row without an id
-    links only with equal sets. Other columns are ignored.
-    """
+def _members(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc_id, tkey, n, comp, component_id) per row of ``docs``: key of its text, group of its component, the group's smallest id."""
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
     path = new_path(spark, "sets")
@@ -514,7 +512,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
         .select("cls", F.coalesce("component", "cls").alias("comp")).checkpoint()
 
     rest = candidate_edges(sets, linkable, comps, percent).checkpoint()
-    sets = sets.select("doc_id", "n", "digest").checkpoint()
+    sets = sets.select("doc_id", "tkey", "n", "digest").checkpoint()
     remove(spark, path)
     more = family_links(rest, linkable, comps, docs, size, percent)
     across = more.join(comps.select(F.col("cls").alias("a"), F.col("comp").alias("u")), "a") \
@@ -525,22 +523,49 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
 
     ids = classes.join(final, "cls", "left").select("digest", "owner", F.coalesce("comp", "cls").alias("comp"))
     least = ids.groupBy("comp").agg(F.min("owner").alias("component_id"))
-    by_digest = ids.join(least, "comp").select("digest", "component_id")
-    linked = sets.where("n > 0").select("doc_id", "n", "digest").join(by_digest, "digest") \
-        .select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    by_digest = ids.join(least, "comp").select("digest", "comp", "component_id")
+    linked = sets.where("n > 0").join(by_digest, "digest").select("doc_id", "tkey", "n", "comp", "component_id")
+    alone = sets.where("n = 0").select("doc_id", "tkey", "n", F.lit(None).cast("bigint").alias("comp"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
 
 
+def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id reachable by links).
+
+    Null text or no words: ``n_shingles`` 0 and a component of its own. Rows
+    that repeat a doc_id are judged each by its own text. A row without an id
+    links only with equal sets. Other columns are ignored.
+    """
+    return _members(docs, size, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
 def first_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of ``docs`` that stay: of each component the row whose doc_id is the component's id.
+    """Rows of ``docs`` that stay: of each component one row, the one with the least doc_id, of equal ids the least text key.
 
-    Rows without words stay, repeated rows of one document stay once per
-    distinct doc_id and text, rows with null ids stay. All columns are kept.
+    Rows that repeat an id are told apart by their texts, and a row that stands
+    in the table more than once stays once. A null id comes last: such a row
+    stays if no row with an id links with it. Rows without words are no copies
+    of anything and stay. All columns are kept.
     """
-    found = jaccard_components(docs, size, percent).where("n_shingles > 0 AND doc_id <> component_id") \
-        .select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    rows = _members(docs, size, percent).where("n > 0").select("comp", F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey").checkpoint()
+    heads = rows.groupBy("comp").agg(F.min(F.struct("no_id", "doc_id", "tkey")).alias("head"), F.count("*").alias("c"))
+    placed = lookup(rows, heads.where("c > 1"), ["comp"], "c", ["head"]).where("head IS NOT NULL")
+    of_head = F.struct("no_id", "doc_id", "tkey") == F.col("head")
+    later = placed.where(~of_head).select("doc_id", "tkey").distinct()
+    twice = placed.where(of_head).groupBy("doc_id", "tkey").count().where("count > 1")
+
+    doc, tkey, mark = (free(n, docs.columns) for n in ("row_doc", "row_text", "row_mark"))
+    fields = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(*fields, F.expr(f"substring(unhex(sha2(coalesce(text, ''), 256)), 1, {TEXT_KEY})").alias(tkey))
+
+    def is_in(table: DataFrame, how: str) -> DataFrame:
+        t = table.select(F.col("doc_id").alias(doc), F.col("tkey").alias(mark))
+        return keyed.join(t, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(tkey) == F.col(mark)), how)
+
+    if twice.isEmpty():
+        return is_in(later, "left_anti").select(*fields)
+    once = is_in(later.unionByName(twice.select("doc_id", "tkey")), "left_anti").select(*fields)
+    return once.unionByName(is_in(twice, "left_semi").dropDuplicates(["doc_id", tkey]).select(*fields))
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
