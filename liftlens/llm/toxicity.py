@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import PUNCT, mix, slices, words
+from .text import PUNCT, free, mix, slices, words
 
 CATEGORIES = ("quality", "toxic")
 SAMPLE = 20_000
@@ -212,8 +212,12 @@ def score(docs: DataFrame, chain: Chain, prefix: str = "p_", tags: str = "reject
 def not_toxic(docs: DataFrame, labels: DataFrame, category: str = "toxic") -> DataFrame:
     """Rows of ``docs`` that the chain doesn't reject for ``category``; all columns are kept."""
     names = docs.columns
-    scored = score(docs, fit_chain(docs, labels), "_toxicity_p_", "_toxicity_tags")
-    return scored.where(~F.array_contains("_toxicity_tags", category)).select(*[F.col(f"`{n}`") for n in names])
+    chain = fit_chain(docs, labels)
+    prefix, tags = "toxicity_p_", free("toxicity_tags", names)
+    while any(f"{prefix}{c}".lower() in map(str.lower, names) for c in chain.categories):
+        prefix = f"_{prefix}"
+    scored = score(docs, chain, prefix, tags)
+    return scored.where(~F.array_contains(tags, category)).select(*[F.col(f"`{n}`") for n in names])
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

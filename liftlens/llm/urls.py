@@ -23,6 +23,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .text import free
+
 BLOCK = 5_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -96,8 +98,9 @@ def judge(df: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, url: str
         fitting = F.filter(F.flatten(listed), lambda r: F.rlike(F.concat(host, path), r["re"]))
         best.append(F.array_max(F.transform(fitting, lambda r: F.struct(r["n"].alias("n"), r["rule"].alias("rule"), r["verdict"].alias("verdict")))))
     top = F.greatest(*best) if len(best) > 1 else best[0] if best else F.lit(None).cast("struct<n:int,rule:string,verdict:string>")
-    return parsed.withColumn("_best", top).withColumn("rule", F.col("_best.rule")) \
-        .withColumn("verdict", F.coalesce("_best.verdict", F.lit(default))).drop("_best")
+    best_name = free("best_rule", parsed.columns)
+    return parsed.withColumn(best_name, top).withColumn("rule", F.col(f"{best_name}.rule")) \
+        .withColumn("verdict", F.coalesce(f"{best_name}.verdict", F.lit(default))).drop(best_name)
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

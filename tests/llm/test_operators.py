@@ -64,6 +64,17 @@ def test_jaccard_equals_brute_force(spark, monkeypatch):
     assert got == _brute_components(texts)
 
 
+def test_one_row_of_each_group_stays(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(30)) for c in "xyz")
+    near = f"{y} more"
+    rows = [(3, y), (3, y), (3, near), (5, x), (5, y), (9, x), (None, x), (None, z), (None, z), (7, ""), (7, ""), (8, None)]
+    got = sorted(((r["doc_id"], r["text"]) for r in jaccard.first_of_each(_docs(spark, rows)).collect()), key=str)
+    one = next(t for i, t in got if i == 3)
+    assert one in (y, near)
+    assert got == sorted([(3, one), (5, x), (None, z), (7, ""), (7, ""), (8, None)], key=str)
+    assert jaccard.first_of_each(_docs(spark, rows)).columns == _docs(spark, rows).columns
+
+
 @pytest.mark.parametrize("texts", [[], EDGE])
 def test_every_document_operator_takes_edge_rows(spark, texts):
     docs = _docs(spark, texts)
@@ -122,6 +133,46 @@ def test_shared_passages_go_whole(spark):
         assert got[i] == t if i < 100 else got[i].split() == (before + behind).split()
 
 
+def test_passages_whose_chunks_stand_elsewhere_too_go_whole(spark):
+    """Pieces of each passage, its ends among them, also stand in earlier foreign documents."""
+    rnd = random.Random(16)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(2, 9))) for _ in range(n))
+    passages = [words(60) for _ in range(40)]
+    foreign = []
+    for p in passages:
+        w = p.split()
+        foreign += [" ".join(w[4:16]), " ".join(w[-16:-4])]
+    texts = [(i, f"{words(20)} {f} {words(20)}") for i, f in enumerate(foreign)]
+    texts += [(1000 * c + i, f"{words(20 + c)} {p} {words(25)}") for i, p in enumerate(passages) for c in (1, 2)]
+    got = {r["doc_id"]: r["text"] for r in chunks.dedup_substrings(_docs(spark, texts)).collect()}
+    cut = 0
+    for i, t in texts:
+        if i >= 2000:
+            before, behind = t.split(passages[i % 1000])
+            cut += got[i].split() == (before + behind).split()
+    assert cut == 40
+
+
+def test_cuts_depend_on_what_lies_before_only():
+    rnd = random.Random(17)
+    shared = "".join(rnd.choice("abcdefgh é日") for _ in range(3000)).encode()
+    a, b = b"x" * 37 + shared, "other words é ".encode() * 11 + shared
+    ends = [{int(e) - (len(raw) - len(shared)) for e in chunks._ends(raw)} for raw in (a, b)]
+    far = chunks.MAX_CHUNK * 2
+    assert {e for e in ends[0] if e > far} == {e for e in ends[1] if e > far}
+    assert all(raw[:e].decode() is not None for raw in (a, b) for e in chunks._ends(raw).tolist())
+
+
+def test_clashing_names_pass_through(spark):
+    names = ["chunk_doc", "_chunk_doc", "chunk_text", "chunk_known", "chunk_ext", "chunk_asked", "_doc", "_best", "_toxicity_p_toxic", "_Host"]
+    schema = "doc_id bigint, text string, " + ", ".join(f"{n} double" for n in names)
+    docs = spark.createDataFrame([(i, f"text {i}", *[7.0] * len(names)) for i in range(3)], schema)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id bigint, quality int, toxic int")
+    for out in (chunks.dedup_substrings(docs), toxicity.not_toxic(docs, labels), urls.judge(docs, url="text").drop("host", "path", "rule", "verdict")):
+        assert out.columns == docs.columns
+        assert sorted(map(tuple, out.collect())) == sorted(map(tuple, docs.collect()))
+
+
 def test_rows_without_id_and_with_equal_crc_are_told_apart(spark):
     rnd = random.Random(11)
     words = lambda n: " ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
