@@ -323,7 +323,9 @@ def without(text: str, ks: list[int], min_bytes: int, ext: list[tuple[int, int,
 def dedup_substrings(docs: DataFrame, min_bytes: int = MIN_BYTES, removed: str | None = None) -> DataFrame:
     """``docs`` with ``text`` free of repeated runs and, if it has it, ``n_chars`` set anew; ``removed``: a column for what went."""
     doc, tkey, known, more = (free(n, docs.columns) for n in ("chunk_doc", "chunk_text", "chunk_known", "chunk_ext"))
-    key = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(int(NO_ID))), F.conv(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, KEY_DIGITS), 16, 10).cast("bigint")]
+    digest = F.conv(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, KEY_DIGITS), 16, 10).cast("bigint")
+    # neither key is nullable: a join that filters nulls out would shuffle the texts once more
+    key = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(int(NO_ID))), F.coalesce(digest, F.lit(0).cast("bigint"))]
     fields = [f for f in docs.schema.fields if f.name != removed]
     frame = docs.select(*[F.col(f"`{f.name}`") for f in fields], key[0].alias(doc), key[1].alias(tkey))
     ks = repeated_chunks(docs).select(F.col("doc").alias(doc), F.col("tkey").alias(tkey), F.col("ks").alias(known))
