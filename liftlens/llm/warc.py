@@ -10,12 +10,14 @@ Of records with equal payloads of at least ``least`` bytes the one with the
 largest id is the response, the others are revisits that refer to it; smaller
 ones are all responses. A digest is computed from the bytes before writing and
 again from the stored bytes when reading; a difference is an error.
-``read_headers`` parses the header bytes, ``records`` joins headers to verified
-payloads and gives each record's bytes back, ``read_back`` joins the headers to
-the digests and lengths recomputed from the stored payloads, which then don't move.
-
-Payloads move deflated, in one shuffle keyed by digest with map-side combining,
-so a payload that a third of all pages have is sent once per task. Null payload:
+``records`` joins headers to payloads and rebuilds each record's exact bytes;
+its id, type, target, length, digest and the record it refers to are parsed from
+those bytes and held against the payload, and a difference is an error.
+``read_back`` gives the same facts without the bytes.
+
+Payloads move deflated: when writing, in one shuffle keyed by digest with map-side
+combining, so that a payload that a third of all pages have is sent once per task;
+when reading, in the join by digest, one row per distinct payload. Null payload:
 empty. Null URL: empty target. Records that repeat an id each get a row; rows
 with a null id are responses unless another row holds the payload.
 """
@@ -37,12 +39,19 @@ from .storage import new_path
 
 LEAST = 1000
 DATE = "2024-01-01T00:00:00Z"
-NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 9562
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # the profile that WARC 1.1 names
 
 
 def _record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(NAMES, f'page:{page_id}')}>"
+    """A version 8 UUID (RFC 9562) that carries the 64-bit id in its free bits; its lowest bit marks a null id."""
+    n = (page_id or 0) & (1 << 64) - 1
+    return f"<urn:uuid:{uuid.UUID(int=n >> 16 << 80 | 8 << 76 | (n >> 4 & 0xFFF) << 64 | 2 << 62 | (n & 15) << 58 | (page_id is None))}>"
+
+
+def _page_id(record_id: str) -> int | None:
+    u = uuid.UUID(record_id[1:-1]).int
+    n = u >> 80 << 16 | (u >> 64 & 0xFFF) << 4 | u >> 58 & 15
+    return None if u & 1 else n - (n >> 63 << 64)
 
 
 def _digested(deflate: bool):
@@ -79,8 +88,7 @@ def _header(rec: dict) -> bytes:
 def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         made = [_header(r) for r in batch.to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("refers_to"), batch.column("key"), pa.array(made, pa.binary())],
-                                         ["id", "refers_to", "key", "header"])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(made, pa.binary())], ["key", "header"])
 
 
 def write_archive(pages: DataFrame, folder: str, id_column: str = "page_id", uri_column: str = "url", payload_column: str = "html",
@@ -93,51 +101,65 @@ def write_archive(pages: DataFrame, folder: str, id_column: str = "page_id", uri
     owner = facts.where(F.col("n_bytes") >= least).groupBy("key").agg(F.max("id").alias("owner"), F.count("*").alias("c")).where("c > 1")
     refers = F.when(F.col("owner").isNotNull() & ~F.col("id").eqNullSafe(F.col("owner")), F.col("owner"))
     typed = facts.join(owner, "key", "left").select("id", "uri", "key", "sha1", "n_bytes", refers.alias("refers_to"))
-    typed.mapInArrow(_headers, "id bigint, refers_to bigint, key binary, header binary").write.parquet(f"{folder}/headers")
+    typed.mapInArrow(_headers, "key binary, header binary").write.parquet(f"{folder}/headers")
     return folder
 
 
-def payloads(spark: SparkSession, folder: str) -> DataFrame:
-    """(key, payload, sha1, n_bytes) of every stored payload; bytes whose SHA-256 isn't their key are an error."""
+def _fields(block: bytes) -> dict[str, str]:
+    """The named fields of a header block, behind its first line."""
+    return dict(line.decode().split(": ", 1) for line in block.split(b"\r\n")[1:])
+
+
+def parse_record(record: bytes, payload: bytes) -> tuple[int | None, str, int | None, str]:
+    """(id, type, id referred to, payload's SHA-1 in hex) read from a record's bytes, checked against its full payload."""
+    head, _, block = record.partition(b"\r\n\r\n")
+    fields = _fields(head)
+    kind, block = fields["WARC-Type"], block[:-4]  # two line ends close a record
+    http, _, body = block.partition(b"\r\n\r\n")
+    digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:"))
+    sound = (record.endswith(b"\r\n\r\n") and len(block) == int(fields["Content-Length"]) and digest == hashlib.sha1(payload).digest()
+             and int(_fields(http)["Content-Length"]) == len(payload) and body == (payload if kind == "response" else b""))
+    if not sound:
+        raise ValueError(f"record {fields['WARC-Record-ID']} doesn't agree with its payload")
+    refers = fields.get("WARC-Refers-To")
+    return _page_id(fields["WARC-Record-ID"]), kind, refers and _page_id(refers), digest.hex()
+
+
+FACTS = "id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+
+
+def _read(whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                raw = [zlib.decompress(b) for b in part.column("deflated").to_pylist()]
-                for key, b in zip(part.column("key").to_pylist(), raw, strict=True):
-                    if hashlib.sha256(b).digest() != key:
+                part, rows = batch.slice(at, 256), []
+                for key, header, deflated in zip(*(part.column(c).to_pylist() for c in ("key", "header", "deflated")), strict=True):
+                    payload = zlib.decompress(deflated)
+                    if hashlib.sha256(payload).digest() != key:
                         raise ValueError(f"payload {key.hex()} was altered")
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), pa.array(raw, pa.binary()), pa.array([hashlib.sha1(b).digest() for b in raw], pa.binary()),
-                     pa.array([len(b) for b in raw], pa.int64())], ["key", "payload", "sha1", "n_bytes"])
-
-    return spark.read.parquet(f"{folder}/payloads").select("key", "deflated").mapInArrow(
-        run, "key binary, payload binary, sha1 binary, n_bytes bigint")
+                    body = payload if header.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") else b""
+                    record = b"".join((header, body, b"\r\n\r\n"))
+                    page, kind, refers, digest = parse_record(record, payload)
+                    rows.append((page, len(payload), digest, kind, refers, *((record, payload) if whole else ())))
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.binary())[:7 if whole else 5]
+                names = ["id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record", "payload"][:len(kinds)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+    return run
 
 
-def read_headers(spark: SparkSession, folder: str) -> DataFrame:
-    """Every record's header with its fields as a map, read from its bytes."""
-    h = spark.read.parquet(f"{folder}/headers")
-    block = F.substring_index(F.decode("header", "UTF-8"), "\r\n\r\n", 1)
-    lines = F.split(F.expr("substring(block, instr(block, '\r\n') + 2)"), "\r\n")
-    pairs = F.transform(lines, lambda s: F.struct(F.substring_index(s, ": ", 1).alias("k"), F.substr(s, F.instr(s, ": ") + F.lit(2)).alias("v")))
-    return h.withColumn("block", block).select("id", "refers_to", "key", "header", F.map_from_entries(pairs).alias("fields"))
+def _stored(spark: SparkSession, folder: str) -> DataFrame:
+    headers = spark.read.parquet(f"{folder}/headers").select("key", "header")
+    return headers.join(spark.read.parquet(f"{folder}/payloads").select("key", "deflated"), "key")
 
 
 def records(spark: SparkSession, folder: str) -> DataFrame:
-    """(id, record_type, record, payload): each record's exact bytes and its full payload (a revisit's from the response)."""
-    both = read_headers(spark, folder).join(payloads(spark, folder), "key")
-    kind = F.col("fields")["WARC-Type"]
-    body = F.when(kind == "response", F.col("payload")).otherwise(F.lit(b""))
-    return both.select("id", kind.alias("record_type"), F.concat("header", body, F.lit(b"\r\n\r\n")).alias("record"), "payload")
+    """FACTS of every record with its exact bytes (``record``) and its full ``payload`` (a revisit's from the response)."""
+    return _stored(spark, folder).mapInArrow(_read(True), FACTS + ", record binary, payload binary")
 
 
 def read_back(spark: SparkSession, folder: str) -> DataFrame:
-    """(id, payload_bytes, payload_digest, record_type, refers_to): from the headers and the verified payloads."""
-    facts = payloads(spark, folder).select("key", "n_bytes", "sha1")
-    both = read_headers(spark, folder).join(facts, "key")
-    return both.select("id", F.col("n_bytes").alias("payload_bytes"), F.lower(F.hex("sha1")).alias("payload_digest"),
-                                   F.col("fields")["WARC-Type"].alias("record_type"), "refers_to")
+    """FACTS of every record, from the same rebuilt bytes, which stay in the tasks."""
+    return _stored(spark, folder).mapInArrow(_read(False), FACTS)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
