@@ -39,8 +39,9 @@ SAMPLE = 150
 EPOCHS = 12
 # Tag kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template title textarea iframe svg math select object canvas audio video datalist".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike "
+TEXT_ONLY = frozenset("script style textarea title".split())  # unclosed, these reach to the page's end
+RAW = frozenset("script style noscript template title textarea iframe svg select object canvas audio video datalist".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math q rp rt ruby s samp small span strike "
                    "strong sub sup time tt u var".split())
 FRAME = frozenset("nav header footer aside form menu dialog button fieldset".split())
 MAIN = frozenset("article main".split())
@@ -62,6 +63,8 @@ TEXT_NAMES = frozenset("article content main body text entry post story paragrap
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
     r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>|<(?=/?[A-Za-z])[^<>]*\Z", re.S)
+# Behind the last ">" no tag can end.
+TAIL = re.compile(r"<!--.*\Z|<[!?].*\Z|<(?=/?[A-Za-z])[^<>]*\Z", re.S)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
@@ -93,7 +96,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
     nodes = [Node(-1, "", False, False, False)]
     runs: list[tuple[int, str | None]] = []
     stack: list[tuple[str, int]] = [("", 0)]
-    links, at, end = 0, 0, len(page)
+    links, at, end, last = 0, 0, len(page), page.rfind(">")
+    unclosed: set[str] = set()
 
     def text(a: int, b: int) -> None:
         if a < b:
@@ -115,14 +119,16 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
                 runs.append((stack[-1][1], None))
 
     while at < end:
-        m = TOKEN.search(page, at)
+        m = (TOKEN.search(page, at, last + 1) if at <= last else None) or TAIL.search(page, max(at, last + 1))
         if not m:
             text(at, end)
             break
         text(at, m.start())
         at = m.end()
-        tag = m[2] or m[5]
+        tag = m.re is TOKEN and (m[2] or m[5])
         if not tag:
+            if at == last + 1 and (m[0].startswith("<!--") and not m[0].endswith("-->") or m[0].startswith("<![CDATA[") and not m[0].endswith("]]>")):
+                break  # an unclosed comment reaches to the page's end
             continue
         tag, closing, attributes = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
         if closing:
@@ -139,8 +145,13 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
             continue
         if tag in RAW:
             if not attributes.endswith("/"):
-                stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = stop.end() if stop else end
+                stop = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                if stop:
+                    at = stop.end()
+                elif tag in TEXT_ONLY:
+                    at = end
+                else:
+                    unclosed.add(tag)  # the tag alone goes, not what follows it
             runs.append((stack[-1][1], " "))
             continue
         ends = SAME_ENDS.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
