@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MEMO = 500_000  # segments a worker remembers
+LONG = 64  # characters above which a segment isn't remembered (unspaced text is one segment)
 SPACE = "▁"
 
 
@@ -170,9 +171,11 @@ class Transducer:
         return [i for part in reversed(out) for i in part]
 
     def _segment(self, s: str) -> bytes:
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        got = self.memo[s] = np.array(self.shortest_path(s), np.int32).tobytes()
+        got = np.array(self.shortest_path(s), np.int32).tobytes()
+        if len(s) <= LONG:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            self.memo[s] = got
         return got
 
     def encode(self, text: str) -> np.ndarray:

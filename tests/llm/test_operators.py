@@ -6,6 +6,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -290,6 +291,29 @@ def test_urls_edge_rows_and_many_rules(spark):
                    4: ("xexample.com", "/en/", "com/", "allow"), 5: ("example.com", "", None, "allow")}
 
 
+def test_unclosed_elements_dont_cut_pages_and_tags_are_read_in_linear_time():
+    def words(page):
+        return " ".join(" ".join(t for _, t in html_tree.parse(page)[1] if t).split())
+
+    for tag in ("svg", "object", "video", "select", "iframe"):
+        assert words(f"<p>one</p><{tag}><p>two</p>") == "one two"
+        assert words(f"<p>one</p><{tag}>gone</{tag}><p>two</p>") == "one two"
+    assert words("<p>let <math>x</math> be</p>") == "let x be"
+    assert words("<p>one</p><script>gone <p>gone</p>") == "one"
+    assert words("<p>one</p><!-- gone > gone") == "one" and words("<p>one</p><!-- gone --> two") == "one two"
+    assert words("a < b and c <d") == "a < b and c"
+    start = time.monotonic()
+    html_tree.parse("<a " * 100_000), html_tree.parse("<svg>" * 30_000), html_tree.parse("<p>x</p>" + "<!-- <a " * 50_000)
+    assert time.monotonic() - start < 10
+
+
+def test_long_segments_are_not_remembered():
+    fst = sentencepiece_fst.Transducer(sentencepiece_fst.read_model(sentencepiece_fst.MODEL))
+    long = "日本語" * 3000
+    assert fst.decode(fst.encode(long)) == long and fst.decode(fst.encode("some words here")) == "some words here"
+    assert fst.memo and max(map(len, fst.memo)) <= sentencepiece_fst.LONG
+
+
 def test_warc_round_trip(spark):
     big = "é" * 600
     pages = spark.createDataFrame([(1, "http://a/ b", big, 0), (2, "http://b", big, 0), (3, None, None, 0), (4, "http://c", "x", 0), (5, "http://d", "x", 0)],
@@ -304,6 +328,11 @@ def test_warc_round_trip(spark):
         assert len(record) == head + length + 4
         assert payload.decode() == ({1: big, 2: big, 3: "", 4: "x", 5: "x"}[r["id"]])
         assert (r["record_type"] == "revisit") == (not record[head:-4].endswith(payload))
+        assert warc.parse_record(record, payload) == (r["id"], r["record_type"], r["refers_to"], hashlib.sha1(payload).hexdigest())
+        for wrong in (record.replace(b"Content-Length: ", b"Content-Length: 1", 1), record[:-5] + b"\r\n\r\n", record.replace(b"sha1:", b"sha1:A", 1)[:-1]):
+            with pytest.raises(ValueError):
+                warc.parse_record(wrong, payload)
+    assert all(warc._page_id(warc._record_id(i)) == i for i in (None, 0, 1, -1, 15, 16, 2**63 - 1, -2**63, 987654321987654321))
     empty = warc.write_archive(pages.limit(0), new_path(spark, "test-warc"))
     assert warc.read_back(spark, empty).count() == 0
 
