@@ -31,8 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import slices
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MEMO = 500_000  # segments a worker remembers
+MEMO = 100_000  # segments a worker remembers
+PAIRS = 200_000  # pairs of pieces whose order a worker remembers
 LONG = 64  # characters above which a segment isn't remembered (unspaced text is one segment)
 SPACE = "▁"
 
@@ -99,6 +102,8 @@ class Transducer:
         key = x << 20 | y
         known = self.agree.get(key)
         if known is None:
+            if len(self.agree) >= PAIRS:
+                self.agree.clear()
             a, b = self.pieces[x], self.pieces[y]
             known = self.agree[key] = self._merged(a + b) == [a, b]
         return known
@@ -208,8 +213,8 @@ def encode(docs: DataFrame, model_path: str = MODEL, column: str = "text", into:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = _compiled(sent, model_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for a, b in slices(batch.column(column)):
+                part = batch.slice(a, b - a)
                 found = [None if t is None else fst.encode(t) for t in part.column(column).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(pa.int32()))], [*part.schema.names, into])
 
