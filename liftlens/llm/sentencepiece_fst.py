@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from .text import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MEMO = 100_000  # segments a worker remembers
+MEMO = 150_000  # segments of each of the two generations that a worker remembers
 PAIRS = 200_000  # pairs of pieces whose order a worker remembers
 LONG = 64  # characters above which a segment isn't remembered (unspaced text is one segment)
 SPACE = "▁"
@@ -71,6 +71,7 @@ class Transducer:
         self.chars = {p for p in self.ids if len(p) == 1}
         self.agree: dict[int, bool] = {}
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the full memo before; what is met again moves on
         out = [p.replace(SPACE, " ").encode() for p in self.pieces]
         for i, k in enumerate(model["kinds"]):
             if k == self.BYTE:
@@ -176,9 +177,12 @@ class Transducer:
         return [i for part in reversed(out) for i in part]
 
     def _segment(self, s: str) -> bytes:
-        got = np.array(self.shortest_path(s), np.int32).tobytes()
+        got = self.older.get(s)
+        if got is None:
+            got = np.array(self.shortest_path(s), np.int32).tobytes()
         if len(s) <= LONG:
             if len(self.memo) >= MEMO:
+                self.older = dict(self.memo)
                 self.memo.clear()
             self.memo[s] = got
         return got
