@@ -147,19 +147,18 @@ def _least_overlap(na, nb, percent: int):
 
 
 class SignatureTree:
-    """Members sorted by size; leaves under inner nodes of LEAF members, with OR-combined bitmaps and size ranges.
+    """Members sorted by size; leaves under inner nodes of LEAF members at most, with OR-combined bitmaps and size ranges.
 
-    Each node keeps the bitmaps at the length of its shortest, so that large
-    sets in the same tree stay sparse.
+    A node holds bitmaps of one length only. One that was cut to a smaller
+    member's length would be nearly full and rule nothing out.
     """
 
     def __init__(self, n: np.ndarray, bits: list[bytes], comp: np.ndarray):
         self.n, self.comp = n, comp
-        self.spans = [(s, min(s + LEAF, len(n))) for s in range(0, len(n), LEAF)]
-        self.bits = []
-        for a, b in self.spans:
-            width = min(len(x) for x in bits[a:b])
-            self.bits.append(np.stack([fold(np.frombuffer(x, np.uint8), width) for x in bits[a:b]]).view(np.uint64))
+        lengths = np.array([len(x) for x in bits])
+        runs = [*np.flatnonzero(np.diff(lengths, prepend=-1)).tolist(), len(n)]
+        self.spans = [(s, min(s + LEAF, end)) for start, end in zip(runs, runs[1:]) for s in range(start, end, LEAF)]
+        self.bits = [np.stack([np.frombuffer(x, np.uint8) for x in bits[a:b]]).view(np.uint64) for a, b in self.spans]
         self.ors = [np.bitwise_or.reduce(x)[None] for x in self.bits]
         self.widths = np.array([x.shape[1] for x in self.bits])
         self.low = np.array([n[a:b].min() for a, b in self.spans])

@@ -65,6 +65,17 @@ def test_jaccard_equals_brute_force(spark, monkeypatch):
     assert got == _brute_components(texts)
 
 
+def test_unrelated_sets_of_any_size_leave_no_candidates():
+    rnd = np.random.default_rng(3)
+    sizes = np.sort(np.concatenate([rnd.integers(60, 9000, 200), [6000, 6000]]))
+    sets = [np.unique(rnd.integers(0, 1 << 63, k).astype(np.uint64)) for k in sizes]
+    at = np.flatnonzero(sizes == 6000)
+    sets[at[-1]] = np.concatenate([sets[at[0]][:-200], sets[at[-1]][:200]])
+    tree = jaccard.SignatureTree(sizes, [jaccard.bitmap(s).tobytes() for s in sets], np.arange(len(sets)))
+    assert [s for span in tree.spans for s in range(*span)] == list(range(len(sets)))
+    assert [(r, ys.tolist()) for r, ys in jaccard.traverse(tree, tree, True, 80)] == [(at[0], [at[-1]])]
+
+
 def test_one_row_of_each_group_stays(spark):
     x, y, z = (" ".join(f"{c}{i}" for i in range(30)) for c in "xyz")
     near = f"{y} more"
