@@ -296,10 +296,10 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     out = docs.sparkSession.createDataFrame([], schema)
     for block in _blocks(items):
         thin = block.thinned(seed_counts(docs, block), least)
-        sent = docs.sparkSession.sparkContext.broadcast(thin)
+        sent = docs.sparkSession.sparkContext.broadcast(vars(thin))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own = sent.value
+            own = Items(**sent.value)
             near, sizes = _near(own.seeds), _sizes(own)
             for batch in batches:
                 for a, b in slices(batch.column(1)):
@@ -318,10 +318,10 @@ def clean_of(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFra
     """Rows of ``docs`` that hold no test item; all columns are kept."""
     for block in _blocks(items):
         thin = block.thinned(seed_counts(docs, block), least)
-        sent = docs.sparkSession.sparkContext.broadcast(thin)
+        sent = docs.sparkSession.sparkContext.broadcast(vars(thin))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own = sent.value
+            own = Items(**sent.value)
             near, sizes = _near(own.seeds), _sizes(own)
             for batch in batches:
                 for a, b in slices(batch.column("text")):

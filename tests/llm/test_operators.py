@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import html
+import os
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
 
@@ -213,6 +216,26 @@ def test_edited_copies_are_leaks(spark):
     assert {r["doc_id"] for r in decontaminate.clean_of(docs, items).collect()} == {4, 5}
 
 
+AWAY = """
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+sys.path.insert(0, sys.argv[1])  # the driver alone
+from liftlens.llm.decontaminate import clean_of, leaks
+from liftlens.llm.sentencepiece_fst import decode, encode
+docs = spark.createDataFrame([(1, "so one two three four five six it is"), (2, "nothing of that kind")], "doc_id bigint, text string")
+items = spark.createDataFrame([(7, "one two three four five six")], "item_id bigint, text string")
+assert [(r.doc_id, r.item_id, r.score) for r in leaks(docs, items).collect()] == [(1, 7, 1.0)]
+assert [(r.doc_id, r.text) for r in decode(encode(clean_of(docs, items)), into="text").collect()] == [(2, "nothing of that kind")]
+"""
+
+
+def test_executors_need_no_copy_of_the_library(tmp_path):
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", AWAY, root], cwd=tmp_path, env=env, check=True, timeout=300)
+
+
 def test_every_alignment_of_half_the_score_is_found(spark):
     rnd = random.Random(9)
     common = [f"c{k}" for k in range(12)]
