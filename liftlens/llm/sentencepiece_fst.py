@@ -34,8 +34,8 @@ from pyspark.sql import types as T
 from .text import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MEMO = 150_000  # segments of each of the two generations that a worker remembers
-PAIRS = 200_000  # pairs of pieces whose order a worker remembers
+MEMO = 250_000  # segments of each of the two generations that a worker remembers
+PAIRS = 600_000  # pairs of pieces whose order a worker remembers
 LONG = 64  # characters above which a segment isn't remembered (unspaced text is one segment)
 SPACE = "▁"
 
