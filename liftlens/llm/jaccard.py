@@ -47,10 +47,11 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .skew import lookup
-from .storage import new_path, remove, staged
+from .storage import new_path, release, remove, staged
 from .text import free, mix, shingles, slices, words
 
 CELLS = 1 << 20  # cells of the order table (1 byte each when sent to tasks)
+CELL_RANGES = 64  # ranges of cells, each added up by one task
 BLOCK = 4096  # members of a signature tree
 LEAF = 16  # members under one inner node
 STRIP = 1 << 22  # bytes of bitmaps compared at a time
@@ -60,7 +61,7 @@ TEXT_KEY = 16  # bytes of a text's SHA-256 that tell rows of one doc_id apart
 
 
 def _order_counts(docs: DataFrame, size: int) -> np.ndarray:
-    """Shingle counts by hash cell over all documents: one CELLS-sized array, merged in a tree."""
+    """Shingle counts by hash cell over all documents: CELLS numbers, added up in CELL_RANGES ranges by the executors."""
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.uint32)
@@ -71,10 +72,20 @@ def _order_counts(docs: DataFrame, size: int) -> np.ndarray:
                     continue
                 found = [np.unique(shingles(w.hashes[w.ptr[i]:w.ptr[i + 1]], size)) for i in range(b - a)]
                 total += np.bincount((np.concatenate(found) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()] if total.any() else [], pa.binary())], ["cells"])
+        held = [(i, part.tobytes()) for i, part in enumerate(np.split(total, CELL_RANGES)) if part.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in held], pa.int64()), pa.array([c for _, c in held], pa.binary())], ["part", "cells"])
 
-    counts = docs.select("text").mapInArrow(cells, "cells binary").rdd.map(lambda r: np.frombuffer(bytes(r[0]), np.uint32))
-    return counts.treeAggregate(np.zeros(CELLS, np.uint32), np.add, np.add, depth=3)
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(CELLS // CELL_RANGES, np.uint32)
+        for c in table["cells"]:
+            total += np.frombuffer(c.as_buffer(), np.uint32)
+        return pa.table({"part": table["part"][:1], "cells": pa.array([total.tobytes()], pa.binary())})
+
+    counts = np.zeros((CELL_RANGES, CELLS // CELL_RANGES), np.uint32)
+    added = docs.select("text").mapInArrow(cells, "part bigint, cells binary").groupBy("part").applyInArrow(add, "part bigint, cells binary")
+    for part, held in added.collect():
+        counts[part] = np.frombuffer(held, np.uint32)
+    return counts.reshape(-1)
 
 
 def order_levels(docs: DataFrame, size: int) -> np.ndarray:
@@ -287,7 +298,7 @@ def candidate_edges(sets: DataFrame, classes: DataFrame, comps: DataFrame, perce
 
     place = F.row_number().over(by_token.orderBy("n", "cls"))
     members = open_groups.where(F.col("group_n") > LEAF).drop("group_n").withColumn("at", F.floor((place - 1) / BLOCK))
-    pairs = _block_pairs(members, percent)
+    pairs = _block_pairs(members, percent).checkpoint()  # three numbers per pair of blocks; the plan below stays short
     both = _sides(pairs, members).join(classes.select("cls", "bits"), "cls")
 
     def join_blocks(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -458,6 +469,7 @@ def _links_of(sides: tuple[dict, dict], percent: int) -> Iterator[tuple[int, int
 
 
 FILTER_BITS = 1 << 23
+MAP_BITS = 1 << 15  # bits of one of Spark's bitmaps
 
 
 def _texts_of(docs: DataFrame, owners: DataFrame) -> DataFrame:
@@ -467,18 +479,15 @@ def _texts_of(docs: DataFrame, owners: DataFrame) -> DataFrame:
     shuffled; the join that follows is exact whatever the filter lets through.
     Equal rows come once per task.
     """
-    def mark(rows) -> Iterator[np.ndarray]:
-        bits = np.zeros(FILTER_BITS, bool)
-        for r in rows:
-            bits[r[0] % FILTER_BITS] = True
-        yield np.packbits(bits)
-
-    zero = np.zeros(FILTER_BITS // 8, np.uint8)
-    marks = owners.distinct().rdd.mapPartitions(mark).treeAggregate(zero, np.bitwise_or, np.bitwise_or)
+    bit = F.pmod("owner", F.lit(FILTER_BITS))
+    marks = np.zeros((FILTER_BITS // MAP_BITS, MAP_BITS // 8), np.uint8)
+    maps = owners.groupBy(F.floor(bit / MAP_BITS).alias("map")).agg(F.bitmap_construct_agg(F.pmod(bit, F.lit(MAP_BITS))).alias("bits"))
+    for at, bits in maps.collect():
+        marks[at] = np.frombuffer(bits, np.uint8)
     sent = docs.sparkSession.sparkContext.broadcast(marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = np.unpackbits(sent.value).astype(bool), set()
+        bits, seen = np.unpackbits(sent.value, bitorder="little").astype(bool), set()
         for batch in batches:
             hit = [i is not None and bool(bits[i % FILTER_BITS]) for i in batch.column(0).to_pylist()]
             part = batch.filter(pa.array(hit, pa.bool_()))
@@ -507,12 +516,14 @@ def _members(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     first = verified(_may_link(centre_pairs(linkable), linkable, percent).checkpoint(), linkable, docs, size, percent) \
         .select(F.col("a").alias("u"), F.col("b").alias("v")).checkpoint()
+    release(spark)
     comps = linkable.select("cls").join(connected_components(first), F.col("cls") == F.col("node"), "left") \
         .select("cls", F.coalesce("component", "cls").alias("comp")).checkpoint()
 
     rest = candidate_edges(sets, linkable, comps, percent).checkpoint()
     sets = sets.select("doc_id", "tkey", "n", "digest").checkpoint()
     remove(spark, path)
+    release(spark)
     more = family_links(rest, linkable, comps, docs, size, percent)
     across = more.join(comps.select(F.col("cls").alias("a"), F.col("comp").alias("u")), "a") \
         .join(comps.select(F.col("cls").alias("b"), F.col("comp").alias("v")), "b").select("u", "v")
@@ -547,6 +558,7 @@ def first_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
     of anything and stay. All columns are kept.
     """
     rows = _members(docs, size, percent).where("n > 0").select("comp", F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey").checkpoint()
+    release(docs.sparkSession)
     heads = rows.groupBy("comp").agg(F.min(F.struct("no_id", "doc_id", "tkey")).alias("head"), F.count("*").alias("c"))
     placed = lookup(rows, heads.where("c > 1"), ["comp"], "c", ["head"]).where("head IS NOT NULL")
     of_head = F.struct("no_id", "doc_id", "tkey") == F.col("head")

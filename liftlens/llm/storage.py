@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,3 +33,14 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a staged table that no DataFrame reads any more."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver notice what no DataFrame holds any more, between the steps of a long job.
+
+    Spark deletes shuffles, broadcasts and checkpoints that nothing reads only
+    after the driver has collected their handles, and the driver's heap keeps the
+    plans of finished steps until then.
+    """
+    gc.collect()
+    spark._jvm.System.gc()

@@ -90,6 +90,25 @@ def test_one_row_of_each_group_stays(spark):
     assert jaccard.first_of_each(_docs(spark, rows)).columns == _docs(spark, rows).columns
 
 
+def test_tables_of_the_whole_corpus_are_added_up_by_the_executors(spark, monkeypatch):
+    def refused(*args, **kwargs):
+        raise AssertionError("every task's whole table on the driver")
+
+    monkeypatch.setattr("pyspark.rdd.RDD.treeAggregate", refused)
+    collected = []
+    monkeypatch.setattr(jaccard, "release", collected.append)
+    x, y = (" ".join(f"{c}{i}" for i in range(40)) for c in "xy")
+    docs = _docs(spark, [(-9, x), (1, f"{x} more"), (2, y), (3, None), (None, y), (8, f"{y} end"), (-(1 << 40), "alone")]).repartition(4)
+    counts = np.zeros(jaccard.CELLS, np.int64)
+    for r in docs.collect():
+        w = jaccard.words(jaccard.pa.array([r["text"]]))
+        np.add.at(counts, (np.unique(jaccard.shingles(w.hashes, 5)) % np.uint64(jaccard.CELLS)).astype(np.int64), 1)
+    assert np.array_equal(jaccard._order_counts(docs, 5), counts)
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard.jaccard_components(docs).collect()}
+    assert got == {(-9, -9), (1, -9), (2, 2), (3, 3), (None, 2), (8, 2), (-(1 << 40), -(1 << 40))}
+    assert len(collected) >= 2  # finished steps leave the driver
+
+
 @pytest.mark.parametrize("texts", [[], EDGE])
 def test_every_document_operator_takes_edge_rows(spark, texts):
     docs = _docs(spark, texts)
