@@ -23,10 +23,12 @@ from __future__ import annotations
 
 import re
 import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,11 +81,25 @@ class Transducer:
             elif k not in (1, 4):
                 out[i] = b" \xe2\x81\x87 " if k == self.UNKNOWN else b""
         self.spelled = out
+        self.spelling = pa.array(out, pa.large_binary())
         if self.bpe:  # a piece that its own string doesn't merge to has no arc
             self.ids = {p: i for p, i in self.ids.items() if self._merged(p) == [p]}
+        self._link_arcs()
         cut = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.segments = (lambda t: [t]) if cut else re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
 
+    def _link_arcs(self) -> None:
+        """Arcs as a tree of characters, whose nodes hold the longest piece on the way there ("": its id), and per piece
+        its size and the next longest piece that it begins with. Id -1 stands for none, and for a character without a piece."""
+        self.sizes, self.shorter = [1] * (len(self.pieces) + 1), [-1] * (len(self.pieces) + 1)
+        self.tree: dict = {"": -1}
+        for p, i in sorted(self.ids.items(), key=lambda x: len(x[0])):
+            node = self.tree
+            for ch in p:
+                node = node.setdefault(ch, {"": node[""]})
+            self.sizes[i], self.shorter[i] = len(p), node[""]
+            node[""] = i
+
     def _merged(self, text: str) -> list[str]:
         """The merge result of a piece or two: repeatedly the best-scored neighbouring pair, leftmost first."""
         parts = list(text)
@@ -118,41 +134,43 @@ class Transducer:
 
     def _free_path(self, text: str) -> list[int]:
         """BPE: arcs weigh 0 or infinity, so depth-first search, long arcs first, meets the one path of weight 0."""
-        n, ids, agree, longest = len(text), self.ids, self.agree, self.longest
+        n, agree, longest, tree, shorter, sizes = len(text), self.agree, self.longest, self.tree, self.shorter, self.sizes
         out: list[int] = []
-        spans: list[int] = []
         dead: set[tuple[int, int]] = set()
-        pos, last, size = 0, -1, min(n, longest)
+        pos, last, new = 0, -1, True
         while pos < n:
-            while size:
-                piece = ids.get(text[pos:pos + size])
-                if piece is not None and (not dead or (pos + size, piece) not in dead):
+            if new:  # the longest arc here; the shorter ones hang on it
+                node = tree
+                for ch in text[pos:pos + longest]:
+                    further = node.get(ch)
+                    if further is None:
+                        break
+                    node = further
+                piece = node[""]
+            while piece >= 0:
+                if not dead or (pos + sizes[piece], piece) not in dead:
                     if last < 0:
                         break
                     ok = agree.get(last << 20 | piece)
                     if ok or ok is None and self._follows(last, piece):
                         break
-                size -= 1
-            if size:
+                piece = shorter[piece]
+            new = piece >= 0 or text[pos] not in self.chars
+            if new:
+                out.append(piece)
+                pos += sizes[piece]
                 last = piece
-            elif text[pos] not in self.chars:
-                size, last = 1, -1
             else:  # no arc leads on from here: this state is dead, go back one arc
                 last = out.pop()
-                size = spans.pop()
                 dead.add((pos, last))
-                pos, size, last = pos - size, size - 1, out[-1] if out else -1
-                continue
-            out.append(last)
-            spans.append(size)
-            pos += size
-            size = min(longest, n - pos)
+                pos -= sizes[last]
+                piece, last = shorter[last], out[-1] if out else -1
         if -1 not in out:
             return out
         at, found = 0, []
-        for piece, size in zip(out, spans, strict=True):
-            found += [piece] if piece >= 0 else self._fallback(text[at:at + size])
-            at += size
+        for piece in out:
+            found += [piece] if piece >= 0 else self._fallback(text[at])
+            at += sizes[piece]
         return found
 
     def _least_path(self, text: str) -> list[int]:
@@ -179,7 +197,7 @@ class Transducer:
     def _segment(self, s: str) -> bytes:
         got = self.older.get(s)
         if got is None:
-            got = np.array(self.shortest_path(s), np.int32).tobytes()
+            got = array("i", self.shortest_path(s)).tobytes()
         if len(s) <= LONG:
             if len(self.memo) >= MEMO:
                 self.older = dict(self.memo)
@@ -199,6 +217,22 @@ class Transducer:
         text = b"".join([spelled[i] for i in ids.tolist()]).decode("utf-8", "replace")
         return text[1:] if self.prefix and text[:1] == " " else text
 
+    def decode_all(self, column: pa.ListArray) -> pa.Array:
+        """The text of each list of ids, null for null: all ids spelled at once."""
+        sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        data = self.spelling.take(column.flatten())
+        at = np.frombuffer(data.buffers()[1], np.int64, len(data) + 1)[ends]
+        raw = np.frombuffer(data.buffers()[2] or b"", np.uint8)
+        start, end = at[:-1].copy(), at[1:]
+        if self.prefix:
+            some = np.flatnonzero(start < end)
+            start[some] += raw[start[some]] == 32
+        whole = memoryview(raw)
+        valid = column.is_valid().to_pylist()
+        return pa.array([str(whole[a:b], "utf-8", "replace") if v else None
+                         for v, a, b in zip(valid, start.tolist(), end.tolist(), strict=True)], pa.string())
+
 
 def _compiled(sent, key: str) -> Transducer:
     """The worker's transducer; workers serve many tasks, so it and its memo are kept between them."""
@@ -235,8 +269,7 @@ def decode(encoded: DataFrame, model_path: str = MODEL, column: str = "token_ids
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                texts = [fst.decode(x.values.to_numpy()) if x.is_valid else None for x in part.column(column)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, into])
+                yield pa.RecordBatch.from_arrays([*part.columns, fst.decode_all(part.column(column))], [*part.schema.names, into])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(into, T.StringType())]))
 

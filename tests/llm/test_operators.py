@@ -137,6 +137,20 @@ def test_encoding_equals_the_library(spark):
         assert fst.decode(fst.encode(text)) == text.replace("▁", " ")
 
 
+def test_arcs_are_walked_not_probed_and_lists_spelled_at_once():
+    fst = sentencepiece_fst.Transducer(sentencepiece_fst.read_model(sentencepiece_fst.MODEL))
+    texts = ["", " ", "some words, and more of them", "日本語 の 😀 text", "▁ mixed \n\t", "Ooverstate unthinkables hhhhaaaa"]
+    want = [fst.encode(t) for t in texts]
+    fst.memo.clear()
+    fst.ids = None  # no slice of the text is looked up
+    assert all(np.array_equal(fst.encode(t), ids) for t, ids in zip(texts, want))
+    broken = [[fst.bytes_[0xC3]], [fst.bytes_[0xA9], 300], [fst.unknown], []]
+    lists = sentencepiece_fst.pa.array([*want, None, *broken], sentencepiece_fst.pa.list_(sentencepiece_fst.pa.int32()))
+    plain = [None if x is None else fst.decode(np.array(x, np.int32)) for x in lists.to_pylist()]
+    assert fst.decode_all(lists).to_pylist() == plain and fst.decode_all(lists.slice(3, 5)).to_pylist() == plain[3:8]
+    assert fst.decode_all(lists.slice(0, 0)).to_pylist() == []
+
+
 def test_unigram_shortest_path():
     model = {"pieces": ["<unk>", "a", "b", "ab", "▁", "▁ab"], "scores": [0, -1.0, -1.0, -1.5, -0.1, -3.0], "kinds": [2, 1, 1, 1, 1, 1],
              "bpe": False, "prefix": True}
