@@ -31,6 +31,7 @@ SHIFT = 1e-4  # a fit has converged when no centre moves further
 PARTIAL_ROWS = 50_000  # partial sums of a pass that the driver takes as they are
 CENTRE_BYTES = 32 << 20  # centres that one pass sends to the tasks
 CELLS = 1 << 20  # differences computed at a time
+PASS_CELLS = 1 << 16  # distances of a pass computed at a time (512 KB, which a core's cache holds)
 
 
 # M1
@@ -83,17 +84,37 @@ def measure(vectors: DataFrame, fits: Mapping[object, Fit], partitions: int) ->
     centres = [fits[k].centres for k in keys]
     dim = centres[0].shape[1]
 
+    sizes = [len(c) for c in centres]
+    alike = [np.flatnonzero(np.array(sizes) == k) for k in dict.fromkeys(sizes)]  # fits of equally many centres meet a row together
+    stacks = [np.concatenate([centres[i] for i in own]) for own in alike]
+    first = np.concatenate([[0], np.cumsum(sizes)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros((len(c), dim + 3)) for c in centres]  # n, cost, squares, sums
+        held = [np.zeros((len(own), len(c) // len(own), dim + 3)) for own, c in zip(alike, stacks, strict=True)]  # n, cost, squares, sums
+        tables = [np.column_stack([-2 * c, (c * c).sum(1)]) for c in stacks]
+        step = max(1, PASS_CELLS // max(map(len, stacks)))
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch.column(0))
-            row = np.column_stack([np.ones(len(x)), np.zeros(len(x)), (x * x).sum(1), x])
-            for c, total in zip(centres, held, strict=True):
-                at, row[:, 1] = _nearest(x, c)
-                total += (at[:, None] == np.arange(len(c))).astype(float).T @ row
-        out = np.concatenate(held)
+            x = _matrix(batch.column(0)) if batch.num_rows else np.zeros((0, dim))
+            for at in range(0, len(x), step):
+                part = x[at: at + step]
+                squares = (part * part).sum(1)
+                ones = np.ones(len(part))
+                row, lifted = np.column_stack([ones, squares, part]), np.column_stack([part, ones])
+                for total, table in zip(held, tables, strict=True):
+                    fits_, k = total.shape[:2]
+                    d2 = (table @ lifted.T).reshape(fits_, k, len(part))  # less the row's own square
+                    low = d2.min(1)
+                    near = d2 == low[:, None]
+                    for j in range(1, k):  # of equally near centres the first
+                        near[:, j] &= ~near[:, :j].any(1)
+                    sums = (near.reshape(fits_ * k, -1).astype(float) @ row).reshape(fits_, k, -1)
+                    total[..., 0] += sums[..., 0]
+                    total[..., 2:] += sums[..., 1:]
+                    total[:, 0, 1] += np.maximum(low + squares, 0).sum(1)
+        out = np.zeros((first[-1], dim + 3))
+        for own, total in zip(alike, held, strict=True):
+            for i, sums in zip(own, total, strict=True):
+                out[first[i]: first[i + 1]] = sums
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(list(out))], ["centre", "added"])
 
     added = vectors.select(VECTOR).mapInArrow(run, "centre bigint, added array<double>")

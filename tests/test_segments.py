@@ -67,6 +67,42 @@ def test_a_pass_is_one_job_whatever_the_restarts(spark, vectors, monkeypatch):
     assert {k: f.cost for k, f in again.items()} == pytest.approx({k: f.cost for k, f in fits.items()})
 
 
+def test_a_pass_measures_fits_together(monkeypatch):
+    import pyarrow as pa
+
+    class Rows:  # one task's batches
+        def __init__(self, x):
+            self.batches = [pa.RecordBatch.from_arrays([pa.array(list(p), pa.list_(pa.float64()))], ["features"]) for p in (x[:700], x[:0], x[700:])]
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+        def collect(self):
+            return [row for b in self.run(iter(self.batches)) for row in zip(b["centre"].to_pylist(), map(np.array, b["added"].to_pylist()))]
+
+    def refused(x, centres):
+        raise AssertionError("a fit by itself")
+
+    monkeypatch.setattr(segments, "_nearest", refused)
+    monkeypatch.setattr(segments, "PASS_CELLS", 1000)
+    rnd = np.random.default_rng(1)
+    x = np.round(rnd.normal(size=(2000, 3)) * 2)  # with equal rows and equally near centres
+    fits = {(k, r): segments.Fit(x[rnd.integers(len(x), size=k)]) for r in range(3) for k in (4, 1, 5)}
+    fits[4, 0].centres[3] = fits[4, 0].centres[1]
+    segments.measure(Rows(x), fits, 1)
+    for (k, _), fit in fits.items():
+        d2 = ((x[:, None, :] - fit.centres) ** 2).sum(2)
+        at = d2.argmin(1)
+        assert fit.n.tolist() == np.bincount(at, minlength=k).tolist() and fit.cost == pytest.approx(d2.min(1).sum())
+        for i in range(k):
+            assert np.allclose(fit.sums[i], x[at == i].sum(0)) and fit.squares[i] == pytest.approx((x[at == i] ** 2).sum())
+    assert fits[4, 0].n[3] == 0
+
+
 def test_k_is_chosen_on_all_rows(spark):
     n = 12_000  # three groups, every row at distance 1 from its group's centre
     rows = [(i, [100.0 * (i % 3), 1.0 if i % 2 else -1.0]) for i in range(n)]
