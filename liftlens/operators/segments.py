@@ -31,6 +31,7 @@ SHIFT = 1e-4  # a fit has converged when no centre moves further
 PARTIAL_ROWS = 50_000  # partial sums of a pass that the driver takes as they are
 CENTRE_BYTES = 32 << 20  # centres that one pass sends to the tasks
 CELLS = 1 << 20  # differences computed at a time
+PACK_BYTES = 16 << 10  # bytes of vectors in a row of the table that passes read
 PASS_CELLS = 1 << 16  # distances of a pass computed at a time (512 KB, which a core's cache holds)
 
 
@@ -56,6 +57,28 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1)
 
 
+def packed(vectors: DataFrame) -> DataFrame:
+    """The vectors, some of a task's to a row, as the bytes of their doubles: passes over them convert no arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column(0))
+                step = max(1, PACK_BYTES // max(1, 8 * x.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array([x[at: at + step].tobytes() for at in range(0, len(x), step)], pa.binary())], [VECTOR])
+
+    return vectors.select(VECTOR).mapInArrow(run, f"{VECTOR} binary")
+
+
+def _unpacked(column: pa.Array, dim: int) -> np.ndarray:
+    """The vectors of a column, packed or not."""
+    if not len(column):
+        return np.zeros((0, dim))
+    if not pa.types.is_binary(column.type):
+        return _matrix(column)
+    return np.concatenate([np.frombuffer(b.as_buffer()) for b in column]).reshape(-1, dim)
+
+
 @dataclass
 class Fit:
     """One k-means fit: its centres, and what a pass over all rows added up for them."""
@@ -76,7 +99,7 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def measure(vectors: DataFrame, fits: Mapping[object, Fit], partitions: int) -> None:
-    """One pass: every fit's cost, and per centre the count, the vector sum and the sum of squared norms.
+    """One pass over vectors, packed or not: every fit's cost, and per centre the count, the vector sum and the sum of squared norms.
 
     Each task gives one row per centre. Up to ``PARTIAL_ROWS`` of them are added up on the driver, more
     by a shuffle."""
@@ -94,7 +117,7 @@ def measure(vectors: DataFrame, fits: Mapping[object, Fit], partitions: int) ->
         tables = [np.column_stack([-2 * c, (c * c).sum(1)]) for c in stacks]
         step = max(1, PASS_CELLS // max(map(len, stacks)))
         for batch in batches:
-            x = _matrix(batch.column(0)) if batch.num_rows else np.zeros((0, dim))
+            x = _unpacked(batch.column(0), dim)
             for at in range(0, len(x), step):
                 part = x[at: at + step]
                 squares = (part * part).sum(1)
@@ -150,15 +173,19 @@ def fit_all(vectors: DataFrame, ks: Sequence[int], restarts: int, seed: int, max
     """Every (k, restart) fit, advanced together; one job an iteration for all that still move."""
     fits = _starts(vectors, [(k, r) for k in ks for r in range(max(1, restarts))], seed)
     moving, partitions = dict(fits), vectors.rdd.getNumPartitions()
-    while moving:
-        measure(vectors, moving, partitions)
-        for key, fit in list(moving.items()):
-            new = np.where(fit.n[:, None] > 0, fit.sums / np.maximum(fit.n, 1)[:, None], fit.centres)  # an empty one stays
-            moved = np.sqrt(((new - fit.centres) ** 2).sum(1).max())
-            if moved <= SHIFT or fit.iterations == max_iter:
-                del moving[key]  # cost and sums are those of these centres
-            else:
-                fit.centres, fit.iterations = new, fit.iterations + 1
+    rows = packed(vectors).persist()
+    try:
+        while moving:
+            measure(rows, moving, partitions)
+            for key, fit in list(moving.items()):
+                new = np.where(fit.n[:, None] > 0, fit.sums / np.maximum(fit.n, 1)[:, None], fit.centres)  # an empty one stays
+                moved = np.sqrt(((new - fit.centres) ** 2).sum(1).max())
+                if moved <= SHIFT or fit.iterations == max_iter:
+                    del moving[key]  # cost and sums are those of these centres
+                else:
+                    fit.centres, fit.iterations = new, fit.iterations + 1
+    finally:
+        rows.unpersist()
     return fits
 
 
