@@ -13,7 +13,7 @@ from liftlens.llm.chunks import dedup_substrings
 from liftlens.llm.decontaminate import clean_of
 from liftlens.llm.jaccard import first_of_each
 from liftlens.llm.sentencepiece_fst import decode, encode
-from liftlens.llm.storage import new_path
+from liftlens.llm.storage import new_path, staged
 from liftlens.llm.toxicity import not_toxic
 
 
@@ -38,8 +38,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their piece ids and the text decoded from these, which replaces the text."""
-    return decode(encode(docs), into="text").select(*docs.columns, "token_ids")
+    """The documents with their piece ids and the text decoded from these, which replaces the text.
+
+    The ids lie in the shared folder in between, so that a task holds one Python worker and not two.
+    """
+    return decode(staged(encode(docs).drop("text"), "encoded"), into="text").select(*docs.columns, "token_ids")
 
 
 STAGES = [

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .skew import lookup
 from .storage import staged
-from .text import _STEP, _base_powers, mix, slices, words
+from .text import _STEP, inverse_powers, mix, slices, words
 
 LEAST = 10
 SHARE = 1000
@@ -84,7 +84,7 @@ class Lines:
     def repeated(self) -> np.ndarray:
         """Per text, its lines that are equal to an earlier one."""
         w = self.words
-        raw = (w.total[self.ends] - w.total[self.starts]) * _base_powers(len(w.data) + 1)[1][self.starts]
+        raw = (w.total[self.ends] - w.total[self.starts]) * inverse_powers(self.starts, len(w.data))
         order, same = _twins(mix(raw + (self.ends - self.starts).astype(np.uint64)), self.owner)
         return np.bincount(self.owner[order][1:][same], minlength=len(w.ptr) - 1)
 

@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import slices
+from .text import bound_batches, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MEMO = 250_000  # segments of each of the two generations that a worker remembers
+MEMO = 100_000  # segments of each of the two generations that a worker remembers
 PAIRS = 600_000  # pairs of pieces whose order a worker remembers
 LONG = 64  # characters above which a segment isn't remembered (unspaced text is one segment)
 SPACE = "▁"
@@ -57,14 +57,50 @@ def read_model(path: str) -> dict:
             "bpe": m.trainer_spec.model_type == 2, "prefix": m.normalizer_spec.add_dummy_prefix}
 
 
-class Transducer:
-    """The compiled model: encode a text to piece ids, decode ids to a text."""
+class Speller:
+    """What each piece of a model spells: decode ids to a text."""
 
     NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
     def __init__(self, model: dict):
-        self.pieces, self.bpe, self.prefix = model["pieces"], model["bpe"], model["prefix"]
-        self.scores = model["scores"]
+        self.pieces, self.prefix = model["pieces"], model["prefix"]
+        out = [p.replace(SPACE, " ").encode() for p in self.pieces]
+        for i, k in enumerate(model["kinds"]):
+            if k == self.BYTE:
+                out[i] = bytes([int(self.pieces[i][1:-1], 16)])
+            elif k not in (1, 4):
+                out[i] = b" \xe2\x81\x87 " if k == self.UNKNOWN else b""
+        self.spelled = out
+        self.spelling = pa.array(out, pa.large_binary())
+
+    def decode(self, ids: np.ndarray) -> str:
+        spelled = self.spelled
+        text = b"".join([spelled[i] for i in ids.tolist()]).decode("utf-8", "replace")
+        return text[1:] if self.prefix and text[:1] == " " else text
+
+    def decode_all(self, column: pa.ListArray) -> pa.Array:
+        """The text of each list of ids, null for null: all ids spelled at once."""
+        sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        data = self.spelling.take(column.flatten())
+        at = np.frombuffer(data.buffers()[1], np.int64, len(data) + 1)[ends]
+        raw = np.frombuffer(data.buffers()[2] or b"", np.uint8)
+        start, end = at[:-1].copy(), at[1:]
+        if self.prefix:
+            some = np.flatnonzero(start < end)
+            start[some] += raw[start[some]] == 32
+        whole = memoryview(raw)
+        valid = column.is_valid().to_pylist()
+        return pa.array([str(whole[a:b], "utf-8", "replace") if v else None
+                         for v, a, b in zip(valid, start.tolist(), end.tolist(), strict=True)], pa.string())
+
+
+class Transducer(Speller):
+    """The compiled model: encode a text to piece ids as well."""
+
+    def __init__(self, model: dict):
+        super().__init__(model)
+        self.bpe, self.scores = model["bpe"], model["scores"]
         self.ids = {p: i for i, (p, k) in enumerate(zip(model["pieces"], model["kinds"], strict=True)) if k in (1, 4)}
         self.bytes_ = {int(p[1:-1], 16): i for i, (p, k) in enumerate(zip(model["pieces"], model["kinds"], strict=True)) if k == self.BYTE}
         self.spells = self.ids
@@ -74,19 +110,11 @@ class Transducer:
         self.agree: dict[int, bool] = {}
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # the full memo before; what is met again moves on
-        out = [p.replace(SPACE, " ").encode() for p in self.pieces]
-        for i, k in enumerate(model["kinds"]):
-            if k == self.BYTE:
-                out[i] = bytes([int(self.pieces[i][1:-1], 16)])
-            elif k not in (1, 4):
-                out[i] = b" \xe2\x81\x87 " if k == self.UNKNOWN else b""
-        self.spelled = out
-        self.spelling = pa.array(out, pa.large_binary())
         if self.bpe:  # a piece that its own string doesn't merge to has no arc
             self.ids = {p: i for p, i in self.ids.items() if self._merged(p) == [p]}
         self._link_arcs()
         cut = any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.segments = (lambda t: [t]) if cut else re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
+        self.segments = (lambda t: [t]) if cut else re.compile(" +[^ ]*|[^ ]+").findall
 
     def _link_arcs(self) -> None:
         """Arcs as a tree of characters, whose nodes hold the longest piece on the way there ("": its id), and per piece
@@ -197,7 +225,7 @@ class Transducer:
     def _segment(self, s: str) -> bytes:
         got = self.older.get(s)
         if got is None:
-            got = array("i", self.shortest_path(s)).tobytes()
+            got = array("i", self.shortest_path(s.replace(" ", SPACE))).tobytes()
         if len(s) <= LONG:
             if len(self.memo) >= MEMO:
                 self.older = dict(self.memo)
@@ -208,44 +236,25 @@ class Transducer:
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
-        t = text.replace(" ", SPACE)
+        t = text.replace(SPACE, " ")  # the same input; segments of ASCII text are remembered at a byte a character
         known, miss = self.memo.get, self._segment
-        return np.frombuffer(b"".join([known(s) or miss(s) for s in self.segments(SPACE + t if self.prefix else t)]), np.int32)
+        return np.frombuffer(b"".join([known(s) or miss(s) for s in self.segments(" " + t if self.prefix else t)]), np.int32)
 
-    def decode(self, ids: np.ndarray) -> str:
-        spelled = self.spelled
-        text = b"".join([spelled[i] for i in ids.tolist()]).decode("utf-8", "replace")
-        return text[1:] if self.prefix and text[:1] == " " else text
 
-    def decode_all(self, column: pa.ListArray) -> pa.Array:
-        """The text of each list of ids, null for null: all ids spelled at once."""
-        sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-        data = self.spelling.take(column.flatten())
-        at = np.frombuffer(data.buffers()[1], np.int64, len(data) + 1)[ends]
-        raw = np.frombuffer(data.buffers()[2] or b"", np.uint8)
-        start, end = at[:-1].copy(), at[1:]
-        if self.prefix:
-            some = np.flatnonzero(start < end)
-            start[some] += raw[start[some]] == 32
-        whole = memoryview(raw)
-        valid = column.is_valid().to_pylist()
-        return pa.array([str(whole[a:b], "utf-8", "replace") if v else None
-                         for v, a, b in zip(valid, start.tolist(), end.tolist(), strict=True)], pa.string())
-
-
-def _compiled(sent, key: str) -> Transducer:
-    """The worker's transducer; workers serve many tasks, so it and its memo are kept between them."""
+def _compiled(sent, key: str, kind: type[Speller] = Transducer) -> Speller:
+    """The worker's transducer, or only a speller where it decodes; workers serve many tasks, so it and its memo are kept between
+    them, but never both: a task that encodes and decodes holds two workers, of which one needs no memo."""
     kept = sys.__dict__.setdefault("_llm_transducers", {})
-    if key not in kept:
+    if (key, kind.__name__) not in kept:
         kept.clear()
-        kept[key] = Transducer(sent.value)
-    return kept[key]
+        kept[key, kind.__name__] = kind(sent.value)
+    return kept[key, kind.__name__]
 
 
 def encode(docs: DataFrame, model_path: str = MODEL, column: str = "text", into: str = "token_ids") -> DataFrame:
     """``docs`` with the piece ids of ``column`` as array<int> ``into`` (replaced if present); all other columns as they are."""
     docs = docs.drop(into)
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,14 +271,15 @@ def encode(docs: DataFrame, model_path: str = MODEL, column: str = "text", into:
 def decode(encoded: DataFrame, model_path: str = MODEL, column: str = "token_ids", into: str = "decoded") -> DataFrame:
     """``encoded`` with the text of the ids in ``column`` as string ``into`` (replaced if present)."""
     encoded = encoded.drop(into)
+    bound_batches(encoded.sparkSession)
     sent = encoded.sparkSession.sparkContext.broadcast(read_model(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fst = _compiled(sent, model_path)
+        speller = _compiled(sent, model_path, Speller)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([*part.columns, fst.decode_all(part.column(column))], [*part.schema.names, into])
+                yield pa.RecordBatch.from_arrays([*part.columns, speller.decode_all(part.column(column))], [*part.schema.names, into])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(into, T.StringType())]))
 

@@ -8,7 +8,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
+BATCH_BYTES = 4 << 20  # bytes of an Arrow batch between Spark and a Python worker
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 SLICE_BYTES = 2 << 20  # text bytes hashed at a time (a longer single text goes alone)
 _BASE = 0x9E3779B97F4A7C15
 _STEP = 0xD1342543DE82EF95
@@ -27,6 +30,17 @@ def free(name: str, columns: list[str]) -> str:
     return name
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session end at BATCH_BYTES, unless it names a size itself.
+
+    Spark's own bound (64 MB) lets a batch hold 10,000 texts; an executor holds
+    several such batches on both sides of each Python step, and rows pass more
+    than one.
+    """
+    if spark.conf.get(BATCH_CONF, None) is None:
+        spark.conf.set(BATCH_CONF, f"{BATCH_BYTES}b")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """SplitMix64 finaliser over uint64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -41,23 +55,37 @@ def _byte_values(lower_ascii: bool) -> np.ndarray:
     return mix(b + np.uint64(1))
 
 
-_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+def _power_table(base: int, n: int) -> np.ndarray:
+    p = np.full(n, base, np.uint64)
+    p[0] = 1
+    return np.cumprod(p, dtype=np.uint64)
+
+
+# A power of position p is that of its block of POWERS positions times that of its place therein: no table is as long as a text.
+POWERS = 1 << 12
+_UP, _DOWN = _power_table(_BASE, POWERS), _power_table(pow(_BASE, -1, 1 << 64), POWERS)
+
+
+def _block_powers(base: int, n: int) -> np.ndarray:
+    return _power_table(pow(base, POWERS, 1 << 64), n // POWERS + 1)
+
+
+def _by_powers(values: np.ndarray) -> None:
+    """Multiply each value by the base to the power of its position, in place."""
+    n = len(values)
+    blocks = _block_powers(_BASE, n)
+    whole = values[:n - n % POWERS].reshape(-1, POWERS)
+    whole *= _UP
+    whole *= blocks[:len(whole), None]
+    rest = values[n - n % POWERS:]
+    rest *= _UP[:len(rest)]
+    rest *= blocks[len(whole)]
 
 
-def _base_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least ``n`` of each."""
-    global _powers
-    if len(_powers[0]) < n:
-        n = max(n, SLICE_BYTES)
-        made = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            made.append(np.cumprod(p, dtype=np.uint64))
-        if n > 4 * SLICE_BYTES:  # a huge text: don't keep its tables
-            return made[0], made[1]
-        _powers = (made[0], made[1])
-    return _powers
+def inverse_powers(at: np.ndarray, n: int) -> np.ndarray:
+    """The base to the power of minus each position; positions are at most ``n``."""
+    blocks = _block_powers(pow(_BASE, -1, 1 << 64), n)
+    return _DOWN[at % POWERS] * blocks[at // POWERS]
 
 
 @dataclass
@@ -75,7 +103,7 @@ class Words:
     def lead_hashes(self, size: int) -> np.ndarray:
         """Hash of the first ``size`` bytes of each word (all of a shorter one)."""
         ends = np.minimum(self.ends, self.starts + size)
-        h = (self.total[ends] - self.total[self.starts]) * _base_powers(len(self.data) + 1)[1][self.starts]
+        h = (self.total[ends] - self.total[self.starts]) * inverse_powers(self.starts, len(self.data))
         return mix(h + (ends - self.starts).astype(np.uint64) + np.uint64(size << 32))
 
 
@@ -117,10 +145,11 @@ def words(column: pa.Array, separators: np.ndarray = WHITE, lower_ascii: bool =
     first[cuts] |= inside[cuts]
     last[cuts - 1] |= inside[cuts - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _base_powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_byte_values(lower_ascii)[data] * up[:n], out=total[1:])
-    h = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    total[1:] = _byte_values(lower_ascii)[data]
+    _by_powers(total[1:])
+    np.cumsum(total, out=total)
+    h = mix((total[ends] - total[starts]) * inverse_powers(starts, n) + (ends - starts).astype(np.uint64))
     return Words(data, off, starts, ends, h, np.searchsorted(starts, off), total)
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import PUNCT, free, mix, slices, words
+from .text import PUNCT, bound_batches, free, mix, slices, words
 
 CATEGORIES = ("quality", "toxic")
 SAMPLE = 20_000
@@ -38,6 +38,7 @@ FEATURES = 384
 FOLDS = 3
 LEADS = (4, 5)
 STEPS = 150
+TEXT_BYTES = 1 << 18  # text bytes whose features are held at a time (a longer single text goes alone)
 RIDGE = 1e-4
 
 
@@ -124,6 +125,7 @@ def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, sample: int = SAMPLE) -> Chain:
     """Fit the chain on at most ``sample`` labelled documents."""
+    bound_batches(docs.sparkSession)
     # at most `sample` rows of a key and some numbers: small enough to send to every task
     known = F.broadcast(_sample(labels, categories, sample))
     c = len(categories)
@@ -131,21 +133,15 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, marks = [], []
-            for a, b in slices(batch.column("text")):
+            for a, b in slices(batch.column("text"), TEXT_BYTES):
                 h, ptr = _features(batch.column("text").slice(a, b - a))
                 ys = np.array(batch.column("y").slice(a, b - a).to_pylist()).reshape(-1, c)
-                for i in range(b - a):
-                    u = np.unique(h[ptr[i]:ptr[i + 1]])
-                    found.append(u)
-                    marks.append(np.broadcast_to(ys[i], (len(u), c)))
-            if not found:
-                continue
-            h, index = np.unique(np.concatenate(found), return_inverse=True)
-            y = np.concatenate(marks)
-            columns = [pa.array(h.astype(np.int64)), pa.array(np.bincount(index).astype(np.float64))]
-            columns += [pa.array(np.bincount(index, y[:, j])) for j in range(c)]
-            yield pa.RecordBatch.from_arrays(columns, ["h", "n", *(f"n{j}" for j in range(c))])
+                found = [np.unique(h[ptr[i]:ptr[i + 1]]) for i in range(b - a)]
+                h, index = np.unique(np.concatenate(found), return_inverse=True)
+                y = np.repeat(ys, [len(u) for u in found], axis=0)
+                columns = [pa.array(h.astype(np.int64)), pa.array(np.bincount(index).astype(np.float64))]
+                columns += [pa.array(np.bincount(index, y[:, j])) for j in range(c)]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "n", *(f"n{j}" for j in range(c))])
 
     counts = rows.mapInArrow(count, "h bigint, n double, " + ", ".join(f"n{j} double" for j in range(c)))
     counts = counts.groupBy("h").agg(F.sum("n").alias("n"), *[F.sum(f"n{j}").alias(f"n{j}") for j in range(c)]).where("n >= 2").checkpoint()
@@ -162,7 +158,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] =
 
     def design(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column("text")):
+            for a, b in slices(batch.column("text"), TEXT_BYTES):
                 h, ptr = _features(batch.column("text").slice(a, b - a))
                 own = [np.flatnonzero(np.isin(hashes, h[ptr[i]:ptr[i + 1]])).astype(np.int32) for i in range(b - a)]
                 part = batch.slice(a, b - a)
@@ -193,10 +189,11 @@ def score(docs: DataFrame, chain: Chain, prefix: str = "p_", tags: str = "reject
     """``docs`` with a probability column per category and ``tags`` (array of categories over their thresholds); such columns are replaced."""
     names = [prefix + c for c in chain.categories] + [tags]
     docs = docs.drop(*names)
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column("text")):
+            for a, b in slices(batch.column("text"), TEXT_BYTES):
                 part = batch.slice(a, b - a)
                 p = chain.probabilities(part.column("text"))
                 over = p >= np.array(chain.thresholds)

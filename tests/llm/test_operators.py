@@ -10,6 +10,7 @@ import re
 import subprocess
 import sys
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -17,7 +18,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from liftlens.llm import chat, chunks, decontaminate, html_tree, jaccard, sentencepiece_fst, syncmers, toxicity, urls, warc
+from liftlens.llm import chat, chunks, decontaminate, html_tree, jaccard, sentencepiece_fst, syncmers, text, toxicity, urls, warc
 from liftlens.llm.storage import new_path
 
 SF = "/root/testdata/sf0.001"
@@ -381,6 +382,55 @@ def test_long_segments_are_not_remembered():
     assert fst.memo and max(map(len, fst.memo)) <= sentencepiece_fst.LONG
 
 
+def test_word_hashes_need_no_table_as_long_as_the_text():
+    rnd = random.Random(8)
+    parts = ["".join(rnd.choice("abcé ") for _ in range(n)) for n in (0, 1, text.POWERS - 1, text.POWERS, text.POWERS + 1, 1 << 19)]
+    column = text.pa.array([*parts, None])
+    base = text._BASE
+    tracemalloc.start()
+    w = text.words(column)
+    peak = tracemalloc.get_traced_memory()[1] / len(w.data)
+    kept = tracemalloc.get_traced_memory()[0] - sum(x.nbytes for x in (w.starts, w.ends, w.hashes, w.ptr, w.total))
+    tracemalloc.stop()
+    assert peak < 45 and kept < 1 << 20
+    data = "".join(parts).encode()
+    value, power, sums = text._byte_values(True), 1, [0]
+    for byte in data:
+        sums.append((sums[-1] + int(value[byte]) * power) % 2**64)
+        power = power * base % 2**64
+    assert w.total.tolist() == sums
+    down = text.inverse_powers(w.starts, len(data))
+    assert all(int(d) * pow(base, int(a), 2**64) % 2**64 == 1 for d, a in zip(down[::97], w.starts[::97], strict=True))
+
+
+def test_batches_and_workers_of_the_encoder_are_small(spark):
+    import corpus_pipeline
+
+    docs = _docs(spark, [(i, f"{i} " + "words and more " * 4000) for i in range(200)]).coalesce(1)
+
+    def largest(df):
+        sizes = df.mapInArrow(lambda batches: (text.pa.RecordBatch.from_arrays([text.pa.array([b.nbytes])], ["n"]) for b in batches), "n bigint")
+        return max(r["n"] for r in sizes.collect())
+
+    spark.conf.unset(text.BATCH_CONF)
+    assert largest(docs) > 2 * text.BATCH_BYTES
+    sentencepiece_fst.encode(docs)
+    assert largest(docs) < 1.1 * text.BATCH_BYTES
+    spark.conf.set(text.BATCH_CONF, "1m")
+    toxicity.score(docs, toxicity.Chain(("toxic",), np.zeros(0, np.uint64), [np.zeros(1)], [0.5]))
+    assert spark.conf.get(text.BATCH_CONF) == "1m"
+    spark.conf.unset(text.BATCH_CONF)
+
+    model = sentencepiece_fst.read_model(sentencepiece_fst.MODEL)
+    fst, speller = sentencepiece_fst.Transducer(model), sentencepiece_fst.Speller(model)
+    ids = fst.encode("some words, 日本語 ▁ and 😀")
+    assert speller.decode(ids) == fst.decode(ids) == "some words, 日本語   and 😀" and not hasattr(speller, "memo")
+    assert all(s.isascii() for s in fst.memo if s.strip(" ").isascii())
+    out = corpus_pipeline.encoding(spark, docs, SF)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {(r["doc_id"], r["text"]) for r in out.collect()} == {(r["doc_id"], r["text"]) for r in docs.collect()}
+
+
 def test_warc_round_trip(spark):
     big = "é" * 600
     pages = spark.createDataFrame([(1, "http://a/ b", big, 0), (2, "http://b", big, 0), (3, None, None, 0), (4, "http://c", "x", 0), (5, "http://d", "x", 0)],
