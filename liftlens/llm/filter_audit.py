@@ -29,11 +29,16 @@ Rows of equal (doc_id, text, part) are added up before any join, the smallest
 doc_id of a text is found by a pre-aggregated minimum, and E joins on (text
 digest, doc_id), so neither a text that a third of all rows hold nor a null
 doc_id makes a hot key. Texts never move: only their SHA-256.
+
+The documents are read twice, once for the minimum, which needs the digests only.
+Neither they nor the cells are staged: on a local file system each staged file
+makes an executor start processes (Hadoop's ``chmod``), hundreds of them where
+partitions are many and small. Only the walk, of a fixed size, is staged.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .storage import staged
@@ -44,6 +49,16 @@ DISTINCT_PERCENT = 65
 CAPITALS_PERCENT = 5
 
 
+def text_digest():
+    return F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest")
+
+
+def first_ids(docs: DataFrame) -> DataFrame:
+    """(digest, doc_id): the smallest doc_id of each text that has any."""
+    ids = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), text_digest())
+    return ids.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+
+
 def text_failures(docs: DataFrame) -> DataFrame:
     """(doc_id, part, digest, mask, n): equal rows of these added up; ``mask`` holds the filters A to D, which need the text only."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -55,14 +70,14 @@ def text_failures(docs: DataFrame) -> DataFrame:
              F.regexp_count("text", F.lit("[A-Z]")).cast("bigint") * 100 > F.length("text").cast("bigint") * CAPITALS_PERCENT,
              F.col("text").rlike(r"[#$%&*|]")]
     mask = sum((F.when(f, F.lit(1 << i)).otherwise(F.lit(0)) for i, f in enumerate(fails)), F.lit(0))
-    return (seen.select("doc_id", "part", F.unhex(F.sha2("text", 256)).alias("digest"), mask.alias("mask"))
+    return (seen.select("doc_id", "part", text_digest(), mask.alias("mask"))
             .groupBy("doc_id", "part", "digest", "mask").agg(F.count("*").alias("n")))
 
 
 def document_cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(part, mask, n, good, toxic): documents, and those labelled quality = 1 and toxic = 1, per part and set of failed filters."""
-    rows = staged(text_failures(docs), "audit-rows")
-    least = rows.where("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).withColumn("first", F.lit(True))
+    rows = text_failures(docs)
+    least = first_ids(docs).withColumn("first", F.lit(True))
     # A row without doc_id finds nothing; its key is spread by the digest.
     known = (F.coalesce("doc_id", F.xxhash64("digest")).alias("id"), F.col("doc_id").isNotNull().alias("has_id"))
     lab = (labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("id"))
@@ -112,7 +127,8 @@ def audit(cells: DataFrame, letters: str = LETTERS) -> DataFrame:
     def total(flag: str, counted: str = "n"):
         return F.sum(F.when(F.col(flag), F.col(counted)).otherwise(0)).cast("bigint")
 
-    by_prefix = (cells.join(F.broadcast(walk), "mask").groupBy("part", "prefix", "step", "letter")
+    # A part has 2**k cells at most; dealt by part, what follows needs no further shuffle.
+    by_prefix = (cells.repartition("part").join(F.broadcast(walk), "mask").groupBy("part", "prefix", "step", "letter")
                  .agg(total("alive").alias("kept"), total("goes").alias("removed"), total("late").alias("redundant"),
                       total("only").alias("unique_fails"), total("goes", "good").alias("good_lost"),
                       total("goes", "toxic").alias("toxic_lost")))
@@ -120,12 +136,12 @@ def audit(cells: DataFrame, letters: str = LETTERS) -> DataFrame:
     orders = full.select("filter_order", F.explode(F.sequence(F.lit(1), F.lit(len(letters)))).alias("step"))
     orders = orders.select("filter_order", F.substring("filter_order", F.lit(1), F.col("step")).alias("prefix"))
     rows = by_prefix.join(F.broadcast(orders), "prefix")
-    worth = rows.groupBy("part", "letter").agg(F.sum("removed").alias("shapley"))  # 5 rows a part
-    return rows.join(worth, ["part", "letter"]).select(
-        "part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+    worth = F.sum("removed").over(Window.partitionBy("part", "letter"))  # as many rows as there are orders
+    return rows.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost",
+                       worth.alias("shapley"))
 
 
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All orders of the five filters over the whole of ``documents``, with ``labels``."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return audit(staged(document_cells(docs, labels), "audit-cells"))
+    return audit(document_cells(docs, labels))

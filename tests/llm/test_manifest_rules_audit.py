@@ -8,13 +8,14 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from liftlens.llm import filter_audit, line_frequency, merkle, skew
+from liftlens.llm import filter_audit, line_frequency, merkle, skew, storage
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, path string, root string, host string, mask string"
@@ -220,3 +221,29 @@ def test_audit_equals_brute_force(spark):
     assert len(found) == 3 * 600 and set(found) == _brute_audit(rows, labels)
     empty = filter_audit.document_cells(_docs(spark, rows).limit(0), table.limit(0))
     assert filter_audit.audit(empty).count() == 0
+
+
+def test_audit_stages_nothing_that_grows(spark, tmpdir_path):
+    """Each staged file makes an executor start processes; only the walk, of a fixed size, is staged."""
+    rnd = random.Random(9)
+    rows = [(i % 250 if i % 9 else None, rnd.choice(("same text", None, f"Own {i} " * 60, f"word{i} #")), "en", rnd.choice(("a", "b", None)), 0)
+            for i in range(300)]
+    labels = [(i, i % 2, i % 3) for i in range(0, 250, 5)]
+    _docs(spark, rows).write.parquet(f"{tmpdir_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmpdir_path}/labels.parquet")
+    folder = Path(storage.shared_folder(spark).removeprefix("file:")) / storage.FOLDER
+    old = set(folder.glob("*"))
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    were = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = filter_audit.op13_filter_audit(spark, tmpdir_path)
+        got.write.parquet(f"{tmpdir_path}/out")
+    finally:
+        for k, v in were.items():
+            spark.conf.set(k, v)
+    assert {x.name.rsplit("-", 1)[0] for x in set(folder.glob("*")) - old} == {"audit-walk"}
+    assert len(list(Path(tmpdir_path, "out").glob("part-*.parquet"))) <= 4  # three parts, and an empty first file
+    found = [tuple(r) for r in spark.read.parquet(f"{tmpdir_path}/out").collect()]
+    assert len(found) == 3 * 600 and set(found) == _brute_audit(rows, labels)
